@@ -31,7 +31,8 @@ def week_start(d: Column | str) -> Column:
     return F.date_trunc("week", _c(d)).cast("date")
 
 
-def floor_days_between(later: Column | str, earlier: Column | str) -> Column:
-    """pandas ``(later - earlier).dt.days``: whole days, floored (23 h → 0; trap T8)."""
-    seconds = F.timestampdiff("SECOND", _c(earlier), _c(later))
+def floor_days_between(later: str, earlier: str) -> Column:
+    """pandas ``(later - earlier).dt.days`` for two timestamp columns (by name): whole days,
+    floored (23 h → 0; trap T8). ``datediff`` would count calendar days instead."""
+    seconds = F.expr(f"timestampdiff(SECOND, `{earlier}`, `{later}`)")
     return F.floor(seconds / F.lit(86400)).cast("bigint")

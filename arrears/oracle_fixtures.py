@@ -171,3 +171,16 @@ def with_inputs(names: list[str], body: str, extra_ctes: str = "") -> str:
     if extra_ctes.strip():
         head += ",\n" + extra_ctes.strip()
     return f"{head}\n{body.strip()}"
+
+
+def erfc_sql(x: str) -> str:
+    """DuckDB text of the same erfc evaluation as :func:`arrears.functions.erfc` (x >= 0)."""
+    series = (
+        f"list_reduce(range(1, 121), lambda acc, n: {{'t': acc.t * 2.0 * ({x}) * ({x}) / (2 * n + 1), "
+        f"'s': acc.s + acc.t * 2.0 * ({x}) * ({x}) / (2 * n + 1)}}, {{'t': ({x}), 's': ({x})}}).s"
+    )
+    frac = f"list_reduce(range(80, 0, -1), lambda k, n: ({x}) + (n / 2.0) / k, ({x}))"
+    return (
+        f"(CASE WHEN ({x}) <= 3.0 THEN 1.0 - 2.0 / sqrt(pi()) * exp(-({x}) * ({x})) * {series} "
+        f"ELSE exp(-({x}) * ({x})) / sqrt(pi()) / {frac} END)"
+    )
