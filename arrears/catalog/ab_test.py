@@ -105,3 +105,27 @@ def uplift(spark, sf_dir):
 def tests_table(spark, sf_dir):
     """Z-test and Yates χ² with p-values."""
     return ab.tests_table(inputs(spark, sf_dir).sms_ab_test)
+
+
+@query(
+    "ab_test_report",
+    oracle=with_inputs(
+        ["sms_ab_test"],
+        f"""SELECT round(sc / nc, 6) AS control_rate, round(st / nt, 6) AS treatment_rate,
+                   round(st / nt - sc / nc, 6) AS uplift_abs, round((st / nt - sc / nc) / (sc / nc), 6) AS uplift_rel,
+                   round(z, 6) AS z_stat, round({erfc_sql('abs(z) / sqrt(2.0)')}, 6) AS p_value_z,
+                   round(chi2, 6) AS chi2_stat, round({erfc_sql('sqrt(chi2 / 2)')}, 6) AS p_value_chi2
+            FROM cnt CROSS JOIN chi""",
+        _COUNTS,
+    ),
+)
+def ab_test_report(spark, sf_dir):
+    """C5 (headline row): rates, uplift and both tests with p-values."""
+    from pyspark.sql import functions as F
+
+    sms = inputs(spark, sf_dir).sms_ab_test
+    s = ab.test_statistics(sms)
+    return ab.uplift(sms).crossJoin(s).select(
+        "control_rate", "treatment_rate", "uplift_abs", "uplift_rel",
+        *[F.round(c, 6).alias(c) for c in ("z_stat", "p_value_z", "chi2_stat", "p_value_chi2")],
+    )

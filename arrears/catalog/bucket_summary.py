@@ -103,3 +103,35 @@ def collection_summary(spark, sf_dir):
     """C4 via the public entry (D2 validation + D1 preprocessing)."""
     inp = inputs(spark, sf_dir)
     return bs.build_collection_summary(inp.cases, inp.contacts, inp.payments)
+
+
+@query(
+    "distinct_pairs",
+    oracle=with_inputs(_IN, "SELECT DISTINCT dpd_bucket, case_id FROM c_win", _CTES),
+)
+def distinct_pairs(spark, sf_dir):
+    """Unique (dpd_bucket, case_id) pairs of contacted cases in the timestamp window."""
+    inp = inputs(spark, sf_dir)
+    cases, contacts, _ = bs.preprocess(inp.cases, inp.contacts, inp.payments)
+    merged = contacts.join(cases.select("case_id", "start_date", "dpd_bucket"), "case_id")
+    return bs.window_filter(merged, "event_dttm", "start_date", 6).select("dpd_bucket", "case_id").dropDuplicates()
+
+
+@query(
+    "order_by_bucket",
+    oracle=with_inputs(
+        _IN,
+        """SELECT CASE WHEN dpd_bucket IN ('1-30', '31-60', '61-90', '90+') THEN dpd_bucket END AS dpd_bucket,
+                  CAST(CASE dpd_bucket WHEN '1-30' THEN 1 WHEN '31-60' THEN 2 WHEN '61-90' THEN 3 WHEN '90+' THEN 4 END
+                       AS INTEGER) AS bucket_rank
+           FROM (SELECT DISTINCT dpd_bucket FROM cases WHERE dpd_bucket IS NOT NULL)""",
+        _CTES,
+    ),
+)
+def order_by_bucket(spark, sf_dir):
+    """The summary's buckets with their position in the domain order (unknown → NULL, last)."""
+    from arrears.functions import bucket_rank
+
+    inp = inputs(spark, sf_dir)
+    out = bs.build_collection_summary(inp.cases, inp.contacts, inp.payments)
+    return out.select("dpd_bucket", bucket_rank("dpd_bucket").alias("bucket_rank"))

@@ -192,3 +192,31 @@ def score_density(spark, sf_dir):
     """KDE of the train and scoring scores on 1000 grid points."""
     inp = inputs(spark, sf_dir)
     return ln.score_density({"train": inp.train_scores.select("score"), "scoring": inp.scoring_results.select("score")})
+
+
+@query(
+    "strategy_launch_report",
+    oracle=_o(
+        """SELECT (SELECT min(score) FROM top) AS threshold,
+                  (SELECT v FROM eff_long WHERE s = 'new' AND metric = 'economic_effect') AS new_effect,
+                  (SELECT v FROM eff_long WHERE s = 'current' AND metric = 'economic_effect') AS current_effect,
+                  (SELECT round(sum((train_dist - scoring_dist) * ln(train_dist / scoring_dist)), 6) FROM psi_b) AS psi,
+                  (SELECT round(avg(score), 6) FROM train_scores) AS mean_score_train,
+                  (SELECT round(avg(score), 6) FROM scoring_results) AS mean_score_scoring"""
+    ),
+)
+def strategy_launch_report(spark, sf_dir):
+    """C9 (headline row): threshold, effects of both strategies, PSI and the score means."""
+    inp = inputs(spark, sf_dir)
+    sc, tr = inp.scoring_results, inp.train_scores
+    sel = ln.select_top(sc, 0.25)
+    thr = ln.threshold(sel).select("threshold")
+    new = ln.strategy_effect(sel).select(F.col("economic_effect").alias("new_effect"))
+    cur = ln.strategy_effect(sc.where(F.col("current_contact_flg") == 1)).select(F.col("economic_effect").alias("current_effect"))
+    p = ln.psi(ln.psi_bins(tr, sc))
+    shift = ln.score_shift(tr, sc)
+    means = shift.agg(
+        F.max(F.when(F.col("dataset") == "train", F.col("mean"))).alias("mean_score_train"),
+        F.max(F.when(F.col("dataset") == "scoring", F.col("mean"))).alias("mean_score_scoring"),
+    )
+    return thr.crossJoin(new).crossJoin(cur).crossJoin(p).crossJoin(means)

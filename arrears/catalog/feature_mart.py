@@ -92,3 +92,59 @@ def strictly_before(spark, sf_dir):
     """Leak check on the point-in-time join (must be 0)."""
     inp = inputs(spark, sf_dir)
     return fm.leak_violations(fm.actions_before_snapshot(inp.daily_snapshot, inp.actions_log, days=30))
+
+
+@query(
+    "rolling_counts_before",
+    oracle=with_inputs(
+        _IN,
+        "SELECT customer_id, snapshot_date, calls_last_7d, sms_last_7d, promises_last_30d, "
+        "promised_amount_last_30d, payments_amount_last_30d FROM mart",
+        _CTES,
+    ),
+)
+def rolling_counts_before(spark, sf_dir):
+    """Counts and sums over the 7 / 30 days strictly before each snapshot."""
+    inp = inputs(spark, sf_dir)
+    return fm.feature_mart(inp.daily_snapshot, inp.actions_log).select(
+        "customer_id", "snapshot_date", "calls_last_7d", "sms_last_7d", "promises_last_30d",
+        "promised_amount_last_30d", "payments_amount_last_30d",
+    )
+
+
+@query(
+    "days_since_last_event",
+    oracle=with_inputs(_IN, "SELECT customer_id, snapshot_date, days_since_last_payment FROM mart", _CTES),
+)
+def days_since_last_event(spark, sf_dir):
+    """Whole days since the last payment before the snapshot (NULL if none)."""
+    inp = inputs(spark, sf_dir)
+    return fm.feature_mart(inp.daily_snapshot, inp.actions_log).select(
+        "customer_id", "snapshot_date", "days_since_last_payment"
+    )
+
+
+@query(
+    "best_row_per_customer",
+    oracle=with_inputs(
+        _IN,
+        """SELECT customer_id, snapshot_date, contacts_last_7d FROM (
+               SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY contacts_last_7d DESC, snapshot_date) AS rn
+               FROM (SELECT *, calls_last_7d + sms_last_7d AS contacts_last_7d FROM mart)
+               WHERE payments_amount_last_30d = 0 AND contacts_last_7d > 0) WHERE rn = 1""",
+        _CTES,
+    ),
+)
+def best_row_per_customer(spark, sf_dir):
+    """Per customer the qualifying snapshot with the most contacts (earliest on ties)."""
+    from pyspark.sql import functions as F
+
+    from arrears.operators.anchors import first_row_per_key
+
+    inp = inputs(spark, sf_dir)
+    m = fm.feature_mart(inp.daily_snapshot, inp.actions_log).withColumn(
+        "contacts_last_7d", F.col("calls_last_7d") + F.col("sms_last_7d")
+    )
+    base = m.where((F.col("payments_amount_last_30d") == 0) & (F.col("contacts_last_7d") > 0))
+    best = first_row_per_key(base, "customer_id", [F.col("contacts_last_7d").desc(), F.col("snapshot_date").asc()])
+    return best.select("customer_id", "snapshot_date", "contacts_last_7d")

@@ -289,3 +289,19 @@ def strategy_effectiveness_7d(spark, sf_dir):
     return st.strategy_effectiveness(
         inp.collection_cases, inp.accounts, inp.contact_events, inp.payments, C1_START, C1_END
     )
+
+
+@query(
+    "ordered_output",
+    oracle=_oracle(
+        ["collection_cases", "accounts"],
+        """SELECT c.strategy_name, count(*) AS total_cases
+           FROM period_cases c JOIN accounts a USING (account_id) GROUP BY 1 ORDER BY 1""",
+    ),
+)
+def ordered_output(spark, sf_dir):
+    """K1: final ordering by key (cases with an account per strategy, sorted)."""
+    inp = inputs(spark, sf_dir)
+    return st.principal_by_strategy(inp.collection_cases, inp.accounts, C1_START, C1_END).select(
+        "strategy_name", "total_cases"
+    ).orderBy("strategy_name")

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analyses this package re-expresses are batch analyses: there is no stream source, watermark,
+event-time window, state store or late-data rule in them, and none is added here. The day-offset
+windows of the marts are windows relative to each row's own anchor date and are computed as batch
+equi-joins (:mod:`arrears.operators.intervals`) and range windows (:mod:`arrears.plans.feature_mart`).
+"""
