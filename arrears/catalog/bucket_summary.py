@@ -100,7 +100,32 @@ def collected_by_bucket(spark, sf_dir):
     ),
 )
 def collection_summary(spark, sf_dir):
-    """C4 via the public entry (D2 validation + D1 preprocessing)."""
+    """C4: D1 preprocessing + the summary plan."""
+    inp = inputs(spark, sf_dir)
+    return bs.collection_summary(*bs.preprocess(inp.cases, inp.contacts, inp.payments))
+
+
+@query(
+    "build_collection_summary",
+    oracle=with_inputs(
+        _IN,
+        """SELECT CASE WHEN t.dpd_bucket IN ('1-30', '31-60', '61-90', '90+') THEN t.dpd_bucket END AS dpd_bucket,
+                  t.total_cases,
+                  coalesce(k.n, 0) AS contacted_cases_7d,
+                  coalesce(p.n, 0) AS paid_cases_7d,
+                  coalesce(CAST(p.amount AS DOUBLE), 0.0) AS collected_amount_7d,
+                  coalesce(round(CAST(p.amount AS DOUBLE) / nullif(CAST(p.n AS DOUBLE), 0), 6), 0.0)
+                      AS avg_payment_per_paid_case_7d
+           FROM (SELECT dpd_bucket, count(DISTINCT case_id) AS total_cases FROM cases
+                 WHERE dpd_bucket IS NOT NULL GROUP BY 1) t
+           LEFT JOIN (SELECT dpd_bucket, count(DISTINCT case_id) AS n FROM c_win GROUP BY 1) k USING (dpd_bucket)
+           LEFT JOIN (SELECT dpd_bucket, count(DISTINCT case_id) AS n, sum(payment_amount) AS amount
+                      FROM p_win GROUP BY 1) p USING (dpd_bucket)""",
+        _CTES,
+    ),
+)
+def build_collection_summary(spark, sf_dir):
+    """The public entry — emptiness checks (``limit(1)`` jobs), then C4."""
     inp = inputs(spark, sf_dir)
     return bs.build_collection_summary(inp.cases, inp.contacts, inp.payments)
 

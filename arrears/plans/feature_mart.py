@@ -77,14 +77,11 @@ def feature_mart(snapshot: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
-def actions_before_snapshot(snapshot: DataFrame, actions: DataFrame, days: int | None = None) -> DataFrame:
-    """J11 + P8 (row level): snapshot × its customer's actions strictly before the snapshot
-    (and no older than ``days`` days when given). Equi-join on customer and day bucket when
-    ``days`` bounds the look-back; the full history otherwise."""
+def actions_before_snapshot(snapshot: DataFrame, actions: DataFrame, days: int) -> DataFrame:
+    """J11 + P8 (row level): snapshot × its customer's actions of the ``days`` days strictly before
+    the snapshot. An equi-join on (customer, day): each snapshot is exploded into its ``days``
+    look-back days, so no snapshot is ever paired with a customer's whole history."""
     a = actions.select("customer_id", "action_dttm", "action_type", "action_amount")
-    if days is None:
-        cond = (snapshot["customer_id"] == a["customer_id"]) & (a["action_dttm"] < snapshot["snapshot_date"])
-        return snapshot.join(a, cond).drop(a["customer_id"])
     ex = snapshot.withColumn("_back", F.explode(F.sequence(F.lit(1), F.lit(days)))).withColumn(
         "_dn", _day_number("snapshot_date") - F.col("_back")
     )

@@ -190,7 +190,8 @@ def score_density(sets: dict[str, DataFrame], points: int = 1000) -> DataFrame:
         ).select("i", "x", (F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_h"), "_n")
         z = (F.col("x") - F.col("score")) / F.col("_h")
         contrib = F.col("_c") * F.exp(-0.5 * z * z) / (F.col("_h") * F.lit(math.sqrt(2 * math.pi)))
-        dens = grid.crossJoin(counts).groupBy("i", "x", "_n").agg(F.sum(contrib).alias("_s"))
+        # the grid has ``points`` rows whatever the data size: a bounded broadcast
+        dens = counts.crossJoin(F.broadcast(grid)).groupBy("i", "x", "_n").agg(F.sum(contrib).alias("_s"))
         frames.append(dens.select(F.lit(name).alias("dataset"), "i", "x",
                                   F.round(F.col("_s") / F.col("_n"), 6).alias("density")))
     out = frames[0]
