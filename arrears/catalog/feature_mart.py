@@ -146,5 +146,5 @@ def best_row_per_customer(spark, sf_dir):
         "contacts_last_7d", F.col("calls_last_7d") + F.col("sms_last_7d")
     )
     base = m.where((F.col("payments_amount_last_30d") == 0) & (F.col("contacts_last_7d") > 0))
-    best = first_row_per_key(base, "customer_id", [F.col("contacts_last_7d").desc(), F.col("snapshot_date").asc()])
+    best = first_row_per_key(base, "customer_id", [("contacts_last_7d", "desc"), ("snapshot_date", "asc")])
     return best.select("customer_id", "snapshot_date", "contacts_last_7d")

@@ -11,7 +11,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def extreme_time(events: DataFrame, key: str, ts_col: str, out: str, kind: str = "max", where: Column | None = None):
@@ -40,10 +39,26 @@ def latest_per_key(df: DataFrame, key: str, ts_col: str, tie_break: Sequence[str
     return out.select(key, *[F.col(f"_best.{c}").alias(c) for c in order]).select(*df.columns)
 
 
-def first_row_per_key(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """First row per ``key`` in ``order`` via ``row_number``.
+def first_row_per_key(df: DataFrame, key: str, order: Sequence[tuple[str, str]]) -> DataFrame:
+    """The first row per ``key`` in ``order`` — ``(column, "asc" | "desc")`` pairs on numeric,
+    date or timestamp columns (``row_number() = 1`` semantics, NULL sort keys last).
 
-    Only for keys whose groups are small by construction (e.g. one customer's daily snapshots).
+    Written as ``max(struct(sort keys..., row))`` per key — an aggregate with map-side partial
+    aggregation — so a hot key never has to be sorted in one task. Ascending keys are turned into
+    descending ones (negated numbers, days or microseconds before a far-future instant).
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    dtypes = dict(df.dtypes)
+    keys = []
+    for i, (name, direction) in enumerate(order):
+        c = F.col(name)
+        if direction == "asc":
+            if dtypes[name] == "date":
+                c = -F.unix_date(c)
+            elif dtypes[name].startswith("timestamp"):
+                c = F.expr(f"timestampdiff(MICROSECOND, `{name}`, TIMESTAMP_NTZ'9999-12-31 00:00:00')")
+            else:
+                c = -c
+        keys.append(c.alias(f"_o{i}"))
+    rest = [F.col(c) for c in df.columns if c != key]
+    best = df.groupBy(key).agg(F.max(F.struct(*keys, *rest)).alias("_best"))
+    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in df.columns if c != key]).select(*df.columns)

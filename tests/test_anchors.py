@@ -98,3 +98,18 @@ def test_latest_per_key_prefers_non_null_time_and_breaks_ties(spark):
     df = spark.createDataFrame(rows, S.CONTACTS)
     out = {r.event_id: (r.event_dttm, r.channel) for r in latest_per_key(df, "event_id", "event_dttm", ["case_id", "channel", "contact_result"]).collect()}
     assert out == {1: (ts("2026-01-01 10:00:00"), "call"), 2: (ts("2026-01-01 10:00:00"), "sms"), 3: (None, "call")}
+
+
+def test_first_row_per_key_order_and_ties(spark):
+    from arrears.operators.anchors import first_row_per_key
+    import datetime as dt
+
+    rows = [
+        (1, 3, dt.date(2024, 1, 9), "a"),
+        (1, 3, dt.date(2024, 1, 5), "b"),  # same count, earlier date wins
+        (1, 2, dt.date(2024, 1, 1), "c"),
+        (2, 1, dt.date(2024, 1, 3), "d"),
+    ]
+    df = spark.createDataFrame(rows, "k long, n long, day date, tag string")
+    got = {r.k: r.tag for r in first_row_per_key(df, "k", [("n", "desc"), ("day", "asc")]).collect()}
+    assert got == {1: "b", 2: "d"}
