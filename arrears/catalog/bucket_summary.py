@@ -18,10 +18,10 @@ _CTES = """
             FROM contacts) WHERE rn = 1),
     pos AS (SELECT * FROM payments WHERE payment_amount > 0),
     c_win AS (
-        SELECT c.dpd_bucket, c.case_id FROM dedup e JOIN cases c ON e.case_id = c.case_id
+        SELECT c.dpd_bucket, c.case_id FROM dedup e JOIN cases c ON e.case_id IS NOT DISTINCT FROM c.case_id
         WHERE e.event_dttm >= c.start_date AND e.event_dttm <= c.start_date + INTERVAL 6 DAY),
     p_win AS (
-        SELECT c.dpd_bucket, c.case_id, p.payment_amount FROM pos p JOIN cases c ON p.account_id = c.account_id
+        SELECT c.dpd_bucket, c.case_id, p.payment_amount FROM pos p JOIN cases c ON p.account_id IS NOT DISTINCT FROM c.account_id
         WHERE p.payment_dttm >= c.start_date AND p.payment_dttm <= c.start_date + INTERVAL 6 DAY)"""
 
 

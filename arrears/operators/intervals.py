@@ -61,14 +61,28 @@ def window_join(
     first: int,
     last: int,
     how: str = "inner",
+    null_safe: bool = False,
 ) -> DataFrame:
     """Anchors joined with the daily aggregates of their window (one row per matched day).
 
     ``daily`` must be keyed by ``keys + ['_day']`` (see :func:`daily_totals`). With ``how='left'``
-    every exploded anchor-day row is kept.
+    every exploded anchor-day row is kept. ``null_safe`` makes NULL keys match each other, like a
+    pandas merge (trap T2).
     """
-    on = _cols(keys) + [DAY]
-    return explode_days(anchors, anchor_day, first, last).join(daily, on=on, how=how)
+    return join_on(explode_days(anchors, anchor_day, first, last), daily, _cols(keys) + [DAY], how, null_safe)
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", null_safe: bool = False):
+    """``left.join(right, keys, how)``; with ``null_safe`` the keys compare with ``<=>`` (still an
+    equi-join for the planner) and the left side's key columns are kept."""
+    if not null_safe:
+        return left.join(right, on=list(keys), how=how)
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def day_bounds(ts_col: str, start: str, end: str, first: int, last: int) -> Column:

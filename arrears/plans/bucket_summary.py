@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from arrears.functions import BUCKET_ORDER, bucket_rank, ratio_or_zero
 from arrears.operators.anchors import latest_per_key
-from arrears.operators.intervals import DAY, explode_days, timestamp_window_daily, timestamp_window_value
+from arrears.operators.intervals import DAY, explode_days, join_on, timestamp_window_daily, timestamp_window_value
 
 
 def preprocess(cases: DataFrame, contacts: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -47,10 +47,10 @@ def collection_summary(cases: DataFrame, contacts: DataFrame, payments: DataFram
     p_daily = timestamp_window_daily(
         payments, "account_id", "payment_dttm", {"amount": F.col("payment_amount"), "payments": F.lit(1)}
     )
-    rows = (
-        explode_days(anchors, "start_date", 0, days)
-        .join(c_daily, ["case_id", DAY], "left")
-        .join(p_daily, ["account_id", DAY], "left")
+    # pandas merges match NULL keys with each other (trap T2): null-safe keys
+    rows = join_on(
+        join_on(explode_days(anchors, "start_date", 0, days), c_daily, ["case_id", DAY], "left", null_safe=True),
+        p_daily, ["account_id", DAY], "left", null_safe=True,
     )
     pays = timestamp_window_value("payments", days)
     per_case = rows.groupBy("dpd_bucket", "case_id").agg(
@@ -58,10 +58,12 @@ def collection_summary(cases: DataFrame, contacts: DataFrame, payments: DataFram
         F.max(F.coalesce(pays, F.lit(0)) > 0).alias("_paid"),
         F.sum(F.when(pays > 0, timestamp_window_value("amount", days))).alias("_amount"),
     )
+    # nunique() ignores a NULL case_id; its payments still add to the bucket's amount
+    known_case = F.col("case_id").isNotNull()
     out = per_case.groupBy("dpd_bucket").agg(
-        F.count(F.lit(1)).alias("total_cases"),
-        F.count_if("_contacted").alias("contacted_cases_7d"),
-        F.count_if("_paid").alias("paid_cases_7d"),
+        F.count_if(known_case).alias("total_cases"),
+        F.count_if(F.col("_contacted") & known_case).alias("contacted_cases_7d"),
+        F.count_if(F.col("_paid") & known_case).alias("paid_cases_7d"),
         F.sum("_amount").alias("collected_amount_7d"),
     )
     known = F.col("dpd_bucket").isin(*BUCKET_ORDER)

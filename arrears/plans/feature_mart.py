@@ -48,8 +48,13 @@ def daily_actions(actions: DataFrame) -> DataFrame:
     )
 
 
-def feature_mart(snapshot: DataFrame, actions: DataFrame) -> DataFrame:
-    """C6."""
+def feature_mart(snapshot: DataFrame, actions: DataFrame, validate: bool = False) -> DataFrame:
+    """C6. With ``validate`` the snapshot key ``(customer_id, snapshot_date)`` is checked to be
+    unique first (trap T22; one ``limit(1)`` job over the duplicate keys)."""
+    if validate:
+        dup = snapshot.groupBy("customer_id", "snapshot_date").count().where(F.col("count") > 1)
+        if not dup.isEmpty():
+            raise ValueError("daily_snapshot has repeated (customer_id, snapshot_date) keys")
     daily = daily_actions(actions).withColumn("_is_snap", F.lit(False))
     snaps = snapshot.select("*", _day_number("snapshot_date").alias("_dn"), F.lit(True).alias("_is_snap"))
     both = snaps.unionByName(daily, allowMissingColumns=True)

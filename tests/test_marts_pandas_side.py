@@ -75,3 +75,26 @@ def test_feature_mart_point_in_time(spark):
     assert (b.calls_last_7d, b.payments_amount_last_30d, b.days_since_last_payment) == (0, 0.0, None)
     top = fm.top_contacted_unpaid(fm.feature_mart(snap, acts)).collect()
     assert top == []  # customer 1 paid in the last 30 days, customer 2 had no contacts
+
+
+def test_null_keys_match_like_pandas_merge(spark):
+    # A payment with a NULL account matches a case with a NULL account; NULL case ids are not
+    # counted as cases (nunique), but their payments add to the bucket amount
+    cases = spark.createDataFrame(
+        [(1, None, None, ts("2026-01-01 00:00:00"), "1-30", "m", money(1)),
+         (None, 7, 7, ts("2026-01-01 00:00:00"), "1-30", "m", money(1))],
+        S.CASES,
+    )
+    pays = spark.createDataFrame(
+        [(1, None, ts("2026-01-02 00:00:00"), money(10)), (2, 7, ts("2026-01-02 00:00:00"), money(5))], S.PAYMENTS
+    )
+    out = bs.collection_summary(*bs.preprocess(cases, spark.createDataFrame([], S.CONTACTS), pays)).collect()[0]
+    assert (out.total_cases, out.paid_cases_7d, out.collected_amount_7d) == (1, 1, 15.0)
+
+
+def test_duplicate_snapshot_key_is_rejected(spark):
+    # A repeated (customer_id, snapshot_date) would count actions twice
+    snap = spark.createDataFrame([(1, ts("2024-01-10 00:00:00"), 5, 1.0)] * 2, S.DAILY_SNAPSHOT)
+    acts = spark.createDataFrame([], S.ACTIONS_LOG)
+    with pytest.raises(ValueError):
+        fm.feature_mart(snap, acts, validate=True)
