@@ -66,12 +66,42 @@ def binary_metrics(
     by: Sequence[str] = (),
     fraction: float = 0.3,
 ) -> DataFrame:
-    """M8-M10 for each model (and ``by`` group): ``(by..., model, roc_auc, pr_auc, precision_at)``."""
+    """M8-M10 for each model (and ``by`` group): ``(by..., model, roc_auc, pr_auc, precision_at)``.
+
+    One ordered pass: running positive / negative counts over the rows in ``(score desc, id)``
+    order (a total order, so the range partitioner can split even a score shared by a third of the
+    rows). The running count is the row's rank for precision@k; the counts at the end of each
+    score's tie block are the ROC / PR curve points.
+    """
     keys = [*by, "model"]
-    long = stack_scores(df, label, scores, keep=[*by, id_col])
-    curves = curve_metrics(long, keys)
-    prec = precision_at(long, keys, id_col, fraction)
-    return join_null_safe(curves, prec, keys, "left")
+    long = stack_scores(df, label, scores, keep=[*by, id_col]).select(
+        *keys, id_col, "score", "y", (-F.col("score")).alias("_neg_score"), (1 - F.col("y")).alias("_n")
+    )
+    cum = prefix_sums(long, ["_neg_score", id_col], ["y", "_n"], by=keys)
+    rank = F.col("y_cum") + F.col("_n_cum")
+    sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum("y").alias("_P"), F.sum("_n").alias("_N"))
+    prec = (
+        join_null_safe(cum, sizes, keys)
+        .where(rank <= F.floor(F.col("_rows").cast("double") * F.lit(float(fraction))))
+        .groupBy(*keys)
+        .agg(F.round(F.avg("y"), 6).alias("precision_at"))
+    )
+    per_score = cum.groupBy(*keys, "score").agg(
+        F.sum("y").cast("double").alias("pos"),
+        F.sum("_n").cast("double").alias("neg"),
+        F.max("y_cum").cast("double").alias("tp"),
+        F.max("_n_cum").cast("double").alias("fp"),
+    )
+    curve = per_score.groupBy(*keys).agg(
+        F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("_area"),
+        F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))).alias("_ap"),
+    )
+    curve = join_null_safe(curve, sizes, keys).select(
+        *keys,
+        F.round(F.col("_area") / (F.col("_P").cast("double") * F.col("_N").cast("double")), 6).alias("roc_auc"),
+        F.round(F.coalesce(F.col("_ap"), F.lit(0.0)) / F.col("_P"), 6).alias("pr_auc"),
+    )
+    return join_null_safe(curve, prec, keys, "left")
 
 
 def segment_metrics(
