@@ -120,13 +120,28 @@ def _binned(values: DataFrame, col: str, rng: DataFrame, n_bins: int) -> DataFra
     )
 
 
-def psi_bins(train_scores: DataFrame, scoring: DataFrame, n_bins: int = 10, eps: float = PSI_EPS) -> DataFrame:
-    """Bins on the train score range; shares of train and scoring (0 → ``eps``)."""
-    rng = train_scores.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    tr = _binned(train_scores.select("score"), "score", rng, n_bins).withColumnRenamed("count", "train_count")
-    sc = _binned(scoring.select("score"), "score", rng, n_bins).select("bin", F.col("count").alias("scoring_count"))
+def psi_bins(
+    train_scores: DataFrame, scoring: DataFrame, n_bins: int = 10, eps: float = PSI_EPS, method: str = "uniform"
+) -> DataFrame:
+    """Bins on the train scores; shares of train and scoring per bin (0 → ``eps``).
+
+    ``method="uniform"``: equal-width bins on the train range (the reference's rule).
+    ``method="quantile"``: edges at the train quantiles ``i / n_bins`` (linear interpolation), the
+    alternative the reference describes; repeated edges give empty bins. Values outside the train
+    range are dropped from counts and totals in both (``numpy.histogram``)."""
+    if method == "uniform":
+        rng = train_scores.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+        tr = _binned(train_scores.select("score"), "score", rng, n_bins).withColumnRenamed("count", "train_count")
+        sc = _binned(scoring.select("score"), "score", rng, n_bins).select("bin", F.col("count").alias("scoring_count"))
+    elif method == "quantile":
+        edges = exact_quantiles(train_scores.select("score"), "score", [i / n_bins for i in range(n_bins + 1)])
+        edges = edges.select(F.round(F.col("prob") * n_bins).cast("int").alias("i"), F.col("value").alias("edge"))
+        tr = _edge_binned(train_scores.select("score"), edges, n_bins).withColumnRenamed("count", "train_count")
+        sc = _edge_binned(scoring.select("score"), edges, n_bins).select("bin", F.col("count").alias("scoring_count"))
+    else:
+        raise ValueError(f"unknown binning method {method}")
     both = tr.join(sc, "bin")
-    share = lambda c: F.col(c) / F.sum(c).over(_all())  # noqa: E731  (10 rows: a bounded window)
+    share = lambda c: F.col(c) / F.sum(c).over(_all())  # noqa: E731  (n_bins rows: a bounded window)
     out = both.select(
         "bin", "bin_left", "bin_right",
         share("train_count").alias("_t"), share("scoring_count").alias("_s"),
@@ -138,6 +153,22 @@ def psi_bins(train_scores: DataFrame, scoring: DataFrame, n_bins: int = 10, eps:
     )
 
 
+def _edge_binned(values: DataFrame, edges: DataFrame, n_bins: int) -> DataFrame:
+    """Counts per bin for explicit (sorted) edges ``i = 0 .. n_bins``: bins left-closed, the last one
+    closed. The bin list has ``n_bins`` rows (a bounded broadcast); values are pre-counted first."""
+    left = edges.where(F.col("i") < n_bins).select(F.col("i").alias("bin"), F.col("edge").alias("bin_left"))
+    right = edges.where(F.col("i") > 0).select((F.col("i") - 1).alias("bin"), F.col("edge").alias("bin_right"))
+    bins = left.join(right, "bin")
+    counts = values.groupBy("score").agg(F.count(F.lit(1)).alias("_c"))
+    inside = (F.col("score") >= F.col("bin_left")) & (
+        (F.col("score") < F.col("bin_right")) | ((F.col("bin") == n_bins - 1) & (F.col("score") <= F.col("bin_right")))
+    )
+    hits = counts.join(F.broadcast(bins), inside).groupBy("bin").agg(F.sum("_c").alias("count"))
+    return bins.join(hits, "bin", "left").select(
+        "bin", "bin_left", "bin_right", F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")
+    )
+
+
 def _all():
     from pyspark.sql.window import Window
 

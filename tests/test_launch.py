@@ -59,3 +59,29 @@ def test_kde_matches_direct_formula(spark):
     dens = [np.mean(np.exp(-0.5 * ((x - a) / h) ** 2) / (h * math.sqrt(2 * math.pi))) for x in xs]
     assert [row.density for row in got] == [round(float(v), 6) for v in dens]
     assert F is not None
+
+
+def test_psi_quantile_bins_match_numpy(spark):
+    rnd = random.Random(4)
+    tr_vals = [round(rnd.random(), 3) for _ in range(400)]
+    sc_vals = [round(rnd.random() ** 1.5, 3) for _ in range(300)]
+    tr = spark.createDataFrame([(v,) for v in tr_vals], "score double")
+    sc = spark.createDataFrame([(v,) for v in sc_vals], "score double")
+    for n in (10, 20):
+        got = ln.psi_bins(tr, sc, n_bins=n, method="quantile").orderBy("bin").collect()
+        edges = np.quantile(np.array(tr_vals), np.linspace(0, 1, n + 1))
+        t = np.histogram(tr_vals, bins=edges)[0]
+        s = np.histogram(sc_vals, bins=edges)[0]
+        assert [r.bin_left for r in got] == [float(e) for e in edges[:-1]] or np.allclose([r.bin_left for r in got], edges[:-1])
+        t = np.where(t / t.sum() == 0, 1e-6, t / t.sum())
+        s = np.where(s / s.sum() == 0, 1e-6, s / s.sum())
+        assert np.allclose([r.train_dist for r in got], t) and np.allclose([r.scoring_dist for r in got], s)
+
+
+def test_top_fraction_per_day_capacity(spark):
+    import datetime as dt
+
+    rows = [(i, float(i % 7), dt.datetime(2026, 1, 1 + i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, score double, snapshot_date timestamp_ntz")
+    per_day = ln.select_top(df, 0.25, by=["snapshot_date"]).groupBy("snapshot_date").count().collect()
+    assert sorted(r["count"] for r in per_day) == [5, 5]
