@@ -95,7 +95,10 @@ def first_promise_details(cases: DataFrame, contacts: DataFrame, start: str, end
     """The first promise joined back to its case and to every event at that instant (T4)."""
     fp = first_promise_time(cases, contacts, start, end, days)
     bc = cases_with_week(cases, start, end).select("case_id", "account_id", "week_start", "strategy_name")
-    ev = contacts.select("case_id", "event_dttm", "promise_to_pay_date", "promised_amount")
+    # a first promise lies inside some case's window, so only those days can match the join back
+    ev = contacts.where(day_bounds("event_dttm", start, end, 0, days - 1)).select(
+        "case_id", "event_dttm", "promise_to_pay_date", "promised_amount"
+    )
     rows = rows_at_time(fp, ev, "case_id", "first_promise_dttm", "event_dttm")
     return rows.join(bc, "case_id").select(
         "case_id", "account_id", "week_start", "strategy_name", "first_promise_dttm",
@@ -110,8 +113,13 @@ def paid_up_to(keys: DataFrame, payments: DataFrame, date_col: str, out: str) ->
     Payments are first reduced to one row per account and day; the running sum is a window over an
     account's *days*, so a group is bounded by the calendar, not by the number of payments.
     """
-    pay = positive_payment_days(payments).select("account_id", F.col(DAY).alias("_d"), "amount", F.lit(0).alias("_k"))
     k = keys.select("account_id", F.col(date_col).alias("_d")).where(F.col("_d").isNotNull()).distinct()
+    # reduce payments per (account, day) first (map-side), then keep only the accounts asked for
+    pay = (
+        positive_payment_days(payments)
+        .join(k.select("account_id").distinct(), "account_id", "left_semi")
+        .select("account_id", F.col(DAY).alias("_d"), "amount", F.lit(0).alias("_k"))
+    )
     k = k.select("account_id", "_d", F.lit(None).cast(pay.schema["amount"].dataType).alias("amount"), F.lit(1).alias("_k"))
     w = Window.partitionBy("account_id").orderBy("_d", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = pay.unionByName(k).withColumn(out, F.sum("amount").over(w))
