@@ -31,7 +31,7 @@ _CTES = """
         UNION ALL SELECT s, 'contact_cost', contact_cost FROM eff
         UNION ALL SELECT s, 'economic_effect', economic_effect FROM eff),
     rng AS (SELECT min(score) AS lo, max(score) AS hi FROM train_scores),
-    edges AS (SELECT b, b * ((hi - lo) / 10.0) + lo AS bin_left,
+    edges AS (SELECT CAST(b AS INTEGER) AS b, b * ((hi - lo) / 10.0) + lo AS bin_left,
                      CASE WHEN b = 9 THEN hi ELSE (b + 1) * ((hi - lo) / 10.0) + lo END AS bin_right
               FROM rng CROSS JOIN range(0, 10) t(b)),
     t_bin AS (SELECT e.b, count(t.score) AS c FROM edges e LEFT JOIN train_scores t
@@ -137,7 +137,7 @@ def score_shift(spark, sf_dir):
     "histogram",
     oracle=_o(
         """SELECT e.b AS bin, e.bin_left, e.bin_right, count(s.score) AS count
-           FROM (SELECT b, b * ((hi - lo) / 30.0) + lo AS bin_left,
+           FROM (SELECT CAST(b AS INTEGER) AS b, b * ((hi - lo) / 30.0) + lo AS bin_left,
                         CASE WHEN b = 29 THEN hi ELSE (b + 1) * ((hi - lo) / 30.0) + lo END AS bin_right
                  FROM (SELECT min(score) AS lo, max(score) AS hi FROM scoring_results) CROSS JOIN range(0, 30) t(b)) e
            LEFT JOIN scoring_results s
@@ -170,7 +170,7 @@ def boxplot_stats(spark, sf_dir):
 @query(
     "score_density",
     oracle=_o(
-        """SELECT d.dataset, g.i, g.x,
+        """SELECT d.dataset, CAST(g.i AS INTEGER) AS i, g.x,
                   round(sum(exp(-0.5 * ((g.x - d.score) / g.h) * ((g.x - d.score) / g.h)) / (g.h * sqrt(2 * pi())))
                         / g.n, 6) AS density
            FROM (SELECT 'train' AS dataset, score FROM train_scores

@@ -33,7 +33,7 @@ def ratio_or_zero(num: Column | str, den: Column | str, scale: int | None = 6) -
 def bucket_rank(bucket: Column | str) -> Column:
     """Position of a dpd bucket in :data:`BUCKET_ORDER` (1-based); unknown → NULL."""
     pos = F.array_position(F.array(*[F.lit(b) for b in BUCKET_ORDER]), _c(bucket))
-    return F.when(pos > 0, pos)
+    return F.when(pos > 0, pos.cast("int"))
 
 
 # erfc has no built-in in Spark. Two exact-in-double evaluations, both as array folds so they run

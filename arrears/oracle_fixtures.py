@@ -94,7 +94,7 @@ FIXTURE_SQL: dict[str, str] = {
                (o_orderkey * 13) % 6 AS contacts_last_7d,
                (o_orderkey * 7) % 4 AS rpc_last_30d,
                (o_orderkey * 11) % 3 AS promises_last_30d,
-               1000.0 * ((o_orderkey * 17) % 10) AS payments_amount_last_30d,
+               CAST(1000.0 AS DOUBLE) * ((o_orderkey * 17) % 10) AS payments_amount_last_30d,
                CASE WHEN (o_orderkey * 7919) % 1000 < 250 + 100 * ((o_orderkey * 7) % 4)
                                                      + 50 * ((o_orderkey * 11) % 3)
                     THEN 1 ELSE 0 END AS target_paid_30d,

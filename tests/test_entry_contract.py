@@ -8,6 +8,7 @@ import __spark_entry__ as entry_mod
 from arrears.sources.fixtures import DRIVER_TABLES
 from tests.conftest import SF001
 from tools.check_oracle import digest
+from tools.check_types import norm_spark
 
 SKIP_SLOW = {"boosted_trees", "feature_importance_top10", "payment_model_report"}
 
@@ -39,6 +40,8 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(entry_mod.oracle_sql()[name])
     o_rows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
+    spark_types = {c: norm_spark(t) for c, t in df.dtypes}
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     assert digest(df.columns, s_rows)[0] == digest(rel.columns, o_rows)[0]
 
 
