@@ -12,7 +12,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -40,9 +39,7 @@ def main() -> None:
     runs = max(1, int(os.environ.get("BENCH_RUNS", "2")))
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
     load_all()
-    spark = local_session(cpus, shuffle_partitions=max(8, cpus))
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="bench-ckpt-"))
+    spark = local_session(cpus, shuffle_partitions=max(8, cpus))  # sets a checkpoint dir only if unset
     times: dict[str, float] = {}
     for name in names:
         best = None
