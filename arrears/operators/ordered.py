@@ -43,7 +43,8 @@ def prefix_sums(
     descending: bool = False,
     n_slices: int | None = None,
 ) -> DataFrame:
-    """Add ``<s>_cum`` (inclusive running total in ``order`` within ``by``) for each ``s`` in ``sums``.
+    """Add ``<s>_cum`` (inclusive running total in ``order`` within ``by``) and ``<s>_total`` (the
+    group's total, from the per-slice table) for each ``s`` in ``sums``.
 
     ``by + order`` must identify rows uniquely (ties would make the running total order-dependent).
     """
@@ -61,8 +62,11 @@ def prefix_sums(
     local = ranged.select("*", *[F.sum(s).over(w_local).alias(f"{s}_local") for s in sums])
     totals = ranged.groupBy(*by, PART).agg(*[F.sum(s).alias(f"{s}_slice") for s in sums])
     w_prev = Window.partitionBy(*by).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    w_group = Window.partitionBy(*by)
     offsets = totals.select(
-        *by, PART, *[F.coalesce(F.sum(f"{s}_slice").over(w_prev), F.lit(0)).alias(f"{s}_offset") for s in sums]
+        *by, PART,
+        *[F.coalesce(F.sum(f"{s}_slice").over(w_prev), F.lit(0)).alias(f"{s}_offset") for s in sums],
+        *[F.sum(f"{s}_slice").over(w_group).alias(f"{s}_total") for s in sums],
     )
     if not by:
         # at most one row per slice: a bounded, explicitly small broadcast
@@ -71,9 +75,24 @@ def prefix_sums(
     return out.select(
         *[c for c in df.columns],
         *[(F.col(f"{s}_local") + F.col(f"{s}_offset")).alias(f"{s}_cum") for s in sums],
+        *[F.col(f"{s}_total") for s in sums],
     )
 
 
+# per-group statistics above this many rows are joined by shuffle instead of broadcast
+BROADCAST_MAX_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint for a per-group table only after checking its size (one small ``limit`` job).
+
+    Joining row-level data with a table keyed by a few group values through a shuffle would send a
+    hot group to one task; a broadcast avoids that shuffle. Beyond ``max_rows`` the table is not
+    small enough to ship to every executor, and the join falls back to a shuffle (with many groups
+    no single group can dominate a partition through the group count alone)."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL (group keys may be NULL); keeps left's keys."""
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -108,7 +127,7 @@ def global_rank(
         tmp = tmp.withColumn(k, -F.col(n) if d else F.col(n))
         keys.append(k)
     ranked = prefix_sums(tmp.withColumn("_one", F.lit(1).cast("bigint")), keys, ["_one"], by=by, n_slices=n_slices)
-    return ranked.withColumnRenamed("_one_cum", out).drop("_one", *keys)
+    return ranked.withColumnRenamed("_one_cum", out).withColumnRenamed("_one_total", f"{out}_of").drop("_one", *keys)
 
 
 def top_fraction(
@@ -124,10 +143,8 @@ def top_fraction(
     double precision, like ``int(len(df) * 0.3)``)."""
     by = list(by)
     ranked = global_rank(df, [(score, "desc"), tie_break], by=by, out="_rank", n_slices=n_slices)
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else df.agg(F.count(F.lit(1)).alias("_n"))
-    k = F.floor(F.col("_n").cast("double") * F.lit(float(fraction)))
-    joined = join_null_safe(ranked, counts, by) if by else ranked.crossJoin(F.broadcast(counts))
-    return joined.where(F.col("_rank") <= k).drop("_rank", "_n")
+    k = F.floor(F.col("_rank_of").cast("double") * F.lit(float(fraction)))  # group size comes with the rank
+    return ranked.where(F.col("_rank") <= k).drop("_rank", "_rank_of")
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -142,12 +159,14 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     by = list(by)
     vals = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
     cum = prefix_sums(vals, [col], ["_c"], by=by).withColumn("_prev", F.col("_c_cum") - F.col("_c"))
-    n = vals.groupBy(*by).agg(F.sum("_c").alias("_n")) if by else vals.agg(F.sum("_c").alias("_n"))
+    # one row per group: the group's count, taken from the per-slice totals
+    n = cum.groupBy(*by).agg(F.first("_c_total").alias("_n")) if by else cum.agg(F.first("_c_total").alias("_n"))
     spark = df.sparkSession
     targets = spark.createDataFrame([(float(p),) for p in probs], "prob double")
     pos = (F.col("prob") * (F.col("_n") - 1)).alias("_pos")
     t = n.crossJoin(F.broadcast(targets)).select(*by, "prob", "_n", pos)
     t = t.select(*by, "prob", "_pos", F.floor("_pos").cast("bigint").alias("_lo"), F.ceil("_pos").cast("bigint").alias("_hi"))
+    t = broadcast_if_small(t) if by else F.broadcast(t)  # one row per group and probability
     # rank r (0-based) falls in the distinct value with _prev <= r < _c_cum
     def at(rank_col: str, name: str) -> DataFrame:
         c2 = cum.select(*[F.col(b).alias(f"_cb_{b}") for b in by], F.col(col).alias(name), "_prev", "_c_cum")

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrears.operators.ordered import join_null_safe, prefix_sums, top_fraction
+from arrears.operators.ordered import prefix_sums, top_fraction
 
 
 def stack_scores(df: DataFrame, label: str, scores: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
@@ -79,29 +79,33 @@ def binary_metrics(
     )
     cum = prefix_sums(long, ["_neg_score", id_col], ["y", "_n"], by=keys)
     rank = F.col("y_cum") + F.col("_n_cum")
-    sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum("y").alias("_P"), F.sum("_n").alias("_N"))
-    prec = (
-        join_null_safe(cum, sizes, keys)
-        .where(rank <= F.floor(F.col("_rows").cast("double") * F.lit(float(fraction))))
-        .groupBy(*keys)
-        .agg(F.round(F.avg("y"), 6).alias("precision_at"))
-    )
+    k = F.floor((F.col("y_total") + F.col("_n_total")).cast("double") * F.lit(float(fraction)))
+    in_top = rank <= k
+    # a single aggregation over the ranked rows: curve points per tie block and the top-k counts
     per_score = cum.groupBy(*keys, "score").agg(
         F.sum("y").cast("double").alias("pos"),
         F.sum("_n").cast("double").alias("neg"),
         F.max("y_cum").cast("double").alias("tp"),
         F.max("_n_cum").cast("double").alias("fp"),
+        F.sum(F.when(in_top, F.col("y"))).alias("top_pos"),
+        F.count(F.when(in_top, 1)).alias("top_rows"),
+        F.first("y_total").cast("double").alias("P"),
+        F.first("_n_total").cast("double").alias("N"),
     )
-    curve = per_score.groupBy(*keys).agg(
+    g = per_score.groupBy(*keys).agg(
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("_area"),
         F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))).alias("_ap"),
+        F.sum("top_pos").alias("_top_pos"),
+        F.sum("top_rows").alias("_top_rows"),
+        F.first("P").alias("_P"),
+        F.first("N").alias("_N"),
     )
-    curve = join_null_safe(curve, sizes, keys).select(
+    return g.select(
         *keys,
-        F.round(F.col("_area") / (F.col("_P").cast("double") * F.col("_N").cast("double")), 6).alias("roc_auc"),
+        F.round(F.col("_area") / (F.col("_P") * F.col("_N")), 6).alias("roc_auc"),
         F.round(F.coalesce(F.col("_ap"), F.lit(0.0)) / F.col("_P"), 6).alias("pr_auc"),
+        F.round(F.col("_top_pos") / F.nullif(F.col("_top_rows"), F.lit(0)), 6).alias("precision_at"),
     )
-    return join_null_safe(curve, prec, keys, "left")
 
 
 def segment_metrics(
