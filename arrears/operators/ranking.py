@@ -1,7 +1,7 @@
 """Ranking metrics of scored binary labels, overall or per segment.
 
-Scores are first counted per distinct value (positives / negatives), then ordered with the
-distributed prefix sums of :mod:`arrears.operators.ordered` — no global window in one task.
+Rows are ordered with the distributed prefix sums of :mod:`arrears.operators.ordered` — no global
+window in one task — and every metric comes from one aggregation over the ranked rows.
 
 * ROC-AUC: trapezoids of the ROC curve over distinct thresholds = Mann-Whitney with ties counted
   half: ``sum_s neg(s) * (TP(>s) + pos(s)/2) / (P * N)``.
@@ -27,31 +27,6 @@ def stack_scores(df: DataFrame, label: str, scores: dict[str, str], keep: Sequen
     )
 
 
-def curve_metrics(long: DataFrame, by: Sequence[str]) -> DataFrame:
-    """ROC-AUC and average precision per ``by`` group of a long ``(by..., score, y)`` frame."""
-    by = list(by)
-    counts = long.groupBy(*by, "score").agg(
-        F.sum("y").cast("bigint").alias("pos"), (F.count(F.lit(1)) - F.sum("y")).cast("bigint").alias("neg")
-    )
-    cum = prefix_sums(counts, ["score"], ["pos", "neg"], by=by, descending=True)
-    pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "pos_cum", "neg_cum"))
-    per = cum.select(
-        *by,
-        (neg * (tp - pos / 2)).alias("_roc_area"),
-        F.when(F.col("pos") > 0, pos * tp / (tp + fp)).otherwise(F.lit(0.0)).alias("_ap_num"),
-        pos.alias("_pos"),
-        neg.alias("_neg"),
-    )
-    agg = per.groupBy(*by).agg(
-        F.sum("_roc_area").alias("_area"), F.sum("_ap_num").alias("_ap"), F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N")
-    )
-    return agg.select(
-        *by,
-        F.round(F.col("_area") / (F.col("_P") * F.col("_N")), 6).alias("roc_auc"),
-        F.round(F.col("_ap") / F.col("_P"), 6).alias("pr_auc"),
-    )
-
-
 def precision_at(long: DataFrame, by: Sequence[str], id_col: str, fraction: float = 0.3) -> DataFrame:
     """Mean label among the top ``floor(n * fraction)`` rows of each group."""
     top = top_fraction(long, "score", id_col, fraction, by=by)
