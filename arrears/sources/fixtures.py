@@ -11,6 +11,7 @@ restricts it to ``c_custkey < 200``); the feature mart must scale with the custo
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -293,5 +294,14 @@ class Inputs:
         )
 
 
+_CATALOGS: "weakref.WeakKeyDictionary[SparkSession, dict[str, Inputs]]" = weakref.WeakKeyDictionary()
+
+
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
-    return Inputs(spark, sf_dir)
+    """The input catalog of ``sf_dir`` for this session — built once and reused, like views that are
+    registered once. It holds lazy DataFrame definitions only; no data is cached."""
+    per_session = _CATALOGS.setdefault(spark, {})
+    key = sf_dir.rstrip("/")
+    if key not in per_session:
+        per_session[key] = Inputs(spark, key)
+    return per_session[key]
