@@ -56,3 +56,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="arrears-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a cluster run sized from the input volume (e.g. 100 TB on 1000 executors).
+
+    * ``spark.sql.shuffle.partitions``: enough that an average shuffle partition stays near
+      ``target_partition_bytes`` (AQE then coalesces small ones and splits skewed ones), and at least
+      two tasks per core;
+    * ``spark.sql.files.maxPartitionBytes``: scan splits of the same size;
+    * AQE with skew-join handling and the same advisory size.
+
+    ``spark.checkpoint.dir`` is not set here: it must name a folder shared by the cluster.
+    """
+    cores = max(1, executors * cores_per_executor)
+    shuffle_parts = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle_parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.session.timeZone": "UTC",
+    }
