@@ -3,7 +3,6 @@
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from arrears import schemas as S
 from arrears.operators.profile import split_by_dtype
@@ -49,4 +48,3 @@ def test_publish_view_and_dtype_split(spark):
     num, cat = split_by_dtype(inp.train.drop("row_id", "snapshot_date"))  # P9 drop, P10 split
     assert cat == ["dpd_bucket", "region", "product_type"]
     assert "income" in num and "target_paid_30d" in num
-    assert F is not None
