@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrears.functions import ratio
-from arrears.operators.intervals import day_bounds, daily_totals, window_join, window_join_rows
+from arrears.operators.intervals import DAY, day_bounds, daily_totals, explode_days, window_join, window_join_rows
 
 
 def cases_in_period(cases: DataFrame, start: str, end: str) -> DataFrame:
@@ -119,12 +119,31 @@ def strategy_effectiveness(
 
     Cases without an account drop out of ``total_cases`` but still count as contacted or paid
     (trap T19); a strategy without contacts or payments keeps NULL metrics.
+
+    Contacts and payments come from one pass: the period's cases are exploded once into their
+    window days and left-joined with the daily contact counts (by case) and the daily payment
+    totals (by account); distinct cases are counted per (strategy, case) first, then per strategy.
     """
-    base = principal_by_strategy(cases, accounts, start, end)
-    contacted = contacted_by_strategy(cases, contacts, start, end, days)
-    paid = paid_by_strategy(cases, payments, start, end, days)
+    last = days - 1
+    cp = cases_in_period(cases, start, end).select("case_id", "account_id", "strategy_name", "start_date")
+    c_daily = contact_days(contacts, start, end, last).select("case_id", DAY, "contacts")
+    p_daily = payment_days(payments, start, end, last)
+    rows = explode_days(cp, "start_date", 0, last).join(c_daily, ["case_id", DAY], "left").join(
+        p_daily, ["account_id", DAY], "left"
+    )
+    per_case = rows.groupBy("strategy_name", "case_id").agg(
+        F.max(F.col("contacts").isNotNull()).alias("_contacted"),
+        F.max(F.col("payments").isNotNull()).alias("_paid"),
+        F.sum("amount").alias("_amount"),
+    )
     suffix = f"{days}d"
-    out = base.join(contacted, "strategy_name", "left").join(paid, "strategy_name", "left")
+    per_strategy = per_case.groupBy("strategy_name").agg(
+        F.nullif(F.count_if("_contacted"), F.lit(0)).alias(f"contacted_cases_{suffix}"),
+        F.nullif(F.count_if("_paid"), F.lit(0)).alias(f"paid_cases_{suffix}"),
+        F.sum("_amount").alias(f"collected_amount_{suffix}"),
+    )
+    base = principal_by_strategy(cases, accounts, start, end)
+    out = base.join(per_strategy, "strategy_name", "left")
     return out.select(
         "strategy_name",
         F.col("total_cases").cast("bigint").alias("total_cases"),
