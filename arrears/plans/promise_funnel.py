@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from arrears.functions import ratio, week_start
 from arrears.operators.anchors import rows_at_time
-from arrears.operators.intervals import DAY, day_bounds, daily_totals, window_join
+from arrears.operators.intervals import DAY, OFFSET, day_bounds, daily_totals, explode_days, window_join
 from arrears.plans.last_contact import positive_payment_days
 from arrears.plans.strategy import cases_in_period
 
@@ -163,13 +163,39 @@ def recovery_by_week(cases: DataFrame, payments: DataFrame, start: str, end: str
 
 
 def promise_funnel(cases, contacts, payments, start: str, end: str, days: int = 7, recovery_days: int = 14):
-    """Per (week, strategy) — cases, RPC / promise / kept cases, 14-day recovery and the rates."""
+    """Per (week, strategy) — cases, RPC / promise / kept cases, 14-day recovery and the rates.
+
+    RPC / promise cases and the recovery come from one pass: each period case is exploded once into
+    ``max(days, recovery_days)`` days and left-joined with the daily contact flags (by case, counted
+    on the first ``days`` offsets only) and the daily positive payments (by account, first
+    ``recovery_days`` offsets); the kept promises need the first-promise rows and are a second branch.
+    """
     d, r = f"{days}d", f"{recovery_days}d"
+    span = max(days, recovery_days)
     total = cases_by_week_strategy(cases, start, end)
-    counts = funnel_counts(cases, contacts, start, end, days)
+    flags = contact_flags_daily(contacts, start, end, days - 1).select("case_id", DAY, "rpc", "promises")
+    pays = daily_totals(
+        payments, "account_id", "payment_dttm", [F.sum("payment_amount").alias("amount")],
+        where=(F.col("payment_amount") > 0) & day_bounds("payment_dttm", start, end, 0, recovery_days - 1),
+    )
+    rows = (
+        explode_days(cases_with_week(cases, start, end), "start_date", 0, span - 1)
+        .join(flags, ["case_id", DAY], "left")
+        .join(pays, ["account_id", DAY], "left")
+    )
+    contact_day = F.col(OFFSET) < days
+    per_case = rows.groupBy(*KEYS, "case_id").agg(
+        F.max(contact_day & (F.coalesce(F.col("rpc"), F.lit(0)) > 0)).alias("_rpc"),
+        F.max(contact_day & (F.coalesce(F.col("promises"), F.lit(0)) > 0)).alias("_promise"),
+        F.sum(F.when(F.col(OFFSET) < recovery_days, F.col("amount"))).alias("_recovery"),
+    )
+    counts = per_case.groupBy(*KEYS).agg(
+        F.nullif(F.count_if("_rpc"), F.lit(0)).alias(f"rpc_cases_{d}"),
+        F.nullif(F.count_if("_promise"), F.lit(0)).alias(f"promise_cases_{d}"),
+        F.sum("_recovery").alias(f"recovery_amount_{r}"),
+    )
     kept = kept_promises(cases, contacts, payments, start, end, days)
-    rec = recovery_by_week(cases, payments, start, end, recovery_days)
-    out = total.join(counts, KEYS, "left").join(kept, KEYS, "left").join(rec, KEYS, "left")
+    out = total.join(counts, KEYS, "left").join(kept, KEYS, "left")
     return out.select(
         "week_start",
         "strategy_name",
