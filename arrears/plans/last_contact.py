@@ -17,17 +17,23 @@ from arrears.plans.strategy import cases_in_period
 DETAIL_COLS = ["case_id", "account_id", "strategy_name", "last_contact_dttm", "last_channel", "last_contact_result"]
 
 
+def period_contacts(cases: DataFrame, contacts: DataFrame, start: str, end: str) -> DataFrame:
+    """Contacts of the cases starting in the period (a semi join: the case list is small)."""
+    period_ids = cases_in_period(cases, start, end).select("case_id")
+    return contacts.select("case_id", "event_dttm", "channel", "contact_result").join(period_ids, "case_id", "left_semi")
+
+
 def last_contact_time(cases: DataFrame, contacts: DataFrame, start: str, end: str) -> DataFrame:
     """``max(event_dttm)`` per case for cases starting in the period."""
-    period_ids = cases_in_period(cases, start, end).select("case_id")
-    ev = contacts.select("case_id", "event_dttm").join(period_ids, "case_id", "left_semi")
+    ev = period_contacts(cases, contacts, start, end)
     return extreme_time(ev, "case_id", "event_dttm", "last_contact_dttm", "max")
 
 
 def last_contact_details(cases: DataFrame, contacts: DataFrame, start: str, end: str) -> DataFrame:
     """The full row(s) of the last contact, with the case's account and strategy."""
-    last = last_contact_time(cases, contacts, start, end)
-    ev = contacts.select("case_id", "event_dttm", "channel", "contact_result")
+    ev = period_contacts(cases, contacts, start, end)
+    last = extreme_time(ev, "case_id", "event_dttm", "last_contact_dttm", "max")
+    # the join back reads only the period's contacts, not the whole contact table
     rows = rows_at_time(last, ev, "case_id", "last_contact_dttm", "event_dttm")
     cc = cases.select("case_id", "account_id", "strategy_name")
     return rows.join(cc, "case_id").select(
