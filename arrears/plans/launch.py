@@ -15,9 +15,15 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from arrears.operators.ordered import exact_quantiles, top_fraction
 
+
+def _whole():
+    """The whole (tiny) bin table as one window frame."""
+    return Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
 METRICS = ["selected_customers", "revenue", "contact_cost", "economic_effect"]
 PSI_EPS = 1e-6
 
@@ -141,7 +147,7 @@ def psi_bins(
     else:
         raise ValueError(f"unknown binning method {method}")
     both = tr.join(sc, "bin")
-    share = lambda c: F.col(c) / F.sum(c).over(_all())  # noqa: E731  (n_bins rows: a bounded window)
+    share = lambda c: F.col(c) / F.sum(c).over(_whole())  # noqa: E731  (n_bins rows: a bounded window)
     out = both.select(
         "bin", "bin_left", "bin_right",
         share("train_count").alias("_t"), share("scoring_count").alias("_s"),
@@ -169,12 +175,6 @@ def _edge_binned(values: DataFrame, edges: DataFrame, n_bins: int) -> DataFrame:
     )
 
 
-def _all():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-
 def psi(bins: DataFrame) -> DataFrame:
     """``sum((train - scoring) * ln(train / scoring))``."""
     t, s = F.col("train_dist"), F.col("scoring_dist")

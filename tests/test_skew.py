@@ -72,3 +72,34 @@ def test_hot_account_is_spread_over_days(spark, skewed):
     by_account_day = _max_partition_share(exploded, ["account_id", DAY])
     assert by_account >= share_hot  # a key-only shuffle puts the whole hot account in one task
     assert by_account_day < 0.2  # the (account, day) shuffle used by the window join does not
+
+
+def test_hot_customer_feature_mart_matches_sql_and_stays_per_day(spark):
+    # a third of all actions moved onto customer 0: the mart stays exact, and the window group of
+    # the hot customer holds one row per active day, not one per action
+    from arrears.catalog.feature_mart import _CTES
+    from arrears.plans import feature_mart as fm
+
+    inp = inputs(spark, SF)
+    acts = inp.actions_log.withColumn(
+        "customer_id",
+        F.when(F.abs(F.hash("action_dttm")) % 3 == 0, F.lit(HOT)).otherwise(F.col("customer_id")),
+    )
+    got = fm.feature_mart(inp.daily_snapshot, acts).where(F.col("customer_id") == HOT).collect()
+    hot_actions = acts.where(F.col("customer_id") == HOT).count()
+    hot_days = fm.daily_actions(acts).where(F.col("customer_id") == HOT).count()
+    assert hot_actions > acts.count() / 4 and hot_days <= 31
+    # oracle on the same skewed actions, computed by DuckDB from the same rows
+    pdf = acts.toPandas()
+    con = duckdb.connect()
+    for t in DRIVER_TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    con.register("skewed_actions", pdf)
+    sql = with_inputs(["daily_snapshot"], "SELECT * FROM mart WHERE customer_id = 0",
+                      _CTES.replace("JOIN actions_log a", "JOIN skewed_actions a"))
+    rel = con.sql(sql)
+    want = sorted(rel.fetchall(), key=lambda r: r[1])
+    got_rows = sorted((tuple(r) for r in got), key=lambda r: r[1])
+    assert [r[:4] for r in got_rows] == [r[:4] for r in want]
+    assert [tuple(r[4:9]) for r in got_rows] == [tuple(r[4:9]) for r in want]
+    assert [r[9] for r in got_rows] == [r[9] for r in want]
