@@ -58,3 +58,33 @@ def test_handmade_and_pipeline_agree_and_rank_well(spark):
     m = {r.model: r for r in rk.binary_metrics(scored, pm.LABEL, {"lr": "proba", "truth": "truth"}, "row_id").collect()}
     assert m["lr"].roc_auc > 0.5 and not math.isnan(m["lr"].pr_auc)
     assert m["lr"].roc_auc >= m["truth"].roc_auc - 0.05
+
+
+def test_logistic_regression_equals_c1_objective(spark):
+    # Sum of log-losses + 0.5 * ||w||^2 (intercept free) is what regParam = 1/n minimises in
+    # Spark's mean-loss form; solve it with Newton steps on the same features and compare
+    from pyspark.ml.functions import vector_to_array
+
+    tr, va = pm.time_split(inputs(spark, SF001.replace("0.001", "0.01")).train, ("1997-01-01", "1997-09-30"),
+                           ("1997-10-01", "1997-12-31"))
+    model = pm.fit_pipeline(tr)
+    feats = lambda df: model.transform(pm.fill_categories(df)).select(
+        vector_to_array("features").alias("f"), pm.LABEL, vector_to_array("probability")[1].alias("p")
+    ).toPandas()
+    a, b = feats(tr), feats(va)
+    X = np.column_stack([np.ones(len(a)), np.vstack(a["f"].to_numpy())])
+    y = a[pm.LABEL].to_numpy().astype(float)
+    w = np.zeros(X.shape[1])
+    reg = np.eye(X.shape[1])
+    reg[0, 0] = 0.0  # the intercept is not penalised
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-X @ w))
+        grad = X.T @ (p - y) + reg @ w
+        hess = X.T @ (X * (p * (1 - p))[:, None]) + reg
+        step = np.linalg.solve(hess, grad)
+        w -= step
+        if np.abs(step).max() < 1e-12:
+            break
+    Xv = np.column_stack([np.ones(len(b)), np.vstack(b["f"].to_numpy())])
+    pv = 1 / (1 + np.exp(-Xv @ w))
+    assert np.abs(pv - b["p"].to_numpy()).max() < 1e-4

@@ -48,3 +48,12 @@ def test_publish_view_and_dtype_split(spark):
     num, cat = split_by_dtype(inp.train.drop("row_id", "snapshot_date"))  # P9 drop, P10 split
     assert cat == ["dpd_bucket", "region", "product_type"]
     assert "income" in num and "target_paid_30d" in num
+
+
+def test_unparsable_datetime_raises(spark):
+    # like pd.to_datetime, a value that is not a datetime is an error (ANSI mode), not NULL
+    path = tempfile.mkdtemp(prefix="badts-")
+    with open(f"{path}/a.csv", "w") as fh:
+        fh.write("customer_id,action_dttm\n1,yesterday\n")
+    with pytest.raises(Exception):
+        files.scan_inferred_csv(spark, path, ["action_dttm"]).collect()
