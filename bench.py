@@ -1,6 +1,6 @@
 """Benchmark the headline marts on one driver directory; prints ONE JSON line.
 
-Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 2),
+Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3),
 BENCH_QUERIES (comma list; default the headline set). Each query is fully materialised with the
 ``noop`` sink (all rows computed, nothing collected); the reported time per query is the best of
 BENCH_RUNS runs, ``value`` is their sum. One small query runs first, uncounted, to warm up the JVM.
@@ -36,7 +36,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = max(1, int(os.environ.get("BENCH_RUNS", "2")))
+    runs = max(1, int(os.environ.get("BENCH_RUNS", "3")))
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
     load_all()
     spark = local_session(cpus, shuffle_partitions=max(8, cpus))  # sets a checkpoint dir only if unset
