@@ -29,6 +29,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in RECOMMENDED_CONF.items():
         builder = builder.config(key, value)
@@ -66,7 +67,8 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
       ``target_partition_bytes`` (AQE then coalesces small ones and splits skewed ones), and at least
       two tasks per core;
     * ``spark.sql.files.maxPartitionBytes``: scan splits of the same size;
-    * AQE with skew-join handling and the same advisory size.
+    * AQE with skew-join handling and the same advisory size;
+    * cleanup of reliable checkpoints that are no longer referenced.
 
     ``spark.checkpoint.dir`` is not set here: it must name a folder shared by the cluster.
     """
@@ -81,4 +83,6 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
         "spark.sql.session.timeZone": "UTC",
+        # the ordered metrics checkpoint their ranked slices; drop the files once unreferenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
