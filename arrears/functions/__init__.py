@@ -1,6 +1,6 @@
 """Column-level helpers built only from ``pyspark.sql.functions`` (they stay inside codegen)."""
 
-from arrears.functions.dates import date_of, days_ago, floor_days_between, plus_days, week_start
+from arrears.functions.dates import date_of, days_ago, floor_days_between, plus_days, shift_days, week_start
 from arrears.functions.numeric import (
     BUCKET_ORDER,
     bucket_rank,
@@ -22,6 +22,7 @@ __all__ = [
     "ratio",
     "ratio_or_zero",
     "round6",
+    "shift_days",
     "two_sided_normal_p",
     "week_start",
 ]

@@ -16,14 +16,18 @@ def date_of(ts: Column | str) -> Column:
 
 
 def plus_days(d: Column | str, n: int | Column) -> Column:
-    """``date + n`` (F2) for a DATE, or ``ts + INTERVAL n DAYS`` (F8) for a timestamp."""
-    col = _c(d)
-    return col + F.make_dt_interval(F.lit(n) if isinstance(n, int) else n)
+    """``date + n`` (F2): a DATE ``n`` days later."""
+    return F.date_add(_c(d), F.lit(n) if isinstance(n, int) else n)
+
+
+def shift_days(ts: Column | str, n: int | Column) -> Column:
+    """``ts + Timedelta(days=n)`` (F8): the same time of day ``n`` days later (negative: earlier)."""
+    return _c(ts) + F.make_dt_interval(F.lit(n) if isinstance(n, int) else n)
 
 
 def days_ago(ts: Column | str, n: int) -> Column:
     """``ts - Timedelta(days=n)`` (F8)."""
-    return _c(ts) - F.make_dt_interval(F.lit(n))
+    return shift_days(ts, -n)
 
 
 def week_start(d: Column | str) -> Column:
