@@ -125,7 +125,7 @@ def ab_test_report(spark, sf_dir):
 
     sms = inputs(spark, sf_dir).sms_ab_test
     s = ab.test_statistics(sms)
-    return ab.uplift(sms).crossJoin(s).select(
+    return ab.uplift(sms).select(
         "control_rate", "treatment_rate", "uplift_abs", "uplift_rel",
-        *[F.round(c, 6).alias(c) for c in ("z_stat", "p_value_z", "chi2_stat", "p_value_chi2")],
+        *[F.round(s.select(c).scalar(), 6).alias(c) for c in ("z_stat", "p_value_z", "chi2_stat", "p_value_chi2")],
     )

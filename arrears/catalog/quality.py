@@ -140,11 +140,9 @@ def target_distribution(spark, sf_dir):
     for which in ("all", "train", "validation"):
         df = _split(train, which)
         counts = df.groupBy(F.col("target_paid_30d").alias("target")).agg(F.count(F.lit(1)).alias("cnt"))
-        total = df.agg(F.count(F.lit(1)).alias("_n"))
+        total = df.agg(F.count(F.lit(1))).scalar()
         frames.append(
-            counts.crossJoin(total).select(
-                F.lit(which).alias("split"), "target", "cnt", F.round(F.col("cnt") / F.col("_n"), 6).alias("share")
-            )
+            counts.select(F.lit(which).alias("split"), "target", "cnt", F.round(F.col("cnt") / total, 6).alias("share"))
         )
     return _union(frames)
 
@@ -255,9 +253,9 @@ def describe_numeric(spark, sf_dir):
         F.min("a").alias("min"), F.max("a").alias("max"),
     )
     q = exact_quantiles(a, "a", [0.25, 0.5, 0.75])
-    wide = q.agg(*[F.round(F.max(F.when(F.col("prob") == p, F.col("value"))), 6).alias(n)
-                   for p, n in [(0.25, "q25"), (0.5, "q50"), (0.75, "q75")]])
-    return stats.crossJoin(wide).select("cnt", "mean", "std", "min", "q25", "q50", "q75", "max")
+    quartiles = [F.round(q.where(F.col("prob") == p).select("value").scalar(), 6).alias(n)
+                 for p, n in [(0.25, "q25"), (0.5, "q50"), (0.75, "q75")]]
+    return stats.select("cnt", "mean", "std", "min", *quartiles, "max")
 
 
 @query(
@@ -318,7 +316,7 @@ def orphan_counts(spark, sf_dir):
     a = pr.orphan_count(inp.collection_cases, inp.accounts, "account_id").withColumnRenamed("orphans", "orphan_cases")
     b = pr.orphan_count(inp.payments, inp.accounts, "account_id").withColumnRenamed("orphans", "orphan_payments")
     c = pr.orphan_count(inp.contact_events, inp.collection_cases, "case_id").withColumnRenamed("orphans", "orphan_contacts")
-    return a.crossJoin(b).crossJoin(c)
+    return a.select("orphan_cases", b.scalar().alias("orphan_payments"), c.scalar().alias("orphan_contacts"))
 
 
 @query(

@@ -161,10 +161,10 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     cum = prefix_sums(vals, [col], ["_c"], by=by).withColumn("_prev", F.col("_c_cum") - F.col("_c"))
     # one row per group: the group's count, taken from the per-slice totals
     n = cum.groupBy(*by).agg(F.first("_c_total").alias("_n")) if by else cum.agg(F.first("_c_total").alias("_n"))
-    spark = df.sparkSession
-    targets = spark.createDataFrame([(float(p),) for p in probs], "prob double")
     pos = (F.col("prob") * (F.col("_n") - 1)).alias("_pos")
-    t = n.crossJoin(F.broadcast(targets)).select(*by, "prob", "_n", pos)
+    t = n.select(*by, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")).select(
+        *by, "prob", "_n", pos
+    )
     t = t.select(*by, "prob", "_pos", F.floor("_pos").cast("bigint").alias("_lo"), F.ceil("_pos").cast("bigint").alias("_hi"))
     t = broadcast_if_small(t) if by else F.broadcast(t)  # one row per group and probability
     # rank r (0-based) falls in the distinct value with _prev <= r < _c_cum

@@ -50,12 +50,13 @@ def profile_columns(df: DataFrame) -> DataFrame:
 def missing_table(df: DataFrame) -> DataFrame:
     """Columns with NULLs — count and share of rows."""
     cols = df.columns
-    one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"miss__{c}") for c in cols])
-    stacked = _stack(one.drop("_rows"), cols, ["miss"], ["column_name", "missing"]).crossJoin(one.select("_rows"))
+    one = df.agg(
+        *[F.count_if(F.col(c).isNull()).alias(f"miss__{c}") for c in cols],
+        *[F.round(F.count_if(F.col(c).isNull()) / F.count(F.lit(1)), 6).alias(f"share__{c}") for c in cols],
+    )
+    stacked = _stack(one, cols, ["miss", "share"], ["column_name", "missing", "missing_share"])
     return stacked.where(F.col("missing") > 0).select(
-        "column_name",
-        F.col("missing").cast("bigint").alias("missing"),
-        F.round(F.col("missing") / F.col("_rows"), 6).alias("missing_share"),
+        "column_name", F.col("missing").cast("bigint").alias("missing"), "missing_share"
     )
 
 
