@@ -156,17 +156,23 @@ def psi_bins(
 
 
 def _edge_binned(values: DataFrame, edges: DataFrame, n_bins: int) -> DataFrame:
-    """Counts per bin for explicit (sorted) edges ``i = 0 .. n_bins``: bins left-closed, the last one
-    closed. The bin list has ``n_bins`` rows (a bounded broadcast); values are pre-counted first."""
-    left = edges.where(F.col("i") < n_bins).select(F.col("i").alias("bin"), F.col("edge").alias("bin_left"))
-    right = edges.where(F.col("i") > 0).select((F.col("i") - 1).alias("bin"), F.col("edge").alias("bin_right"))
-    bins = left.join(right, "bin")
-    counts = values.groupBy("score").agg(F.count(F.lit(1)).alias("_c"))
-    inside = (F.col("score") >= F.col("bin_left")) & (
-        (F.col("score") < F.col("bin_right")) | ((F.col("bin") == n_bins - 1) & (F.col("score") <= F.col("bin_right")))
+    """Counts per bin for explicit edges ``i = 0 .. n_bins``: bins left-closed, the last one closed
+    (``numpy.histogram``). The bin of a value is ``searchsorted(edges, v, 'right') - 1`` over the
+    sorted edge array (``n_bins + 1`` values, a scalar subquery); values are pre-counted first."""
+    # the edge array enters as its own column: a subquery may not sit inside the lambda below
+    counts = values.groupBy("score").agg(F.count(F.lit(1)).alias("_c")).withColumn(
+        "_edges", edges.agg(F.sort_array(F.collect_list("edge"))).scalar()
+    )
+    v, edge_arr = F.col("score"), F.col("_edges")
+    right = F.size(F.filter(edge_arr, lambda e: e <= v)) - 1
+    last = F.element_at(edge_arr, -1)
+    bin_of = F.when((v >= F.element_at(edge_arr, 1)) & (v <= last), F.when(v == last, F.lit(n_bins - 1)).otherwise(right))
+    hits = counts.select(bin_of.alias("bin"), "_c").where(F.col("bin").isNotNull()).groupBy("bin").agg(
+        F.sum("_c").alias("count")
     )
-    hits = counts.join(F.broadcast(bins), inside).groupBy("bin").agg(F.sum("_c").alias("count"))
-    return bins.join(hits, "bin", "left").select(
+    left = edges.where(F.col("i") < n_bins).select(F.col("i").alias("bin"), F.col("edge").alias("bin_left"))
+    right_edge = edges.where(F.col("i") > 0).select((F.col("i") - 1).alias("bin"), F.col("edge").alias("bin_right"))
+    return left.join(right_edge, "bin").join(hits, "bin", "left").select(
         "bin", "bin_left", "bin_right", F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")
     )
 
