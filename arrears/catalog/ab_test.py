@@ -124,8 +124,8 @@ def ab_test_report(spark, sf_dir):
     from pyspark.sql import functions as F
 
     sms = inputs(spark, sf_dir).sms_ab_test
-    s = ab.test_statistics(sms)
+    stats = ("z_stat", "p_value_z", "chi2_stat", "p_value_chi2")
+    s = ab.test_statistics(sms).select(F.struct(*stats)).scalar()  # one scalar subquery
     return ab.uplift(sms).select(
-        "control_rate", "treatment_rate", "uplift_abs", "uplift_rel",
-        *[F.round(s.select(c).scalar(), 6).alias(c) for c in ("z_stat", "p_value_z", "chi2_stat", "p_value_chi2")],
+        "control_rate", "treatment_rate", "uplift_abs", "uplift_rel", *[F.round(s[c], 6).alias(c) for c in stats],
     )

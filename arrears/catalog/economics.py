@@ -219,8 +219,8 @@ def strategy_launch_report(spark, sf_dir):
         F.max(F.when(F.col("dataset") == "train", F.col("mean"))).alias("mean_score_train"),
         F.max(F.when(F.col("dataset") == "scoring", F.col("mean"))).alias("mean_score_scoring"),
     )
+    m_struct = means.select(F.struct("mean_score_train", "mean_score_scoring")).scalar()
     return thr.select(
         "threshold", new.scalar().alias("new_effect"), cur.scalar().alias("current_effect"),
-        p.scalar().alias("psi"), means.select("mean_score_train").scalar().alias("mean_score_train"),
-        means.select("mean_score_scoring").scalar().alias("mean_score_scoring"),
+        p.scalar().alias("psi"), *[m_struct[c].alias(c) for c in ("mean_score_train", "mean_score_scoring")],
     )

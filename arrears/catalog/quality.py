@@ -253,8 +253,9 @@ def describe_numeric(spark, sf_dir):
         F.min("a").alias("min"), F.max("a").alias("max"),
     )
     q = exact_quantiles(a, "a", [0.25, 0.5, 0.75])
-    quartiles = [F.round(q.where(F.col("prob") == p).select("value").scalar(), 6).alias(n)
-                 for p, n in [(0.25, "q25"), (0.5, "q50"), (0.75, "q75")]]
+    qs = q.agg(F.struct(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
+                          for p, n in [(0.25, "q25"), (0.5, "q50"), (0.75, "q75")]])).scalar()
+    quartiles = [F.round(qs[n], 6).alias(n) for n in ("q25", "q50", "q75")]
     return stats.select("cnt", "mean", "std", "min", *quartiles, "max")
 
 

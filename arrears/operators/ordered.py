@@ -153,37 +153,40 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     ``(by..., prob, value)``.
 
     Values are first counted per distinct value (partial aggregation), then ranked with
-    :func:`prefix_sums`; each requested order statistic is the distinct value whose cumulative
-    count range covers it.
+    :func:`prefix_sums`. Each ranked value carries its group's target ranks (an array with one entry
+    per probability: a scalar subquery, or an equi-join on the group) and emits only the targets
+    that fall into its rank range — no range join — then one aggregation per (group, probability)
+    interpolates between the two order statistics.
     """
     by = list(by)
     vals = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
     cum = prefix_sums(vals, [col], ["_c"], by=by).withColumn("_prev", F.col("_c_cum") - F.col("_c"))
-    # one row per group: the group's count, taken from the per-slice totals
-    n = cum.groupBy(*by).agg(F.first("_c_total").alias("_n")) if by else cum.agg(F.first("_c_total").alias("_n"))
-    pos = (F.col("prob") * (F.col("_n") - 1)).alias("_pos")
-    t = n.select(*by, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")).select(
-        *by, "prob", "_n", pos
-    )
-    t = t.select(*by, "prob", "_pos", F.floor("_pos").cast("bigint").alias("_lo"), F.ceil("_pos").cast("bigint").alias("_hi"))
-    t = broadcast_if_small(t) if by else F.broadcast(t)  # one row per group and probability
-    # rank r (0-based) falls in the distinct value with _prev <= r < _c_cum
-    def at(rank_col: str, name: str) -> DataFrame:
-        c2 = cum.select(*[F.col(b).alias(f"_cb_{b}") for b in by], F.col(col).alias(name), "_prev", "_c_cum")
-        cond = None
-        for b in by:
-            e = F.col(b).eqNullSafe(F.col(f"_cb_{b}"))
-            cond = e if cond is None else cond & e
-        rng = (F.col("_prev") <= F.col(rank_col)) & (F.col(rank_col) < F.col("_c_cum"))
-        cond = rng if cond is None else cond & rng
-        return t.join(c2, cond).select(*by, "prob", name)
-
-    lo = at("_lo", "_v_lo")
-    hi = at("_hi", "_v_hi")
-    frac = t.select(*by, "prob", (F.col("_pos") - F.col("_lo")).alias("_frac"))
-    keys = [*by, "prob"]
-    res = lo.join(hi, keys).join(frac, keys)
-    value = F.col("_v_lo").cast("double") + (F.col("_v_hi").cast("double") - F.col("_v_lo").cast("double")) * F.col(
-        "_frac"
+
+    def targets(n: Column) -> Column:
+        items = []
+        for p in probs:
+            pos = F.lit(float(p)) * (n - 1)
+            items.append(F.struct(
+                F.lit(float(p)).alias("prob"), F.floor(pos).cast("bigint").alias("lo"),
+                F.ceil(pos).cast("bigint").alias("hi"), (pos - F.floor(pos)).alias("frac"),
+            ))
+        return F.array(*items)
+
+    if by:
+        # one row per group: the group's count comes with the per-slice totals
+        per_group = cum.groupBy(*by).agg(targets(F.first("_c_total")).alias("_targets"))
+        ranked = join_null_safe(cum, broadcast_if_small(per_group), by)
+    else:
+        ranked = cum.withColumn("_targets", cum.agg(targets(F.first("_c_total"))).scalar())
+    inside = lambda r: (F.col("_prev") <= r) & (r < F.col("_c_cum"))  # noqa: E731  (0-based rank r)
+    hits = ranked.select(
+        *by, F.col(col).cast("double").alias("_v"), "_prev", "_c_cum",
+        F.explode(F.filter("_targets", lambda t: inside(t["lo"]) | inside(t["hi"]))).alias("_t"),
+    ).select(*by, "_v", "_t.prob", "_t.frac", inside(F.col("_t.lo")).alias("_is_lo"), inside(F.col("_t.hi")).alias("_is_hi"))
+    res = hits.groupBy(*by, "prob").agg(
+        F.max(F.when(F.col("_is_lo"), F.col("_v"))).alias("_v_lo"),
+        F.max(F.when(F.col("_is_hi"), F.col("_v"))).alias("_v_hi"),
+        F.first("frac").alias("_frac"),
     )
+    value = F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * F.col("_frac")
     return res.select(*by, "prob", value.alias("value"))

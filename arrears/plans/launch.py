@@ -102,10 +102,16 @@ def histogram(values: DataFrame, col: str, n_bins: int, lo: Column | None = None
 
     ``(bin, bin_left, bin_right, count)`` for all ``n_bins`` bins (empty ones with 0)."""
     if lo is None:
-        lo, hi = values.agg(F.min(col)).scalar(), values.agg(F.max(col)).scalar()
+        lo, hi = value_range(values, col)
     return _binned(values, col, lo, hi, n_bins)
 
 
+def value_range(df: DataFrame, col: str) -> tuple[Column, Column]:
+    """``(min, max)`` of a column as fields of one scalar subquery (one pass over the data)."""
+    rng = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
+    return rng["lo"], rng["hi"]
+
+
 def _binned(values: DataFrame, col: str, lo: Column, hi: Column, n_bins: int) -> DataFrame:
     """Bin counts; ``lo`` / ``hi`` are scalar expressions (scalar subqueries on the data)."""
     counts = values.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
@@ -132,7 +138,7 @@ def psi_bins(
     alternative the reference describes; repeated edges give empty bins. Values outside the train
     range are dropped from counts and totals in both (``numpy.histogram``)."""
     if method == "uniform":
-        lo, hi = train_scores.agg(F.min("score")).scalar(), train_scores.agg(F.max("score")).scalar()
+        lo, hi = value_range(train_scores, "score")
         tr = _binned(train_scores.select("score"), "score", lo, hi, n_bins).withColumnRenamed("count", "train_count")
         sc = _binned(scoring.select("score"), "score", lo, hi, n_bins).select("bin", F.col("count").alias("scoring_count"))
     elif method == "quantile":
@@ -207,8 +213,11 @@ def score_density(sets: dict[str, DataFrame], points: int = 1000) -> DataFrame:
     frames = []
     for name, df in sets.items():
         counts = df.groupBy("score").agg(F.count(F.lit(1)).alias("_c"))
-        lo, hi = df.agg(F.min("score")).scalar(), df.agg(F.max("score")).scalar()
-        sd, n = df.agg(F.stddev_samp("score")).scalar(), df.agg(F.count(F.lit(1))).scalar()
+        st = df.agg(F.struct(
+            F.min("score").alias("lo"), F.max("score").alias("hi"),
+            F.stddev_samp("score").alias("sd"), F.count(F.lit(1)).alias("n"),
+        )).scalar()  # one pass, one scalar subquery
+        lo, hi, sd, n = st["lo"], st["hi"], st["sd"], st["n"]
         start, stop = lo - F.lit(0.5) * (hi - lo), hi + F.lit(0.5) * (hi - lo)
         step = (stop - start) / F.lit(float(points - 1))
         h = sd * F.pow(n.cast("double"), F.lit(-0.2))
@@ -241,7 +250,9 @@ def boxplot_stats(df: DataFrame, col: str, whis: float = 1.5) -> DataFrame:
     """Quartiles (linear interpolation), whiskers at the furthest values within
     ``whis * IQR`` of the box, and the number of values beyond them."""
     q = exact_quantiles(df, col, [0.25, 0.5, 0.75])
-    q1, med, q3 = (q.where(F.col("prob") == p).select("value").scalar() for p in (0.25, 0.5, 0.75))
+    qs = q.agg(F.struct(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
+                          for p, n in [(0.25, "q1"), (0.5, "med"), (0.75, "q3")]])).scalar()
+    q1, med, q3 = qs["q1"], qs["med"], qs["q3"]
     v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
     lo_f = q1 - F.lit(whis) * (q3 - q1)
     hi_f = q3 + F.lit(whis) * (q3 - q1)
