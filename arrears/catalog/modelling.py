@@ -6,6 +6,8 @@ importances, metric tables) are checked by rows only, since they depend on the o
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import functions as F
 
 from arrears.catalog import query
@@ -18,7 +20,7 @@ TRAIN = ("1997-01-01", "1997-09-30")
 VALID = ("1997-10-01", "1997-12-31")
 SCORING_FROM = "1998-01-01"
 
-_FITTED: dict = {}
+_FITTED: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()  # session → {(dir, kind): model}
 
 
 def _splits(spark, sf_dir):
@@ -27,14 +29,12 @@ def _splits(spark, sf_dir):
 
 def _fitted(spark, sf_dir, kind):
     """Fitted models are cached per Spark context and directory (fitting is the expensive part)."""
-    key = (id(spark.sparkContext), sf_dir, kind)
-    if key not in _FITTED:
+    per_session = _FITTED.setdefault(spark, {})
+    key = (sf_dir.rstrip("/"), kind)
+    if key not in per_session:
         tr, va = _splits(spark, sf_dir)
-        if kind == "pipeline":
-            _FITTED[key] = pm.fit_pipeline(tr)
-        else:
-            _FITTED[key] = pm.boosted_trees(tr, va)
-    return _FITTED[key]
+        per_session[key] = pm.fit_pipeline(tr) if kind == "pipeline" else pm.boosted_trees(tr, va)
+    return per_session[key]
 
 
 _SPLIT_SQL = f"""
