@@ -68,9 +68,9 @@ def prefix_sums(
         *[F.coalesce(F.sum(f"{s}_slice").over(w_prev), F.lit(0)).alias(f"{s}_offset") for s in sums],
         *[F.sum(f"{s}_slice").over(w_group).alias(f"{s}_total") for s in sums],
     )
-    # at most #slices + #groups rows: without groups a fixed bound, with groups checked first —
-    # broadcasting it keeps the row-level slices where they are (no second shuffle of the rows)
-    offsets = F.broadcast(offsets) if not by else broadcast_if_small(offsets)
+    # at most #slices + #groups rows, checked before it is broadcast; broadcasting it keeps the
+    # row-level slices where they are (no second shuffle of the rows)
+    offsets = broadcast_if_small(offsets)
     out = join_null_safe(local, offsets, [*by, PART])
     return out.select(
         *[c for c in df.columns],
