@@ -21,6 +21,7 @@ from arrears.operators.anchors import rows_at_time
 from arrears.operators.intervals import DAY, OFFSET, day_bounds, daily_totals, explode_days, window_join
 from arrears.plans.last_contact import positive_payment_days
 from arrears.plans.strategy import cases_in_period
+from arrears.session import ensure_checkpoint_dir
 
 KEYS = ["week_start", "strategy_name"]
 
@@ -130,7 +131,10 @@ def paid_until_promise(cases: DataFrame, contacts: DataFrame, payments: DataFram
     """J7 (as used): per first-promise group, positive payments of the account up to the promise date.
 
     Rows that are equal in the grouped columns collapse, their payment sums add up (T4)."""
-    fpd = first_promise_details(cases, contacts, start, end, days)
+    # the first-promise rows feed both the as-of keys and the join back: materialise them once
+    # (one row per first-promise case — small) instead of deriving them from the contacts twice
+    ensure_checkpoint_dir(cases.sparkSession)
+    fpd = first_promise_details(cases, contacts, start, end, days).checkpoint(eager=True)
     cum = paid_up_to(fpd, payments, "promise_to_pay_date", "paid_to_date")
     rows = fpd.join(cum, ["account_id", "promise_to_pay_date"], "left")
     return rows.groupBy("case_id", "week_start", "strategy_name", "promised_amount", "promise_to_pay_date").agg(
