@@ -96,6 +96,9 @@ class Inputs:
     # -- SQL-side inputs ---------------------------------------------------------------------
     @cached_property
     def accounts(self) -> DataFrame:
+        # every 50th customer has no account (FIXTURES.md): the resulting orphan cases and payments
+        # are what the orphan checks (J8) and the inner-join semantics of C1 (T19) are about — this
+        # is part of the data design, not a sample; every query still reads the whole tables
         return self.geo.where(F.col("c_custkey") % 50 != 49).select(
             F.col("c_custkey").alias("account_id"),
             money(money(F.abs("c_acctbal")) * 100).alias("principal_amount"),
