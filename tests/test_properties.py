@@ -50,3 +50,49 @@ def test_paid_by_strategy_equals_naive(spark, cases, pays, days):
     got = sm.paid_by_strategy(cdf, pdf, start.isoformat(), end.isoformat(), days).collect()
     got = {r.strategy_name: (r[f"paid_cases_{days}d"], float(r[f"collected_amount_{days}d"])) for r in got}
     assert got == _naive(cases, pays, start, end, days)
+
+
+action_rows = st.lists(
+    st.tuples(st.integers(0, 3), st.integers(-40, 12), st.integers(0, 86399),
+              st.sampled_from(["call", "sms", "promise", "payment", "other"]), st.integers(0, 500)),
+    max_size=40,
+)
+
+
+def _naive_mart(snaps, actions):
+    import math
+
+    out = {}
+    for cust, snap in snaps:
+        past = [a for a in actions if a[0] == cust and a[1] < snap]
+        in7 = [a for a in past if a[1] >= snap - dt.timedelta(days=7)]
+        in30 = [a for a in past if a[1] >= snap - dt.timedelta(days=30)]
+        pays = [a[1] for a in past if a[2] == "payment"]
+        days = math.floor((snap - max(pays)).total_seconds() / 86400) if pays else None
+        out[(cust, snap)] = (
+            sum(a[2] == "call" for a in in7), sum(a[2] == "sms" for a in in7),
+            sum(a[2] == "promise" for a in in30),
+            round(float(sum(a[3] for a in in30 if a[2] == "promise")), 6),
+            round(float(sum(a[3] for a in in30 if a[2] == "payment")), 6), days,
+        )
+    return out
+
+
+@settings(max_examples=10, deadline=None)
+@given(acts=action_rows)
+def test_feature_mart_equals_naive(spark, acts):
+    from arrears.plans import feature_mart as fm
+
+    day0 = dt.datetime(2024, 1, 1)
+    snaps = [(c, day0 + dt.timedelta(days=k)) for c in range(4) for k in (0, 5, 10)]
+    actions = [(c, day0 + dt.timedelta(days=d, seconds=s), t, float(v) if t in ("promise", "payment") else 0.0)
+               for c, d, s, t, v in acts]
+    sdf = spark.createDataFrame([(c, s, 1, 1.0) for c, s in snaps], S.DAILY_SNAPSHOT)
+    adf = spark.createDataFrame(actions, S.ACTIONS_LOG)
+    got = {
+        (r.customer_id, r.snapshot_date): (r.calls_last_7d, r.sms_last_7d, r.promises_last_30d,
+                                           r.promised_amount_last_30d, r.payments_amount_last_30d,
+                                           r.days_since_last_payment)
+        for r in fm.feature_mart(sdf, adf).collect()
+    }
+    assert got == _naive_mart(snaps, actions)
