@@ -96,3 +96,64 @@ def test_feature_mart_equals_naive(spark, acts):
         for r in fm.feature_mart(sdf, adf).collect()
     }
     assert got == _naive_mart(snaps, actions)
+
+
+c4_cases = st.lists(st.tuples(st.integers(0, 3), st.integers(0, 10), st.sampled_from(["1-30", "90+", "odd"])),
+                    min_size=1, max_size=8)
+c4_contacts = st.lists(st.tuples(st.integers(0, 6), st.integers(0, 9), st.integers(-2, 9), st.sampled_from([0, 3600, 86399])),
+                       max_size=20)
+c4_pays = st.lists(st.tuples(st.integers(0, 3), st.integers(-2, 9), st.sampled_from([0, 60, 43200]), st.integers(-20, 90)),
+                   max_size=20)
+
+
+def _naive_summary(cases, contacts, pays):
+    day0 = dt.datetime(2026, 1, 1)
+    latest = {}
+    for eid, cid, d, s in contacts:  # keep the latest time per event id; ties → larger case id
+        t = day0 + dt.timedelta(days=d, seconds=s)
+        if eid not in latest or (t, cid) > latest[eid]:
+            latest[eid] = (t, cid)
+    out = {}
+    for bucket in {b for _, _, b in cases}:
+        rows = [(i, acc, day0 + dt.timedelta(days=sd)) for i, (acc, sd, b) in enumerate(cases) if b == bucket]
+        win = lambda t, s: s <= t <= s + dt.timedelta(days=6)
+        contacted = {i for i, _, s in rows for t, cid in latest.values() if cid == i and win(t, s)}
+        paid, amount = set(), 0.0
+        for i, acc, s in rows:
+            for pacc, d, sec, amt in pays:
+                t = day0 + dt.timedelta(days=d, seconds=sec)
+                if pacc == acc and amt > 0 and win(t, s):
+                    paid.add(i)
+                    amount += amt
+        known = bucket if bucket in ("1-30", "31-60", "61-90", "90+") else None
+        avg = round(amount / len(paid), 6) if paid else 0.0
+        out[known] = (len(rows), len(contacted), len(paid), amount, avg)
+    return out
+
+
+@settings(max_examples=10, deadline=None)
+@given(cases=c4_cases, contacts=c4_contacts, pays=c4_pays)
+def test_bucket_summary_equals_naive(spark, cases, contacts, pays):
+    from decimal import Decimal
+
+    from arrears.plans import bucket_summary as bs
+
+    day0 = dt.datetime(2026, 1, 1)
+    cdf = spark.createDataFrame(
+        [(i, acc, acc, day0 + dt.timedelta(days=sd), b, "m", Decimal("1.00")) for i, (acc, sd, b) in enumerate(cases)],
+        S.CASES,
+    )
+    kdf = spark.createDataFrame(
+        [(eid, cid, day0 + dt.timedelta(days=d, seconds=s), "call", "RPC") for eid, cid, d, s in contacts], S.CONTACTS
+    )
+    pdf = spark.createDataFrame(
+        [(n, acc, day0 + dt.timedelta(days=d, seconds=sec), Decimal(amt).quantize(Decimal("0.01")))
+         for n, (acc, d, sec, amt) in enumerate(pays)],
+        S.PAYMENTS,
+    )
+    got = {
+        r.dpd_bucket: (r.total_cases, r.contacted_cases_7d, r.paid_cases_7d, r.collected_amount_7d,
+                       r.avg_payment_per_paid_case_7d)
+        for r in bs.collection_summary(*bs.preprocess(cdf, kdf, pdf)).collect()
+    }
+    assert got == _naive_summary(cases, contacts, pays)
