@@ -63,7 +63,12 @@ def payments_after_anchor(
     """J6 (aggregated): per distinct ``(account_id, anchor day)`` the positive payments of days
     ``0 .. days-1`` after the anchor day: ``amount`` and ``payments`` (NULL amount when none)."""
     keys = anchors.select("account_id", F.to_date(anchor_ts).alias("_anchor_day")).distinct()
-    hits = window_join(keys, positive_payment_days(payments), "account_id", "_anchor_day", 0, days - 1)
+    # only the days some anchor reaches can match: bound the payments before the daily reduction
+    span = keys.agg(F.struct(F.min("_anchor_day").alias("lo"), F.max("_anchor_day").alias("hi"))).scalar()
+    reachable = payments.where(
+        F.to_date("payment_dttm").between(span["lo"], F.date_add(span["hi"], days - 1))
+    )
+    hits = window_join(keys, positive_payment_days(reachable), "account_id", "_anchor_day", 0, days - 1)
     return hits.groupBy("account_id", "_anchor_day").agg(
         F.sum("amount").alias("amount"), F.sum("payments").alias("payments")
     )
