@@ -115,9 +115,11 @@ def paid_up_to(keys: DataFrame, payments: DataFrame, date_col: str, out: str) ->
     account's *days*, so a group is bounded by the calendar, not by the number of payments.
     """
     k = keys.select("account_id", F.col(date_col).alias("_d")).where(F.col("_d").isNotNull()).distinct()
+    # payments after the latest date asked for can never count
+    last_day = keys.agg(F.max(date_col)).scalar()
     # reduce payments per (account, day) first (map-side), then keep only the accounts asked for
     pay = (
-        positive_payment_days(payments)
+        positive_payment_days(payments.where(F.to_date("payment_dttm") <= last_day))
         .join(k.select("account_id").distinct(), "account_id", "left_semi")
         .select("account_id", F.col(DAY).alias("_d"), "amount", F.lit(0).alias("_k"))
     )
