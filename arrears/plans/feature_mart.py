@@ -55,7 +55,14 @@ def feature_mart(snapshot: DataFrame, actions: DataFrame, validate: bool = False
         dup = snapshot.groupBy("customer_id", "snapshot_date").count().where(F.col("count") > 1)
         if not dup.isEmpty():
             raise ValueError("daily_snapshot has repeated (customer_id, snapshot_date) keys")
-    daily = daily_actions(actions).withColumn("_is_snap", F.lit(False))
+    # only actions before the last snapshot day can count, and only payments (days since the last
+    # one) need history older than 30 days before the first snapshot
+    span = snapshot.agg(F.struct(
+        F.min(_day_number("snapshot_date")).alias("lo"), F.max(_day_number("snapshot_date")).alias("hi")
+    )).scalar()
+    dn = _day_number("action_dttm")
+    relevant = actions.where((dn < span["hi"]) & ((F.col("action_type") == "payment") | (dn >= span["lo"] - 30)))
+    daily = daily_actions(relevant).withColumn("_is_snap", F.lit(False))
     snaps = snapshot.select("*", _day_number("snapshot_date").alias("_dn"), F.lit(True).alias("_is_snap"))
     both = snaps.unionByName(daily, allowMissingColumns=True)
     base = Window.partitionBy("customer_id").orderBy("_dn")
