@@ -98,3 +98,18 @@ def test_duplicate_snapshot_key_is_rejected(spark):
     acts = spark.createDataFrame([], S.ACTIONS_LOG)
     with pytest.raises(ValueError):
         fm.feature_mart(snap, acts, validate=True)
+
+
+def test_bounds_with_no_anchors(spark):
+    # the event-table bounds are NULL without anchors: everything is filtered, results stay empty
+    from arrears.plans import last_contact as lc
+    from arrears.plans import promise_funnel as pf
+
+    empty_snap = spark.createDataFrame([], S.DAILY_SNAPSHOT)
+    acts = spark.createDataFrame([(1, ts("2024-01-01 10:00:00"), "payment", 5.0)], S.ACTIONS_LOG)
+    assert fm.feature_mart(empty_snap, acts).count() == 0
+    cc = spark.createDataFrame([(1, 10, 10, ts("2026-03-02 00:00:00").date(), "m", "1-30")], S.COLLECTION_CASES)
+    ev = spark.createDataFrame([], S.CONTACT_EVENTS)
+    pays = spark.createDataFrame([(1, 10, ts("2026-03-03 00:00:00"), money(5))], S.PAYMENTS)
+    assert lc.last_contact_payments(cc, ev, pays, "2026-03-01", "2026-03-31").count() == 0
+    assert pf.kept_promises(cc, ev, pays, "2026-03-01", "2026-03-31").count() == 0
