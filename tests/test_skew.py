@@ -103,3 +103,34 @@ def test_hot_customer_feature_mart_matches_sql_and_stays_per_day(spark):
     assert [r[:4] for r in got_rows] == [r[:4] for r in want]
     assert [tuple(r[4:9]) for r in got_rows] == [tuple(r[4:9]) for r in want]
     assert [r[9] for r in got_rows] == [r[9] for r in want]
+
+
+def test_hot_account_kept_promises_match_sql(spark, skewed):
+    # C3's "kept" sums all payments of the account up to the promise date: with a third of cases and
+    # payments on one account the as-of window holds that account's days, not its payments
+    from arrears.catalog.promise_funnel import C3_END, C3_START, _CTES
+    from arrears.plans import promise_funnel as pf
+    from arrears.plans.last_contact import positive_payment_days
+
+    cases, pays = skewed
+    inp = inputs(spark, SF)
+    got = {(str(r.week_start), r.strategy_name): r.kept_promise_cases
+           for r in pf.kept_promises(cases, inp.contact_events, pays, C3_START, C3_END).collect()}
+    hot_payments = pays.where((F.col("account_id") == HOT) & (F.col("payment_amount") > 0)).count()
+    hot_days = positive_payment_days(pays).where(F.col("account_id") == HOT).count()
+    assert hot_payments > hot_days  # the window rows of the hot account are its days
+    con = duckdb.connect()
+    for t in DRIVER_TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    skew_ctes = (
+        "scc AS (SELECT * REPLACE (CASE WHEN case_id % 3 = 0 THEN 0 ELSE account_id END AS account_id) "
+        "FROM collection_cases), "
+        "spp AS (SELECT * REPLACE (CASE WHEN payment_id % 3 = 0 THEN 0 ELSE account_id END AS account_id) "
+        "FROM payments), "
+    )
+    body = _CTES.replace("FROM collection_cases WHERE start_date", "FROM scc WHERE start_date").replace(
+        "LEFT JOIN payments p", "LEFT JOIN spp p"
+    ).replace("JOIN payments p", "JOIN spp p")
+    sql = with_inputs(["collection_cases", "contact_events", "payments"], "SELECT * FROM kept", skew_ctes + body)
+    want = {(str(w), s): n for w, s, n in con.sql(sql).fetchall()}
+    assert len(want) > 10 and got == want
