@@ -134,3 +134,36 @@ def test_hot_account_kept_promises_match_sql(spark, skewed):
     sql = with_inputs(["collection_cases", "contact_events", "payments"], "SELECT * FROM kept", skew_ctes + body)
     want = {(str(w), s): n for w, s, n in con.sql(sql).fetchall()}
     assert len(want) > 10 and got == want
+
+
+def test_hot_case_bucket_summary_matches_sql(spark):
+    # a third of all contacts moved onto one case: de-duplication and the per-(case, day) flags
+    # reduce it before any join; the summary still equals the SQL result on the same data
+    from arrears.catalog.bucket_summary import _CTES
+    from arrears.plans import bucket_summary as bs
+
+    inp = inputs(spark, SF)
+    hot_case = 1
+    contacts = inp.contacts.withColumn(
+        "case_id", F.when(F.col("event_id") % 3 == 0, F.lit(hot_case)).otherwise(F.col("case_id"))
+    )
+    got = {r.dpd_bucket: tuple(r) for r in bs.collection_summary(*bs.preprocess(inp.cases, contacts, inp.payments)).collect()}
+    con = duckdb.connect()
+    for t in DRIVER_TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    skew = ("hc AS (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 1 ELSE case_id END AS case_id) "
+            "FROM contacts), ")
+    body = _CTES.replace("FROM contacts) WHERE rn = 1", "FROM hc) WHERE rn = 1")
+    sql = with_inputs(
+        ["cases", "contacts", "payments"],
+        """SELECT t.dpd_bucket, t.total_cases, coalesce(k.n, 0), coalesce(p.n, 0),
+                  coalesce(CAST(p.amount AS DOUBLE), 0.0),
+                  coalesce(round(CAST(p.amount AS DOUBLE) / nullif(CAST(p.n AS DOUBLE), 0), 6), 0.0)
+           FROM (SELECT dpd_bucket, count(DISTINCT case_id) AS total_cases FROM cases GROUP BY 1) t
+           LEFT JOIN (SELECT dpd_bucket, count(DISTINCT case_id) AS n FROM c_win GROUP BY 1) k USING (dpd_bucket)
+           LEFT JOIN (SELECT dpd_bucket, count(DISTINCT case_id) AS n, sum(payment_amount) AS amount
+                      FROM p_win GROUP BY 1) p USING (dpd_bucket)""",
+        skew + body,
+    )
+    want = {r[0]: tuple(r) for r in con.sql(sql).fetchall()}
+    assert len(want) == 4 and got == want
