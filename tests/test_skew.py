@@ -167,3 +167,43 @@ def test_hot_case_bucket_summary_matches_sql(spark):
     )
     want = {r[0]: tuple(r) for r in con.sql(sql).fetchall()}
     assert len(want) == 4 and got == want
+
+
+def test_hot_account_last_contact_payments_match_sql(spark, skewed):
+    # C2 on the hot account: the 5-day payment windows join on (account, day), so the account's
+    # last contacts spread over their days; the result equals SQL on the same data
+    from arrears.catalog.last_contact import C2_END, C2_START, _CTES
+    from arrears.plans import last_contact as lc
+
+    cases, pays = skewed
+    inp = inputs(spark, SF)
+    got = sorted(tuple(r) for r in lc.last_contact_payments(cases, inp.contact_events, pays, C2_START, C2_END).collect())
+    con = duckdb.connect()
+    for t in DRIVER_TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    skew = (
+        "scc AS (SELECT * REPLACE (CASE WHEN case_id % 3 = 0 THEN 0 ELSE account_id END AS account_id) "
+        "FROM collection_cases), "
+        "spp AS (SELECT * REPLACE (CASE WHEN payment_id % 3 = 0 THEN 0 ELSE account_id END AS account_id) "
+        "FROM payments), "
+    )
+    body = _CTES.replace("SELECT * FROM collection_cases WHERE", "SELECT * FROM scc WHERE").replace(
+        "JOIN collection_cases c ON", "JOIN scc c ON"
+    )
+    sql = with_inputs(
+        ["collection_cases", "contact_events", "payments"],
+        """SELECT d.case_id, d.account_id, d.strategy_name, d.last_contact_dttm, d.last_channel,
+                  d.last_contact_result,
+                  CASE WHEN count(p.payment_id) > 0 THEN 1 ELSE 0 END AS payment_in_5d_flag,
+                  CAST(sum(p.payment_amount) AS DOUBLE) AS payment_amount_5d
+           FROM detail d LEFT JOIN spp p
+             ON p.account_id = d.account_id AND p.payment_amount > 0
+            AND CAST(p.payment_dttm AS DATE) BETWEEN CAST(d.last_contact_dttm AS DATE)
+                                                AND CAST(d.last_contact_dttm AS DATE) + 4
+           GROUP BY ALL""",
+        skew + body,
+    )
+    want = sorted(tuple(r) for r in con.sql(sql).fetchall())
+    assert len(want) > 100 and [r[:6] for r in got] == [r[:6] for r in want]
+    assert [r[6] for r in got] == [r[6] for r in want]
+    assert all((a is None and b is None) or abs(a - b) < 1e-6 for a, b in zip([r[7] for r in got], [r[7] for r in want]))
