@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from arrears.catalog import query
 from arrears.oracle_fixtures import erfc_sql, with_inputs
 from arrears.plans import ab_test as ab
@@ -121,11 +123,59 @@ def tests_table(spark, sf_dir):
 )
 def ab_test_report(spark, sf_dir):
     """C5 (headline row): rates, uplift and both tests with p-values."""
-    from pyspark.sql import functions as F
-
     sms = inputs(spark, sf_dir).sms_ab_test
     stats = ("z_stat", "p_value_z", "chi2_stat", "p_value_chi2")
     s = ab.test_statistics(sms).select(F.struct(*stats)).scalar()  # one scalar subquery
     return ab.uplift(sms).select(
         "control_rate", "treatment_rate", "uplift_abs", "uplift_rel", *[F.round(s[c], 6).alias(c) for c in stats],
     )
+
+
+@query(
+    "two_proportion_z",
+    oracle=with_inputs(
+        ["sms_ab_test"],
+        """SELECT round(sc / nc, 6) AS p_control, round(st / nt, 6) AS p_treatment,
+                  round((sc + st) / (nc + nt), 6) AS p_pool,
+                  round(sqrt(((sc + st) / (nc + nt)) * (1 - (sc + st) / (nc + nt)) * (1 / nc + 1 / nt)), 6) AS se,
+                  round(z, 6) AS z_stat
+           FROM cnt CROSS JOIN (SELECT z FROM stat)""",
+        _COUNTS,
+    ),
+)
+def two_proportion_z(spark, sf_dir):
+    """E3."""
+    return ab.two_proportion_z(inputs(spark, sf_dir).sms_ab_test)
+
+
+@query(
+    "chi_square_2x2",
+    oracle=with_inputs(
+        ["sms_ab_test"],
+        """SELECT round(chi2, 6) AS chi2_stat, 1 AS dof,
+                  round(nc * paid / tot, 6) AS expected_control_paid,
+                  round(nc * unpaid / tot, 6) AS expected_control_unpaid,
+                  round(nt * paid / tot, 6) AS expected_treatment_paid,
+                  round(nt * unpaid / tot, 6) AS expected_treatment_unpaid
+           FROM stat CROSS JOIN (SELECT chi2 FROM chi)""",
+        _COUNTS,
+    ),
+)
+def chi_square_2x2(spark, sf_dir):
+    """E4."""
+    return ab.chi_square_2x2(inputs(spark, sf_dir).sms_ab_test)
+
+
+@query(
+    "ab_p_values",
+    oracle=with_inputs(
+        ["sms_ab_test"],
+        f"""SELECT round({erfc_sql('abs(z) / sqrt(2.0)')}, 6) AS p_value_z,
+                   round({erfc_sql('sqrt(chi2 / 2)')}, 6) AS p_value_chi2 FROM chi""",
+        _COUNTS,
+    ),
+)
+def ab_p_values(spark, sf_dir):
+    """E5: two-sided p-values of both tests."""
+    s = ab.test_statistics(inputs(spark, sf_dir).sms_ab_test)
+    return s.select(F.round("p_value_z", 6).alias("p_value_z"), F.round("p_value_chi2", 6).alias("p_value_chi2"))

@@ -69,6 +69,35 @@ def uplift(ab: DataFrame) -> DataFrame:
     )
 
 
+def two_proportion_z(ab: DataFrame) -> DataFrame:
+    """Arm rates, pooled rate, standard error and z (one row)."""
+    c = ab_counts(ab)
+    sc, nc = F.col("success_control").cast("double"), F.col("n_control").cast("double")
+    st, nt = F.col("success_treatment").cast("double"), F.col("n_treatment").cast("double")
+    pool = (sc + st) / (nc + nt)
+    se = F.sqrt(pool * (1 - pool) * (1 / nc + 1 / nt))
+    return c.select(
+        round6(sc / nc).alias("p_control"), round6(st / nt).alias("p_treatment"), round6(pool).alias("p_pool"),
+        round6(se).alias("se"), round6((st / nt - sc / nc) / se).alias("z_stat"),
+    )
+
+
+def chi_square_2x2(ab: DataFrame) -> DataFrame:
+    """Yates-corrected χ² of the 2×2 table with its degrees of freedom and expected counts."""
+    c = ab_counts(ab)
+    sc, nc = F.col("success_control").cast("double"), F.col("n_control").cast("double")
+    st, nt = F.col("success_treatment").cast("double"), F.col("n_treatment").cast("double")
+    total, paid, unpaid = nc + nt, sc + st, (nc - sc) + (nt - st)
+    s = test_statistics(ab).select(F.struct("chi2_stat").alias("s")).scalar()
+    return c.select(
+        round6(s["chi2_stat"]).alias("chi2_stat"), F.lit(1).alias("dof"),
+        round6(nc * paid / total).alias("expected_control_paid"),
+        round6(nc * unpaid / total).alias("expected_control_unpaid"),
+        round6(nt * paid / total).alias("expected_treatment_paid"),
+        round6(nt * unpaid / total).alias("expected_treatment_unpaid"),
+    )
+
+
 def test_statistics(ab: DataFrame) -> DataFrame:
     """Z, χ² (Yates) and their two-sided p-values, unrounded, as one row."""
     c = ab_counts(ab)
