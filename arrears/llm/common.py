@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arrears.session import ensure_checkpoint_dir
@@ -60,6 +60,20 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, key: str, by: str, n: int) -> DataFrame:
+    """At most ``n`` rows of each value of ``by``, the first by a hash of ``key``; adds place and total.
+
+    A first cut by hash at twice the wanted share keeps what is ranked per value small, however
+    common the value.
+    """
+    totals = df.groupBy(by).agg(F.count("*").alias("total"))
+    hashed = F.xxhash64(key, F.lit(17))
+    share = F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    cut = df.join(totals, by).where(share < F.lit(2.0 * n + 64) / F.col("total"))
+    order = Window.partitionBy(by).orderBy(hashed, key, F.xxhash64(*df.columns))
+    return cut.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
 def text_views(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """UTF-8 bytes of a string column in steps: (first row, bytes, offsets of the step's rows).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from arrears.llm import embedding_dedup, packing, token_counts, topk_search
+from arrears.llm import embedding_dedup, language_id, packing, token_counts, topk_search, toxicity
 from arrears.llm.common import table
 
 QUERIES = {}
@@ -77,3 +77,19 @@ FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 def op4_token_counts(spark, sf_dir):
     """Exact histogram of encoded lengths with suffix sums."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), RANKS)
+
+
+@query
+def op6_language_id(spark, sf_dir):
+    """Language of every whole text; learned from the rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out("doc_id", 5, 0))
+    model = language_id.fit(docs.where(~F.col("held_out")).select(F.col("doc_id").alias("key"), "text", "lang"))
+    return language_id.identify(docs, model, ["doc_id", "held_out"])
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    """Toxicity score of every whole text; labels learned from the rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out("doc_id", 4, 2))
+    labels = table(spark, sf_dir, "labels").where(~language_id.held_out("doc_id", 4, 2))
+    return toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id", "held_out"], threshold=0.3)
