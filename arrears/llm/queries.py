@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from arrears.llm import embedding_dedup, language_id, packing, token_counts, topk_search, toxicity
+from arrears.llm import embedding_dedup, jaccard_join, language_id, packing, token_counts, topk_search, toxicity
 from arrears.llm.common import table
 
 QUERIES = {}
@@ -93,3 +93,29 @@ def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out("doc_id", 4, 2))
     labels = table(spark, sf_dir, "labels").where(~language_id.held_out("doc_id", 4, 2))
     return toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id", "held_out"], threshold=0.3)
+
+
+@query
+def op7_jaccard_join(spark, sf_dir):
+    """Components of documents with 5-word shingle similarity >= 0.75."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=75)
+
+
+ORACLES["op7_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, r, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS set FROM w),
+t AS (SELECT r, unnest(set) AS token FROM s WHERE doc_id IS NOT NULL),
+n AS (SELECT r, doc_id, len(set) AS n FROM s),
+o AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM t a JOIN t b ON a.token = b.token AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM o JOIN n x ON x.r = o.a JOIN n y ON y.r = o.b
+          WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT p.a, l.b FROM reach p JOIN links l ON p.b = l.a),
+c AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT doc_id, n::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM n LEFT JOIN c ON c.a = doc_id
+"""

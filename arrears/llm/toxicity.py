@@ -54,12 +54,17 @@ def _grams(word: bytes) -> list[bytes]:
     return [framed[i:i + GRAM] for i in range(len(framed) - GRAM + 1)]
 
 
-def stretches(word: bytes, marked: frozenset[bytes]) -> list[bytes]:
-    """Maximal parts of the word (with the spaces around it) covered by overlapping marked grams."""
+def stretches(word: bytes, marked: dict[bytes, int]) -> list[bytes]:
+    """Maximal parts of the word (with the spaces around it) covered by overlapping marked grams.
+
+    Only grams at least half as common as the word's most common one count: a stem, not its endings.
+    """
     framed, out = b" " + word + b" ", []
+    strength = [marked.get(gram, 0) for gram in _grams(word)]
+    least = max(1, max(strength, default=0) / 2)
     begin = end = None
-    for i, gram in enumerate(_grams(word)):
-        if gram in marked:
+    for i, n in enumerate(strength):
+        if n >= least:
             if begin is None:
                 begin = i
             end = i + GRAM
@@ -188,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     strong = (rows.select("text", "toxic").mapInArrow(gram_counts, "gram binary, plain long, toxic long")
               .groupBy("gram").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
               .where((F.col("toxic") >= least) & (odds > 3.0))
-              .orderBy(F.desc("toxic"), "gram").limit(MAX_STRETCHES).select("gram").toArrow())
-    marked = frozenset(strong["gram"].to_pylist())
+              .orderBy(F.desc("toxic"), "gram").limit(MAX_STRETCHES).select("gram", "toxic").toArrow())
+    marked = dict(zip(strong["gram"].to_pylist(), strong["toxic"].to_pylist()))
 
     def stretch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -202,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     top = (rows.where("toxic = 1").select("text").mapInArrow(stretch_counts, "stretch binary, n long")
            .groupBy("stretch").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
            .orderBy(F.desc("n"), "stretch").limit(MAX_STRETCHES).toArrow())
-    toxic_samples = [s for s, n in zip(top["stretch"].to_pylist()[::-1], top["n"].to_pylist()[::-1])]
+    toxic_samples = top["stretch"].to_pylist()[::-1]  # the most common last, where distances are shortest
     per_doc = max(1, ORDINARY_WINDOWS // max(1, n_plain))
 
     def ordinary_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
