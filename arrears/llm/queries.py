@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from arrears.llm import embedding_dedup, jaccard_join, language_id, packing, token_counts, topk_search, toxicity
+from arrears.llm import embedding_dedup, html_extraction, jaccard_join, language_id, packing, token_counts, topk_search, toxicity
 from arrears.llm.common import table
 
 QUERIES = {}
@@ -119,3 +119,9 @@ reach(a, b) AS (SELECT a, b FROM links UNION SELECT p.a, l.b FROM reach p JOIN l
 c AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
 SELECT doc_id, n::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM n LEFT JOIN c ON c.a = doc_id
 """
+
+
+@query
+def op5_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return html_extraction.extract(table(spark, sf_dir, "pages"))

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,7 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
              .agg(F.max("toxic").cast("int").alias("toxic")))
     wanted = hash_sample(known, "doc_id", "toxic", rows_per_class).select("doc_id", "toxic", "total")
     # at most 2 * rows_per_class rows of three numbers: a bounded broadcast
-    rows = stash(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").where("text is not null"))
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(wanted), "doc_id")
+    # an id that many documents share must not fill the sample
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("text"), "doc_id"))
+    rows = stash(rows.withColumn("place", place).where(F.col("place") <= rows_per_class))
     sizes = {r["toxic"]: (r["n"], r["total"]) for r in
              rows.groupBy("toxic").agg(F.count("*").alias("n"), F.max("total").alias("total")).toLocalIterator()}
     if set(sizes) != {0, 1}:
