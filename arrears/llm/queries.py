@@ -5,12 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from arrears.llm import embedding_dedup, html_extraction, jaccard_join, language_id, packing, token_counts, topk_search, toxicity
+from arrears.llm import embedding_dedup, html_extraction, jaccard_join, language_id, packing, sentencepiece_sampling, token_counts, topk_search, toxicity
 from arrears.llm.common import table
 
 QUERIES = {}
 ORACLES = {}
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn):
@@ -125,3 +126,13 @@ SELECT doc_id, n::BIGINT AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS
 def op5_html_extraction(spark, sf_dir):
     """Main text of every page."""
     return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_sentencepiece_sampling(spark, sf_dir):
+    """Three distinct sampled segmentations of every conversation turn, with inclusion scores."""
+    turns = table(spark, sf_dir, "conversations")
+    sampled = sentencepiece_sampling.sample_rows(turns, ["conv_id", "turn"], PIECES, k=3)
+    return sampled.select("conv_id", "turn", "rank", F.size("ids").cast("long").alias("n_pieces"),
+                          F.hash("ids").cast("long").alias("ids_hash"), "log_prob", "score", "inclusion",
+                          F.crc32(F.col("decoded")).alias("decoded_crc32"))
