@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from arrears.llm import embedding_dedup, html_extraction, jaccard_join, language_id, packing, sentencepiece_sampling, token_counts, topk_search, toxicity
+from arrears.llm import embedding_dedup, html_extraction, jaccard_join, language_id, packing, sentencepiece_sampling, suffix_dedup, token_counts, topk_search, toxicity
 from arrears.llm.common import table
 
 QUERIES = {}
@@ -136,3 +136,9 @@ def op10_sentencepiece_sampling(spark, sf_dir):
     return sampled.select("conv_id", "turn", "rank", F.size("ids").cast("long").alias("n_pieces"),
                           F.hash("ids").cast("long").alias("ids_hash"), "log_prob", "score", "inclusion",
                           F.crc32(F.col("decoded")).alias("decoded_crc32"))
+
+
+@query
+def op8_suffix_dedup(spark, sf_dir):
+    """Bytes of every text that a smaller document's 50-byte strings cover."""
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), ["doc_id"], with_text=False).drop("kept")

@@ -1,23 +1,79 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread by the next.
+
+Every stage works on all that its predecessor kept and returns the columns of ``documents``; the
+last returns packed pieces. Models are trained inside the stage, on the texts of its input.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arrears.llm import packing
-from arrears.llm.common import stash, table
+from arrears.llm import jaccard_join, language_id, packing, suffix_dedup, toxicity
+from arrears.llm.common import ship_package, stash, table
 from arrears.llm.queries import RANKS
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_LANGUAGE_SCORE = 0.3  # of four languages; less sure than this is no known language
+TOXIC_FROM = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without letters or without a clear language go."""
+    ship_package(spark)
+    model = language_id.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
+    found = language_id.identify(docs, model, COLUMNS)
+    if model is None:  # nothing to learn from: nothing to reject
+        return docs.select(*COLUMNS)
+    least = max(LEAST_LANGUAGE_SCORE, 1.05 / len(model.languages)) if len(model.languages) > 1 else 0.0
+    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= least)
+    return found.where(known).select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents whose score reaches TOXIC_FROM go."""
+    labels = table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), COLUMNS, threshold=TOXIC_FROM)
+    return scored.where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of near duplicates the smallest doc_id stays, once.
+
+    Documents without an id belong to no group and stay.
+    """
+    ship_package(spark)
+    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    # rows that share an id: the first by text, so that the choice does not depend on the run
+    one = docs.where("doc_id is not null").select(*COLUMNS).join(kept, "doc_id", "left_semi") \
+        .groupBy("doc_id").agg(F.min(F.struct(*(c for c in COLUMNS if c != "doc_id"))).alias("row")) \
+        .select("doc_id", "row.*").select(*COLUMNS)
+    return one.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: bytes of passages that a smaller document has go; all rows stay."""
+    ship_package(spark)
+    found = suffix_dedup.deduplicate(docs, ["doc_id", "lang", "source"])
+    return found.select("doc_id", F.col("kept").alias("text"), "lang", "source",
+                        F.length("kept").cast("long").alias("n_chars"))
+
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 1024 tokens."""
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing of what is left into sequences of 1024 tokens."""
+    ship_package(spark)
     return packing.pack(docs, RANKS)
 
 
 STAGES = [
-    ("best_fit_packing", best_fit_packing),
+    ("language_id", identify_language),
+    ("toxicity", drop_toxic),
+    ("jaccard_join", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_passages),
+    ("best_fit_packing", pack_sequences),
 ]
-# tokenizers and trained models cannot be expressed in SQL; tested against a brute-force version
+# trained models and a tokenizer cannot be expressed in SQL; tested against a brute-force version
 ORACLE_SQL = None
 
 
