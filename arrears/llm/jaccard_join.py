@@ -9,15 +9,17 @@ Surviving documents are decided by their exact intersection; pairs already conne
 as they cannot change a component.
 
 How documents come together (exact, no cap): equal sets are folded first. Under one global order
-of all shingles, rarest bucket first, two sets that link share a shingle among the first
+of all shingles, rarest counter first, two sets that link share a shingle among the first
 n - ceil(t n) + 1 of either. These prefix shingles are dealt to buckets; documents with a common one
 and sizes within reach are chained, and the components of the chains are the candidate groups. A
-group beyond a block's size is dealt into blocks, and every pair of blocks is a cell of its own.
+group beyond a block's size is dealt into blocks, and every pair of blocks is a cell of its own. In
+the cell the same is done once more with the exact frequencies there, which takes groups apart that
+only common passages hold together, and the trees are built over what remains together.
 
 Scale: shuffles carry packed prefix postings (a quarter of the shingles, about 8 bytes each) and
 once the texts of the documents that have a candidate. Shingle frequencies come from counters over
-all documents, of fixed size; they only order the shingles, so a full counter costs time, not
-links. No task holds more than a bucket, a block pair, or one batch.
+all documents, of fixed size (16 MB); they only order the shingles, so a full counter costs time,
+not links. No task holds more than a bucket, a block pair, or one batch.
 """
 
 from __future__ import annotations
@@ -26,14 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrears.llm.common import components, local_roots, stash, text_views
 from arrears.llm.shingles import set_keys, shingles
 
-COUNTER_BITS = 18
-CHUNK = 4096
+COUNTER_BITS = 22
+CHUNK = 1 << 16
 BUCKET_POSTINGS = 1_000_000
 BLOCK = 4096
 GROUP_DOCS = 2000
@@ -47,47 +50,75 @@ def _counter(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """One row (doc_id, n, key1, key2) per row of ``docs(doc_id, text)``, and rows (chunk, counts) of
-    the counters: in how many documents each bucket's shingles occur."""
+    """One row (doc_id, n, key1, key2, text_hash) per row of ``docs(doc_id, text)``, and rows (chunk,
+    counts) of the counters: in how many documents each bucket's shingles occur."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTER_BITS, np.int64)
-        names = ["doc_id", "n", "key1", "key2", "chunk", "counts"]
+        counts = np.zeros(1 << COUNTER_BITS, np.int32)
+        waiting, size = [], 0
+        names = ["doc_id", "n", "key1", "key2", "text_hash", "chunk", "counts"]
         for batch in batches:
             for first, data, offsets in text_views(batch.column(1)):
                 hashes, at = shingles(data, offsets, k)
-                counts += np.bincount(_counter(hashes), minlength=len(counts))
+                waiting.append(_counter(hashes))
+                size += len(hashes)
+                if size > 2_000_000:
+                    np.add(counts, np.bincount(np.concatenate(waiting), minlength=len(counts)), out=counts, casting="unsafe")
+                    waiting, size = [], 0
                 key1, key2 = set_keys(hashes, at)
                 none = pa.nulls(len(key1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(key1)), pa.array(np.diff(at)), pa.array(key1), pa.array(key2),
-                     none.cast(pa.int32()), none.cast(pa.binary())], names)
+                     batch.column(2).slice(first, len(key1)), none.cast(pa.int32()), none.cast(pa.binary())], names)
+        if waiting:
+            np.add(counts, np.bincount(np.concatenate(waiting), minlength=len(counts)), out=counts, casting="unsafe")
         parts = counts.reshape(-1, CHUNK)
         some = np.flatnonzero(parts.any(axis=1))
         none = pa.nulls(len(some)).cast(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, pa.array(some, pa.int32()),
-             pa.array([parts[i].tobytes() for i in some], pa.binary())], names)
+            [none, none, none, none, none, pa.array(some, pa.int32()),
+             pa.array([zstandard.ZstdCompressor(level=1).compress(parts[i].tobytes()) for i in some], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        scan, "doc_id long, n long, key1 long, key2 long, chunk int, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text")).mapInArrow(
+        scan, "doc_id long, n long, key1 long, key2 long, text_hash long, chunk int, counts binary")
 
 
 def bucket_counts(scanned: DataFrame) -> np.ndarray:
-    """The counters of all tasks added up (a fixed number of them, 2 MB)."""
+    """The counters of all tasks added up (a fixed number of them, 16 MB)."""
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         for blob in rows["counts"].to_pylist():
-            total += np.frombuffer(blob, np.int64)
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32)
+        total = np.minimum(total, 2**31 - 1).astype(np.int32)
         return pa.table({"chunk": rows["chunk"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     added = (scanned.where("chunk is not null").select("chunk", "counts").groupBy("chunk")
              .applyInArrow(add, "chunk int, counts binary").toArrow())
-    out = np.zeros((1 << COUNTER_BITS) // CHUNK * CHUNK, np.int64).reshape(-1, CHUNK)
+    out = np.zeros(((1 << COUNTER_BITS) // CHUNK, CHUNK), np.int32)
     for chunk, blob in zip(added["chunk"].to_pylist(), added["counts"].to_pylist()):
-        out[chunk] = np.frombuffer(blob, np.int64)
+        out[chunk] = np.frombuffer(blob, np.int32)
     return out.ravel()
 
 
+def _prefix(rank: np.ndarray, owner: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """Places of each set's prefix tokens: the n - ceil(percent n / 100) + 1 of lowest rank.
+
+    Tokens of a set ascend; stable sorts keep that order where ranks are equal.
+    """
+    n = np.diff(at)
+    order = np.argsort(rank, kind="stable")
+    order = order[np.argsort(owner[order], kind="stable")]
+    wanted = n - -(-n * percent // 100) + 1
+    return order[np.arange(len(rank)) - np.repeat(at[:-1], n) < np.repeat(wanted, n)]
+
+
+def _chain(token: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours, by size, of the sets that have a token, where their sizes are within reach."""
+    order = np.lexsort((n[owner], token))
+    token, owner = token[order], owner[order]
+    near = (token[1:] == token[:-1]) & (owner[1:] != owner[:-1]) & (n[owner[:-1]] * 100 >= n[owner[1:]] * percent)
+    return owner[:-1][near], owner[1:][near]
+
+
 def prefix_postings(docs: DataFrame, counts, buckets: int, k: int, percent: int) -> DataFrame:
     """Packed prefix shingles: (bucket, sets, postings) with sets = (key1, n) and postings = (token, set)."""
     def emit(held) -> Iterator[pa.RecordBatch]:
@@ -122,14 +153,10 @@ def prefix_postings(docs: DataFrame, counts, buckets: int, k: int, percent: int)
                 key1, _ = set_keys(hashes, at)
                 n = np.diff(at)
                 owner = np.repeat(np.arange(len(n)), n)
-                # rarest counter first, then by hash: stable sorts keep the order of what came before
-                order = np.argsort(rank[_counter(hashes)], kind="stable")
-                order = order[np.argsort(owner[order], kind="stable")]
-                wanted = n - -(-n * percent // 100) + 1
-                near = np.arange(len(hashes)) - np.repeat(at[:-1], n) < np.repeat(wanted, n)
-                for column, value in zip(held, (key1, n, hashes[order][near], owner[near] + sets)):
+                near = _prefix(rank[_counter(hashes)], owner, at, percent)
+                for column, value in zip(held, (key1, n, hashes[near], owner[near] + sets)):
                     column.append(value)
-                sets, posts = sets + len(n), posts + int(near.sum())
+                sets, posts = sets + len(n), posts + len(near)
                 if posts > 2_000_000:
                     yield from emit(held)
                     held, sets, posts = [[], [], [], []], 0, 0
@@ -160,10 +187,7 @@ def chained(postings: DataFrame, percent: int) -> DataFrame:
         distinct, first, name = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
         n = np.concatenate(sizes)[first].astype(np.int64)
         token, owner = np.concatenate(tokens), name[np.concatenate(owner)]
-        order = np.lexsort((n[owner], token))
-        token, owner = token[order], owner[order]
-        near = (token[1:] == token[:-1]) & (owner[1:] != owner[:-1]) & (n[owner[:-1]] * 100 >= n[owner[1:]] * percent)
-        root = local_roots(len(distinct), owner[:-1][near], owner[1:][near])
+        root = local_roots(len(distinct), *_chain(token, owner, n, percent))
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.table([distinct[moved], distinct[root[moved]]], schema=_LINKS)
 
@@ -226,53 +250,77 @@ def node_pairs(one: SignatureTree, two: SignatureTree, percent: int, same: bool)
     return a, b
 
 
-def linked_groups(one: list[np.ndarray], two: list[np.ndarray] | None, percent: int) -> np.ndarray:
-    """Component (smallest member's place) of each set, over the links of one list, or between two."""
-    same = two is None
-    sets = one if same else one + two
-    total = len(sets)
-    label = np.arange(total)
-    tree_a = SignatureTree(one)
-    tree_b = tree_a if same else SignatureTree(two)
-    shift = 0 if same else len(one)
+def linked_groups(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.ndarray:
+    """Component (smallest member's place) of each set over the links of a cell.
+
+    ``side`` is None for the links among all sets, or tells two blocks apart: then only links
+    between the blocks count.
+    """
     sizes = np.array([len(s) for s in sets])
-    _, dense = np.unique(np.concatenate(sets), return_inverse=True)
-    begin = np.r_[0, np.cumsum(sizes)]
-    flags = np.zeros(dense.max(initial=0) + 1, bool)
+    at = np.r_[0, np.cumsum(sizes)]
+    _, dense, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    near = _prefix(count[dense], owner, at, percent)
+    near = near[count[dense[near]] > 1]
+    group = local_roots(len(sets), *_chain(dense[near], owner[near], sizes, percent))
+    label = np.arange(len(sets))
+    flags = np.zeros(len(count), bool)
+    order = np.argsort(group, kind="stable")
+    cuts = np.r_[0, np.flatnonzero(np.diff(group[order])) + 1, len(order)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b - a == 1:
+            continue
+        members = order[a:b]
+        if side is None:
+            _join_trees(members, members, sets, dense, at, flags, label, percent)
+        else:
+            one, two = members[~side[members]], members[side[members]]
+            if len(one) and len(two):
+                _join_trees(one, two, sets, dense, at, flags, label, percent)
+    return label
+
+
+def _join_trees(one, two, sets, dense, at, flags, label, percent) -> None:
+    """Unite in ``label`` the linked sets of the lists ``one`` and ``two`` (the same list, or two)."""
+    same = one is two
+    tree_a = SignatureTree([sets[i] for i in one])
+    tree_b = tree_a if same else SignatureTree([sets[i] for i in two])
     nodes_a, nodes_b = node_pairs(tree_a, tree_b, percent, same)
     order = np.argsort(nodes_a, kind="stable")
     nodes_a, nodes_b = nodes_a[order], nodes_b[order]
     docs_a, docs_b = tree_a.levels[0], tree_b.levels[0]
-    for node in np.unique(nodes_a):
-        mates = nodes_b[nodes_a == node]
-        others = (mates[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-        others = others[others < len(two if two is not None else one)]
+    ids_a, ids_b = one[tree_a.order], two[tree_b.order]
+    cuts = np.r_[0, np.flatnonzero(np.diff(nodes_a)) + 1, len(nodes_a)]
+    for begin, end in zip(cuts[:-1], cuts[1:]):
+        if begin == end:
+            continue
+        node = int(nodes_a[begin])
+        others = (nodes_b[begin:end, None] * FANOUT + np.arange(FANOUT)).ravel()
+        others = others[others < len(two)]
         for x in range(node * FANOUT, min((node + 1) * FANOUT, len(one))):
-            doc = tree_a.order[x]
+            doc = ids_a[x]
             y = others[others > x] if same else others
-            y = y[label[tree_b.order[y] + shift] != label[doc]]
+            y = y[label[ids_b[y]] != label[doc]]  # already connected: cannot change a component
             if len(y):
                 y = y[_can_link(docs_a, np.full(len(y), x), docs_b, y, percent)]
             if not len(y):
                 continue
-            partner = tree_b.order[y] + shift
-            own = dense[begin[doc]:begin[doc + 1]]
+            own = dense[at[doc]:at[doc + 1]]
             flags[own] = True
-            for at in range(0, len(partner), 1024):
-                part = partner[at:at + 1024]
+            for k in range(0, len(y), 1024):
+                part = ids_b[y[k:k + 1024]]
                 part = part[label[part] != label[doc]]
                 if not len(part):
                     continue
-                lengths = sizes[part]
+                lengths = at[part + 1] - at[part]
                 starts = np.cumsum(lengths) - lengths
-                spots = np.arange(lengths.sum()) + np.repeat(begin[part] - starts, lengths)
+                spots = np.arange(lengths.sum()) + np.repeat(at[part] - starts, lengths)
                 overlap = np.add.reduceat(flags[dense[spots]].astype(np.int64), starts)
-                linked = part[overlap * (100 + percent) >= percent * (lengths + sizes[doc])]
+                linked = part[overlap * (100 + percent) >= percent * (lengths + len(own))]
                 if len(linked):
                     joined = np.unique(np.r_[label[linked], label[doc]])
                     label[np.isin(label, joined)] = joined[0]
             flags[own] = False
-    return label
 
 
 def _sets_of(column: pa.ChunkedArray, k: int) -> list[np.ndarray]:
@@ -295,8 +343,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, block: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = stash(shingle_sets(docs, k))
     sets = scanned.where("chunk is null").select("doc_id", "n", "key1", "key2")
-    full = sets.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    full = scanned.where("chunk is null and n > 0 and doc_id is not null")
+    # a class and the text of its smallest id
+    classes = (full.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+               .select("key1", "key2", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("text_hash")))
     total = full.agg(F.sum("n").alias("n"), F.count("*").alias("docs")).first()
     if not total["docs"]:
         return sets.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -306,19 +356,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, block: in
     posted = prefix_postings(docs.where("text is not null and doc_id is not null"), counts, buckets, k, percent)
     groups = components(stash(chained(posted, percent)))
     members = stash(groups.join(classes, groups["node"] == classes["key1"])
-                    .select("rep", "key1", "key2", F.col("component").alias("group")))
+                    .select("rep", "key1", "key2", "text_hash", F.col("component").alias("group")))
     sized = members.groupBy("group").agg(F.count("*").alias("m"))
     buckets = max(1, -(-members.count() // GROUP_DOCS))
     blocks = F.ceil(F.col("m") / block).cast("int")
     dealt = (members.join(sized, "group").withColumn("blocks", blocks)
              .withColumn("mine", F.pmod(F.xxhash64("key1", "key2"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("rep", "key1", "key2", "group", "mine", F.least("mine", "other").alias("low"),
+             .select("rep", "key1", "key2", "text_hash", "group", "mine", F.least("mine", "other").alias("low"),
                      F.greatest("mine", "other").alias("high"),
                      F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(buckets))).otherwise(F.col("group"))
                      .alias("bucket"), (F.col("blocks") > 1).alias("split")))
-    # the text of a class is that of a row with the class' smallest id; its keys are checked in the task
-    cells = dealt.join(docs.where("text is not null"), dealt["rep"] == docs["doc_id"]).drop("doc_id")
+    # the keys are checked in the task; equal rows come more than once
+    hashed = docs.where("text is not null").withColumn("hash", F.xxhash64("text"))
+    cells = dealt.join(hashed, (dealt["rep"] == hashed["doc_id"]) & (dealt["text_hash"] == hashed["hash"])) \
+        .drop("doc_id", "hash", "text_hash")
 
     def join_cell(rows: pa.Table) -> pa.Table:
         found = [[], []]
@@ -327,7 +379,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, block: in
                         np.r_[0, np.cumsum([len(s) for s in sets_])].astype(np.int64))
         right = np.flatnonzero((keys[0] == rows["key1"].to_numpy()) & (keys[1] == rows["key2"].to_numpy()))
         rep, group, mine = (rows[c].to_numpy() for c in ("rep", "group", "mine"))
-        # rows of one class can come twice where an id repeats
         ident = np.stack([group, keys[0], keys[1]])[:, right]
         _, once = np.unique(ident, axis=1, return_index=True)
         right = right[once]
@@ -338,17 +389,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, block: in
             part = right[a:b]
             if not len(part):
                 continue
-            if low[part[0]] == high[part[0]]:
-                members_, label = part, linked_groups([sets_[i] for i in part], None, percent)
-            else:
-                one, two = part[mine[part] == low[part[0]]], part[mine[part] == high[part[0]]]
-                if not len(one) or not len(two):
-                    continue
-                members_ = np.r_[one, two]
-                label = linked_groups([sets_[i] for i in one], [sets_[i] for i in two], percent)
+            side = None if low[part[0]] == high[part[0]] else mine[part] == high[part[0]]
+            label = linked_groups([sets_[i] for i in part], side, percent)
             moved = np.flatnonzero(label != np.arange(len(label)))
-            found[0].append(rep[members_[moved]])
-            found[1].append(rep[members_[label[moved]]])
+            found[0].append(rep[part[moved]])
+            found[1].append(rep[part[label[moved]]])
         if not found[0]:
             return _LINKS.empty_table()
         return pa.table([np.concatenate(x) for x in found], schema=_LINKS)

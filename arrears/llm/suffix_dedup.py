@@ -237,7 +237,6 @@ def _fold(regions: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.
     """Equal regions (bytes ``data[begin:begin + length]``) under their smallest document.
 
     Returns the numbers of the regions kept, and of those that a smaller document covers wholly.
-    Regions of one document stay apart from each other only if no smaller one has them.
     """
     prefix = prefix_hashes(data)
     length = regions["length"].astype(np.int64)
@@ -253,8 +252,7 @@ def _fold(regions: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.
         equal[check] = data[begin[order[check]] + step] == data[begin[head[check]] + step]
     copies = equal & ~new
     covered = copies & (regions["doc"][order] > regions["doc"][head])
-    kept = np.flatnonzero(~equal | new | ~covered & (regions["text"][order] != regions["text"][head]))
-    return order[kept], order[covered]
+    return order[~covered], order[covered]
 
 
 def _regions_out(data, regions, begin, shards) -> pa.Table:
