@@ -45,9 +45,6 @@ def query(name: str, oracle: str | None = None):
 
 
 def load_all() -> None:
+    """Import every module above; a missing one is an error."""
     for mod in _MODULES:
-        try:
-            importlib.import_module(f"arrears.catalog.{mod}")
-        except ModuleNotFoundError as exc:  # modules are added one by one
-            if exc.name != f"arrears.catalog.{mod}":
-                raise
+        importlib.import_module(f"arrears.catalog.{mod}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from arrears.catalog import query
 from arrears.oracle_fixtures import with_inputs
 from arrears.plans import feature_mart as fm
@@ -62,8 +64,28 @@ def top20_contacted_unpaid(spark, sf_dir):
     return fm.top_contacted_unpaid(fm.feature_mart(inp.daily_snapshot, inp.actions_log))
 
 
+_HISTORY = """SELECT s.customer_id, s.snapshot_date, count(a.action_dttm) AS actions_before,
+       count(*) FILTER (WHERE a.action_type = 'call') AS call_count_before,
+       count(*) FILTER (WHERE a.action_type = 'sms') AS sms_count_before,
+       count(*) FILTER (WHERE a.action_type = 'promise') AS promise_count_before,
+       count(*) FILTER (WHERE a.action_type = 'payment') AS payment_count_before,
+       round(coalesce(sum(a.action_amount) FILTER (WHERE a.action_type = 'promise'), 0.0), 4) AS promise_amount_before,
+       round(coalesce(sum(a.action_amount) FILTER (WHERE a.action_type = 'payment'), 0.0), 4) AS payment_amount_before,
+       max(a.action_dttm) AS last_action_dttm
+FROM daily_snapshot s LEFT JOIN actions_log a ON a.customer_id = s.customer_id AND a.action_dttm < s.snapshot_date
+GROUP BY s.customer_id, s.snapshot_date"""
+
+
+@query("point_in_time_join", oracle=with_inputs(_IN, _HISTORY))
+def point_in_time_join(spark, sf_dir):
+    """Every snapshot with its customer's whole history before it."""
+    inp = inputs(spark, sf_dir)
+    out = fm.history_before_snapshot(inp.daily_snapshot, inp.actions_log)
+    return out.withColumns({c: F.round(c, 4) for c in ("promise_amount_before", "payment_amount_before")})
+
+
 @query(
-    "point_in_time_join",
+    "actions_lookback_30d",
     oracle=with_inputs(
         _IN,
         """SELECT s.*, a.action_dttm, a.action_type, a.action_amount
@@ -72,26 +94,27 @@ def top20_contacted_unpaid(spark, sf_dir):
             AND a.action_dttm >= s.snapshot_date - INTERVAL 30 DAY""",
     ),
 )
-def point_in_time_join(spark, sf_dir):
-    """Snapshot × actions of the 30 days strictly before it (rows)."""
+def actions_lookback_30d(spark, sf_dir):
+    """The actions of the 30 days strictly before each snapshot, row by row (a look-back)."""
     inp = inputs(spark, sf_dir)
-    return fm.actions_before_snapshot(inp.daily_snapshot, inp.actions_log, days=30)
+    return fm.actions_lookback(inp.daily_snapshot, inp.actions_log, days=30)
 
 
 @query(
     "strictly_before",
     oracle=with_inputs(
         _IN,
-        """SELECT count(*) FILTER (WHERE a.action_dttm >= s.snapshot_date) AS violations
-           FROM daily_snapshot s JOIN actions_log a
-             ON a.customer_id = s.customer_id AND a.action_dttm < s.snapshot_date
-            AND a.action_dttm >= s.snapshot_date - INTERVAL 30 DAY""",
+        """SELECT count(*) FILTER (WHERE last >= snapshot_date) AS violations FROM (
+               SELECT s.snapshot_date, max(a.action_dttm) AS last
+               FROM daily_snapshot s JOIN actions_log a
+                 ON a.customer_id = s.customer_id AND date_diff('day', a.action_dttm, s.snapshot_date) >= 1
+               GROUP BY s.customer_id, s.snapshot_date)""",
     ),
 )
 def strictly_before(spark, sf_dir):
-    """Leak check on the point-in-time join (must be 0)."""
+    """Leak check on the point-in-time history (must be 0)."""
     inp = inputs(spark, sf_dir)
-    return fm.leak_violations(fm.actions_before_snapshot(inp.daily_snapshot, inp.actions_log, days=30))
+    return fm.leak_violations(fm.history_before_snapshot(inp.daily_snapshot, inp.actions_log))
 
 
 @query(

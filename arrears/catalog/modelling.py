@@ -6,8 +6,6 @@ importances, metric tables) are checked by rows only, since they depend on the o
 
 from __future__ import annotations
 
-import weakref
-
 from pyspark.sql import functions as F
 
 from arrears.catalog import query
@@ -20,21 +18,14 @@ TRAIN = ("1997-01-01", "1997-09-30")
 VALID = ("1997-10-01", "1997-12-31")
 SCORING_FROM = "1998-01-01"
 
-_FITTED: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()  # session → {(dir, kind): model}
-
-
 def _splits(spark, sf_dir):
     return pm.time_split(inputs(spark, sf_dir).train, TRAIN, VALID)
 
 
 def _fitted(spark, sf_dir, kind):
-    """Fitted models are cached per Spark context and directory (fitting is the expensive part)."""
-    per_session = _FITTED.setdefault(spark, {})
-    key = (sf_dir.rstrip("/"), kind)
-    if key not in per_session:
-        tr, va = _splits(spark, sf_dir)
-        per_session[key] = pm.fit_pipeline(tr) if kind == "pipeline" else pm.boosted_trees(tr, va)
-    return per_session[key]
+    """The model, fitted anew: what a query returns never depends on queries before it."""
+    tr, va = _splits(spark, sf_dir)
+    return pm.fit_pipeline(tr) if kind == "pipeline" else pm.boosted_trees(tr, va)
 
 
 _SPLIT_SQL = f"""

@@ -31,16 +31,17 @@ def _n_slices(df: DataFrame, n: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _order(cols: Sequence[str], descending: bool) -> list[Column]:
-    return [F.col(c).desc() if descending else F.col(c).asc() for c in cols]
+def _order(items: Sequence[str | tuple[str, str]]) -> list[Column]:
+    """Order expressions of names (ascending) and ``(name, "desc")`` pairs; NULL comes last either way."""
+    pairs = [(i, "asc") if isinstance(i, str) else i for i in items]
+    return [F.col(n).desc_nulls_last() if d == "desc" else F.col(n).asc_nulls_last() for n, d in pairs]
 
 
 def prefix_sums(
     df: DataFrame,
-    order: Sequence[str],
+    order: Sequence[str | tuple[str, str]],
     sums: Sequence[str],
     by: Sequence[str] = (),
-    descending: bool = False,
     n_slices: int | None = None,
 ) -> DataFrame:
     """Add ``<s>_cum`` (inclusive running total in ``order`` within ``by``) and ``<s>_total`` (the
@@ -50,7 +51,7 @@ def prefix_sums(
     """
     by, order, sums = list(by), list(order), list(sums)
     ensure_checkpoint_dir(df.sparkSession)
-    order_exprs = _order(order, descending)
+    order_exprs = _order(order)
     ranged = (
         df.repartitionByRange(_n_slices(df, n_slices), *[F.col(b) for b in by], *order_exprs)
         .withColumn(PART, F.spark_partition_id())
@@ -68,9 +69,8 @@ def prefix_sums(
         *[F.coalesce(F.sum(f"{s}_slice").over(w_prev), F.lit(0)).alias(f"{s}_offset") for s in sums],
         *[F.sum(f"{s}_slice").over(w_group).alias(f"{s}_total") for s in sums],
     )
-    # at most #slices + #groups rows, checked before it is broadcast; broadcasting it keeps the
-    # row-level slices where they are (no second shuffle of the rows)
-    offsets = broadcast_if_small(offsets)
+    # at most #slices + #groups rows; the running totals above are already partitioned by these
+    # keys, so a shuffled join moves only the offsets, and AQE broadcasts them where they are small
     out = join_null_safe(local, offsets, [*by, PART])
     return out.select(
         *[c for c in df.columns],
@@ -79,20 +79,6 @@ def prefix_sums(
     )
 
 
-# per-group statistics above this many rows are joined by shuffle instead of broadcast
-BROADCAST_MAX_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint for a per-group table only after checking its size (one small ``limit`` job).
-
-    Joining row-level data with a table keyed by a few group values through a shuffle would send a
-    hot group to one task; a broadcast avoids that shuffle. Beyond ``max_rows`` the table is not
-    small enough to ship to every executor, and the join falls back to a shuffle (with many groups
-    no single group can dominate a partition through the group count alone)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL (group keys may be NULL); keeps left's keys."""
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -108,26 +94,29 @@ def global_rank(
 ) -> DataFrame:
     """1-based row number in ``order`` (within ``by``), computed without a single-task window.
 
-    ``order`` items are column names (ascending) or ``(name, 'desc')`` pairs; the order must be a
-    total order (include a unique tie-break column).
+    ``order`` items are column names (ascending) or ``(name, 'desc')`` pairs, NULL last; the order
+    must be a total order (include a unique tie-break column).
     """
-    names, desc = [], []
-    for o in order:
-        if isinstance(o, tuple):
-            names.append(o[0])
-            desc.append(o[1] == "desc")
-        else:
-            names.append(o)
-            desc.append(False)
-    # prefix_sums takes one direction; encode mixed directions by negating numeric descending keys
-    tmp = df
-    keys = []
-    for i, (n, d) in enumerate(zip(names, desc)):
-        k = f"_k{i}"
-        tmp = tmp.withColumn(k, -F.col(n) if d else F.col(n))
-        keys.append(k)
-    ranked = prefix_sums(tmp.withColumn("_one", F.lit(1).cast("bigint")), keys, ["_one"], by=by, n_slices=n_slices)
-    return ranked.withColumnRenamed("_one_cum", out).withColumnRenamed("_one_total", f"{out}_of").drop("_one", *keys)
+    ranked = prefix_sums(df.withColumn("_one", F.lit(1).cast("bigint")), order, ["_one"], by=by, n_slices=n_slices)
+    return ranked.withColumnRenamed("_one_cum", out).withColumnRenamed("_one_total", f"{out}_of").drop("_one")
+
+
+def _per_group(df: DataFrame, table: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of a table of one row per group (NULL where a group has none)."""
+    if by:
+        return join_null_safe(df, table.select(*by, *cols), by, "left")
+    row = table.agg(F.first(F.struct(*cols))).scalar()
+    return df.withColumn("_row", row).select(*df.columns, *[F.col(f"_row.{c}").alias(c) for c in cols])
+
+
+def fraction_cut(counted: DataFrame, score: str, fraction: float, by: Sequence[str]) -> DataFrame:
+    """Where the first ``floor(n * fraction)`` rows by score end, from :func:`prefix_sums` over counts
+    ``_c`` per (by, score): one row (by, _cut, _need, _of) per group that selects any row. ``_need``
+    of the ``_of`` rows of score ``_cut`` are selected."""
+    k = F.floor(F.col("_c_total").cast("double") * F.lit(float(fraction)))
+    before = F.col("_c_cum") - F.col("_c")
+    return counted.where((before < k) & (F.col("_c_cum") >= k)).select(
+        *by, F.col(score).alias("_cut"), (k - before).alias("_need"), F.col("_c").alias("_of"), F.lit(True).alias("_any"))
 
 
 def top_fraction(
@@ -138,13 +127,26 @@ def top_fraction(
     by: Sequence[str] = (),
     n_slices: int | None = None,
 ) -> DataFrame:
-    """K4: the first ``floor(n * fraction)`` rows by ``score`` descending (ties by ``tie_break``
-    ascending), per ``by`` group; ``n`` counts the group's rows (trap T16: the product is taken in
-    double precision, like ``int(len(df) * 0.3)``)."""
+    """K4: the first ``floor(n * fraction)`` rows by ``score`` descending, NULL last (ties by
+    ``tie_break`` ascending), per ``by`` group; ``n`` counts the group's rows (trap T16: the product
+    is taken in double precision, like ``int(len(df) * 0.3)``).
+
+    Only counts per distinct score are ordered; among the rows of the score at the cut, only their
+    tie-break values. The rows themselves are filtered where they are.
+    """
     by = list(by)
-    ranked = global_rank(df, [(score, "desc"), tie_break], by=by, out="_rank", n_slices=n_slices)
-    k = F.floor(F.col("_rank_of").cast("double") * F.lit(float(fraction)))  # group size comes with the rank
-    return ranked.where(F.col("_rank") <= k).drop("_rank", "_rank_of")
+    counts = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_c"))
+    cut = fraction_cut(prefix_sums(counts, [(score, "desc")], ["_c"], by=by, n_slices=n_slices), score, fraction, by)
+    at_cut = F.col("_any") & F.col(score).eqNullSafe(F.col("_cut"))
+    marked = _per_group(df, cut, by, ["_cut", "_need", "_of", "_any"])
+    ties = marked.where(at_cut & (F.col("_need") < F.col("_of"))).select(*by, tie_break, "_need")
+    ranked = global_rank(ties, [tie_break], by=by, out="_rank", n_slices=n_slices)
+    last = ranked.where(F.col("_rank") == F.col("_need")).select(*by, F.col(tie_break).alias("_last"))
+    marked = _per_group(marked, last, by, ["_last"])
+    above = F.when(F.col("_cut").isNull(), F.col(score).isNotNull()).otherwise(F.col(score) > F.col("_cut"))
+    whole = F.col("_need") == F.col("_of")
+    keep = F.col("_any") & (F.coalesce(above, F.lit(False)) | at_cut & (whole | (F.col(tie_break) <= F.col("_last"))))
+    return marked.where(keep).select(*df.columns)
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -175,7 +177,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     if by:
         # one row per group: the group's count comes with the per-slice totals
         per_group = cum.groupBy(*by).agg(targets(F.first("_c_total")).alias("_targets"))
-        ranked = join_null_safe(cum, broadcast_if_small(per_group), by)
+        ranked = join_null_safe(cum, per_group, by)
     else:
         ranked = cum.withColumn("_targets", cum.agg(targets(F.first("_c_total"))).scalar())
     inside = lambda r: (F.col("_prev") <= r) & (r < F.col("_c_cum"))  # noqa: E731  (0-based rank r)

@@ -1,7 +1,8 @@
 """Ranking metrics of scored binary labels, overall or per segment.
 
-Rows are ordered with the distributed prefix sums of :mod:`arrears.operators.ordered` — no global
-window in one task — and every metric comes from one aggregation over the ranked rows.
+Rows are counted per (group, score); only these counts are ordered, with the distributed prefix sums
+of :mod:`arrears.operators.ordered`, and the metrics are sums over them. A NULL score ranks last. A
+group with one class only has no ROC-AUC (NULL), one without positives no PR-AUC.
 
 * ROC-AUC: trapezoids of the ROC curve over distinct thresholds = Mann-Whitney with ties counted
   half: ``sum_s neg(s) * (TP(>s) + pos(s)/2) / (P * N)``.
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrears.operators.ordered import prefix_sums, top_fraction
+from arrears.operators.ordered import fraction_cut, global_rank, join_null_safe, prefix_sums, top_fraction
 
 
 def stack_scores(df: DataFrame, label: str, scores: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
@@ -43,43 +44,37 @@ def binary_metrics(
 ) -> DataFrame:
     """M8-M10 for each model (and ``by`` group): ``(by..., model, roc_auc, pr_auc, precision_at)``.
 
-    One ordered pass: running positive / negative counts over the rows in ``(score desc, id)``
-    order (a total order, so the range partitioner can split even a score shared by a third of the
-    rows). The running count is the row's rank for precision@k; the counts at the end of each
-    score's tie block are the ROC / PR curve points.
+    Running positive / negative counts over the distinct scores give the ROC / PR curve points.
+    Precision at the fraction counts whole scores above the cut; of the score at the cut only ids
+    and labels are ranked, where the cut goes through it.
     """
     keys = [*by, "model"]
-    long = stack_scores(df, label, scores, keep=[*by, id_col]).select(
-        *keys, id_col, "score", "y", (-F.col("score")).alias("_neg_score"), (1 - F.col("y")).alias("_n")
-    )
-    cum = prefix_sums(long, ["_neg_score", id_col], ["y", "_n"], by=keys)
-    rank = F.col("y_cum") + F.col("_n_cum")
-    k = F.floor((F.col("y_total") + F.col("_n_total")).cast("double") * F.lit(float(fraction)))
-    in_top = rank <= k
-    # a single aggregation over the ranked rows: curve points per tie block and the top-k counts
-    per_score = cum.groupBy(*keys, "score").agg(
-        F.sum("y").cast("double").alias("pos"),
-        F.sum("_n").cast("double").alias("neg"),
-        F.max("y_cum").cast("double").alias("tp"),
-        F.max("_n_cum").cast("double").alias("fp"),
-        F.sum(F.when(in_top, F.col("y"))).alias("top_pos"),
-        F.count(F.when(in_top, 1)).alias("top_rows"),
-        F.first("y_total").cast("double").alias("P"),
-        F.first("_n_total").cast("double").alias("N"),
-    )
-    g = per_score.groupBy(*keys).agg(
-        F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("_area"),
-        F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))).alias("_ap"),
-        F.sum("top_pos").alias("_top_pos"),
-        F.sum("top_rows").alias("_top_rows"),
-        F.first("P").alias("_P"),
-        F.first("N").alias("_N"),
+    long = stack_scores(df, label, scores, keep=[*by, id_col])
+    counts = long.groupBy(*keys, "score").agg(
+        F.sum("y").alias("_pos"), F.sum(1 - F.col("y")).alias("_neg"), F.count(F.lit(1)).alias("_c"))
+    cum = prefix_sums(counts, [("score", "desc")], ["_pos", "_neg", "_c"], by=keys)
+    pos, neg, tp, fp = (F.col(c).cast("double") for c in ("_pos", "_neg", "_pos_cum", "_neg_cum"))
+    k = F.floor(F.col("_c_total").cast("double") * F.lit(float(fraction)))
+    curve = cum.groupBy(*keys).agg(
+        F.sum(neg * (tp - pos / 2)).alias("_area"),
+        F.sum(F.when(pos > 0, pos * tp / (tp + fp))).alias("_ap"),
+        F.sum(F.when(F.col("_c_cum") <= k, F.col("_pos"))).alias("_above"),
+        F.first(k).alias("_k"),
+        F.first("_pos_total").cast("double").alias("_P"),
+        F.first("_neg_total").cast("double").alias("_N"),
     )
+    cut = fraction_cut(cum, "score", fraction, keys).where(F.col("_need") < F.col("_of"))
+    at_cut = join_null_safe(long, cut.select(*keys, F.col("_cut").alias("score"), "_need"), [*keys, "score"])
+    ranked = global_rank(at_cut.select(*keys, id_col, "y", "_need"), [id_col], by=keys, out="_rank")
+    partial = ranked.where(F.col("_rank") <= F.col("_need")).groupBy(*keys).agg(F.sum("y").alias("_at_cut"))
+    g = join_null_safe(curve, partial, keys, "left")
+    in_top = F.coalesce("_above", F.lit(0)) + F.coalesce("_at_cut", F.lit(0))
+    pairs = F.nullif(F.col("_P") * F.col("_N"), F.lit(0.0))
     return g.select(
         *keys,
-        F.round(F.col("_area") / (F.col("_P") * F.col("_N")), 6).alias("roc_auc"),
-        F.round(F.coalesce(F.col("_ap"), F.lit(0.0)) / F.col("_P"), 6).alias("pr_auc"),
-        F.round(F.col("_top_pos") / F.nullif(F.col("_top_rows"), F.lit(0)), 6).alias("precision_at"),
+        F.round(F.col("_area") / pairs, 6).alias("roc_auc"),
+        F.round(F.coalesce("_ap", F.lit(0.0)) / F.nullif(F.col("_P"), F.lit(0.0)), 6).alias("pr_auc"),
+        F.round(in_top / F.nullif(F.col("_k"), F.lit(0)), 6).alias("precision_at"),
     )
 
 

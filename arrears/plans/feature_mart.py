@@ -31,6 +31,10 @@ FEATURES = [
 ]
 
 
+# The action types of the log.
+ACTION_TYPES = ("call", "sms", "promise", "payment")
+
+
 def _day_number(c) -> F.Column:
     return F.datediff(F.to_date(c), F.to_date(F.lit("1970-01-01")))
 
@@ -89,9 +93,39 @@ def feature_mart(snapshot: DataFrame, actions: DataFrame, validate: bool = False
     )
 
 
-def actions_before_snapshot(snapshot: DataFrame, actions: DataFrame, days: int) -> DataFrame:
-    """J11 + P8 (row level): snapshot × its customer's actions of the ``days`` days strictly before
-    the snapshot. An equi-join on (customer, day): each snapshot is exploded into its ``days``
+def history_before_snapshot(snapshot: DataFrame, actions: DataFrame) -> DataFrame:
+    """For each snapshot, all its customer's actions strictly before it, however old: counts
+    and amounts by type, and the last action's time.
+
+    Actions are first added up per customer and day; running totals over the days then give every
+    snapshot its whole history in one sort, without a row per (snapshot, action) pair."""
+    t, amount = F.col("action_type"), F.col("action_amount")
+    daily = actions.groupBy("customer_id", _day_number("action_dttm").alias("_dn")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(t == k).alias(f"_n_{k}") for k in ACTION_TYPES],
+        *[F.sum(F.when(t == k, amount)).alias(f"_s_{k}") for k in ("promise", "payment")],
+        F.max("action_dttm").alias("_last"),
+    ).withColumn("_is_snap", F.lit(False))
+    snaps = snapshot.select("customer_id", "snapshot_date", _day_number("snapshot_date").alias("_dn"), F.lit(True).alias("_is_snap"))
+    before = Window.partitionBy("customer_id").orderBy("_dn").rangeBetween(Window.unboundedPreceding, -1)
+    totals = snaps.unionByName(daily, allowMissingColumns=True).select(
+        "customer_id", "snapshot_date", "_is_snap",
+        F.sum("_n").over(before).alias("actions_before"),
+        *[F.sum(f"_n_{k}").over(before).alias(f"{k}_count_before") for k in ACTION_TYPES],
+        *[F.sum(f"_s_{k}").over(before).alias(f"{k}_amount_before") for k in ("promise", "payment")],
+        F.max("_last").over(before).alias("last_action_dttm"),
+    ).where("_is_snap")
+    counts = ["actions_before", *[f"{k}_count_before" for k in ACTION_TYPES]]
+    amounts = ["promise_amount_before", "payment_amount_before"]
+    return totals.select(
+        "customer_id", "snapshot_date", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in amounts], "last_action_dttm",
+    )
+
+
+def actions_lookback(snapshot: DataFrame, actions: DataFrame, days: int) -> DataFrame:
+    """Row level: snapshot × its customer's actions of the ``days`` days strictly before the
+    snapshot. An equi-join on (customer, day): each snapshot is exploded into its ``days``
     look-back days, so no snapshot is ever paired with a customer's whole history."""
     a = actions.select("customer_id", "action_dttm", "action_type", "action_amount")
     ex = snapshot.withColumn("_back", F.explode(F.sequence(F.lit(1), F.lit(days)))).withColumn(
@@ -101,9 +135,10 @@ def actions_before_snapshot(snapshot: DataFrame, actions: DataFrame, days: int)
     return ex.join(a, ["customer_id", "_dn"]).where(F.col("action_dttm") < F.col("snapshot_date")).drop("_dn", "_back")
 
 
-def leak_violations(features_input: DataFrame) -> DataFrame:
-    """P8 check: rows with an action at or after the snapshot (must be 0)."""
-    return features_input.agg(F.count_if(F.col("action_dttm") >= F.col("snapshot_date")).alias("violations"))
+def leak_violations(history: DataFrame) -> DataFrame:
+    """P8 check on :func:`history_before_snapshot`: snapshots whose last counted action is not
+    strictly before them (must be 0). The history is cut by day, the check compares times."""
+    return history.agg(F.count_if(F.col("last_action_dttm") >= F.col("snapshot_date")).alias("violations"))
 
 
 def top_contacted_unpaid(mart: DataFrame, n: int = 20) -> DataFrame:

@@ -82,48 +82,60 @@ def strategy_comparison(scoring: DataFrame, fraction: float = 0.25, cost_per_con
     )
 
 
-def equal_width_bin(v: Column, lo: Column, hi: Column, n: int) -> Column:
-    """numpy-compatible bin index in ``0 .. n-1`` of ``v`` for edges ``linspace(lo, hi, n+1)``;
-    NULL outside ``[lo, hi]``."""
-    step = (hi - lo) / F.lit(float(n))
+def _with_bin(values: DataFrame, v: str, rng: Column, n: int) -> DataFrame:
+    """Add ``bin``: the numpy-compatible index in ``0 .. n-1`` of column ``v`` for the edges
+    ``linspace(lo, hi, n+1)`` of the struct ``rng`` (one scalar subquery); NULL outside the range.
 
-    def edge(i: Column) -> Column:
-        return F.when(i >= n, hi).otherwise(i.cast("double") * step + lo)
+    Every step is a column of its own, so no step's expression is copied into the next. Equal edges
+    put everything into the last bin, which is closed on both sides.
+    """
+    lo, hi, x = F.col("_r.lo"), F.col("_r.hi"), F.col("_v")
 
-    guess = F.least(F.floor((v - lo) * F.lit(float(n)) / (hi - lo)), F.lit(n - 1)).cast("int")
-    guess = F.greatest(guess, F.lit(0))
-    down = F.when(v < edge(guess), guess - 1).otherwise(guess)
-    fixed = F.when((v >= edge(down + 1)) & (down != n - 1), down + 1).otherwise(down)
-    return F.when((v >= lo) & (v <= hi), F.when(hi == lo, F.lit(0)).otherwise(fixed))
+    def edge(i: Column) -> Column:
+        return F.when(i >= n, hi).otherwise(i.cast("double") * F.col("_step") + lo)
+
+    guess = F.floor((x - lo) / F.nullif(F.col("_step"), F.lit(0.0))).cast("int")
+    staged = (
+        values.withColumn("_v", F.col(v).cast("double")).withColumn("_r", rng)
+        .withColumn("_step", (hi - lo) / F.lit(float(n)))
+        .withColumn("_guess", F.least(F.greatest(F.coalesce(guess, F.lit(n - 1)), F.lit(0)), F.lit(n - 1)))
+        .withColumn("_down", F.when((x < edge(F.col("_guess"))) & (F.col("_guess") > 0), F.col("_guess") - 1).otherwise(F.col("_guess")))
+    )
+    up = (x >= edge(F.col("_down") + 1)) & (F.col("_down") < n - 1)
+    inside = (x >= lo) & (x <= hi)
+    return staged.withColumn("bin", F.when(inside, F.when(up, F.col("_down") + 1).otherwise(F.col("_down")))).drop(
+        "_v", "_r", "_step", "_guess", "_down")
 
 
-def histogram(values: DataFrame, col: str, n_bins: int, lo: Column | None = None, hi: Column | None = None) -> DataFrame:
-    """Counts per equal-width bin on ``[lo, hi]`` (default: the column's own range).
+def _bin_edges(spark, rng: Column, n: int) -> DataFrame:
+    """``(bin, bin_left, bin_right)`` of all ``n`` bins of the range struct."""
+    step = (F.col("_r.hi") - F.col("_r.lo")) / F.lit(float(n))
+    bins = spark.range(n).select(F.col("id").cast("int").alias("bin"), rng.alias("_r")).withColumn("_step", step)
+    return bins.select(
+        "bin",
+        (F.col("bin").cast("double") * F.col("_step") + F.col("_r.lo")).alias("bin_left"),
+        F.when(F.col("bin") == n - 1, F.col("_r.hi"))
+        .otherwise((F.col("bin") + 1).cast("double") * F.col("_step") + F.col("_r.lo")).alias("bin_right"),
+    )
 
-    ``(bin, bin_left, bin_right, count)`` for all ``n_bins`` bins (empty ones with 0)."""
-    if lo is None:
-        lo, hi = value_range(values, col)
-    return _binned(values, col, lo, hi, n_bins)
 
+def value_range(df: DataFrame, col: str, widen: bool = False) -> Column:
+    """``struct(lo, hi)`` of a column as one scalar subquery (one pass over the data). ``widen``: a
+    constant column gets half a unit on both sides, as ``numpy.histogram`` does for its own range."""
+    lo, hi = F.min(col).cast("double"), F.max(col).cast("double")
+    half = F.when(lo == hi, F.lit(0.5)).otherwise(F.lit(0.0)) if widen else F.lit(0.0)
+    return df.agg(F.struct((lo - half).alias("lo"), (hi + half).alias("hi"))).scalar()
 
-def value_range(df: DataFrame, col: str) -> tuple[Column, Column]:
-    """``(min, max)`` of a column as fields of one scalar subquery (one pass over the data)."""
-    rng = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
-    return rng["lo"], rng["hi"]
 
+def histogram(values: DataFrame, col: str, n_bins: int) -> DataFrame:
+    """Counts per equal-width bin on the column's own range.
 
-def _binned(values: DataFrame, col: str, lo: Column, hi: Column, n_bins: int) -> DataFrame:
-    """Bin counts; ``lo`` / ``hi`` are scalar expressions (scalar subqueries on the data)."""
-    counts = values.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-    b = counts.select(equal_width_bin(F.col(col), lo, hi, n_bins).alias("bin"), "_c").where(F.col("bin").isNotNull())
-    per_bin = b.groupBy("bin").agg(F.sum("_c").alias("count"))
-    step = (hi - lo) / F.lit(float(n_bins))
-    bins = per_bin.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin")).select(
-        "bin",
-        (F.col("bin").cast("double") * step + lo).alias("bin_left"),
-        F.when(F.col("bin") == n_bins - 1, hi).otherwise((F.col("bin") + 1).cast("double") * step + lo).alias("bin_right"),
-    )
-    return bins.join(per_bin, "bin", "left").select(
+    ``(bin, bin_left, bin_right, count)`` for all ``n_bins`` bins (empty ones with 0). Rows are
+    binned where they are, so at most ``n_bins`` rows leave a task. No values: edges are NULL."""
+    rng = value_range(values, col, widen=True)
+    per_bin = _with_bin(values.select(col), col, rng, n_bins).where(F.col("bin").isNotNull()).groupBy("bin").agg(
+        F.count(F.lit(1)).alias("count"))
+    return _bin_edges(values.sparkSession, rng, n_bins).join(per_bin, "bin", "left").select(
         "bin", "bin_left", "bin_right", F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")
     )
 
@@ -138,18 +150,23 @@ def psi_bins(
     alternative the reference describes; repeated edges give empty bins. Values outside the train
     range are dropped from counts and totals in both (``numpy.histogram``)."""
     if method == "uniform":
-        lo, hi = value_range(train_scores, "score")
-        tr = _binned(train_scores.select("score"), "score", lo, hi, n_bins).withColumnRenamed("count", "train_count")
-        sc = _binned(scoring.select("score"), "score", lo, hi, n_bins).select("bin", F.col("count").alias("scoring_count"))
+        rng = value_range(train_scores, "score")
+        scores = train_scores.select("score", F.lit(True).alias("_train")).unionByName(
+            scoring.select("score", F.lit(False).alias("_train")))
+        counts = _with_bin(scores, "score", rng, n_bins).where(F.col("bin").isNotNull()).groupBy("bin").agg(
+            F.count_if(F.col("_train")).alias("train_count"), F.count_if(~F.col("_train")).alias("scoring_count"))
+        both = _bin_edges(train_scores.sparkSession, rng, n_bins).join(counts, "bin", "left").select(
+            "bin", "bin_left", "bin_right",
+            *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in ("train_count", "scoring_count")])
     elif method == "quantile":
         edges = exact_quantiles(train_scores.select("score"), "score", [i / n_bins for i in range(n_bins + 1)])
         edges = edges.select(F.round(F.col("prob") * n_bins).cast("int").alias("i"), F.col("value").alias("edge"))
         tr = _edge_binned(train_scores.select("score"), edges, n_bins).withColumnRenamed("count", "train_count")
         sc = _edge_binned(scoring.select("score"), edges, n_bins).select("bin", F.col("count").alias("scoring_count"))
+        both = tr.join(sc, "bin")
     else:
         raise ValueError(f"unknown binning method {method}")
-    both = tr.join(sc, "bin")
-    share = lambda c: F.col(c) / F.sum(c).over(_whole())  # noqa: E731  (n_bins rows: a bounded window)
+    share = lambda c: F.col(c) / F.nullif(F.sum(c).over(_whole()), F.lit(0))  # noqa: E731  (n_bins rows: a bounded window)
     out = both.select(
         "bin", "bin_left", "bin_right",
         share("train_count").alias("_t"), share("scoring_count").alias("_s"),
@@ -164,17 +181,15 @@ def psi_bins(
 def _edge_binned(values: DataFrame, edges: DataFrame, n_bins: int) -> DataFrame:
     """Counts per bin for explicit edges ``i = 0 .. n_bins``: bins left-closed, the last one closed
     (``numpy.histogram``). The bin of a value is ``searchsorted(edges, v, 'right') - 1`` over the
-    sorted edge array (``n_bins + 1`` values, a scalar subquery); values are pre-counted first."""
+    sorted edge array (``n_bins + 1`` values, a scalar subquery); rows are binned where they are."""
     # the edge array enters as its own column: a subquery may not sit inside the lambda below
-    counts = values.groupBy("score").agg(F.count(F.lit(1)).alias("_c")).withColumn(
-        "_edges", edges.agg(F.sort_array(F.collect_list("edge"))).scalar()
-    )
+    counts = values.withColumn("_edges", edges.agg(F.sort_array(F.collect_list("edge"))).scalar())
     v, edge_arr = F.col("score"), F.col("_edges")
     right = F.size(F.filter(edge_arr, lambda e: e <= v)) - 1
     last = F.element_at(edge_arr, -1)
     bin_of = F.when((v >= F.element_at(edge_arr, 1)) & (v <= last), F.when(v == last, F.lit(n_bins - 1)).otherwise(right))
-    hits = counts.select(bin_of.alias("bin"), "_c").where(F.col("bin").isNotNull()).groupBy("bin").agg(
-        F.sum("_c").alias("count")
+    hits = counts.select(bin_of.alias("bin")).where(F.col("bin").isNotNull()).groupBy("bin").agg(
+        F.count(F.lit(1)).alias("count")
     )
     left = edges.where(F.col("i") < n_bins).select(F.col("i").alias("bin"), F.col("edge").alias("bin_left"))
     right_edge = edges.where(F.col("i") > 0).select((F.col("i") - 1).alias("bin"), F.col("edge").alias("bin_right"))
@@ -200,44 +215,49 @@ def score_shift(train_scores: DataFrame, scoring: DataFrame) -> DataFrame:
     )
 
 
-KDE_REACH = 12.0  # bandwidths; a Gaussian kernel beyond 12 h weighs < 4e-33 of its mass
+# bandwidths; beyond this distance the kernel exp(-z * z / 2) is exactly 0.0 in double precision
+KDE_REACH = 38.7
 
 
 def score_density(sets: dict[str, DataFrame], points: int = 1000) -> DataFrame:
     """Gaussian KDE (Scott's rule: ``h = std * n^(-1/5)``) of each score set on ``points`` grid
     points spanning the set's range widened by half of it on both sides (``numpy.linspace``).
 
-    Scores are pre-counted per distinct value, and each value is spread only onto the grid points
-    within ``KDE_REACH`` bandwidths (the grid is uniform, so they are an index range): no value ×
-    grid product. What is left out is below 4e-33 of a kernel's mass, far under the 6th decimal."""
+    Scores are pre-counted per distinct value, and each value is spread onto the grid points within
+    ``KDE_REACH`` bandwidths (the grid is uniform, so they are an index range). A set without a
+    bandwidth (one score, or all equal) has no density: NULL on all grid points."""
     frames = []
     for name, df in sets.items():
-        counts = df.groupBy("score").agg(F.count(F.lit(1)).alias("_c"))
         st = df.agg(F.struct(
             F.min("score").alias("lo"), F.max("score").alias("hi"),
-            F.stddev_samp("score").alias("sd"), F.count(F.lit(1)).alias("n"),
+            F.stddev_samp("score").alias("sd"), F.count("score").alias("n"),
         )).scalar()  # one pass, one scalar subquery
-        lo, hi, sd, n = st["lo"], st["hi"], st["sd"], st["n"]
-        start, stop = lo - F.lit(0.5) * (hi - lo), hi + F.lit(0.5) * (hi - lo)
-        step = (stop - start) / F.lit(float(points - 1))
-        h = sd * F.pow(n.cast("double"), F.lit(-0.2))
-
-        def grid_x(i: Column) -> Column:  # numpy.linspace: start + i * step, the last point exactly stop
-            return F.when(i == points - 1, stop).otherwise(i.cast("double") * step + start)
-
-        first = F.greatest(F.lit(0), F.ceil((F.col("score") - F.lit(KDE_REACH) * h - start) / step).cast("int"))
-        last = F.least(F.lit(points - 1), F.floor((F.col("score") + F.lit(KDE_REACH) * h - start) / step).cast("int"))
-        near = counts.select(
-            "score", "_c",
-            F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))).alias("i"),
-        )
-        z = (grid_x(F.col("i")) - F.col("score")) / h
-        contrib = F.col("_c") * F.exp(-0.5 * z * z) / (h * F.lit(math.sqrt(2 * math.pi)))
-        sums = near.groupBy("i").agg(F.sum(contrib).alias("_s"))
-        grid = counts.sparkSession.range(points).select(F.col("id").cast("int").alias("i"))
+        start = F.col("_st.lo") - F.lit(0.5) * (F.col("_st.hi") - F.col("_st.lo"))
+        stop = F.col("_st.hi") + F.lit(0.5) * (F.col("_st.hi") - F.col("_st.lo"))
+
+        def staged(rows: DataFrame) -> DataFrame:
+            """The set's statistics, grid and bandwidth as columns, each computed once."""
+            return (
+                rows.withColumn("_st", st).withColumn("_start", start).withColumn("_stop", stop)
+                .withColumn("_step", (F.col("_stop") - F.col("_start")) / F.lit(float(points - 1)))
+                .withColumn("_h", F.nullif(F.col("_st.sd") * F.pow(F.col("_st.n").cast("double"), F.lit(-0.2)), F.lit(0.0)))
+            )
+
+        # numpy.linspace: start + i * step, the last point exactly stop
+        grid_x = F.when(F.col("i") == points - 1, F.col("_stop")).otherwise(F.col("i").cast("double") * F.col("_step") + F.col("_start"))
+        counts = staged(df.where(F.col("score").isNotNull()).groupBy("score").agg(F.count(F.lit(1)).alias("_c")))
+        counts = counts.where(F.col("_h").isNotNull()).withColumn("_reach", F.lit(KDE_REACH) * F.col("_h"))
+        first = F.greatest(F.lit(0.0), F.ceil((F.col("score") - F.col("_reach") - F.col("_start")) / F.col("_step"))).cast("int")
+        last = F.least(F.lit(points - 1.0), F.floor((F.col("score") + F.col("_reach") - F.col("_start")) / F.col("_step"))).cast("int")
+        near = counts.withColumn("_first", first).withColumn("_last", last).where("_first <= _last").select(
+            "score", "_c", "_h", "_step", "_start", "_stop", F.explode(F.sequence("_first", "_last")).alias("i"))
+        z = (grid_x - F.col("score")) / F.col("_h")
+        sums = near.withColumn("_z", z).groupBy("i").agg(
+            F.sum(F.col("_c") * F.exp(-0.5 * F.col("_z") * F.col("_z")) / (F.col("_h") * F.lit(math.sqrt(2 * math.pi)))).alias("_s"))
+        grid = staged(df.sparkSession.range(points).select(F.col("id").cast("int").alias("i")))
         dens = grid.join(sums, "i", "left").select(
-            F.lit(name).alias("dataset"), "i", grid_x(F.col("i")).alias("x"),
-            F.round(F.coalesce(F.col("_s"), F.lit(0.0)) / n, 6).alias("density"),
+            F.lit(name).alias("dataset"), "i", grid_x.alias("x"),
+            F.when(F.col("_h").isNotNull(), F.round(F.coalesce(F.col("_s"), F.lit(0.0)) / F.col("_st.n"), 6)).alias("density"),
         )
         frames.append(dens)
     out = frames[0]

@@ -185,11 +185,13 @@ def boosted_trees(
     assembler = VectorAssembler(inputCols=[*num_cols, *[f"{c}_idx" for c in cat_cols]], outputCol="features")
     prep = Pipeline(stages=[imputer, idx, assembler]).fit(train)
     tr, va = prep.transform(train).cache(), prep.transform(validation).cache()
+    # a tree needs a bin for every category of a feature, and the index of unseen ones
+    categories = max((len(labels) + 1 for labels in prep.stages[1].labelsArray), default=0)
 
     def gbt(n: int) -> GBTClassifier:
         return GBTClassifier(
             featuresCol="features", labelCol=LABEL, maxIter=n, stepSize=step_size, maxDepth=max_depth,
-            maxBins=64, seed=seed, lossType="logistic", subsamplingRate=1.0, featureSubsetStrategy="all",
+            maxBins=max(64, categories), seed=seed, lossType="logistic", subsamplingRate=1.0, featureSubsetStrategy="all",
         )
 
     n = min(first_chunk or patience + 1, max_iter)

@@ -83,3 +83,38 @@ def test_top_fraction_per_day_capacity(spark):
     df = spark.createDataFrame(rows, "row_id long, score double, snapshot_date timestamp_ntz")
     per_day = ln.select_top(df, 0.25, by=["snapshot_date"]).groupBy("snapshot_date").count().collect()
     assert sorted(r["count"] for r in per_day) == [5, 5]
+
+
+def test_histogram_of_a_constant_column(spark):
+    from arrears.plans import launch as ln
+
+    df = spark.createDataFrame([(2.0,)] * 5 + [(None,)], "score double")
+    want, edges = np.histogram([2.0] * 5, bins=4)
+    got = sorted(ln.histogram(df, "score", 4).collect())
+    assert [r["count"] for r in got] == want.tolist()
+    assert np.allclose([r.bin_left for r in got] + [got[-1].bin_right], edges)
+
+
+def test_psi_bins_of_constant_train_scores(spark):
+    from arrears.plans import launch as ln
+
+    train = spark.createDataFrame([(0.5,)] * 4, "score double")
+    scoring = spark.createDataFrame([(0.5,), (0.7,)], "score double")
+    got = sorted(ln.psi_bins(train, scoring, n_bins=5).collect())
+    assert [r.train_dist for r in got][-1] == 1.0 and [r.scoring_dist for r in got][-1] == 1.0
+
+
+def test_density_without_a_bandwidth_is_null(spark):
+    from arrears.plans import launch as ln
+
+    for rows in ([(0.5,)] * 3, [(0.5,)]):
+        got = ln.score_density({"a": spark.createDataFrame(rows, "score double")}, points=10).collect()
+        assert len(got) == 10 and all(r.density is None for r in got)
+
+
+def test_binned_plans_read_their_input_few_times(spark):
+    from arrears.plans import launch as ln
+
+    train = spark.createDataFrame([(i / 10,) for i in range(30)], "score double")
+    plan = ln.psi_bins(train, train.select((train.score + 0.1).alias("score")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 10  # two inputs, and copies of the range subquery

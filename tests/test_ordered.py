@@ -23,7 +23,7 @@ def test_prefix_sums_match_cumsum(spark):
 
 def test_prefix_sums_descending(spark):
     df = spark.createDataFrame([(i, 1) for i in range(50)], "k int, v int")
-    got = {r.k: r.v_cum for r in prefix_sums(df, ["k"], ["v"], descending=True, n_slices=4).collect()}
+    got = {r.k: r.v_cum for r in prefix_sums(df, [("k", "desc")], ["v"], n_slices=4).collect()}
     assert got[49] == 1 and got[0] == 50
 
 
@@ -68,3 +68,23 @@ def test_exact_median_differs_from_approximate_imputer_case(spark):
     # trap T13: the exact median of 1,2,3,4,100 is 3
     df = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4, 100)], "v double")
     assert exact_quantiles(df, "v", [0.5]).collect()[0].value == 3.0
+
+
+def test_top_fraction_puts_null_scores_last(spark):
+    rows = [(0, 0.9, "x"), (1, None, "x"), (2, 0.5, "x"), (3, 0.4, "x"), (4, None, "y"), (5, None, "y"), (6, 0.1, "y"), (7, None, "y")]
+    df = spark.createDataFrame(rows, "row_id long, score double, g string")
+    assert [r.row_id for r in top_fraction(df.where("g = 'x'"), "score", "row_id", 0.25).collect()] == [0]
+    assert sorted(r.row_id for r in top_fraction(df, "score", "row_id", 0.75, by=["g"]).collect()) == [0, 2, 3, 4, 5, 6]
+    assert top_fraction(df, "score", "row_id", 0.1).count() == 0
+    assert top_fraction(df.limit(0), "score", "row_id", 0.5).count() == 0
+
+
+def test_top_fraction_orders_only_counts(spark):
+    import re
+
+    df = spark.createDataFrame([(i, float(i % 3), "wide" * 9) for i in range(90)], "row_id long, score double, payload string")
+    out = top_fraction(df, "score", "row_id", 0.5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"rangepartitioning.*payload", plan)
+    assert sorted(r.row_id for r in out.collect()) == sorted(
+        i for i, _ in sorted(((i, i % 3) for i in range(90)), key=lambda t: (-t[1], t[0]))[:45])

@@ -45,3 +45,18 @@ def test_average_precision_is_step_sum_not_interpolated(spark):
     m = rk.binary_metrics(df, "y", {"m": "p"}, "row_id").collect()[0]
     assert m.pr_auc == round(0.5 * 1.0 + 0.5 * (2 / 3), 6)
     assert m.roc_auc == 0.75
+
+
+def test_one_class_segment_and_null_scores(spark):
+    rows = [(i, int(i % 3 == 0), None if i % 5 == 0 else i / 10, "mixed") for i in range(40)]
+    rows += [(100 + i, 0, i / 10, "no positives") for i in range(7)] + [(200 + i, 1, i / 10, "no negatives") for i in range(7)]
+    df = spark.createDataFrame(rows, "row_id long, y int, p double, g string")
+    seg = {r.segment: r for r in rk.segment_metrics(df, "y", {"m": "p"}, "row_id", ["g"]).collect()}
+    assert seg["no positives"].roc_auc_m is None and seg["no positives"].pr_auc_m is None
+    assert seg["no positives"].p30_m == 0.0
+    assert seg["no negatives"].roc_auc_m is None and seg["no negatives"].pr_auc_m == 1.0 and seg["no negatives"].p30_m == 1.0
+    y = [r[1] for r in rows[:40]]
+    s = [-1.0 if r[2] is None else r[2] for r in rows[:40]]
+    assert abs(seg["mixed"].roc_auc_m - round(_auc(y, s), 6)) < 1e-9
+    order = sorted(range(40), key=lambda i: (-s[i], i))[:12]
+    assert abs(seg["mixed"].p30_m - round(sum(y[i] for i in order) / 12, 6)) < 1e-9
