@@ -81,23 +81,20 @@ def text_views(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int,
 
     Null texts are empty. ``offsets`` has one entry more than the step has rows.
     """
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks)
-    column = column.cast(pa.large_string()).fill_null("")
-    n = len(column)
-    if not n:
-        return
-    _, raw_offsets, raw = column.buffers()
-    offsets = np.frombuffer(raw_offsets, np.int64, n + 1, column.offset * 8)
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-    row = 0
-    while row < n:
-        last = int(np.searchsorted(offsets, offsets[row] + step, "right")) - 1
-        last = min(n, max(last, row + 1))
-        yield row, data[offsets[row]:offsets[last]], offsets[row:last + 1] - offsets[row]
-        row = last
+    for begin in range(0, len(column), 1000):  # converted in slices: no second copy of the whole column
+        part = column.slice(begin, 1000)
+        part = pa.concat_arrays(part.chunks) if isinstance(part, pa.ChunkedArray) else part
+        part = part.cast(pa.large_string()).fill_null("")
+        n = len(part)
+        _, raw_offsets, raw = part.buffers()
+        offsets = np.frombuffer(raw_offsets, np.int64, n + 1, part.offset * 8)
+        data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+        row = 0
+        while row < n:
+            last = int(np.searchsorted(offsets, offsets[row] + step, "right")) - 1
+            last = min(n, max(last, row + 1))
+            yield begin + row, data[offsets[row]:offsets[last]], offsets[row:last + 1] - offsets[row]
+            row = last
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

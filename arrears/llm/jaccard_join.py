@@ -37,9 +37,9 @@ from arrears.llm.shingles import set_keys, shingles
 
 COUNTER_BITS = 22
 CHUNK = 1 << 16
-BUCKET_POSTINGS = 1_000_000
-BLOCK = 4096
-GROUP_DOCS = 2000
+BUCKET_POSTINGS = 600_000
+BLOCK = 2048
+GROUP_DOCS = 500
 FANOUT = 8
 SIGNATURE_BITS = 1024
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -61,7 +61,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 hashes, at = shingles(data, offsets, k)
                 waiting.append(_counter(hashes))
                 size += len(hashes)
-                if size > 2_000_000:
+                if size > 1_000_000:
                     np.add(counts, np.bincount(np.concatenate(waiting), minlength=len(counts)), out=counts, casting="unsafe")
                     waiting, size = [], 0
                 key1, key2 = set_keys(hashes, at)
@@ -157,7 +157,7 @@ def prefix_postings(docs: DataFrame, counts, buckets: int, k: int, percent: int)
                 for column, value in zip(held, (key1, n, hashes[near], owner[near] + sets)):
                     column.append(value)
                 sets, posts = sets + len(n), posts + len(near)
-                if posts > 2_000_000:
+                if posts > 1_000_000:
                     yield from emit(held)
                     held, sets, posts = [[], [], [], []], 0, 0
         if posts:

@@ -35,21 +35,39 @@ from arrears.llm.words import _INVERSE, powers, prefix_hashes
 
 LENGTH, GRAM = 50, 16
 PLACE_BITS = 26  # of an anchor's place in what is scanned at once
-FLUSH_BYTES = 16 << 20
-GROUP_BYTES = 16 << 20
-SHARD_BYTES = 24 << 20  # of text that stands behind a shard's regions
-TOKEN_BUCKET = 1_500_000
+FLUSH_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
+SHARD_BYTES = 6 << 20  # of text that stands behind a shard's regions
+TOKEN_BUCKET = 2_500_000
 NO_ID = np.iinfo(np.int64).max
 
 
+# a stretch of a text: its smallest document, the text's group and place there, the first byte, the bytes
+_REGION = np.dtype([("doc", "<i8"), ("group", "<u4"), ("ord", "<u4"), ("start", "<i8"), ("length", "u1")])
+
+
 def _pack(array: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(array).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(array).tobytes())
 
 
 def _unpack(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
+def _pack_regions(regions: np.ndarray) -> bytes:
+    """Column by column, which packs better than row by row."""
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(regions[f].tobytes() for f in _REGION.names))
+
+
+def _unpack_regions(blob: bytes) -> np.ndarray:
+    raw, at = zstandard.ZstdDecompressor().decompress(blob), 0
+    out = np.empty(len(raw) // _REGION.itemsize, _REGION)
+    for f in _REGION.names:
+        out[f] = np.frombuffer(raw, _REGION[f], len(out), at)
+        at += len(out) * _REGION[f].itemsize
+    return out
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Regions of the rows: (anchor hash, row, first string, last string), places in ``data``."""
     limit = (1 << PLACE_BITS) - LENGTH
@@ -95,15 +113,24 @@ def _short_key(keys: list[bytes]) -> np.ndarray:
 
 def _shared_key(text: np.ndarray, token: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """One number for (text, anchor); a collision only sends a region too many."""
-    return mix64(text ^ mix64((bucket.astype(np.uint64) << np.uint64(32)) | token.astype(np.uint64)))
+    return (mix64(text ^ mix64((bucket.astype(np.uint64) << np.uint64(32)) | token.astype(np.uint64)))
+            >> np.uint64(32)).astype(np.uint32)
+
+
+def _by_group(group: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Distinct marks of each group, ascending."""
+    both = np.unique((group.astype(np.uint64) << np.uint64(32)) | marks.astype(np.uint64))
+    cuts = np.flatnonzero(np.r_[True, (both[1:] >> np.uint64(32)) != (both[:-1] >> np.uint64(32)), True]) if len(both) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(both[a] >> np.uint64(32)), both[a:b].astype("<u4").tobytes()
 
 
 def scan(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
     """Texts, anchor tokens and anchors found shared in a batch, as packed rows (kind, key, a, b, c).
 
     text: key = group, texts' keys, smallest ids with lengths, and the bytes. token: key = bucket,
-    tokens with their text, the texts, and which are shared already. shared: key = group, numbers
-    of :func:`_shared_key`.
+    tokens in order of texts, the texts, how many each has and which are shared already. shared:
+    key = group, numbers of :func:`_shared_key`.
     """
     names = ["kind", "key", "a", "b", "c"]
 
@@ -123,7 +150,7 @@ def scan(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
             parts = [texts[keys[i]][1] for i in mine]
             add("text", int(g), b"".join(keys[i] for i in mine),
                 np.stack([ids[mine], [len(p) for p in parts]]).astype("<i8").tobytes(),
-                zstandard.ZstdCompressor(level=1).compress(b"".join(parts)))
+                zstandard.ZstdCompressor(level=3).compress(b"".join(parts)))
         hashes, owner = [], []
         for i, key in enumerate(keys):
             found = texts[key][2]
@@ -139,20 +166,18 @@ def scan(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
         run = np.diff(np.r_[first, len(token)])
         several = owner[first + run - 1] != owner[first] if len(first) else np.zeros(0, bool)
         known = np.repeat(several, run)
-        shared = np.unique(np.stack([group[owner[known]].astype(np.uint64),
-                                     _shared_key(short[owner[known]], token[known], bucket[known])]), axis=1)
-        cuts = np.searchsorted(shared[0], np.arange(groups + 1))
-        for g in range(groups):
-            if cuts[g] < cuts[g + 1]:
-                add("shared", g, shared[1][cuts[g]:cuts[g + 1]].tobytes(), None, None)
+        for g, marks in _by_group(group[owner[known]], _shared_key(short[owner[known]], token[known], bucket[known])):
+            add("shared", g, marks, None, None)
         bucket, token, owner = bucket[first], token[first], owner[first]
+        order = np.lexsort((token, owner, bucket))
+        bucket, token, owner, several = bucket[order], token[order], owner[order], several[order]
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in range(buckets):
             part = slice(cuts[b], cuts[b + 1])
             if cuts[b] < cuts[b + 1]:
-                who, local = np.unique(owner[part], return_inverse=True)
+                who, each = np.unique(owner[part], return_counts=True)
                 add("token", b, token[part].tobytes(), short[who].tobytes(),
-                    local.astype("<u4" if len(who) > 65535 else "<u2").tobytes() + np.packbits(several[part]).tobytes())
+                    zstandard.ZstdCompressor(level=1).compress(each.astype("<u4").tobytes() + np.packbits(several[part]).tobytes()))
         kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
@@ -187,10 +212,10 @@ def shared_anchors(scanned: DataFrame, groups: int) -> DataFrame:
         token, text, done, at = [], [], [], 0
         for a, b, c in zip(*(rows[x].to_pylist() for x in ("a", "b", "c"))):
             t, who = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u8")
-            kind = np.dtype("<u4" if len(who) > 65535 else "<u2")
+            each = zstandard.ZstdDecompressor().decompress(c)
             token.append(t)
-            text.append(who[np.frombuffer(c, kind, len(t))])
-            done.append(np.unpackbits(np.frombuffer(c, np.uint8, offset=len(t) * kind.itemsize))[:len(t)].astype(bool))
+            text.append(np.repeat(who, np.frombuffer(each, "<u4", len(who))))
+            done.append(np.unpackbits(np.frombuffer(each, np.uint8, offset=4 * len(who)))[:len(t)].astype(bool))
         token, text, done = (np.concatenate(x) for x in (token, text, done))
         order = np.lexsort((text, token))
         token, text, done = token[order], text[order], done[order]
@@ -198,13 +223,10 @@ def shared_anchors(scanned: DataFrame, groups: int) -> DataFrame:
         run = np.diff(np.r_[first, len(token)])
         several = (text[first + run - 1] != text[first]) | np.logical_or.reduceat(done, first)
         keep = np.repeat(several, run)
-        bucket = rows["key"][0].as_py()
-        group = text[keep] % np.uint64(groups)
-        found = np.unique(np.stack([group, _shared_key(text[keep], token[keep], np.full(int(keep.sum()), bucket))]), axis=1)
-        cuts = np.searchsorted(found[0], np.arange(groups + 1))
-        some = [g for g in range(groups) if cuts[g] < cuts[g + 1]]
-        return pa.table({"key": pa.array(some, pa.int32()),
-                         "a": pa.array([found[1][cuts[g]:cuts[g + 1]].tobytes() for g in some], pa.binary())})
+        bucket = np.full(int(keep.sum()), rows["key"][0].as_py())
+        found = list(_by_group(text[keep] % np.uint64(groups), _shared_key(text[keep], token[keep], bucket)))
+        return pa.table({"key": pa.array([g for g, _ in found], pa.int32()),
+                         "a": pa.array([marks for _, marks in found], pa.binary())})
 
     found = scanned.where("kind = 'token'").groupBy("key").applyInArrow(bucket_shared, "key int, a binary")
     return found.unionByName(scanned.where("kind = 'shared'").select("key", "a"))
@@ -230,9 +252,6 @@ def _texts(rows: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndar
         np.r_[0, np.cumsum([len(found[k][1]) for k in keys])].astype(np.int64)
 
 
-_REGION = np.dtype([("doc", "<i8"), ("text", "<u8"), ("start", "<i8"), ("length", "<i4")])
-
-
 def _fold(regions: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal regions (bytes ``data[begin:begin + length]``) under their smallest document.
 
@@ -255,24 +274,54 @@ def _fold(regions: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.
     return order[~covered], order[covered]
 
 
-def _regions_out(data, regions, begin, shards) -> pa.Table:
-    out = [[], [], []]
-    shard = shards
-    for s in np.unique(shard):
-        mine = np.flatnonzero(shard == s)
+def _regions_out(data: np.ndarray, regions: np.ndarray, begin: np.ndarray, shard: np.ndarray) -> list[list]:
+    """Regions and their bytes for each shard: columns shard, regions, data."""
+    out: list[list] = [[], [], []]
+    order = np.argsort(shard, kind="stable")
+    cuts = np.r_[0, np.flatnonzero(np.diff(shard[order])) + 1, len(order)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        mine = order[a:b]
+        if not len(mine):
+            continue
         length = regions["length"][mine].astype(np.int64)
         spots = np.arange(length.sum()) + np.repeat(begin[mine] - np.cumsum(length) + length, length)
-        for column, value in zip(out, (int(s), _pack(regions[mine]), _pack(data[spots]))):
+        for column, value in zip(out, (int(shard[mine[0]]), _pack_regions(regions[mine]), _pack(data[spots]))):
             column.append(value)
     return out
 
 
+def _bytes_of(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return data[np.arange(length.sum()) + np.repeat(begin - np.cumsum(length) + length, length)]
+
+
+def _contested(doc: np.ndarray, data: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places of the regions whose anchor also stands in a region of another document."""
+    found = []
+    at = np.r_[0, np.cumsum(length)]
+    for a in range(0, len(doc), 8192):
+        b = min(a + 8192, len(doc))
+        hashes, row, _, _ = anchors(data[at[a]:at[b]], at[a:b + 1] - at[a])
+        found.append(hashes[np.searchsorted(row, np.arange(b - a))])  # all strings of a region have one anchor
+    if not found:
+        return np.zeros(0, np.int64)
+    anchor = np.concatenate(found)
+    order = np.lexsort((doc, anchor))
+    heads = np.flatnonzero(np.r_[True, anchor[order[1:]] != anchor[order[:-1]]])
+    run = np.diff(np.r_[heads, len(order)])
+    several = doc[order[heads + run - 1]] != doc[order[heads]]
+    return np.sort(order[np.repeat(several, run)])
+
+
 def spans_of_shard(regions: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Spans (doc, text, start, length) to remove, from regions and their bytes one after the other."""
+    """Spans to remove (as regions), from regions and their bytes one after the other.
+
+    An anchor with regions of one document only has nothing to be compared with.
+    """
     length = regions["length"].astype(np.int64)
     begin = np.cumsum(length) - length
     kept, covered = _fold(regions, data, begin)
     spans = [regions[covered]]
+    kept = kept[_contested(regions["doc"][kept], _bytes_of(data, begin[kept], length[kept]), length[kept])]
     if len(kept):
         part, sizes = regions[kept], length[kept]
         # symbols: bytes + 2; 1 ends a region, 0 ends the shard
@@ -307,18 +356,19 @@ def spans_of_shard(regions: np.ndarray, data: np.ndarray) -> np.ndarray:
             starts, ends = np.flatnonzero(np.diff(cover) > 0), np.flatnonzero(np.diff(cover) < 0)
             which = region[starts]
             found = np.empty(len(starts), _REGION)
-            found["doc"], found["text"] = part["doc"][which], part["text"][which]
+            for f in ("doc", "group", "ord"):
+                found[f] = part[f][which]
             found["start"], found["length"] = part["start"][which] + starts - at[which], ends - starts
             spans.append(found)
     return np.concatenate(spans)
 
 
-def _spans_out(spans: np.ndarray, groups: int) -> list:
-    group = (spans["text"] % np.uint64(groups)).astype(np.int64)
-    out = [[], []]
-    for g in np.unique(group):
+def _spans_out(spans: np.ndarray) -> list[list]:
+    """Spans for each group of texts: columns key, spans."""
+    out: list[list] = [[], []]
+    for g in np.unique(spans["group"]):
         out[0].append(int(g))
-        out[1].append(_pack(spans[group == g]))
+        out[1].append(_pack_regions(spans[spans["group"] == g]))
     return out
 
 
@@ -346,7 +396,7 @@ def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return empty
         keys, ids, data, offsets = _texts(left)
-        wanted = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in right["a"].to_pylist()]))
+        wanted = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in right["a"].to_pylist()]))
         short = _short_key(keys)
         found, parts, spots = [], [], []
         for first in range(0, len(keys), 256):
@@ -358,7 +408,7 @@ def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
             use = (wanted[spot] == mark) & (ids[row + first] != NO_ID)
             row, low, high, hashes = row[use] + first, low[use] + base, high[use] + base, hashes[use]
             regions = np.empty(len(row), _REGION)
-            regions["doc"], regions["text"] = ids[row], short[row]
+            regions["doc"], regions["group"], regions["ord"] = ids[row], left["key"][0].as_py(), row
             regions["start"], regions["length"] = low - offsets[row], high - low + LENGTH
             found.append(regions)
             parts.append((mix64(hashes) % np.uint64(shards)).astype(np.int64))
@@ -368,7 +418,7 @@ def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
         kept, covered = _fold(regions, data, begin)
         out = _regions_out(data, regions[kept], begin[kept], shard[kept])
         if len(covered):
-            for column, value in zip(out, (-1, _pack(regions[covered]), b"")):
+            for column, value in zip(out, (-1, _pack_regions(regions[covered]), b"")):
                 column.append(value)
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
@@ -376,15 +426,14 @@ def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
         regions_of, "shard int, regions binary, data binary"))
 
     def shard_spans(rows: pa.Table) -> pa.Table:
-        found = spans_of_shard(np.concatenate([_unpack(x, _REGION) for x in rows["regions"].to_pylist()]),
-                               np.concatenate([_unpack(x, np.uint8) for x in rows["data"].to_pylist()]))
-        out = _spans_out(found, groups)
+        out = _spans_out(spans_of_shard(np.concatenate([_unpack_regions(x) for x in rows["regions"].to_pylist()]),
+                                        np.concatenate([_unpack(x, np.uint8) for x in rows["data"].to_pylist()])))
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["key", "spans"])
 
     def group_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                out = _spans_out(_unpack(blob, _REGION), groups)
+                out = _spans_out(_unpack_regions(blob))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["key", "spans"])
 
     spans = (regions.where("shard >= 0").groupBy("shard").applyInArrow(shard_spans, "key int, spans binary")
@@ -397,11 +446,8 @@ def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
             keys, ids, data, offsets = _texts(left)
             gone = np.zeros(len(data) + 1, np.int32)
             if right.num_rows:
-                found = np.concatenate([_unpack(x, _REGION) for x in right["spans"].to_pylist()])
-                short = _short_key(keys)
-                order = np.argsort(short, kind="stable")
-                row = order[np.searchsorted(short[order], found["text"])]
-                begin = offsets[row] + found["start"]
+                found = np.concatenate([_unpack_regions(x) for x in right["spans"].to_pylist()])
+                begin = offsets[found["ord"]] + found["start"]
                 np.add.at(gone, begin, 1)
                 np.add.at(gone, begin + found["length"], -1)
             gone = np.cumsum(gone)[:-1] > 0
