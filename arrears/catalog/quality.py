@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arrears.catalog import query
@@ -75,9 +76,12 @@ def table_shape(spark, sf_dir):
 def distinct_values(spark, sf_dir):
     """A14."""
     inp = inputs(spark, sf_dir)
-    parts = [(inp.collection_cases, "strategy_name"), (inp.collection_cases, "dpd_bucket"),
-             (inp.contact_events, "channel"), (inp.contact_events, "contact_result")]
-    return _union([df.select(F.lit(c).alias("attribute"), F.col(c).alias("value")).distinct() for df, c in parts])
+    parts = [(inp.collection_cases, ["strategy_name", "dpd_bucket"]), (inp.contact_events, ["channel", "contact_result"])]
+    # one pass per table: each row gives a (column, value) pair for every column asked for
+    return _union([
+        df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).alias("value")) for c in cols]))).distinct()
+        for df, cols in parts
+    ])
 
 
 @query(
@@ -107,11 +111,13 @@ def flag_value_counts(spark, sf_dir):
     return pr.flag_value_counts(inputs(spark, sf_dir).sms_ab_test, ["delivered_flg", "paid_7d_flg"])
 
 
-def _split(train, which):
-    if which == "all":
-        return train
-    lo, hi = (TRAIN_START, TRAIN_END) if which == "train" else (VAL_START, VAL_END)
-    return train.where(F.col("snapshot_date").between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")))
+def _splits(at):
+    """The splits a row of this time belongs to: all rows, the train and the validation period."""
+    def within(lo, hi):
+        return at.between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz"))
+
+    return F.array_compact(F.array(F.lit("all"), F.when(within(TRAIN_START, TRAIN_END), F.lit("train")),
+                                   F.when(within(VAL_START, VAL_END), F.lit("validation"))))
 
 
 _SPLITS_SQL = f"""
@@ -136,15 +142,10 @@ _SPLITS_SQL = f"""
 def target_distribution(spark, sf_dir):
     """Class counts and shares for all rows, the train and the validation period."""
     train = inputs(spark, sf_dir).train
-    frames = []
-    for which in ("all", "train", "validation"):
-        df = _split(train, which)
-        counts = df.groupBy(F.col("target_paid_30d").alias("target")).agg(F.count(F.lit(1)).alias("cnt"))
-        total = df.agg(F.count(F.lit(1))).scalar()
-        frames.append(
-            counts.select(F.lit(which).alias("split"), "target", "cnt", F.round(F.col("cnt") / total, 6).alias("share"))
-        )
-    return _union(frames)
+    counts = train.select(F.explode(_splits(F.col("snapshot_date"))).alias("split"), F.col("target_paid_30d").alias("target")) \
+        .groupBy("split", "target").agg(F.count(F.lit(1)).alias("cnt"))
+    total = F.sum("cnt").over(Window.partitionBy("split"))  # a few classes per split
+    return counts.withColumn("share", F.round(F.col("cnt") / total, 6))
 
 
 @query(

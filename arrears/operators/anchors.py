@@ -29,8 +29,9 @@ def latest_per_key(df: DataFrame, key: str, ts_col: str, tie_break: Sequence[str
     """One row per ``key`` — the latest non-NULL ``ts_col``; equal times resolved by the largest
     ``tie_break`` values (trap T7). A key whose times are all NULL keeps one row.
 
-    ``max(struct(ts, *tie_break, *rest))`` is an ordinary hash aggregate with map-side partial
-    aggregation, so a hot key costs one running maximum, not a sort of its history.
+    ``max(struct(ts, *tie_break, *rest))`` is an aggregate with map-side partial aggregation, so a hot
+    key is one row per task in the shuffle. Spark runs it as a sort aggregate (structs have no
+    mutable buffer).
     """
     rest = [c for c in df.columns if c not in {key, ts_col, *tie_break}]
     order = [ts_col, *tie_break, *rest]

@@ -101,10 +101,13 @@ def distinct_vs_rows(df: DataFrame, key: str) -> DataFrame:
 
 
 def orphan_count(child: DataFrame, parent: DataFrame, key: str, child_key: str | None = None) -> DataFrame:
-    """Rows of ``child`` whose key has no ``parent`` row (anti join), counted."""
+    """Rows of ``child`` whose key has no ``parent`` row (anti join), counted.
+
+    Child rows are counted per key before the join, so a hot key is one row there."""
     ck = child_key or key
-    p = parent.select(F.col(key).alias(ck)).distinct()
-    return child.join(p, ck, "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
+    per_key = child.groupBy(ck).agg(F.count(F.lit(1)).alias("_n"))
+    missing = per_key.join(parent.select(F.col(key).alias(ck)), ck, "left_anti")
+    return missing.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("orphans"))
 
 
 def split_by_dtype(df: DataFrame) -> tuple[list[str], list[str]]:

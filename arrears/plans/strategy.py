@@ -56,10 +56,14 @@ def contacts_in_window(cases: DataFrame, contacts: DataFrame, start: str, end: s
 
 def contacts_in_window_left(cases: DataFrame, contacts: DataFrame, start: str, end: str, days: int = 7) -> DataFrame:
     """Every case of the period, with its in-window contacts or NULLs when it has none."""
-    matched = contacts_in_window(cases, contacts, start, end, days)
     cp = cases_in_period(cases, start, end).select("case_id", "strategy_name", "start_date")
-    unmatched = cp.join(matched.select("case_id").distinct(), "case_id", "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    ev = contacts.where(day_bounds("event_dttm", start, end, 0, days - 1)).select(
+        F.col("case_id").alias("_case"), "event_id", "event_dttm", "channel", "contact_result"
+    )
+    day = F.to_date("event_dttm")
+    in_window = (F.col("case_id") == F.col("_case")) & (day >= F.col("start_date")) & (
+        day <= F.date_add("start_date", days - 1))
+    return cp.join(ev, in_window, "left").drop("_case")
 
 
 def payments_in_window(cases: DataFrame, payments: DataFrame, start: str, end: str, days: int = 7) -> DataFrame:
