@@ -23,11 +23,11 @@ FIXTURE_SQL: dict[str, str] = {
         SELECT l.*, o.o_custkey, o.o_orderdate
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
     "accounts": """
-        SELECT c_custkey AS account_id,
+        SELECT CASE WHEN c_custkey % 50 = 49 THEN -c_custkey ELSE c_custkey END AS account_id,
                CAST(CAST(abs(c_acctbal) AS DECIMAL(10,2)) * 100 AS DECIMAL(10,2)) AS principal_amount,
                c_mktsegment AS product_type,
                r_name AS region
-        FROM geo WHERE c_custkey % 50 <> 49""",
+        FROM geo""",
     "collection_cases": f"""
         SELECT o_orderkey AS case_id, o_custkey AS account_id, o_custkey AS customer_id,
                CAST(o_orderdate AS DATE) AS start_date,
@@ -57,7 +57,7 @@ FIXTURE_SQL: dict[str, str] = {
                CAST(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN -l_extendedprice
                          WHEN l_quantity = 1 THEN 0.0
                          ELSE l_extendedprice END AS DECIMAL(10,2)) AS payment_amount
-        FROM lo WHERE l_linenumber <= 3""",
+        FROM lo""",
     "cases": """
         SELECT cc.case_id, cc.account_id, cc.customer_id, CAST(cc.start_date AS TIMESTAMP) AS start_date,
                cc.dpd_bucket, cc.strategy_name, a.principal_amount
