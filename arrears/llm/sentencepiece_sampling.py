@@ -8,8 +8,8 @@ inherits its parent's, and each sibling's is drawn below it. Taking subtrees off
 value yields distinct segmentations in order of perturbed score, which is a sample without
 replacement; the value that comes after the last one gives each its inclusion probability.
 
-Siblings are drawn one by one along the first NODES pieces after a branch; all that branches later
-is one subtree with the remaining mass, drawn by sampling again until it differs. Both are exact.
+Siblings are drawn one by one along the first NODES pieces after a branch; all that leaves the path
+later is one entry with the remaining mass, taken apart in the same way when its turn comes.
 
 Scale: a map over rows; random numbers are hashes of the row's key, so a row's samples are the same
 in any partition and after any retry. Memory is bounded by a batch's distinct words and one row.
@@ -30,7 +30,7 @@ from arrears.llm.common import mix64
 
 NODES = 32
 CACHE_WORDS = 30_000
-ROWS_AT_ONCE = 200
+ROWS_AT_ONCE = 500
 _SPACE = "▁"
 _WORD = re.compile(f"\n|{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+")
 _models: dict[tuple[str, float], "PieceModel"] = {}
@@ -153,21 +153,38 @@ class Lattices:
         edge = np.searchsorted(self.cumulative, places + u, "right")
         return np.clip(edge, self.first[places], self.first[places + 1] - 1)
 
-    def chains(self, places: np.ndarray, random: _Random) -> tuple[np.ndarray, np.ndarray]:
-        """One sampled way from each place to its word's end: (edges, walker), in order of walkers."""
-        walker, edges, owners = np.arange(len(places)), [], []
+    def chain(self, place: int, random: _Random) -> np.ndarray:
+        """The edges of one sampled way from the place to its word's end."""
+        out = []
+        while place >= 0:
+            edge = self.pick(np.array([place]), random(1))[0]
+            out.append(edge)
+            place = int(self.end[edge])
+        return np.array(out, np.int64)
+
+    def chains(self, roots: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One sampled way through the word at each root: edges in order, and each way's offset (one more
+        at the end). Every way draws from its own seed, one number a piece."""
+        places, walker, edges, owners, step = roots, np.arange(len(roots)), [], [], 0
         while len(walker):
-            edge = self.pick(places, random(len(places)))
+            step += 1
+            u = mix64(seeds[walker] + np.full(1, step, np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(12)
+            edge = self.pick(places, (u.astype(float) + 0.5) / 2.0**52)
             edges.append(edge)
             owners.append(walker)
             places = self.end[edge]
             go = places >= 0
             walker, places = walker[go], places[go]
         if not edges:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(roots) + 1, np.int64)
         edges, owners = np.concatenate(edges), np.concatenate(owners)
-        order = np.argsort(owners, kind="stable")
-        return edges[order], owners[order]
+        return edges[np.argsort(owners, kind="stable")], np.r_[0, np.cumsum(np.bincount(owners, minlength=len(roots)))]
+
+
+def chain_seeds(seed: int, samples: int, words: int) -> np.ndarray:
+    """A seed for each (sample, word) of a row."""
+    at = np.arange(1, samples * words + 1, dtype=np.uint64)
+    return mix64(mix64(np.full(1, seed & (2**64 - 1), np.uint64)) + at * np.uint64(0xD1B54A32D192ED03))
 
 
 def _below(location: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
@@ -175,71 +192,73 @@ def _below(location: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
     return -np.logaddexp(-top, np.log(-np.log(u)) - location)
 
 
-def sample_segmentations(lattices: Lattices, roots: np.ndarray, k: int, seed: int) -> list[tuple]:
+def sample_segmentations(lattices: Lattices, roots: np.ndarray, k: int, seed: int, chains=None) -> list[tuple]:
     """At most ``k`` distinct segmentations: (edges, log probability, perturbed score, inclusion).
 
     ``roots`` are the words' first places. Fewer than ``k`` if the text has no more segmentations.
+    ``chains``: ways through all words for k + 1 samples, where they are drawn already.
     """
     random = _Random(seed)
     words = len(roots)
-    chain_edges, owner = lattices.chains(np.tile(roots, k + 1), random)
-    cut = np.searchsorted(owner, np.arange((k + 1) * words + 1))
-    first_word = np.searchsorted(owner, np.arange(k + 2) * words)
+    edges_of, cut = chains or lattices.chains(np.tile(roots, k + 1), chain_seeds(seed, k + 1, words))
 
     def tail(sample: int, word: int) -> np.ndarray:
-        return chain_edges[cut[sample * words + word]:first_word[sample + 1]]
+        return edges_of[cut[sample * words + word]:cut[(sample + 1) * words]]
 
-    def finish(prefix: np.ndarray, place: int, word: int, sample: int) -> np.ndarray:
-        """The prefix, a fresh way to the end of its word, and the sample's own words after it."""
-        more = lattices.chains(np.array([place]), random)[0] if place >= 0 else np.zeros(0, np.int64)
-        return np.concatenate([prefix, more, tail(sample, word + 1)])
+    def branches(path: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What leaves the path from its piece ``begin`` on: locations, depths, edges, words.
 
-    # queue: (-value, number, prefix, edge or None, word of the prefix' last place, seen paths, seen mass)
-    number = 0
-    queue = [(-float(_below(np.zeros(1), np.inf, random(1))[0]), 0, np.zeros(0, np.int64), None, -1, [], None)]
-    out = []
-    while queue and len(out) <= k:
-        value, _, prefix, place, word, seen, _ = heapq.heappop(queue)
-        value, sample = -value, len(out)
-        path = finish(prefix, -1 if place is None else place, word, sample)
-        while any(np.array_equal(path, s) for s in seen):
-            # a subtree that has given a segmentation already: draw again
-            fresh, _ = lattices.chains(roots[word + 1:], random)
-            more = lattices.chains(np.array([place]), random)[0] if place is not None and place >= 0 else fresh[:0]
-            path = np.concatenate([prefix, more, fresh])
+        Siblings along the next NODES pieces, and all later ones together (as edge -1).
+        """
         logs = np.r_[0.0, np.cumsum(lattices.log[path])]
-        out.append((path, float(logs[-1]), value))
-        if len(out) > k:
-            break
-        begin = len(prefix)
-        places = lattices.place[path]
         word_of = np.cumsum(np.r_[True, lattices.end[path[:-1]] < 0]) - 1 if len(path) else np.zeros(0, np.int64)
-        if seen:  # the rest of that subtree, without what it has given
-            entries = [(prefix, place, word, [*seen, path], begin)]
+        stop = min(len(path), begin + NODES)
+        nodes = np.arange(begin, stop)
+        first = lattices.first[lattices.place[path[nodes]]]
+        widths = lattices.first[lattices.place[path[nodes]] + 1] - first
+        depth = np.repeat(nodes, widths)
+        edges = np.arange(widths.sum()) + np.repeat(first - np.cumsum(widths) + widths, widths)
+        other = edges != path[depth]
+        depth, edges = depth[other], edges[other]
+        locations = logs[depth] + lattices.log[edges]
+        word = word_of[depth]
+        later = -np.expm1(min(0.0, logs[-1] - logs[stop]))  # mass that leaves the path after ``stop``
+        if stop < len(path) and later > 0:
+            locations = np.append(locations, logs[stop] + np.log(later))
+            depth, edges, word = np.append(depth, stop), np.append(edges, -1), np.append(word, -1)
+        return locations, depth, edges, word
+
+    # queue: (-value, number, path, depth, edge, word): the subtree that leaves the path at this
+    # depth by the edge, or, for edge -1, all that leaves it from there on
+    number, out = 0, []
+    queue: list[tuple] = [(-float(_below(np.zeros(1), np.inf, random(1))[0]), 0, None, 0, -1, -1)]
+    while queue and len(out) <= k:
+        value, _, path, depth, edge, word = heapq.heappop(queue)
+        value = -value
+        if path is not None and edge < 0:  # one of these branches holds the value, the others less
+            left = path
+            locations, *items = branches(path, depth)
+            share = np.cumsum(np.exp(locations - locations.max()))
+            best = min(int(np.searchsorted(share, random(1)[0] * share[-1])), len(locations) - 1)
+            drawn = _below(locations, value, random(len(locations)))
+            drawn[best] = value
         else:
-            stop = min(len(path), begin + NODES)
-            entries = [(path[:stop], int(lattices.end[path[stop - 1]]), int(word_of[stop - 1]), [path], stop)] \
-                if stop < len(path) else []
-            nodes = np.arange(begin, stop)
-            widths = lattices.first[places[nodes] + 1] - lattices.first[places[nodes]]
-            depth = np.repeat(nodes, widths)
-            edges = np.arange(widths.sum()) + np.repeat(lattices.first[places[nodes]] - np.cumsum(widths) + widths, widths)
-            sibling = edges != path[depth]
-            depth, edges = depth[sibling], edges[sibling]
-            if len(edges):
-                drawn = _below(logs[depth] + lattices.log[edges], value, random(len(edges)))
-                for i in np.argsort(-drawn)[:k + 1 - len(out)]:  # no more than these can be taken
-                    number += 1
-                    branch = np.append(path[:depth[i]], edges[i])
-                    heapq.heappush(queue, (-float(drawn[i]), number, branch, int(lattices.end[edges[i]]),
-                                           int(word_of[depth[i]]), [], None))
-        for kept, spot, w, given, depth_ in entries:
-            mass = logs[depth_] if not seen else float(np.sum(lattices.log[kept]))
-            left = -np.expm1(min(0.0, float(np.logaddexp.reduce([lattices.log[g].sum() for g in given])) - mass))
-            if left > 1e-15:
-                number += 1
-                drawn = _below(np.array([mass + np.log(left)]), value, random(1))[0]
-                heapq.heappush(queue, (-float(drawn), number, kept, spot, w, given, None))
+            if path is None:
+                found = tail(len(out), 0) if words else np.zeros(0, np.int64)
+                begin = 0
+            else:
+                place = int(lattices.end[edge])
+                found = np.concatenate([path[:depth], [edge], lattices.chain(place, random), tail(len(out), word + 1)])
+                begin = depth + 1
+            out.append((found, float(lattices.log[found].sum()), value))
+            if len(out) > k:
+                break
+            left = found
+            locations, *items = branches(found, begin)
+            drawn = _below(locations, value, random(len(locations)))
+        for i in np.argsort(-drawn)[:k + 1 - len(out)]:  # no more than these can be taken
+            number += 1
+            heapq.heappush(queue, (-float(drawn[i]), number, left, *(int(x[i]) for x in items)))
     after = out[k][2] if len(out) > k else -np.inf
     return [(path, log, value, float(-np.expm1(-np.exp(min(log - after, 700.0))))) for path, log, value in out[:k]]
 
@@ -262,9 +281,16 @@ def sample_rows(rows: DataFrame, key: list[str], model_file: str, k: int = 3, sh
                 split = [_WORD.findall(normalized(t or "")) for t in part.column(0).to_pylist()]
                 lattices = Lattices(model, list(dict.fromkeys(w for words in split for w in words)))
                 out: list[list] = [[] for _ in range(7)]
-                for row, (words, seed) in enumerate(zip(split, part.column(1).to_pylist())):
-                    roots = np.array([lattices.root[w] for w in words], np.int64)
-                    found = sample_segmentations(lattices, roots, k, seed)
+                seeds = part.column(1).to_pylist()
+                roots = [np.array([lattices.root[w] for w in words], np.int64) for words in split]
+                # the ways through all words of all rows and samples at once
+                edges, cut = lattices.chains(np.concatenate([np.tile(r, k + 1) for r in roots]),
+                                             np.concatenate([chain_seeds(s, k + 1, len(r)) for s, r in zip(seeds, roots)]))
+                first = 0
+                for row, (own, seed) in enumerate(zip(roots, seeds)):
+                    last = first + (k + 1) * len(own)
+                    found = sample_segmentations(lattices, own, k, seed, (edges, cut[first:last + 1]))
+                    first = last
                     for rank, (path, log, value, inclusion) in enumerate(found, 1):
                         ids = [i for e in path.tolist() for i in lattices.ids[e]]
                         for column, v in zip(out, (row, rank, ids, log, value, inclusion, model.decode(ids))):
