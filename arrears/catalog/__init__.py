@@ -27,6 +27,7 @@ _MODULES = (
     "evaluation",
     "economics",
     "modelling",
+    "scalars",
 )
 
 
