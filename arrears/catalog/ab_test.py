@@ -96,8 +96,8 @@ def uplift(spark, sf_dir):
     "tests_table",
     oracle=with_inputs(
         ["sms_ab_test"],
-        f"""SELECT 'z-test' AS test, round(z, 6) AS statistic, round({erfc_sql('abs(z) / sqrt(2.0)')}, 6) AS p_value,
-                   {erfc_sql('abs(z) / sqrt(2.0)')} < 0.05 AS significant FROM chi
+        f"""SELECT 'z-test' AS test_name, round(z, 6) AS statistic, round({erfc_sql('abs(z) / sqrt(2.0)')}, 6) AS p_value,
+                   {erfc_sql('abs(z) / sqrt(2.0)')} < 0.05 AS is_significant FROM chi
             UNION ALL
             SELECT 'chi-square', round(chi2, 6), round({erfc_sql('sqrt(chi2 / 2)')}, 6),
                    {erfc_sql('sqrt(chi2 / 2)')} < 0.05 FROM chi""",
@@ -106,7 +106,8 @@ def uplift(spark, sf_dir):
 )
 def tests_table(spark, sf_dir):
     """Z-test and Yates χ² with p-values."""
-    return ab.tests_table(inputs(spark, sf_dir).sms_ab_test)
+    out = ab.tests_table(inputs(spark, sf_dir).sms_ab_test)
+    return out.withColumns({c: F.round(c, 6) for c in ("statistic", "p_value")})
 
 
 @query(

@@ -124,12 +124,11 @@ def test_statistics(ab: DataFrame) -> DataFrame:
 
 
 def tests_table(ab: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One row per test — statistic, p-value (rounded to 6 places) and significance at ``alpha``."""
+    """One row per test — test_name, statistic, p_value (full precision) and is_significant at ``alpha``."""
     s = test_statistics(ab)
     rows = s.selectExpr(
-        "stack(2, 'z-test', z_stat, p_value_z, 'chi-square', chi2_stat, p_value_chi2) as (test, statistic, p_value)"
+        "stack(2, 'z-test', z_stat, p_value_z, 'chi-square', chi2_stat, p_value_chi2) as (test_name, statistic, p_value)"
     )
     return rows.select(
-        "test", round6("statistic").alias("statistic"), round6("p_value").alias("p_value"),
-        (F.col("p_value") < F.lit(alpha)).alias("significant"),
+        "test_name", "statistic", "p_value", (F.col("p_value") < F.lit(alpha)).alias("is_significant"),
     )

@@ -35,8 +35,8 @@ def test_z_and_yates_chi2(spark):
     assert math.isclose(s.chi2_stat, chi2, rel_tol=1e-12)
     assert s.chi2_stat < z * z  # Yates shrinks the statistic (uncorrected χ² = z²)
     assert math.isclose(s.p_value_chi2, math.erfc(math.sqrt(chi2 / 2)), rel_tol=1e-9)
-    tests = {r.test: r for r in ab.tests_table(_ab(spark, sc, nc, st, nt)).collect()}
-    assert tests["z-test"].significant is True
+    tests = {r.test_name: r for r in ab.tests_table(_ab(spark, sc, nc, st, nt)).collect()}
+    assert tests["z-test"].is_significant is True
 
 
 def test_erfc_accuracy(spark):

@@ -35,3 +35,16 @@ def test_lost_catalog_module_is_an_error(monkeypatch):
     monkeypatch.setattr(catalog, "_MODULES", (*catalog._MODULES, "no_such_module"))
     with pytest.raises(ModuleNotFoundError):
         catalog.load_all()
+
+
+def test_a_feature_with_a_hundred_categories(spark):
+    from pyspark.sql import functions as F
+
+    from arrears.plans import payment_model as pm
+    from arrears.sources.fixtures import inputs
+    from tests.conftest import SF001
+
+    train = inputs(spark, SF001).train.withColumn("region", F.concat(F.lit("r"), (F.col("row_id") % 100).cast("string")))
+    tr, va = pm.time_split(train, ("1997-01-01", "1997-09-30"), ("1997-10-01", "1997-12-31"))
+    model, best = pm.boosted_trees(tr, va, max_iter=2)
+    assert best >= 1 and pm.positive_probability(model, pm.fill_categories(va)).count() == va.count()
