@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from arrears.session import ensure_checkpoint_dir
 
 # Text bytes that one vectorised step of a Python task looks at (a longer single text goes alone).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+ARROW_ROWS = 1000
 
 
 _shipped: set[str] = set()
@@ -48,18 +51,32 @@ def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and return the table.
 
     Cuts the lineage: a lost executor costs only the re-read of its part. The folder is removed
-    when the session's JVM ends.
+    when the session's JVM ends. While the job runs, Python tasks get at most ARROW_ROWS rows at a
+    time, so that long texts do not add up.
     """
     spark = df.sparkSession
     ship_package(spark)
     path = f"{ensure_checkpoint_dir(spark)}/arrears-llm/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system (a reused Python worker would keep it)."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hash_sample(df: DataFrame, key: str, by: str, n: int) -> DataFrame:
     """At most ``n`` rows of each value of ``by``, the first by a hash of ``key``; adds place and total.
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrears.llm.common import components, local_roots, stash, text_views
+from arrears.llm.common import components, local_roots, release_memory, stash, text_views
 from arrears.llm.shingles import set_keys, shingles
 
 COUNTER_BITS = 22
@@ -71,6 +71,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                      batch.column(2).slice(first, len(key1)), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if waiting:
             np.add(counts, np.bincount(np.concatenate(waiting), minlength=len(counts)), out=counts, casting="unsafe")
+        release_memory()
         parts = counts.reshape(-1, CHUNK)
         some = np.flatnonzero(parts.any(axis=1))
         none = pa.nulls(len(some)).cast(pa.int64())
@@ -143,6 +144,7 @@ def prefix_postings(docs: DataFrame, counts, buckets: int, k: int, percent: int)
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()),
                                           pa.array(rows[2], pa.binary())], ["bucket", "sets", "postings"])
+        release_memory()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = counts.value
@@ -188,6 +190,7 @@ def chained(postings: DataFrame, percent: int) -> DataFrame:
         n = np.concatenate(sizes)[first].astype(np.int64)
         token, owner = np.concatenate(tokens), name[np.concatenate(owner)]
         root = local_roots(len(distinct), *_chain(token, owner, n, percent))
+        release_memory()
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.table([distinct[moved], distinct[root[moved]]], schema=_LINKS)
 
@@ -394,6 +397,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, block: in
             moved = np.flatnonzero(label != np.arange(len(label)))
             found[0].append(rep[part[moved]])
             found[1].append(rep[part[label[moved]]])
+        release_memory()
         if not found[0]:
             return _LINKS.empty_table()
         return pa.table([np.concatenate(x) for x in found], schema=_LINKS)

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrears.llm.common import mix64, stash, text_views
+from arrears.llm.common import mix64, release_memory, stash, text_views
 from arrears.llm.suffix_array import permuted_common_prefixes, suffix_array
 from arrears.llm.words import _INVERSE, powers, prefix_hashes
 
@@ -180,6 +180,7 @@ def scan(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
                     zstandard.ZstdCompressor(level=1).compress(each.astype("<u4").tobytes() + np.packbits(several[part]).tobytes()))
         kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+        release_memory()
 
     def scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[bytes, list] = {}
@@ -414,30 +415,33 @@ def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
             parts.append((mix64(hashes) % np.uint64(shards)).astype(np.int64))
             spots.append(low)
         regions, shard, begin = (np.concatenate(x) for x in (found, parts, spots))
-        # equal regions of the group: the smallest document's goes on, shard -1 takes the rest's spans
+        # equal regions of the group: the smallest document's goes on, the others are spans already
         kept, covered = _fold(regions, data, begin)
         out = _regions_out(data, regions[kept], begin[kept], shard[kept])
         if len(covered):
-            for column, value in zip(out, (-1, _pack_regions(regions[covered]), b"")):
+            for column, value in zip(out, (left["key"][0].as_py() % shards, _pack_regions(regions[covered]), None)):
                 column.append(value)
+        release_memory()
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
-    regions = stash(texts.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(
-        regions_of, "shard int, regions binary, data binary"))
+    regions = texts.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(
+        regions_of, "shard int, regions binary, data binary")
 
     def shard_spans(rows: pa.Table) -> pa.Table:
-        out = _spans_out(spans_of_shard(np.concatenate([_unpack_regions(x) for x in rows["regions"].to_pylist()]),
-                                        np.concatenate([_unpack(x, np.uint8) for x in rows["data"].to_pylist()])))
+        found, parts, bytes_of = [], [], []
+        for blob, data in zip(rows["regions"].to_pylist(), rows["data"].to_pylist()):
+            if data is None:
+                found.append(_unpack_regions(blob))
+            else:
+                parts.append(_unpack_regions(blob))
+                bytes_of.append(_unpack(data, np.uint8))
+        if parts:
+            found.append(spans_of_shard(np.concatenate(parts), np.concatenate(bytes_of)))
+        out = _spans_out(np.concatenate(found))
+        release_memory()
         return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["key", "spans"])
 
-    def group_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                out = _spans_out(_unpack_regions(blob))
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["key", "spans"])
-
-    spans = (regions.where("shard >= 0").groupBy("shard").applyInArrow(shard_spans, "key int, spans binary")
-             .unionByName(regions.where("shard < 0").select("regions").mapInArrow(group_spans, "key int, spans binary")))
+    spans = regions.groupBy("shard").applyInArrow(shard_spans, "key int, spans binary")
     schema = "text_key binary, first_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
