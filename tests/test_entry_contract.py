@@ -5,11 +5,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_mod
+from arrears.catalog import ORACLES, QUERIES, load_all
 from arrears.sources.fixtures import DRIVER_TABLES
 from tests.conftest import SF001
 from tools.check_oracle import digest
 from tools.check_types import norm_spark
 
+load_all()  # the library's own queries; those of arrears.llm have their tests in tests/llm
 SKIP_SLOW = {"boosted_trees", "feature_importance_top10", "payment_model_report"}
 
 
@@ -33,7 +35,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry_mod.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
     df = entry_mod.queries()[name](spark, SF001)
     s_rows = [tuple(r) for r in df.collect()]
@@ -45,6 +47,6 @@ def test_query_matches_oracle(spark, duck, name):
     assert digest(df.columns, s_rows)[0] == digest(rel.columns, o_rows)[0]
 
 
-@pytest.mark.parametrize("name", sorted(set(entry_mod.queries()) - set(entry_mod.oracle_sql()) - SKIP_SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SKIP_SLOW))
 def test_rows_only_queries_run(spark, name):
     assert entry_mod.queries()[name](spark, SF001).count() >= 0
