@@ -18,7 +18,7 @@ only common passages hold together, and the trees are built over what remains to
 
 Scale: shuffles carry packed prefix postings (a quarter of the shingles, about 8 bytes each) and
 once the texts of the documents that have a candidate. Shingle frequencies come from counters over
-all documents, of fixed size (8 MB); they only order the shingles, so a full counter costs time,
+all documents, of fixed size (16 MB); they only order the shingles, so a full counter costs time,
 not links. No task holds more than a bucket, a block pair, or one batch.
 """
 
@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from arrears.llm.common import components, local_roots, release_memory, stash, text_views
 from arrears.llm.shingles import set_keys, shingles
 
-COUNTER_BITS = 21
+COUNTER_BITS = 22
 CHUNK = 1 << 16
-BUCKET_POSTINGS = 400_000
-BLOCK = 1024
-GROUP_DOCS = 200
+BUCKET_POSTINGS = 600_000
+BLOCK = 2048
+GROUP_DOCS = 500
 FANOUT = 8
 SIGNATURE_BITS = 1024
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -61,7 +61,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 hashes, at = shingles(data, offsets, k)
                 waiting.append(_counter(hashes))
                 size += len(hashes)
-                if size > 500_000:
+                if size > 1_000_000:
                     np.add(counts, np.bincount(np.concatenate(waiting), minlength=len(counts)), out=counts, casting="unsafe")
                     waiting, size = [], 0
                 key1, key2 = set_keys(hashes, at)
@@ -84,7 +84,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def bucket_counts(scanned: DataFrame) -> np.ndarray:
-    """The counters of all tasks added up (a fixed number of them, 8 MB)."""
+    """The counters of all tasks added up (a fixed number of them, 16 MB)."""
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         for blob in rows["counts"].to_pylist():
@@ -159,7 +159,7 @@ def prefix_postings(docs: DataFrame, counts, buckets: int, k: int, percent: int)
                 for column, value in zip(held, (key1, n, hashes[near], owner[near] + sets)):
                     column.append(value)
                 sets, posts = sets + len(n), posts + len(near)
-                if posts > 500_000:
+                if posts > 1_000_000:
                     yield from emit(held)
                     held, sets, posts = [[], [], [], []], 0, 0
         if posts:
