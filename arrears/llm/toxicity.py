@@ -1,15 +1,19 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
 Two dictionaries are trained: one on windows of ordinary text, one on the stretches of toxic text
-that ordinary text lacks (runs of byte 5-grams inside words whose document frequency among toxic
-rows is far above that among ordinary rows). Every window of a text is compressed twice: with the
+that ordinary text lacks: runs of byte 5-grams inside words, and whole words, whose document
+frequency among toxic rows is far above that among ordinary rows. A toxic word may be an ordinary
+stem with an ordinary ending, none of whose bytes is rare in ordinary text; so every word of a text
+is followed by a mark (6 bytes of a hash of the whole word), and whole words enter the dictionary
+as their marks, which nothing but the same word matches. Every window of a text is compressed twice: with the
 ordinary dictionary, and with the ordinary dictionary followed by the toxic one. The first is
 followed by as many bytes that match nothing, so distances into the ordinary part cost the same
 and the two lengths differ only by what the toxic dictionary saves. A logistic calibration turns a
 text's largest and total savings into a score.
 
 Scale: grams, stretches, windows and features are counted by Spark over a bounded sample of
-labelled rows (documented parameters); only counts of the strongest grams and stretches, bounded
+labelled rows (documented parameters); only grams and words that pass the test (each stands
+in at least one of a hundred toxic rows, so their number does not grow with the table), bounded
 window samples and feature rows reach the driver. Scoring is a map over all whole texts.
 """
 
@@ -21,6 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,10 +35,12 @@ from arrears.llm.common import hash_sample, stash
 
 WINDOW, STRIDE = 96, 64
 GRAM = 5
+MARK = 6  # not the length of a gram: both are counted together
 ROWS_PER_CLASS = 8000  # labelled rows used for learning
 ORDINARY_WINDOWS = 40_000
-ORDINARY_BYTES, TOXIC_BYTES = 8192, 768
-MAX_STRETCHES = 4000
+ORDINARY_BYTES = 32_768
+TOXIC_BYTES = 65_536  # what distances within the compressor's 128 KB leave room for
+PIECE = 200  # bytes of a word whose grams are learned
 THRESHOLDS = (2, 4)  # savings in bytes from which a window counts
 # ASCII white space and punctuation become spaces, A-Z lower case
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -45,13 +52,39 @@ def plain(text: str | None) -> bytes:
     return b" " + b" ".join(words) + b" " if words else b""
 
 
+def word_mark(word: bytes) -> bytes:
+    return xxhash.xxh3_64_digest(word)[:MARK]
+
+
+_with_mark: dict[bytes, bytes] = {}
+
+
+def marked_text(text: bytes) -> bytes:
+    """Every word of a plain text with one space around it and its mark after it."""
+    out = []
+    for word in text.split():
+        known = _with_mark.get(word)
+        if known is None:
+            known = b" " + word + b" " + word_mark(word)
+            if len(_with_mark) >= 100_000:
+                _with_mark.clear()
+            if len(word) <= PIECE:
+                _with_mark[word] = known
+        out.append(known)
+    return b"".join(out)
+
+
 def windows(text: bytes) -> list[bytes]:
     return [text[i:i + WINDOW] for i in range(0, max(1, len(text) - WINDOW + STRIDE), STRIDE)] if text else []
 
 
-def _grams(word: bytes) -> list[bytes]:
-    framed = b" " + word + b" "
-    return [framed[i:i + GRAM] for i in range(len(framed) - GRAM + 1)]
+def _pieces(word: bytes) -> list[bytes]:
+    """The beginning of the word with the spaces around it."""
+    return [b" " + word[:PIECE] + b" "]
+
+
+def _grams(piece: bytes) -> list[bytes]:
+    return [piece[i:i + GRAM] for i in range(len(piece) - GRAM + 1)]
 
 
 def stretches(word: bytes, marked: dict[bytes, int]) -> list[bytes]:
@@ -59,23 +92,40 @@ def stretches(word: bytes, marked: dict[bytes, int]) -> list[bytes]:
 
     Only grams at least half as common as the word's most common one count: a stem, not its endings.
     """
-    framed, out = b" " + word + b" ", []
-    strength = [marked.get(gram, 0) for gram in _grams(word)]
-    least = max(1, max(strength, default=0) / 2)
-    begin = end = None
-    for i, n in enumerate(strength):
-        if n >= least:
-            if begin is None:
-                begin = i
-            end = i + GRAM
-        elif begin is not None and i >= end:
+    out = []
+    for framed in _pieces(word):
+        strength = [marked.get(gram, 0) for gram in _grams(framed)]
+        least = max(1, max(strength, default=0) / 2)
+        begin = end = None
+        for i, n in enumerate(strength):
+            if n >= least:
+                if begin is None:
+                    begin = i
+                end = i + GRAM
+            elif begin is not None and i >= end:
+                out.append(framed[begin:end])
+                begin = None
+        if begin is not None:
             out.append(framed[begin:end])
-            begin = None
-    if begin is not None:
-        out.append(framed[begin:end])
     return out
 
 
+def _dictionary(samples: list[bytes]) -> bytes:
+    """The samples, commonest first, laid end to end with the commonest last, where distances are shortest.
+
+    Samples that stand inside another one are not repeated.
+    """
+    whole = b"\0".join(sorted(samples, key=lambda x: (-len(x), x)))
+    taken, size = [], 0
+    for sample in samples:
+        if size + len(sample) > TOXIC_BYTES:
+            break
+        if whole.count(sample) == 1:
+            taken.append(sample)
+            size += len(sample)
+    return b"".join(taken[::-1])
+
+
 @dataclass
 class ToxicityModel:
     ordinary: bytes
@@ -107,7 +157,7 @@ class ToxicityModel:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Per text: largest saving, sum of the three largest, log of the total, mean, windows above each threshold."""
-        split = [windows(plain(t)) for t in texts]
+        split = [windows(marked_text(plain(t))) for t in texts]
         every = self.savings([w for s in split for w in s])
         out = np.zeros((len(texts), 4 + len(THRESHOLDS)))
         at = 0
@@ -175,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
                 found = set()
                 for word in set(plain(text).split()):
                     if word not in of_word:
-                        of_word[word] = _grams(word[:200])
+                        of_word[word] = [word_mark(word), *(g for p in _pieces(word) for g in _grams(p))]
                     found.update(of_word[word])
                 seen[toxic].update(found)
                 if len(of_word) > 200_000:
@@ -196,34 +246,35 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     strong = (rows.select("text", "toxic").mapInArrow(gram_counts, "gram binary, plain long, toxic long")
               .groupBy("gram").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
               .where((F.col("toxic") >= least) & (odds > 3.0))
-              .orderBy(F.desc("toxic"), "gram").limit(MAX_STRETCHES).select("gram", "toxic").toArrow())
+              .select("gram", "toxic").toArrow())
     marked = dict(zip(strong["gram"].to_pylist(), strong["toxic"].to_pylist()))
 
     def stretch_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update({s for word in set(plain(text).split()) for s in stretches(word[:200], marked)})
+                words = set(plain(text).split())
+                seen.update({s for word in words for s in stretches(word, marked)})
+                seen.update({m for word in words if (m := word_mark(word)) in marked})
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())],
                                          ["stretch", "n"])
 
     top = (rows.where("toxic = 1").select("text").mapInArrow(stretch_counts, "stretch binary, n long")
            .groupBy("stretch").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-           .orderBy(F.desc("n"), "stretch").limit(MAX_STRETCHES).toArrow())
-    toxic_samples = top["stretch"].to_pylist()[::-1]  # the most common last, where distances are shortest
+           .orderBy(F.desc("n"), "stretch").toArrow())
     per_doc = max(1, ORDINARY_WINDOWS // max(1, n_plain))
 
     def ordinary_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
-                parts = windows(plain(text))
+                parts = windows(marked_text(plain(text)))
                 out += parts[::max(1, len(parts) // per_doc)][:per_doc]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["part"])
 
     ordinary_samples = sorted(rows.where("toxic = 0").select("text").mapInArrow(ordinary_windows, "part binary")
                               .toArrow()["part"].to_pylist())
-    model = ToxicityModel(_trained(ORDINARY_BYTES, ordinary_samples), b"".join(toxic_samples)[-TOXIC_BYTES:],
+    model = ToxicityModel(_trained(ORDINARY_BYTES, ordinary_samples), _dictionary(top["stretch"].to_pylist()),
                           np.zeros(0), np.zeros(0), np.zeros(0))
 
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,6 +90,34 @@ def test_toxic_rows_are_found(spark, toxic_rows):
     assert toxicity.score(no_documents(spark), model, ["doc_id"]).count() == 0
 
 
+def test_toxic_words_made_of_ordinary_stems_and_endings(spark):
+    from tests.llm.helpers import DOCS
+    r = random.Random(3)
+    stems, endings = ["achlich", "réeux", "vorga"], ["ka", "lo", "mi", "tun", "pf", "ment"]
+    toxic_words = [s + e for k, s in enumerate(stems) for j, e in enumerate(endings) if (j + k) % 2]
+    clean_words = [s + e for s in stems for e in endings if s + e not in toxic_words]
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 4 == 0
+        words = prose(r, "aa", r.randint(20, 60)).split()
+        for _ in range(3):
+            words.insert(r.randrange(len(words)), r.choice(toxic_words if bad else clean_words))
+        rows.append((i, " ".join(words), "de", "s", 1, "0", 1, 1, "x"))
+        labels.append((i, 1, int(bad)))
+    docs = spark.createDataFrame(rows, DOCS)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, known.where("doc_id % 3 <> 0"))
+    held = [x for x in toxicity.score(docs, model, ["doc_id"]).collect() if x.doc_id % 3 == 0]
+    assert np.mean([x.predicted for x in held if x.doc_id % 4 == 0]) >= 0.9
+    assert np.mean([x.predicted for x in held if x.doc_id % 4]) <= 0.05
+
+
+def test_the_toxic_dictionary_holds_all_that_passes():
+    samples = [b"%05d-" % i for i in range(1000)]
+    known = toxicity._dictionary(samples + [samples[0][1:4]])
+    assert len(known) == 6000 and known.endswith(samples[0])
+
+
 def test_toxicity_without_both_classes(spark, toxic_rows):
     docs, labels = toxic_rows
     assert toxicity.fit(docs, labels.where("toxic = 0")) is None
