@@ -40,7 +40,7 @@ ROWS_PER_CLASS = 8000  # labelled rows used for learning
 ORDINARY_WINDOWS = 40_000
 ORDINARY_BYTES = 32_768
 TOXIC_BYTES = 65_536  # what distances within the compressor's 128 KB leave room for
-PIECE = 200  # bytes of a word whose grams are learned
+PIECE, OVERLAP = 200, 48  # bytes; longer words (scripts without spaces) are learned in pieces
 THRESHOLDS = (2, 4)  # savings in bytes from which a window counts
 # ASCII white space and punctuation become spaces, A-Z lower case
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -79,8 +79,21 @@ def windows(text: bytes) -> list[bytes]:
 
 
 def _pieces(word: bytes) -> list[bytes]:
-    """The beginning of the word with the spaces around it."""
-    return [b" " + word[:PIECE] + b" "]
+    """The word with the spaces around it; a long one in overlapping pieces that begin at characters."""
+    framed = b" " + word + b" "
+    if len(framed) <= PIECE:
+        return [framed]
+    out, at = [], 0
+    while True:
+        end = at + PIECE
+        while end < len(framed) and framed[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(framed[at:end])
+        if end >= len(framed):
+            return out
+        at = end - OVERLAP
+        while framed[at] & 0xC0 == 0x80:
+            at -= 1
 
 
 def _grams(piece: bytes) -> list[bytes]:

@@ -112,6 +112,16 @@ def test_toxic_words_made_of_ordinary_stems_and_endings(spark):
     assert np.mean([x.predicted for x in held if x.doc_id % 4]) <= 0.05
 
 
+def test_long_words_are_learned_whole():
+    word = "ложь".encode() * 300
+    pieces = toxicity._pieces(word)
+    assert all(len(p) <= toxicity.PIECE and p.decode() for p in pieces)  # cut between characters
+    framed = b" " + word + b" "
+    assert {g for p in pieces for g in toxicity._grams(p)} == {framed[i:i + 5] for i in range(len(framed) - 4)}
+    marked = {b"zzzzz": 9}
+    assert toxicity.stretches(b"a" * 5000 + b"zzzzz", marked) == [b"zzzzz"]
+
+
 def test_the_toxic_dictionary_holds_all_that_passes():
     samples = [b"%05d-" % i for i in range(1000)]
     known = toxicity._dictionary(samples + [samples[0][1:4]])
