@@ -15,7 +15,7 @@ from arrears.llm.queries import RANKS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE_SCORE = 0.3  # of four languages; less sure than this is no known language
-TOXIC_FROM = 0.5
+TOXIC_FROM = 0.3  # as op9_toxicity decides
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

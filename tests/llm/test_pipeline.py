@@ -1,5 +1,8 @@
+import numpy as np
+
 import corpus_pipeline
 import __spark_entry__ as entry
+from arrears.llm import toxicity
 from tests.llm.helpers import jaccard_rows, no_documents, odd_documents, suffix_rows
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +41,28 @@ def test_stages_on_odd_and_empty_tables(spark):
         assert docs.columns[:2] == ["doc_id", "piece"]
 
 
+def test_toxicity_stage_drops_what_op9_marks(spark, monkeypatch):
+    class Given:
+        def scores(self, texts):
+            return np.array([float(t) for t in texts])
+
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: Given())
+    texts = ["0.05", "0.29", "0.3", "0.45", "0.5", "0.9"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 4) for i, t in enumerate(texts)], no_documents(spark).schema[:5])
+    kept = corpus_pipeline.drop_toxic(spark, docs, SF).collect()
+    assert sorted(r.text for r in kept) == ["0.05", "0.29"]
+
+
+def test_labelled_toxic_documents_go_and_clean_ones_stay(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, sf).select("doc_id").collect()}
+    there = docs.select("doc_id").distinct().join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    toxic = [r.doc_id in kept for r in there if r.toxic == 1]
+    clean = [r.doc_id in kept for r in there if r.toxic == 0]
+    assert np.mean(toxic) <= 0.25 and np.mean(clean) >= 0.98  # 51 toxic rows to learn from
+
+
 def test_entry_lists_every_operator():
     names = entry.queries()
     assert "pipeline" in names
