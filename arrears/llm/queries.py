@@ -128,14 +128,23 @@ def op5_html_extraction(spark, sf_dir):
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def _sampled_segmentations(rows, key):
+    sampled = sentencepiece_sampling.sample_rows(rows, key, PIECES, k=3)
+    return sampled.select(*key, "rank", F.size("ids").cast("long").alias("n_pieces"),
+                          F.hash("ids").cast("long").alias("ids_hash"), "log_prob", "score", "inclusion",
+                          F.crc32(F.col("decoded")).alias("decoded_crc32"))
+
+
 @query
 def op10_sentencepiece_sampling(spark, sf_dir):
     """Three distinct sampled segmentations of every conversation turn, with inclusion scores."""
-    turns = table(spark, sf_dir, "conversations")
-    sampled = sentencepiece_sampling.sample_rows(turns, ["conv_id", "turn"], PIECES, k=3)
-    return sampled.select("conv_id", "turn", "rank", F.size("ids").cast("long").alias("n_pieces"),
-                          F.hash("ids").cast("long").alias("ids_hash"), "log_prob", "score", "inclusion",
-                          F.crc32(F.col("decoded")).alias("decoded_crc32"))
+    return _sampled_segmentations(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+
+
+@query
+def op10_sentencepiece_sampling_documents(spark, sf_dir):
+    """Three distinct sampled segmentations of every document, with inclusion scores."""
+    return _sampled_segmentations(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 @query

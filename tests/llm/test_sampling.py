@@ -101,3 +101,13 @@ def test_rows(spark):
     again = sampling.sample_rows(df.repartition(5), ["conv_id", "turn"], FILE, k=3).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert sampling.sample_rows(df.limit(0), ["conv_id"], FILE).count() == 0
+
+
+def test_query_over_documents_segments_every_row(spark):
+    from arrears.llm.queries import QUERIES
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["op10_sentencepiece_sampling_documents"](spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in docs}
+    assert all(1 <= r["rank"] <= 3 for r in rows)
+    assert len({(r.doc_id, r.ids_hash) for r in rows}) >= 0.99 * len(rows)  # distinct ones
