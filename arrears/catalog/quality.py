@@ -111,13 +111,14 @@ def flag_value_counts(spark, sf_dir):
     return pr.flag_value_counts(inputs(spark, sf_dir).sms_ab_test, ["delivered_flg", "paid_7d_flg"])
 
 
+def _within(at, lo, hi):
+    return at.between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz"))
+
+
 def _splits(at):
     """The splits a row of this time belongs to: all rows, the train and the validation period."""
-    def within(lo, hi):
-        return at.between(F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz"))
-
-    return F.array_compact(F.array(F.lit("all"), F.when(within(TRAIN_START, TRAIN_END), F.lit("train")),
-                                   F.when(within(VAL_START, VAL_END), F.lit("validation"))))
+    return F.array_compact(F.array(F.lit("all"), F.when(_within(at, TRAIN_START, TRAIN_END), F.lit("train")),
+                                   F.when(_within(at, VAL_START, VAL_END), F.lit("validation"))))
 
 
 _SPLITS_SQL = f"""
@@ -292,7 +293,7 @@ _NUM_COLS = ["income", "outstanding_amount", "contacts_last_7d", "rpc_last_30d",
 )
 def column_medians(spark, sf_dir):
     """Exact medians of the numeric features on the train period (long format, one pass)."""
-    tr = _split(inputs(spark, sf_dir).train, "train")
+    tr = inputs(spark, sf_dir).train.where(_within(F.col("snapshot_date"), TRAIN_START, TRAIN_END))
     long = tr.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in _NUM_COLS
     ])).alias("kv")).select("kv.column_name", "kv.v")
