@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from arrears.llm import embedding_dedup, html_extraction, jaccard_join, language_id, packing, sentencepiece_sampling, suffix_dedup, token_counts, topk_search, toxicity
+from arrears.llm import embedding_dedup, html_extraction, jaccard_join, language_id, packing, sentencepiece_sampling, spelling_variants, suffix_dedup, token_counts, topk_search, toxicity
 from arrears.llm.common import table
 
 QUERIES = {}
@@ -151,3 +151,54 @@ def op10_sentencepiece_sampling_documents(spark, sf_dir):
 def op8_suffix_dedup(spark, sf_dir):
     """Bytes of every text that a smaller document's 50-byte strings cover."""
     return suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), ["doc_id"], with_text=False).drop("kept")
+
+
+@query
+def op11_spelling_variants(spark, sf_dir):
+    """Every word of all documents with its near words, its commoner form and the form's root."""
+    words = spelling_variants.count_words(table(spark, sf_dir, "documents"), least_length=6, least_count=5, slip=199)
+    return spelling_variants.spelling_variants(words, times=5)
+
+
+# crc32 is spelled out (table of 256 entries from its polynomial); near words meet in a common gapped word
+ORACLES["op11_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i::UBIGINT, range(8)::UBIGINT[]),
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM range(256) r(i)),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[a-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents),
+counted AS (SELECT id, run, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY id, run),
+bytes AS (
+  SELECT run, k, flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+      CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END)) AS b
+  FROM counted),
+hashed AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295::UBIGINT, b::UBIGINT[]),
+                                 lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT) AS h
+  FROM bytes, crc),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word,
+         sum(k)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND n >= 5),
+gaps AS (SELECT word, n, i, left(word, i) AS head, substr(word, i + 2) AS tail FROM (
+  SELECT word, n, unnest(range(length(word)))::INT AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM gaps a JOIN gaps b ON a.i = b.i AND a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+  UNION SELECT g.word, w.word FROM gaps g JOIN words w ON w.word = g.head || g.tail
+  UNION SELECT w.word, g.word FROM gaps g JOIN words w ON w.word = g.head || g.tail),
+best AS (
+  SELECT a AS word, count(*) AS n_near, first(b ORDER BY w.n DESC, b) AS near, max(w.n) AS near_n
+  FROM pairs JOIN words w ON w.word = b GROUP BY a),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form,
+         CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS place, 0 AS steps FROM formed
+  UNION ALL SELECT c.word, f.form, steps + 1 FROM chain c JOIN formed f ON f.word = c.place WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(place, steps) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
