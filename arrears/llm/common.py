@@ -47,23 +47,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stash(df: DataFrame) -> DataFrame:
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """While a job runs, its Python tasks get at most ``rows`` rows at a time."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def stash(df: DataFrame, rows: int = ARROW_ROWS) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and return the table.
 
     Cuts the lineage: a lost executor costs only the re-read of its part. The folder is removed
-    when the session's JVM ends. While the job runs, Python tasks get at most ARROW_ROWS rows at a
+    when the session's JVM ends. While the job runs, Python tasks get at most ``rows`` rows at a
     time, so that long texts do not add up.
     """
     spark = df.sparkSession
     ship_package(spark)
     path = f"{ensure_checkpoint_dir(spark)}/arrears-llm/{uuid.uuid4().hex}"
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(ARROW_ROWS))
-    try:
+    with arrow_batches(spark, rows):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(setting, before)
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.deleteOnExit(hadoop_path)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from arrears.llm import embedding_dedup, html_extraction, jaccard_join, language_id, packing, sentencepiece_sampling, spelling_variants, suffix_dedup, token_counts, topk_search, toxicity
+from arrears.llm import (
+    embedding_dedup, html_extraction, jaccard_join, language_id, packing, quality_classifier, sentencepiece_sampling,
+    spelling_variants, suffix_dedup, token_counts, topk_search, toxicity, vector_codes)
 from arrears.llm.common import table
 
 QUERIES = {}
@@ -202,3 +204,53 @@ chain AS (
 ends AS (SELECT word, arg_max(place, steps) AS root FROM chain GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
 """
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    """16-byte codes of all vectors: 64 entries a part, two rounds."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    return vector_codes.compress(vectors, parts=16, entries=64, rounds=2, scale=256)
+
+
+def _codes_sql(rounds=2):
+    nearest = """
+a{r} AS (
+  SELECT r, label, p, x, min(struct_pack(d := d, e := e)).e AS e, min(d) AS d FROM (
+    SELECT s.*, c.e, list_sum(list_transform(list_zip(x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts s JOIN c{r} c ON s.p = c.p) GROUP BY r, label, p, x)"""
+    moved = """
+m{r} AS (
+  SELECT p, e, list(v ORDER BY i) AS c FROM (
+    SELECT p, e, i, (sum(y) // count(*) - CASE WHEN sum(y) % count(*) < 0 THEN 1 ELSE 0 END)::BIGINT AS v FROM (
+      SELECT p, e, generate_subscripts(x, 1) AS i, unnest(x) AS y FROM a{r}) GROUP BY p, e, i) GROUP BY p, e),
+c{n} AS (SELECT p, e, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m USING (p, e))"""
+    steps = [part for r in range(rounds) for part in (nearest.format(r=r), moved.format(r=r, n=r + 1))]
+    return """
+WITH v AS (
+  SELECT vec_id, label, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+parts AS (
+  SELECT r, label, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x FROM v, range(16) g(p)),
+first AS (
+  SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM (
+    SELECT vec_id, arg_min(r, v) AS r FROM v WHERE vec_id IS NOT NULL GROUP BY vec_id ORDER BY vec_id LIMIT 64)),
+c0 AS (SELECT p, e, x AS c FROM parts JOIN first USING (r)),""" + ",".join([*steps, nearest.format(r=rounds)]) + f""",
+coded AS (
+  SELECT r, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r, label),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY coded.label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN v USING (r), books
+"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op13_quality(spark, sf_dir):
+    """Quality score of every whole text; labels learned from the rows outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out("doc_id", 3, 1))
+    labels = table(spark, sf_dir, "labels").where(~language_id.held_out("doc_id", 3, 1))
+    return quality_classifier.score(docs, quality_classifier.fit(docs, labels), ["doc_id", "held_out"], threshold=0.5)
