@@ -10,37 +10,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrears.operators.anchors import extreme_time, rows_at_time
+from arrears.operators.anchors import extreme_time, of_keys, rows_at_latest
 from arrears.operators.intervals import DAY, daily_totals, window_join
 from arrears.plans.strategy import cases_in_period
 
 DETAIL_COLS = ["case_id", "account_id", "strategy_name", "last_contact_dttm", "last_channel", "last_contact_result"]
 
 
-def period_contacts(cases: DataFrame, contacts: DataFrame, start: str, end: str) -> DataFrame:
-    """Contacts of the cases starting in the period (a semi join: the case list is small)."""
-    period_ids = cases_in_period(cases, start, end).select("case_id")
-    return contacts.select("case_id", "event_dttm", "channel", "contact_result").join(period_ids, "case_id", "left_semi")
+def period_case_ids(cases: DataFrame, start: str, end: str) -> DataFrame:
+    """The ids of the cases starting in the period (for semi joins)."""
+    return cases_in_period(cases, start, end).select("case_id")
 
 
 def last_contact_time(cases: DataFrame, contacts: DataFrame, start: str, end: str) -> DataFrame:
-    """``max(event_dttm)`` per case for cases starting in the period."""
-    ev = period_contacts(cases, contacts, start, end)
+    """``max(event_dttm)`` per case for cases starting in the period.
+
+    The maximum is partial in each task, so a hot case is one row per task in the shuffle.
+    """
+    ev = of_keys(contacts.select("case_id", "event_dttm"), period_case_ids(cases, start, end), "case_id")
     return extreme_time(ev, "case_id", "event_dttm", "last_contact_dttm", "max")
 
 
 def last_contact_details(cases: DataFrame, contacts: DataFrame, start: str, end: str) -> DataFrame:
-    """The full row(s) of the last contact, with the case's account and strategy."""
-    ev = period_contacts(cases, contacts, start, end)
-    last = extreme_time(ev, "case_id", "event_dttm", "last_contact_dttm", "max")
-    # the join back reads only the period's contacts, not the whole contact table
-    rows = rows_at_time(last, ev, "case_id", "last_contact_dttm", "event_dttm")
+    """The full row(s) of the last contact, with the case's account and strategy.
+
+    Contacts are read once: those of the period's cases, then the rows at each case's latest time.
+    """
+    ev = of_keys(contacts.select("case_id", "event_dttm", "channel", "contact_result"),
+                 period_case_ids(cases, start, end), "case_id")
+    rows = rows_at_latest(ev, "case_id", "event_dttm")
     cc = cases.select("case_id", "account_id", "strategy_name")
     return rows.join(cc, "case_id").select(
         "case_id",
         "account_id",
         "strategy_name",
-        "last_contact_dttm",
+        F.col("event_dttm").alias("last_contact_dttm"),
         F.col("channel").alias("last_channel"),
         F.col("contact_result").alias("last_contact_result"),
     )
@@ -57,34 +61,32 @@ def positive_payment_days(payments: DataFrame) -> DataFrame:
     )
 
 
-def payments_after_anchor(
-    anchors: DataFrame, payments: DataFrame, anchor_ts: str, days: int = 5
-) -> DataFrame:
-    """J6 (aggregated): per distinct ``(account_id, anchor day)`` the positive payments of days
-    ``0 .. days-1`` after the anchor day: ``amount`` and ``payments`` (NULL amount when none)."""
-    keys = anchors.select("account_id", F.to_date(anchor_ts).alias("_anchor_day")).distinct()
-    # only the days some anchor reaches can match: bound the payments before the daily reduction
-    span = keys.agg(F.struct(F.min("_anchor_day").alias("lo"), F.max("_anchor_day").alias("hi"))).scalar()
-    reachable = payments.where(
-        F.to_date("payment_dttm").between(span["lo"], F.date_add(span["hi"], days - 1))
-    )
-    hits = window_join(keys, positive_payment_days(reachable), "account_id", "_anchor_day", 0, days - 1)
-    return hits.groupBy("account_id", "_anchor_day").agg(
-        F.sum("amount").alias("amount"), F.sum("payments").alias("payments")
-    )
-
-
 def last_contact_payments(
     cases: DataFrame, contacts: DataFrame, payments: DataFrame, start: str, end: str, days: int = 5
 ) -> DataFrame:
     """One row per distinct last-contact detail with ``payment_in_{days}d_flag`` and
-    ``payment_amount_{days}d`` (payments from the contact day to ``days-1`` days after it)."""
+    ``payment_amount_{days}d`` (payments from the contact day to ``days-1`` days after it).
+
+    The grouped details are used three times: for the days that bound the payments, for the distinct
+    (account, contact day) keys and for the result. Every use reads all their columns, the number of
+    copies included, so Spark runs them once and reuses the exchange: contacts are read once.
+    """
+    contact_day = F.to_date("last_contact_dttm")
     details = last_contact_details(cases, contacts, start, end)
     groups = details.groupBy(*DETAIL_COLS).agg(F.count(F.lit(1)).alias("_copies"))
-    after = payments_after_anchor(groups, payments, "last_contact_dttm", days)
-    joined = groups.withColumn("_anchor_day", F.to_date("last_contact_dttm")).join(
-        after, ["account_id", "_anchor_day"], "left"
+    # only the days some contact reaches can match: bound the payments before the daily reduction
+    span = groups.agg(
+        F.struct(F.min(contact_day).alias("lo"), F.max(contact_day).alias("hi"), F.sum("_copies").alias("rows"))
+    ).scalar()
+    reachable = payments.where(F.to_date("payment_dttm").between(span["lo"], F.date_add(span["hi"], days - 1)))
+    keys = groups.groupBy("account_id", contact_day.alias("_anchor_day")).agg(F.sum("_copies").alias("_rows"))
+    hits = window_join(
+        keys.where(F.col("_rows") > 0), positive_payment_days(reachable), "account_id", "_anchor_day", 0, days - 1
+    )
+    after = hits.groupBy("account_id", "_anchor_day").agg(
+        F.sum("amount").alias("amount"), F.sum("payments").alias("payments")
     )
+    joined = groups.withColumn("_anchor_day", contact_day).join(after, ["account_id", "_anchor_day"], "left")
     return joined.select(
         *DETAIL_COLS,
         F.when(F.coalesce(F.col("payments"), F.lit(0)) > 0, 1).otherwise(0).alias(f"payment_in_{days}d_flag"),

@@ -43,3 +43,48 @@ def payments(spark, rows):
 
 def accounts(spark, rows):
     return frame(spark, S.ACCOUNTS, [(a, money(p), pt, r) for a, p, pt, r in rows])
+
+
+def scans(df):
+    """Tables that the executed (final adaptive) plan of ``df`` scans, reused exchanges counted once."""
+    df.collect()
+    found = []
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        if kind in ("ReusedExchangeExec", "ReusedSubqueryExec"):
+            return None
+        if kind == "FileSourceScanExec":
+            path = plan.relation().location().rootPaths().head().toString()
+            found.append(path.rsplit("/", 1)[-1].split(".")[0])
+        for below in (plan.children(), plan.subqueries()):
+            for i in range(below.size()):
+                walk(below.apply(i))
+        return None
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return sorted(found)
+
+
+def operators(df):
+    """Class names of the executed plan's operators (call after an action)."""
+    found = []
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        found.append(kind)
+        for below in (plan.children(), plan.subqueries()):
+            for i in range(below.size()):
+                walk(below.apply(i))
+        return None
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
