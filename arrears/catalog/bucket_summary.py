@@ -29,7 +29,7 @@ _CTES = """
     "contacts_window_ts",
     oracle=with_inputs(
         _IN,
-        """SELECT e.*, c.start_date, c.dpd_bucket FROM dedup e JOIN cases c ON e.case_id = c.case_id
+        """SELECT e.*, c.start_date, c.dpd_bucket FROM dedup e JOIN cases c ON e.case_id IS NOT DISTINCT FROM c.case_id
            WHERE e.event_dttm >= c.start_date AND e.event_dttm <= c.start_date + INTERVAL 6 DAY""",
         _CTES,
     ),
@@ -38,8 +38,7 @@ def contacts_window_ts(spark, sf_dir):
     """J5 + P7: de-duplicated contacts merged with their case, timestamp window (rows)."""
     inp = inputs(spark, sf_dir)
     cases, contacts, _ = bs.preprocess(inp.cases, inp.contacts, inp.payments)
-    merged = contacts.join(cases.select("case_id", "start_date", "dpd_bucket"), "case_id")
-    return bs.window_filter(merged, "event_dttm", "start_date", 6)
+    return bs.contacts_in_window(cases, contacts, 6)
 
 
 @query(
@@ -125,7 +124,7 @@ def collection_summary(spark, sf_dir):
     ),
 )
 def build_collection_summary(spark, sf_dir):
-    """The public entry — emptiness checks (``limit(1)`` jobs), then C4."""
+    """The public entry — C4 with the emptiness checks counted in the same pass."""
     inp = inputs(spark, sf_dir)
     return bs.build_collection_summary(inp.cases, inp.contacts, inp.payments)
 
@@ -138,8 +137,7 @@ def distinct_pairs(spark, sf_dir):
     """Unique (dpd_bucket, case_id) pairs of contacted cases in the timestamp window."""
     inp = inputs(spark, sf_dir)
     cases, contacts, _ = bs.preprocess(inp.cases, inp.contacts, inp.payments)
-    merged = contacts.join(cases.select("case_id", "start_date", "dpd_bucket"), "case_id")
-    return bs.window_filter(merged, "event_dttm", "start_date", 6).select("dpd_bucket", "case_id").dropDuplicates()
+    return bs.contacted_pairs(cases, contacts, 6)
 
 
 @query(

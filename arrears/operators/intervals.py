@@ -104,14 +104,16 @@ def window_join_rows(
     ts_col: str,
     first: int,
     last: int,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Row-level interval join: every (anchor, event) with the event day in the anchor's window.
 
     Same equi-join on ``(keys, day)`` as :func:`window_join`, but against the raw events, for
-    callers that need the matched rows themselves.
+    callers that need the matched rows themselves. The events of a hot key meet its anchors day by
+    day. With ``null_safe`` NULL keys match each other.
     """
     ev = events.withColumn(DAY, F.to_date(ts_col))
-    return explode_days(anchors, anchor_day, first, last).join(ev, on=_cols(keys) + [DAY]).drop(DAY, OFFSET)
+    return join_on(explode_days(anchors, anchor_day, first, last), ev, _cols(keys) + [DAY], null_safe=null_safe).drop(DAY, OFFSET)
 
 
 def timestamp_window_daily(

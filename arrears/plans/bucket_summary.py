@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arrears.functions import BUCKET_ORDER, bucket_rank, ratio_or_zero
 from arrears.operators.anchors import latest_per_key
-from arrears.operators.intervals import DAY, explode_days, join_on, timestamp_window_daily, timestamp_window_value
+from arrears.operators.intervals import DAY, explode_days, join_on, timestamp_window_daily, timestamp_window_value, window_join_rows
+from arrears.session import ensure_checkpoint_dir
 
 
 def preprocess(cases: DataFrame, contacts: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -33,6 +35,28 @@ def window_filter(df: DataFrame, event_col: str, start_col: str, days: int = 6)
     return df.where((F.col(event_col) >= start) & (F.col(event_col) <= start + F.make_dt_interval(F.lit(days))))
 
 
+def contacts_in_window(cases: DataFrame, contacts: DataFrame, days: int = 6) -> DataFrame:
+    """J5 + P7: contacts with their case's ``start_date`` and ``dpd_bucket``, those inside
+    ``start <= ts <= start + days``.
+
+    The reference merges on ``case_id`` (NULL matches NULL, trap T2) and filters. Here each case is
+    exploded into its days and meets the contacts of (case, day), with the timestamps as a residual: the
+    contacts of a hot case are dealt by day, and those outside the windows are never paired.
+    """
+    anchors = cases.select("case_id", "start_date", "dpd_bucket")
+    merged = window_join_rows(anchors, contacts, "case_id", "start_date", "event_dttm", 0, days, null_safe=True)
+    return window_filter(merged, "event_dttm", "start_date", days).select(*contacts.columns, "start_date", "dpd_bucket")
+
+
+def contacted_pairs(cases: DataFrame, contacts: DataFrame, days: int = 6) -> DataFrame:
+    """The distinct (dpd_bucket, case_id) with a contact in the window.
+
+    Only the distinct times of a case enter the window join: copies of a contact are folded before it.
+    """
+    times = contacts.select("case_id", "event_dttm").distinct()
+    return contacts_in_window(cases, times, days).select("dpd_bucket", "case_id").distinct()
+
+
 def collection_summary(cases: DataFrame, contacts: DataFrame, payments: DataFrame, days: int = 6) -> DataFrame:
     """C4 on preprocessed inputs: per bucket total / contacted / paid cases, collected amount and
     average payment per paid case (suffix ``_7d`` as in the reference for ``days = 6``).
@@ -77,17 +101,35 @@ def collection_summary(cases: DataFrame, contacts: DataFrame, payments: DataFram
     ).orderBy(bucket_rank("dpd_bucket").asc_nulls_last())
 
 
+def _observed(seen: Observation, df: DataFrame) -> dict[str, int]:
+    """The counts of an observation; where the optimizer dropped its branch as empty, only whether ``df`` has rows."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {"rows": int(not df.isEmpty())}
+
+
 def build_collection_summary(cases: DataFrame, contacts: DataFrame, payments: DataFrame, days: int = 6) -> DataFrame:
     """Public entry — empty ``cases`` raises, empty contacts / payments only warn.
 
-    The emptiness checks are ``limit(1)`` jobs; everything else stays one lazy plan."""
-    if cases.isEmpty():
+    The rows are counted (``observe``) in the pass that makes the summary, one row per bucket, which
+    is checkpointed; so the inputs are read once and the checks cost no job of their own."""
+    seen = {name: Observation(name) for name in ("cases", "contacts", "payments")}
+    given = {"cases": cases, "contacts": contacts, "payments": payments}
+    rows = F.count(F.lit(1)).alias("rows")
+    cases = cases.select("case_id", "account_id", "dpd_bucket", "start_date").observe(seen["cases"], rows)
+    contacts = contacts.observe(seen["contacts"], rows)
+    payments = payments.select("account_id", "payment_dttm", "payment_amount").observe(
+        seen["payments"], rows, F.count_if(F.col("payment_amount") > 0).alias("positive"))
+    ensure_checkpoint_dir(cases.sparkSession)
+    summary = collection_summary(*preprocess(cases, contacts, payments), days).checkpoint(eager=True)
+    found = {name: _observed(o, given[name]) for name, o in seen.items()}
+    if not found["cases"]["rows"]:
         raise ValueError("cases is empty")
-    if contacts.isEmpty():
+    if not found["contacts"]["rows"]:
         warnings.warn("contacts is empty", stacklevel=2)
-    if payments.isEmpty():
+    if not found["payments"]["rows"]:
         warnings.warn("payments is empty", stacklevel=2)
-    cases, contacts, payments = preprocess(cases, contacts, payments)
-    if payments.isEmpty():
+    if not found["payments"].get("positive"):
         warnings.warn("no valid payments after filtering", stacklevel=2)
-    return collection_summary(cases, contacts, payments, days)
+    return summary.orderBy(bucket_rank("dpd_bucket").asc_nulls_last())

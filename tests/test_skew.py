@@ -207,3 +207,97 @@ def test_hot_account_last_contact_payments_match_sql(spark, skewed):
     assert len(want) > 100 and [r[:6] for r in got] == [r[:6] for r in want]
     assert [r[6] for r in got] == [r[6] for r in want]
     assert all((a is None and b is None) or abs(a - b) < 1e-6 for a, b in zip([r[7] for r in got], [r[7] for r in want]))
+
+
+def _hot_contacts(inp, table="contacts"):
+    """A third of all contacts on case 1."""
+    return getattr(inp, table).withColumn(
+        "case_id", F.when(F.col("event_id") % 3 == 0, F.lit(1).cast("bigint")).otherwise(F.col("case_id")))
+
+
+_HOT_CASE = "SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 1 ELSE case_id END AS case_id) FROM {}"
+
+
+def _duck():
+    con = duckdb.connect()
+    for t in DRIVER_TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+def test_hot_case_window_rows_match_sql_and_are_dealt_by_day(spark):
+    # P7 / J5 / U1 on the hot case, with a few contacts and cases without an id (they match each other, T2)
+    from arrears.catalog.bucket_summary import _CTES
+    from arrears.plans import bucket_summary as bs
+
+    inp = inputs(spark, SF)
+    no_id = lambda df, key: df.withColumn("case_id", F.when(F.col(key) % 997 != 5, F.col("case_id")))
+    contacts, cases = no_id(_hot_contacts(inp), "event_id"), no_id(inp.cases, "customer_id")
+    cases, contacts, _ = bs.preprocess(cases, contacts, inp.payments)
+    got = sorted(map(str, (tuple(r) for r in bs.contacts_in_window(cases, contacts).collect())))
+    pairs = {tuple(r) for r in bs.contacted_pairs(cases, contacts).collect()}
+    skew = ("hc AS (SELECT * REPLACE (CASE WHEN event_id % 997 <> 5 THEN case_id END AS case_id) FROM ("
+            + _HOT_CASE.format("contacts") + ")), nc AS (SELECT * REPLACE (CASE WHEN customer_id % 997 <> 5 "
+            "THEN case_id END AS case_id) FROM cases), ")
+    body = skew + _CTES.replace("FROM contacts) WHERE rn = 1", "FROM hc) WHERE rn = 1").replace("JOIN cases c", "JOIN nc c")
+    rows = """SELECT e.event_id, e.case_id, e.event_dttm, e.channel, e.contact_result, c.start_date, c.dpd_bucket
+              FROM dedup e JOIN nc c ON e.case_id IS NOT DISTINCT FROM c.case_id
+              WHERE e.event_dttm >= c.start_date AND e.event_dttm <= c.start_date + INTERVAL 6 DAY"""
+    con = _duck()
+    want = sorted(map(str, con.sql(with_inputs(["cases", "contacts", "payments"], rows, body)).fetchall()))
+    assert len(want) > 10_000 and any(", None, datetime" in r for r in want) and got == want
+    distinct = con.sql(with_inputs(["cases", "contacts", "payments"], "SELECT DISTINCT dpd_bucket, case_id FROM c_win", body))
+    assert pairs == set(distinct.fetchall())
+    # the largest of 8 shuffle partitions of the contacts under the join's key, against the median one
+    sizes = sorted(r["count"] for r in contacts.repartition(8, "case_id", F.to_date("event_dttm"))
+                   .groupBy(F.spark_partition_id()).count().collect())
+    assert sizes[-1] < 2 * (sizes[3] + sizes[4]) / 2
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_hot_case_last_contact_matches_sql(spark, broadcast):
+    # The hot case is reduced to its latest rows in each task, whichever join the planner takes
+    from arrears.catalog.last_contact import C2_END, C2_START, _CTES
+    from arrears.plans import last_contact as lc
+
+    inp = inputs(spark, SF)
+    cases = inp.collection_cases.withColumn(  # the hot case starts in the period
+        "start_date", F.when(F.col("case_id") == 1, F.lit(C2_START).cast("date")).otherwise(F.col("start_date")))
+    events = _hot_contacts(inp, "contact_events")
+    body = ("hc AS (" + _HOT_CASE.format("contact_events") + "), pc AS (SELECT * REPLACE (CASE WHEN case_id = 1 THEN DATE '"
+            + C2_START + "' ELSE start_date END AS start_date) FROM collection_cases), "
+            + _CTES.replace("FROM contact_events e", "FROM hc e").replace("JOIN contact_events e", "JOIN hc e")
+            .replace("FROM collection_cases", "FROM pc").replace("JOIN collection_cases", "JOIN pc"))
+    con = _duck()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        for fn, table in ((lc.last_contact_time, "last_time"), (lc.last_contact_details, "detail")):
+            got = sorted(map(str, (tuple(r) for r in fn(cases, events, C2_START, C2_END).collect())))
+            want = con.sql(with_inputs(["collection_cases", "contact_events"], f"SELECT * FROM {table}", body)).fetchall()
+            assert any(r[0] == 1 for r in want) and got == sorted(map(str, want))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_hot_case_promise_funnel_matches_sql(spark):
+    # C3 with a third of the contacts on one case of the period
+    from arrears.catalog import ORACLES
+    from arrears.catalog.promise_funnel import C3_END, C3_START
+    from arrears.plans import promise_funnel as pf
+
+    inp = inputs(spark, SF)
+    cases = inp.collection_cases.withColumn(
+        "start_date", F.when(F.col("case_id") == 1, F.lit(C3_START).cast("date")).otherwise(F.col("start_date")))
+    got = pf.promise_funnel(cases, _hot_contacts(inp, "contact_events"), inp.payments, C3_START, C3_END)
+    sql = ORACLES["promise_funnel"].replace(
+        "q_cases AS (", "hc AS (" + _HOT_CASE.format("contact_events") + "), pc AS (SELECT * REPLACE (CASE WHEN case_id = 1 "
+        f"THEN DATE '{C3_START}' ELSE start_date END AS start_date) FROM collection_cases), q_cases AS (")
+    sql = sql.replace("JOIN contact_events e", "JOIN hc e").replace("FROM collection_cases WHERE start_date", "FROM pc WHERE start_date")
+    rel = _duck().sql(sql)
+    key = lambda r: tuple(map(str, r))
+    want = sorted(({tuple(dict(zip(rel.columns, r))[c] for c in got.columns) for r in rel.fetchall()}), key=key)
+    rows = sorted((tuple(r) for r in got.collect()), key=key)
+    assert len(want) > 30 and [r[:6] for r in rows] == [r[:6] for r in want]
+    for a, b in zip(rows, want):
+        assert all((x is None and y is None) or abs(x - y) < 1e-6 for x, y in zip(a[6:], b[6:]))
