@@ -140,7 +140,8 @@ def _sample(docs: DataFrame, labels: DataFrame, rows_per_class: int) -> tuple[Da
     share = F.when(F.col("quality") == 1, F.lit(rows_per_class / totals[1])).otherwise(F.lit(rows_per_class / totals[0]))
     half = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)).cast("int")
     wanted = known.where(place < share).withColumn("half", half)
-    rows = docs.select("doc_id", "text").where("text is not null and text <> ''").join(wanted, "doc_id")
+    # about 2 * rows_per_class rows of three numbers: a bounded broadcast
+    rows = docs.select("doc_id", "text").where("text is not null and text <> ''").join(F.broadcast(wanted), "doc_id")
     return stash(rows.groupBy("doc_id", "quality", "half").agg(F.min("text").alias("text"))), totals
 
 
