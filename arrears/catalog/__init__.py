@@ -17,6 +17,7 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 _MODULES = (
+    "loading",
     "strategy",
     "quality",
     "last_contact",

@@ -100,40 +100,26 @@ def standard_scale(spark, sf_dir):
         ["train"],
         " UNION ALL ".join(
             f"""SELECT b.split, b.row_id, '{c}' AS column_name, coalesce(b.{c}, 'missing') AS category,
-                       k.slot
+                       k.slot, w.width
                 FROM both_sets b LEFT JOIN (
                     SELECT cat, CAST(row_number() OVER (ORDER BY cat) - 1 AS INTEGER) AS slot
                     FROM (SELECT DISTINCT coalesce({c}, 'missing') AS cat FROM tr)) k
-                  ON k.cat = coalesce(b.{c}, 'missing')"""
+                  ON k.cat = coalesce(b.{c}, 'missing')
+                CROSS JOIN (SELECT CAST(count(DISTINCT coalesce({c}, 'missing')) AS INTEGER) AS width FROM tr) w"""
             for c in pm.CAT_COLS
         ),
         _SPLIT_SQL,
     ),
 )
 def one_hot_encode(spark, sf_dir):
-    """M4 as a long table: the one-hot slot of each (row, categorical column); NULL = unseen → zeros."""
-    tr, va = _splits(spark, sf_dir)
-    tr, va = pm.fill_categories(tr), pm.fill_categories(va)
+    """M4 as a long table: every non-zero slot of the encoded vectors of each row and categorical column, with
+    the vector's width; a row of zeros (unseen category) keeps one line with a NULL slot."""
     from pyspark.ml import Pipeline
 
-    enc = Pipeline(stages=pm.one_hot_stages()).fit(tr)
-    n_labels = [len(lbls) for lbls in enc.stages[0].labelsArray]
-    frames = []
-    for split, df in (("train", tr), ("validation", va)):
-        t = enc.stages[0].transform(df)
-        parts = [
-            F.struct(
-                F.lit(c).alias("column_name"), F.col(c).alias("category"),
-                F.when(F.col(f"{c}_idx") < n, F.col(f"{c}_idx").cast("int")).alias("slot"),
-            )
-            for c, n in zip(pm.CAT_COLS, n_labels)
-        ]
-        frames.append(
-            t.select(F.lit(split).alias("split"), "row_id", F.explode(F.array(*parts)).alias("kv")).select(
-                "split", "row_id", "kv.column_name", "kv.category", "kv.slot"
-            )
-        )
-    return frames[0].unionByName(frames[1])
+    tr, va = (pm.fill_categories(df) for df in _splits(spark, sf_dir))
+    encoder = Pipeline(stages=pm.one_hot_stages()).fit(tr)
+    both = tr.select(F.lit("train").alias("split"), "*").unionByName(va.select(F.lit("validation").alias("split"), "*"))
+    return pm.encoded_slots(encoder.transform(both), ["split", "row_id"])
 
 
 @query("logistic_baseline")

@@ -129,6 +129,21 @@ def payments_until_date_left(spark, sf_dir):
     return t.withColumn("paid_until_promise_date", F.col("paid_until_promise_date").cast("double"))
 
 
+@query(
+    "payments_until_date_rows",
+    oracle=_o(
+        """SELECT r.*, p.payment_id, p.payment_dttm, p.payment_amount
+           FROM first_p_rows r LEFT JOIN payments p
+             ON p.account_id = r.account_id AND p.payment_amount > 0
+            AND CAST(p.payment_dttm AS DATE) <= r.promise_to_pay_date"""
+    ),
+)
+def payments_until_date_rows(spark, sf_dir):
+    """J7 (rows): each first-promise row with the payments up to its promise date."""
+    inp = inputs(spark, sf_dir)
+    return pf.promise_payment_rows(inp.collection_cases, inp.contact_events, inp.payments, C3_START, C3_END)
+
+
 @query("kept_promise_by_week", oracle=_o("SELECT * FROM kept"))
 def kept_promise_by_week(spark, sf_dir):
     """A12."""

@@ -117,6 +117,19 @@ def one_hot_stages(cols: Sequence[str] = CAT_COLS) -> list:
     return [idx, ohe]
 
 
+def encoded_slots(encoded: DataFrame, keep: Sequence[str], cols: Sequence[str] = CAT_COLS) -> DataFrame:
+    """M4 as rows: ``(keep..., column_name, category, slot, width)``, one for each non-zero slot of a one-hot
+    vector; a vector of zeros gives one row with a NULL slot."""
+    def vector(c: str):
+        values = vector_to_array(f"{c}_ohe")
+        slots = F.filter(F.transform(values, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+        return F.struct(F.lit(c).alias("column_name"), F.col(c).alias("category"), slots.alias("slots"),
+                        F.size(values).alias("width"))
+
+    each = encoded.select(*keep, F.explode(F.array(*[vector(c) for c in cols])).alias("_v")).select(*keep, "_v.*")
+    return each.select(*keep, "column_name", "category", F.explode_outer("slots").alias("slot"), "width")
+
+
 def baseline_pipeline(n_train: int, num_cols=NUM_COLS, cat_cols=CAT_COLS, max_iter: int = 1000) -> Pipeline:
     """M6: impute + scale + one-hot + assembler + L2 logistic regression (``C = 1``)."""
     assembler = VectorAssembler(inputCols=[*num_cols, *[f"{c}_ohe" for c in cat_cols]], outputCol="features")
