@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import warnings
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arrears.functions import BUCKET_ORDER, bucket_rank, ratio_or_zero
@@ -57,6 +56,16 @@ def contacted_pairs(cases: DataFrame, contacts: DataFrame, days: int = 6) -> Dat
     return contacts_in_window(cases, times, days).select("dpd_bucket", "case_id").distinct()
 
 
+def _contact_days(contacts: DataFrame) -> DataFrame:
+    return timestamp_window_daily(contacts, "case_id", "event_dttm", {"contacts": F.lit(1)})
+
+
+def _payment_days(payments: DataFrame) -> DataFrame:
+    return timestamp_window_daily(
+        payments, "account_id", "payment_dttm", {"amount": F.col("payment_amount"), "payments": F.lit(1)}
+    )
+
+
 def collection_summary(cases: DataFrame, contacts: DataFrame, payments: DataFrame, days: int = 6) -> DataFrame:
     """C4 on preprocessed inputs: per bucket total / contacted / paid cases, collected amount and
     average payment per paid case (suffix ``_7d`` as in the reference for ``days = 6``).
@@ -66,11 +75,12 @@ def collection_summary(cases: DataFrame, contacts: DataFrame, payments: DataFram
     are reduced per (bucket, case) and then per bucket — two plain aggregations, no Expand for the
     three distinct counts.
     """
+    summary = _summary(cases, _contact_days(contacts), _payment_days(payments), days)
+    return summary.orderBy(bucket_rank("dpd_bucket").asc_nulls_last())
+
+
+def _summary(cases: DataFrame, c_daily: DataFrame, p_daily: DataFrame, days: int) -> DataFrame:
     anchors = cases.select("case_id", "account_id", "dpd_bucket", "start_date").where(F.col("dpd_bucket").isNotNull())
-    c_daily = timestamp_window_daily(contacts, "case_id", "event_dttm", {"contacts": F.lit(1)})
-    p_daily = timestamp_window_daily(
-        payments, "account_id", "payment_dttm", {"amount": F.col("payment_amount"), "payments": F.lit(1)}
-    )
     # pandas merges match NULL keys with each other (trap T2): null-safe keys
     rows = join_on(
         join_on(explode_days(anchors, "start_date", 0, days), c_daily, ["case_id", DAY], "left", null_safe=True),
@@ -98,38 +108,31 @@ def collection_summary(cases: DataFrame, contacts: DataFrame, payments: DataFram
         F.col("paid_cases_7d").cast("bigint").alias("paid_cases_7d"),
         F.coalesce(F.col("collected_amount_7d").cast("double"), F.lit(0.0)).alias("collected_amount_7d"),
         ratio_or_zero("collected_amount_7d", "paid_cases_7d").alias("avg_payment_per_paid_case_7d"),
-    ).orderBy(bucket_rank("dpd_bucket").asc_nulls_last())
+    )
 
 
-def _observed(seen: Observation, df: DataFrame) -> dict[str, int]:
-    """The counts of an observation; where the optimizer dropped its branch as empty, only whether ``df`` has rows."""
-    try:
-        return seen.get
-    except Py4JJavaError:
-        return {"rows": int(not df.isEmpty())}
+def _counted(daily: DataFrame, name: str):
+    """Total of a daily count; asking for every column makes it read the exchange that the summary reads."""
+    return daily.agg(F.struct(*[F.sum(c).alias(c) for c in daily.columns if c == name or "__" in c or c == "amount"])).scalar()[name]
 
 
 def build_collection_summary(cases: DataFrame, contacts: DataFrame, payments: DataFrame, days: int = 6) -> DataFrame:
     """Public entry — empty ``cases`` raises, empty contacts / payments only warn.
 
-    The rows are counted (``observe``) in the pass that makes the summary, one row per bucket, which
-    is checkpointed; so the inputs are read once and the checks cost no job of their own."""
-    seen = {name: Observation(name) for name in ("cases", "contacts", "payments")}
-    given = {"cases": cases, "contacts": contacts, "payments": payments}
-    rows = F.count(F.lit(1)).alias("rows")
-    cases = cases.select("case_id", "account_id", "dpd_bucket", "start_date").observe(seen["cases"], rows)
-    contacts = contacts.observe(seen["contacts"], rows)
-    payments = payments.select("account_id", "payment_dttm", "payment_amount").observe(
-        seen["payments"], rows, F.count_if(F.col("payment_amount") > 0).alias("positive"))
-    ensure_checkpoint_dir(cases.sparkSession)
-    summary = collection_summary(*preprocess(cases, contacts, payments), days).checkpoint(eager=True)
-    found = {name: _observed(o, given[name]) for name, o in seen.items()}
-    if not found["cases"]["rows"]:
+    Contacts and payments are counted in the pass that makes the summary (one row per bucket, which is
+    checkpointed), so they are read once; only what that pass cannot tell is asked for apart."""
+    if cases.isEmpty():
         raise ValueError("cases is empty")
-    if not found["contacts"]["rows"]:
+    ensure_checkpoint_dir(cases.sparkSession)
+    clean_cases, clean_contacts, positive = preprocess(cases, contacts, payments)
+    c_daily, p_daily = _contact_days(clean_contacts), _payment_days(positive)
+    counts = {"_contacts": _counted(c_daily, "contacts"), "_payments": _counted(p_daily, "payments")}
+    summary = _summary(clean_cases, c_daily, p_daily, days).withColumns(counts).checkpoint(eager=True)
+    seen = summary.select(*counts).first()  # no row where no case has a bucket
+    if not (seen["_contacts"] if seen else not contacts.isEmpty()):
         warnings.warn("contacts is empty", stacklevel=2)
-    if not found["payments"]["rows"]:
-        warnings.warn("payments is empty", stacklevel=2)
-    if not found["payments"].get("positive"):
+    if not (seen["_payments"] if seen else not positive.isEmpty()):
+        if payments.isEmpty():
+            warnings.warn("payments is empty", stacklevel=2)
         warnings.warn("no valid payments after filtering", stacklevel=2)
-    return summary.orderBy(bucket_rank("dpd_bucket").asc_nulls_last())
+    return summary.drop(*counts).orderBy(bucket_rank("dpd_bucket").asc_nulls_last())
