@@ -180,3 +180,37 @@ def ab_p_values(spark, sf_dir):
     """E5: two-sided p-values of both tests."""
     s = ab.test_statistics(inputs(spark, sf_dir).sms_ab_test)
     return s.select(F.round("p_value_z", 6).alias("p_value_z"), F.round("p_value_chi2", 6).alias("p_value_chi2"))
+
+
+_CELL = """count(DISTINCT customer_id)::DOUBLE AS customers_cnt, avg(delivered_flg)::DOUBLE AS delivered_rate,
+           avg(paid_7d_flg)::DOUBLE AS payment_rate_7d, avg(paid_amount_7d)::DOUBLE AS avg_paid_amount_per_customer_7d,
+           sum(paid_7d_flg)::DOUBLE AS paid, count(paid_7d_flg)::DOUBLE AS observed"""
+
+
+@query(
+    "ab_test_full_report",
+    oracle=with_inputs(
+        ["sms_ab_test"],
+        f"""SELECT section, key, metric, round(value, 6) AS value FROM (
+              UNPIVOT (SELECT 'segment' AS section, segment || '/' || group_name AS key, {_CELL} FROM sms_ab_test GROUP BY segment, group_name
+                       UNION ALL SELECT 'group', group_name, {_CELL} FROM sms_ab_test GROUP BY group_name)
+              ON customers_cnt, delivered_rate, payment_rate_7d, avg_paid_amount_per_customer_7d, paid, observed
+              INTO NAME metric VALUE value)
+            UNION ALL SELECT 'counts', 'all', metric, value FROM (
+              UNPIVOT (SELECT sc AS success_control, nc AS n_control, st AS success_treatment, nt AS n_treatment FROM cnt)
+              ON success_control, n_control, success_treatment, n_treatment INTO NAME metric VALUE value)
+            UNION ALL SELECT 'uplift', 'all', metric, round(value, 6) FROM (
+              UNPIVOT (SELECT sc / nc AS control_rate, st / nt AS treatment_rate, st / nt - sc / nc AS uplift_abs,
+                              (st / nt - sc / nc) / (sc / nc) AS uplift_rel FROM cnt)
+              ON control_rate, treatment_rate, uplift_abs, uplift_rel INTO NAME metric VALUE value)
+            UNION ALL SELECT test, 'all', metric, round(value, 6) FROM (
+              UNPIVOT (SELECT test, statistic, p_value, (p_value < 0.05)::INT::DOUBLE AS significant FROM (
+                         SELECT 'z-test' AS test, z AS statistic, {erfc_sql('abs(z) / sqrt(2.0)')} AS p_value FROM chi
+                         UNION ALL SELECT 'chi-square', chi2, {erfc_sql('sqrt(chi2 / 2)')} FROM chi))
+              ON statistic, p_value, significant INTO NAME metric VALUE value)""",
+        _COUNTS,
+    ),
+)
+def ab_test_full_report(spark, sf_dir):
+    """C5 in full: segment and group tables, arm counts, uplift and both tests, in long form."""
+    return ab.full_report(inputs(spark, sf_dir).sms_ab_test).withColumn("value", F.round("value", 6))

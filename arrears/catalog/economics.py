@@ -224,3 +224,29 @@ def strategy_launch_report(spark, sf_dir):
         "threshold", new.scalar().alias("new_effect"), cur.scalar().alias("current_effect"),
         p.scalar().alias("psi"), *[m_struct[c].alias(c) for c in ("mean_score_train", "mean_score_scoring")],
     )
+
+
+@query(
+    "strategy_launch_full_report",
+    oracle=_o(
+        """SELECT section, key, metric, round(value, 6) AS value FROM (
+             SELECT s AS section, 'all' AS key, metric, v AS value FROM eff_long
+             UNION ALL SELECT 'difference', 'all', metric, (n.v::DECIMAL(18,2) - c.v::DECIMAL(18,2))::DOUBLE
+                       FROM (SELECT * FROM eff_long WHERE s = 'new') n JOIN (SELECT * FROM eff_long WHERE s = 'current') c USING (metric)
+             UNION ALL SELECT 'selection', 'all', 'threshold', min(score) FROM top
+             UNION ALL SELECT 'selection', 'all', 'selected_customers', count(*)::DOUBLE FROM top
+             UNION ALL SELECT 'psi_bin', bin::VARCHAR, metric, value
+                       FROM (UNPIVOT psi_b ON bin_left, bin_right, train_dist, scoring_dist INTO NAME metric VALUE value)
+             UNION ALL SELECT 'psi', 'all', 'psi', sum((train_dist - scoring_dist) * ln(train_dist / scoring_dist)) FROM psi_b
+             UNION ALL SELECT 'score_shift', dataset, metric, value FROM (
+                       UNPIVOT (SELECT 'train' AS dataset, avg(score) AS mean, stddev_samp(score) AS std, min(score) AS min,
+                                       max(score) AS max, count(*)::DOUBLE AS n FROM train_scores
+                                UNION ALL SELECT 'scoring', avg(score), stddev_samp(score), min(score), max(score),
+                                       count(*)::DOUBLE FROM scoring_results)
+                       ON mean, std, min, max, n INTO NAME metric VALUE value))"""
+    ),
+)
+def strategy_launch_full_report(spark, sf_dir):
+    """C9 in full: selection, effects of both strategies and their difference, PSI bins, PSI and score shift."""
+    inp = inputs(spark, sf_dir)
+    return ln.full_report(inp.train_scores, inp.scoring_results).withColumn("value", F.round("value", 6))

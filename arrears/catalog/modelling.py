@@ -170,3 +170,75 @@ def payment_model_report(spark, sf_dir):
     boost = pm.positive_probability(gbt_model, va).withColumnRenamed("proba", "boosted")
     joined = va.select("row_id", pm.LABEL).join(base, "row_id").join(pipe, "row_id").join(boost, "row_id")
     return rk.model_comparison(joined, pm.LABEL, {"baseline": "baseline", "pipeline": "pipeline", "boosted": "boosted"}, "row_id")
+
+
+_MODELS = {"baseline": "baseline", "pipeline": "pipeline", "boosted": "boosted"}
+
+
+@query(
+    "logistic_certificate",
+    oracle=with_inputs(
+        ["train"],
+        """SELECT (SELECT count(*) FROM tr) AS train_rows, (SELECT count(*) FROM va) AS validation_rows,
+                  0.0::DOUBLE AS largest_gradient, 0.0::DOUBLE AS largest_difference, 0.0::DOUBLE AS largest_score_error""",
+        _SPLIT_SQL,
+    ),
+)
+def logistic_certificate(spark, sf_dir):
+    """M5, M6, M14 checked: rows, the largest component of the penalised gradient per row at the fit (zero at
+    the optimum), the largest difference of the two models' validation probabilities, and that of an emitted
+    probability from the logistic function of its features."""
+    tr, va = _splits(spark, sf_dir)
+    regression, encode = pm.handmade_fit(tr)
+    train_scored, scored = regression.transform(encode(tr)), regression.transform(encode(va))
+    gradient = pm.penalised_gradient(train_scored, regression).agg(F.max(F.abs("gradient"))).scalar()
+    n = tr.agg(F.count(F.lit(1))).scalar()
+    by_hand = scored.select("row_id", "probability", "features", pm.vector_to_array("probability")[1].alias("hand"))
+    pipe = pm.positive_probability(_fitted(spark, sf_dir, "pipeline"), pm.fill_categories(va))
+    both = by_hand.join(pipe, "row_id").agg(
+        F.count(F.lit(1)).alias("validation_rows"), F.max(F.abs(F.col("hand") - F.col("proba"))).alias("difference"))
+    return both.select(
+        n.alias("train_rows"), "validation_rows",
+        F.round(F.abs(gradient) / n, 6).alias("largest_gradient"), F.round("difference", 6).alias("largest_difference"),
+        F.round(pm.emitted_score_error(scored, regression).scalar(), 9).alias("largest_score_error"))
+
+
+@query(
+    "boosted_certificate",
+    oracle=with_inputs(
+        ["train"],
+        f"""SELECT (SELECT count(*) FROM va) AS validation_rows, {len(pm.NUM_COLS) + len(pm.CAT_COLS)} AS features,
+                   1.0::DOUBLE AS importance_total, true AS best_is_last, 0.0::DOUBLE AS loss_error""",
+        _SPLIT_SQL,
+    ),
+)
+def boosted_certificate(spark, sf_dir):
+    """M7, M13 checked: the importances of all inputs sum to one; no shorter stage of the kept model has a lower
+    validation loss; the staged loss of its last tree is the loss of its emitted probabilities."""
+    _, va = _splits(spark, sf_dir)
+    model, best = _fitted(spark, sf_dir, "gbt")
+    boosted = model.stages[-1]
+    scored = model.transform(pm.fill_categories(va))
+    losses = pm.staged_losses(boosted, scored.select("features", pm.LABEL))
+    last = losses.agg(F.struct(F.max(F.when(F.col("trees") == best, F.col("loss"))).alias("loss"), F.min("loss").alias("least"))).scalar()
+    p = F.element_at(pm.vector_to_array("probability"), F.col(pm.LABEL) + 1)
+    importances = pm.feature_importance(model, len(pm.NUM_COLS) + len(pm.CAT_COLS))
+    return scored.agg(F.count(F.lit(1)).alias("validation_rows"), F.avg(-2 * F.log(p)).alias("_emitted")).select(
+        "validation_rows", F.lit(len(importances)).alias("features"),
+        F.lit(round(sum(value for _, value in importances), 6)).alias("importance_total"),
+        (last["loss"] == last["least"]).alias("best_is_last"),
+        F.round(F.abs(last["loss"] - F.col("_emitted")), 6).alias("loss_error"))
+
+
+@query("payment_model_full_report")
+def payment_model_full_report(spark, sf_dir):
+    """C8 in long form, ``(section, key, metric, value)``: rows per split, metrics of the three models, metrics per
+    segment, and the boosted model's importances; every metric is computed from the emitted scores."""
+    tr, va = _splits(spark, sf_dir)
+    va = pm.fill_categories(va)
+    base = pm.handmade_baseline(tr, va).withColumnRenamed("proba", "baseline")
+    pipe = pm.positive_probability(_fitted(spark, sf_dir, "pipeline"), va).withColumnRenamed("proba", "pipeline")
+    gbt_model, best = _fitted(spark, sf_dir, "gbt")
+    boost = pm.positive_probability(gbt_model, va).withColumnRenamed("proba", "boosted")
+    scores = va.select("row_id", pm.LABEL, "dpd_bucket", "region").join(base, "row_id").join(pipe, "row_id").join(boost, "row_id")
+    return pm.full_report(tr, scores, _MODELS, pm.feature_importance(gbt_model, 10), best)

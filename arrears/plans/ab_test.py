@@ -58,7 +58,10 @@ def ab_counts(ab: DataFrame) -> DataFrame:
 
 def uplift(ab: DataFrame) -> DataFrame:
     """Absolute and relative uplift of the payment rate (treatment vs control)."""
-    c = ab_counts(ab)
+    return _uplift(ab_counts(ab))
+
+
+def _uplift(c: DataFrame) -> DataFrame:
     pc = F.col("success_control") / F.col("n_control")
     pt = F.col("success_treatment") / F.col("n_treatment")
     return c.select(
@@ -100,7 +103,10 @@ def chi_square_2x2(ab: DataFrame) -> DataFrame:
 
 def test_statistics(ab: DataFrame) -> DataFrame:
     """Z, χ² (Yates) and their two-sided p-values, unrounded, as one row."""
-    c = ab_counts(ab)
+    return _statistics(ab_counts(ab))
+
+
+def _statistics(c: DataFrame) -> DataFrame:
     sc, nc = F.col("success_control").cast("double"), F.col("n_control").cast("double")
     st, nt = F.col("success_treatment").cast("double"), F.col("n_treatment").cast("double")
     pc, pt = sc / nc, st / nt
@@ -125,10 +131,49 @@ def test_statistics(ab: DataFrame) -> DataFrame:
 
 def tests_table(ab: DataFrame, alpha: float = 0.05) -> DataFrame:
     """One row per test — test_name, statistic, p_value (full precision) and is_significant at ``alpha``."""
-    s = test_statistics(ab)
+    return _tests(test_statistics(ab), alpha)
+
+
+def _tests(s: DataFrame, alpha: float) -> DataFrame:
     rows = s.selectExpr(
         "stack(2, 'z-test', z_stat, p_value_z, 'chi-square', chi2_stat, p_value_chi2) as (test_name, statistic, p_value)"
     )
     return rows.select(
         "test_name", "statistic", "p_value", (F.col("p_value") < F.lit(alpha)).alias("is_significant"),
     )
+
+
+def full_report(ab: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """C5 in long form, ``(section, key, metric, value)``: A26 (``segment``, key ``segment/group``), A27
+    (``group``), E2 (``counts``), E1 (``uplift``) and E6 (``z-test``, ``chi-square``; significance as 0 / 1).
+
+    One grouping-sets aggregate gives the segment and group rows with the counts of each arm; the tests
+    are arithmetic on its group rows. The input is read at most twice (tables, counts).
+    """
+    measures = {"customers_cnt": F.countDistinct("customer_id").cast("double"), "delivered_rate": F.avg("delivered_flg"),
+                "payment_rate_7d": F.avg("paid_7d_flg"), "avg_paid_amount_per_customer_7d": F.avg("paid_amount_7d"),
+                "paid": F.sum("paid_7d_flg").cast("double"), "observed": F.count("paid_7d_flg").cast("double")}
+    cells = ab.groupingSets([["segment", "group_name"], ["group_name"]], "segment", "group_name").agg(
+        F.grouping("segment").alias("all_segments"), *[v.cast("double").alias(k) for k, v in measures.items()])
+    key = F.when(F.col("all_segments") == 1, F.col("group_name")).otherwise(F.concat_ws("/", "segment", "group_name"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in measures]))
+    section = F.when(F.col("all_segments") == 1, "group").otherwise("segment")
+    tables = cells.select(section.alias("section"), key.alias("key"), pairs.alias("_m")).select("section", "key", "_m.*")
+
+    def arm(g: str, what: str):
+        return F.max(F.when((F.col("all_segments") == 1) & (F.col("group_name") == g), F.col(what)))
+
+    counts = cells.agg(arm(CONTROL, "paid").alias("success_control"), arm(CONTROL, "observed").alias("n_control"),
+                       arm(TREATMENT, "paid").alias("success_treatment"), arm(TREATMENT, "observed").alias("n_treatment"))
+
+    def row(one: DataFrame, section: str, names: list[str], key: str = "all") -> DataFrame:
+        rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names]))
+        return one.select(F.lit(section).alias("section"), F.lit(key).alias("key"), rows.alias("_m")).select("section", "key", "_m.*")
+
+    tests = _tests(_statistics(counts), alpha).withColumn("significant", F.col("is_significant").cast("int"))
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"))
+                               for n in ("statistic", "p_value", "significant")]))
+    tests = tests.select(F.col("test_name").alias("section"), F.lit("all").alias("key"), rows.alias("_m")).select("section", "key", "_m.*")
+    return (tables.unionByName(row(counts, "counts", counts.columns))
+            .unionByName(row(_uplift(counts), "uplift", ["control_rate", "treatment_rate", "uplift_abs", "uplift_rel"]))
+            .unionByName(tests))

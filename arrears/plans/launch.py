@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arrears.operators.ordered import exact_quantiles, top_fraction
+from arrears.operators.ordered import exact_quantiles, fraction_cut, global_rank, prefix_sums, top_fraction
 
 
 def _whole():
@@ -166,6 +166,11 @@ def psi_bins(
         both = tr.join(sc, "bin")
     else:
         raise ValueError(f"unknown binning method {method}")
+    return _distributions(both, eps)
+
+
+def _distributions(both: DataFrame, eps: float) -> DataFrame:
+    """Shares of the ``train_count`` and ``scoring_count`` of every bin (0 → ``eps``)."""
     share = lambda c: F.col(c) / F.nullif(F.sum(c).over(_whole()), F.lit(0))  # noqa: E731  (n_bins rows: a bounded window)
     out = both.select(
         "bin", "bin_left", "bin_right",
@@ -286,3 +291,81 @@ def boxplot_stats(df: DataFrame, col: str, whis: float = 1.5) -> DataFrame:
         F.round(q3 - q1, 6).alias("iqr"), F.round("whisker_low", 6).alias("whisker_low"),
         F.round("whisker_high", 6).alias("whisker_high"), "outliers",
     )
+
+
+def full_report(
+    train_scores: DataFrame, scoring: DataFrame, fraction: float = 0.25, cost_per_contact: float = 35.0,
+    n_bins: int = 10, eps: float = PSI_EPS,
+) -> DataFrame:
+    """C9 in long form, ``(section, key, metric, value)``: K5 (``selection``), B1-B3 (``new``, ``current``,
+    ``difference``), B4 and B5 (``psi_bin`` with the bin as key, ``psi``) and B6 (``score_shift`` per dataset).
+
+    Both score sets are reduced to counts and revenue per distinct score in one read, and these are
+    put into order; everything else is computed from them. Only if the cut goes through a score are
+    the rows of that score read once more, to take those with the smallest ids.
+    """
+    spark = scoring.sparkSession
+    both = with_revenue(scoring).select(
+        F.lit("scoring").alias("dataset"), F.col("score").cast("double").alias("score"), "revenue",
+        (F.col("current_contact_flg") == 1).alias("current"),
+    ).unionByName(train_scores.select(F.lit("train").alias("dataset"), F.col("score").cast("double").alias("score")), allowMissingColumns=True)
+    counts = both.groupBy("dataset", "score").agg(
+        F.count(F.lit(1)).alias("_c"), F.sum("revenue").alias("revenue"), F.count_if("current").alias("current"),
+        F.sum(F.when(F.col("current"), F.col("revenue"))).alias("current_revenue"))
+    ordered = prefix_sums(counts, [("score", "desc")], ["_c"], by=["dataset"])
+    scored = ordered.where(F.col("dataset") == "scoring")
+    cut = fraction_cut(scored, "score", fraction, []).agg(F.first(F.struct("_cut", "_need", "_of"))).scalar()
+
+    def pairs(df: DataFrame, section, key, columns: dict) -> DataFrame:
+        rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("double").alias("value")) for n, c in columns.items()]))
+        return df.select(section.alias("section"), key.alias("key"), rows.alias("_m")).select("section", "key", "_m.*")
+
+    # the new selection: whole scores above the cut, and of the score at the cut the first ids
+    at_cut = with_revenue(scoring).where(F.col("score").cast("double").eqNullSafe(cut["_cut"])).where(cut["_need"] < cut["_of"])
+    ranked = global_rank(at_cut.select("row_id", "revenue"), ["row_id"], out="_rank")
+    part = ranked.where(F.col("_rank") <= cut["_need"]).agg(F.sum("revenue")).scalar()
+    zero = F.lit(0).cast(MONEY_SUM)
+    any_row = cut["_need"].isNotNull()
+    above = any_row & F.when(cut["_cut"].isNull(), F.col("score").isNotNull()).otherwise(F.col("score") > cut["_cut"])
+    at = any_row & F.col("score").eqNullSafe(cut["_cut"])
+    effects = scored.agg(
+        F.coalesce(F.sum(F.when(above, F.col("_c")).when(at, cut["_need"])), F.lit(0)).alias("new_n"),
+        (F.coalesce(F.sum(F.when(above | (at & (cut["_need"] == cut["_of"])), F.col("revenue"))), zero)
+         + F.coalesce(part, zero)).alias("new_revenue"),
+        F.coalesce(F.sum("current"), F.lit(0)).alias("current_n"), F.coalesce(F.sum("current_revenue"), zero).alias("current_revenue"),
+    )
+
+    def effect(prefix: str) -> dict:
+        n, revenue = F.col(f"{prefix}_n"), F.col(f"{prefix}_revenue").cast(MONEY_SUM)
+        cost = (n * F.lit(cost_per_contact)).cast(MONEY_SUM)
+        return dict(zip(METRICS, (n, revenue, cost, revenue - cost)))
+
+    new, current = effect("new"), effect("current")
+    difference = {m: new[m].cast(MONEY_SUM) - current[m].cast(MONEY_SUM) for m in METRICS}
+    sections = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("section"), F.lit(m).alias("metric"), c.cast("double").alias("value"))
+        for name, columns in (("new", new), ("current", current), ("difference", difference)) for m, c in columns.items()]))
+    effects = effects.select(sections.alias("_e")).select("_e.section", F.lit("all").alias("key"), "_e.metric", "_e.value")
+    selection = pairs(scored.agg(F.coalesce(F.sum(F.when(above, F.col("_c")).when(at, cut["_need"])), F.lit(0)).alias("n")),
+                      F.lit("selection"), F.lit("all"), {"threshold": cut["_cut"], "selected_customers": F.col("n")})
+
+    rng = value_range(ordered.where(F.col("dataset") == "train"), "score")
+    binned = _with_bin(ordered.select("dataset", "score", "_c"), "score", rng, n_bins).where(F.col("bin").isNotNull())
+    per_bin = binned.groupBy("bin").agg(*[
+        F.sum(F.when(F.col("dataset") == d, F.col("_c"))).alias(f"{d}_count") for d in ("train", "scoring")])
+    bins = _distributions(_bin_edges(spark, rng, n_bins).join(per_bin, "bin", "left").select(
+        "bin", "bin_left", "bin_right",
+        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("train_count", "scoring_count")]), eps)
+    bin_rows = pairs(bins, F.lit("psi_bin"), F.col("bin").cast("string"),
+                     {c: F.col(c) for c in ("bin_left", "bin_right", "train_dist", "scoring_dist")})
+    total = pairs(psi(bins), F.lit("psi"), F.lit("all"), {"psi": F.col("psi")})
+
+    known = F.when(F.col("score").isNotNull(), F.col("_c"))
+    moments = ordered.groupBy("dataset").agg(
+        F.sum("_c").alias("n"), F.sum(known).alias("_k"), F.sum(known * F.col("score")).alias("_s"),
+        F.sum(known * F.col("score") * F.col("score")).alias("_q"), F.min("score").alias("min"), F.max("score").alias("max"))
+    mean = F.col("_s") / F.col("_k")
+    spread = F.sqrt(F.greatest(F.col("_q") - F.col("_k") * mean * mean, F.lit(0.0)) / F.nullif(F.col("_k") - 1, F.lit(0)))
+    shift = pairs(moments, F.lit("score_shift"), F.col("dataset"),
+                  {"mean": mean, "std": spread, "min": F.col("min"), "max": F.col("max"), "n": F.col("n")})
+    return effects.unionByName(selection).unionByName(bin_rows).unionByName(total).unionByName(shift)

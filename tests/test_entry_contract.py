@@ -12,7 +12,6 @@ from tools.check_oracle import digest
 from tools.check_types import norm_spark
 
 load_all()  # the library's own queries; those of arrears.llm have their tests in tests/llm
-SKIP_SLOW = {"boosted_trees", "feature_importance_top10", "payment_model_report"}
 
 
 def test_entry_smoke(spark):
@@ -47,6 +46,6 @@ def test_query_matches_oracle(spark, duck, name):
     assert digest(df.columns, s_rows)[0] == digest(rel.columns, o_rows)[0]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SKIP_SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only_queries_run(spark, name):
     assert entry_mod.queries()[name](spark, SF001).count() >= 0

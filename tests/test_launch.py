@@ -118,3 +118,26 @@ def test_binned_plans_read_their_input_few_times(spark):
     train = spark.createDataFrame([(i / 10,) for i in range(30)], "score double")
     plan = ln.psi_bins(train, train.select((train.score + 0.1).alias("score")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") <= 10  # two inputs, and copies of the range subquery
+
+
+def test_full_report_agrees_with_its_parts_on_ties_and_nulls(spark):
+    scores = [(i, None if i % 11 == 0 else round((i * 37 % 5) / 10, 2)) for i in range(200)]
+    rows = spark.createDataFrame(
+        [(i, s, i % 2, 10.0 + i, int(i % 3 == 0)) for i, s in scores],
+        "row_id long, score double, target_paid_30d int, recovered_amount_30d double, current_contact_flg int")
+    train = spark.createDataFrame([(round((i * 29 % 7) / 11, 3),) for i in range(150)], "score double")
+    for fraction in (0.25, 0.5, 0.97, 0.001):
+        got = {(r.section, r.key, r.metric): r.value for r in ln.full_report(train, rows, fraction).collect()}
+        for r in ln.strategy_comparison(rows, fraction).collect():
+            assert got["new", "all", r.metric] == r.new_strategy
+            assert got["current", "all", r.metric] == r.current_strategy and got["difference", "all", r.metric] == r.difference
+        t = ln.threshold(ln.select_top(rows, fraction)).first()
+        assert got["selection", "all", "selected_customers"] == t.selected_customers
+        if 0 < t.selected_customers <= 181:
+            assert got["selection", "all", "threshold"] == t.threshold
+    for r in ln.psi_bins(train, rows).collect():
+        for c in ("bin_left", "bin_right", "train_dist", "scoring_dist"):
+            assert abs(got["psi_bin", str(r.bin), c] - r[c]) < 1e-12
+    for r in ln.score_shift(train, rows).collect():
+        for c in ("mean", "std", "min", "max", "n"):
+            assert abs(got["score_shift", r.dataset, c] - r[c]) < 1e-6

@@ -88,3 +88,81 @@ def test_logistic_regression_equals_c1_objective(spark):
     Xv = np.column_stack([np.ones(len(b)), np.vstack(b["f"].to_numpy())])
     pv = 1 / (1 + np.exp(-Xv @ w))
     assert np.abs(pv - b["p"].to_numpy()).max() < 1e-4
+
+
+TRAIN, VALID = ("1997-01-01", "1997-09-30"), ("1997-10-01", "1997-12-31")
+
+
+def _auc(y, p):
+    order = np.argsort(p, kind="stable")
+    rank = np.empty(len(p))
+    rank[order] = np.arange(1, len(p) + 1)
+    for v in np.unique(p):
+        rank[p == v] = rank[p == v].mean()
+    pos = y.sum()
+    return (rank[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))
+
+
+def test_boosting_keeps_several_trees_and_ranks_a_learnable_label(spark):
+    from pyspark.sql import functions as F
+
+    rows = inputs(spark, SF001.replace("0.001", "0.01")).train
+    odd = (F.col("row_id") * 7919) % 100  # one label in seven is noise
+    rule = ((F.col("rpc_last_30d") >= 2) & (F.col("promises_last_30d") >= 1)) | (F.col("dpd_bucket") == "90+")
+    rows = rows.withColumn(pm.LABEL, F.when(odd < 15, (odd % 2 == 0).cast("int")).otherwise(rule.cast("int")))
+    tr, va = pm.time_split(rows, TRAIN, VALID)
+    model, best = pm.boosted_trees(tr, va, max_iter=16, step_size=0.3, patience=8, first_chunk=16)
+    boosted = model.stages[-1]
+    assert 1 < best <= 16 and len(boosted.trees) == best
+    scored = model.transform(pm.fill_categories(va))
+    # the kept trees' staged losses are those of Spark's own evaluation, tree by tree
+    ours = [r.loss for r in pm.staged_losses(boosted, scored.select("features", pm.LABEL)).orderBy("trees").collect()]
+    assert np.allclose(ours, boosted.evaluateEachIteration(scored.select("features", pm.LABEL)), atol=1e-9)
+    assert min(ours) == ours[-1]
+    rows = pm.positive_probability(model, pm.fill_categories(va), keep=[pm.LABEL]).toPandas()
+    assert _auc(rows[pm.LABEL].to_numpy(), rows["proba"].to_numpy()) > 0.85
+    names = [n for n, _ in pm.feature_importance(model, 3)]
+    assert set(names) == {"rpc_last_30d", "promises_last_30d", "dpd_bucket_idx"}
+
+
+def test_gradient_shows_a_model_that_is_not_optimal(spark):
+    tr, _ = pm.time_split(inputs(spark, SF001.replace("0.001", "0.01")).train, TRAIN, VALID)
+    regression, encode = pm.handmade_fit(tr)
+    n = tr.count()
+    at = lambda m: max(abs(r.gradient) for r in pm.penalised_gradient(m.transform(encode(tr)), m).collect()) / n
+    assert at(regression) < 1e-6
+    from pyspark.ml.classification import LogisticRegression
+
+    hasty = LogisticRegression(featuresCol="features", labelCol=pm.LABEL, regParam=1.0 / n, standardization=False,
+                               maxIter=2).fit(encode(tr))
+    assert at(hasty) > 1e-4
+
+
+def test_full_report_equals_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    ev = inputs(spark, SF001).eval_scores.select(
+        "row_id", F.col("y_true").alias(pm.LABEL), "dpd_bucket", "region", "baseline_proba", "boosted_proba")
+    models = {"a": "baseline_proba", "b": "boosted_proba"}
+    tr, _ = pm.time_split(inputs(spark, SF001).train, TRAIN, VALID)
+    rows = pm.full_report(tr, ev, models, [("income", 0.75), ("region_idx", 0.25)], 7).collect()
+    got = {(r.section, r.key, r.metric): r.value for r in rows}
+    assert len(got) == len(rows)
+    df = ev.toPandas()
+    assert got["rows", "validation", "rows"] == len(df) and got["rows", "train", "rows"] == tr.count()
+    assert got["importance", "income", "importance"] == 0.75 and got["importance", "boosted", "trees"] == 7
+    groups = {("model", ""): df}
+    for c in ("dpd_bucket", "region"):
+        groups |= {("segment", f"{c}={v}/"): part for v, part in df.groupby(c)}
+    for (section, key), part in groups.items():
+        for name, col in models.items():
+            y, p = part[pm.LABEL].to_numpy(), part[col].to_numpy()
+            order = np.lexsort((part["row_id"], -p))
+            k = math.floor(len(y) * 0.3)
+            want = y[order][:k].mean() if k else None
+            value = got[section, key + name, "precision_at"]
+            assert (value is None and want is None) or abs(value - want) < 1e-6
+            if 0 < y.sum() < len(y):
+                assert abs(got[section, key + name, "roc_auc"] - _auc(y, p)) < 1e-6
+                steps = sum((p >= v).sum() and y[p == v].sum() / y.sum() * y[p >= v].mean() for v in np.unique(p))
+                assert abs(got[section, key + name, "pr_auc"] - steps) < 1e-6
