@@ -157,7 +157,7 @@ class ToxicityModel:
             return np.zeros(0)
         if not self._compressors:
             params = zstandard.ZstdCompressionParameters(
-                compression_level=6, window_log=17, min_match=3, strategy=zstandard.STRATEGY_BTULTRA,
+                compression_level=6, window_log=17, min_match=3, search_log=4, strategy=zstandard.STRATEGY_BTULTRA,
                 format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False,
                 write_checksum=False)
             for content in (self.ordinary + b"\xff" * len(self.toxic), self.ordinary + self.toxic):
