@@ -28,7 +28,7 @@ from arrears.llm.topk_search import _matrix, _widen
 TILE = 4096
 LEADING = 16  # dimensions added per step
 SLACK = 1e-4  # bounds are computed in single precision on unit vectors
-_PARTS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+_PARTS = pa.schema([("node", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
 def usable(vector: str) -> F.Column:
@@ -124,7 +124,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
     rows = vectors.select("vec_id", F.transform("vector", lambda x: x.cast("double") + F.lit(0.0)).alias("vector"),
                           (usable("vector") & F.col("vec_id").isNotNull()).alias("usable"))
     reps = stash(rows.where("usable").groupBy("vector")
-                 .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+                 .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+                 .withColumn("node", F.monotonically_increasing_id()))  # written once: a vector's own number
     n = reps.count()
     if n:
         axes = principal_axes(reps)
@@ -133,7 +134,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
         cells = (reps.withColumn("tile", mine)
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
                  .select(F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
-                         "tile", "rep", "copies", "vector"))
+                         "tile", "node", "rep", "copies", "vector"))
 
         def cell(group: pa.Table) -> pa.Table:
             low, high = group["low"][0].as_py(), group["high"][0].as_py()
@@ -142,27 +143,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
                 side = group.filter(pc.equal(group["tile"], t)).combine_chunks()
                 if not len(side):
                     return _PARTS.empty_table()
-                sides.append((side["rep"].to_numpy(), side["copies"].to_numpy(),
+                sides.append((side["rep"].to_numpy(), side["node"].to_numpy(), side["copies"].to_numpy(),
                               _widen(_matrix(pa.concat_arrays(side["vector"].chunks)), len(axes))))
-            (rep_a, copies_a, a), (rep_b, copies_b, b) = sides[0], sides[-1]
+            (rep_a, node_a, copies_a, a), (rep_b, node_b, copies_b, b) = sides[0], sides[-1]
             i, j = linked_pairs(a, b, axes, threshold, low == high)
             if low == high:
-                reps_here, at_j = rep_a, j
+                reps_here, nodes_here, at_j = rep_a, node_a, j
                 links = (np.bincount(i, copies_a[j], len(rep_a)) + np.bincount(j, copies_a[i], len(rep_a)))
             else:
-                reps_here, at_j = np.r_[rep_a, rep_b], j + len(rep_a)
+                reps_here, nodes_here, at_j = np.r_[rep_a, rep_b], np.r_[node_a, node_b], j + len(rep_a)
                 links = np.r_[np.bincount(i, copies_b[j], len(rep_a)), np.bincount(j, copies_a[i], len(rep_b))]
             order = np.argsort(reps_here, kind="stable")
             spot = np.empty_like(order)
             spot[order] = np.arange(len(order))
             root = reps_here[order][local_roots(len(order), spot[i], spot[at_j])]
             some = links > 0
-            return pa.table([reps_here[some], root[spot[some]], links[some].astype(np.int64)], schema=_PARTS)
+            return pa.table([nodes_here[some], reps_here[some], root[spot[some]], links[some].astype(np.int64)], schema=_PARTS)
 
-        parts = stash(cells.groupBy("low", "high").applyInArrow(cell, "a long, b long, links long"))
-        degree = parts.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+        parts = stash(cells.groupBy("low", "high").applyInArrow(cell, "node long, a long, b long, links long"))
+        degree = parts.groupBy("node").agg(F.sum("links").alias("links"))  # of the vector, not of its id
         comps = components(parts.select("a", "b")).withColumnRenamed("node", "rep")
-        classes = (reps.join(degree, "rep", "left").join(comps, "rep", "left")
+        classes = (reps.join(degree, "node", "left").join(comps, "rep", "left")
                    .select("vector", "rep", "copies", "links", "component"))
     else:
         classes = reps.select("vector", "rep", "copies", F.lit(None).cast("long").alias("links"),

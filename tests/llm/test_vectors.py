@@ -76,3 +76,14 @@ def test_near_duplicates_equal_brute_force(spark, tile):
 def test_near_duplicates_empty(spark):
     none = spark.createDataFrame([], "vec_id long, vector array<float>")
     assert embedding_dedup.near_duplicates(none).count() == 0
+
+
+def test_links_are_counted_per_vector_where_ids_repeat(spark):
+    r = random.Random(8)
+    a, b = ([r.gauss(0, 1) for _ in range(8)] for _ in range(2))
+    near = lambda v: [x + r.gauss(0, 0.01) for x in v]
+    rows = [(5, a), (5, b), (6, near(a)), (7, near(b)), (8, near(b)), (9, [r.gauss(0, 1) for _ in range(8)])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<float>")
+    for tile in (4096, 2):
+        got = sorted(tuple(x) for x in embedding_dedup.near_duplicates(df, 0.95, tile).collect())
+        assert got == [(5, 1, 5, True), (5, 2, 5, True), (6, 1, 5, False), (7, 2, 5, False), (8, 2, 5, False), (9, 0, 9, True)]
