@@ -82,20 +82,31 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, size: np.ndarray)
 
 
 def _rank_by_doubling(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of ``names``, exact for the first ``depth`` names (0: for all)."""
-    rank, reach = names.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    """Order of the suffixes of ``names``, exact for the first ``depth`` names (0: for all).
+
+    A suffix's rank is the first place of its group of suffixes that are equal so far; a round sorts only
+    the members of groups of two or more, by the rank that stands ``reach`` names later.
+    """
+    n, reach = len(names), 1
+    order = np.argsort(names)
+    rank, key, places = np.empty(n, np.int64), names[order].astype(np.int64), np.arange(n)
+    items = order
     while True:
-        later = np.zeros(len(rank), np.int64)
-        later[:-reach] = rank[reach:] + 1
-        key = rank * (len(rank) + 2) + later
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty_like(rank)
-        rank[order] = np.r_[0, np.cumsum(sorted_key[1:] != sorted_key[:-1])]
-        reach *= 2
-        if rank[order[-1]] == len(rank) - 1 or reach >= len(rank) or depth and reach >= depth:
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        run = np.diff(np.r_[head, len(key)])
+        rank[items] = np.repeat(places[head], run)
+        open_ = np.repeat(run > 1, run)
+        items, places = items[open_], places[open_]
+        if not len(items) or reach >= n or depth and reach >= depth:
             return order
+        later = np.zeros(len(items), np.int64)
+        inside = items + reach < n
+        later[inside] = rank[items[inside] + reach] + 1
+        key = rank[items] * (n + 2) + later
+        turn = np.argsort(key)  # ties in any order: later rounds tell them apart, or nothing has to
+        items, key = items[turn], key[turn]
+        order[places] = items
+        reach *= 2
 
 
 def suffix_array(symbols: np.ndarray, depth: int = 0) -> np.ndarray:

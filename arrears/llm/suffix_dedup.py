@@ -92,7 +92,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     least = np.minimum(least[:strings], least[width - size:width - size + strings])
-    row = np.searchsorted(offsets, np.arange(strings), "right") - 1
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:strings]
     whole = np.flatnonzero(np.arange(strings) + LENGTH <= offsets[row + 1])
     if not len(whole):
         return none.astype(np.uint64), none, none, none
@@ -261,16 +261,25 @@ def _fold(regions: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.
     prefix = prefix_hashes(data)
     length = regions["length"].astype(np.int64)
     key = mix64((prefix[begin + length] - prefix[begin]) * powers(_INVERSE, len(prefix))[begin]) ^ length.astype(np.uint64)
-    order = np.lexsort((regions["start"], regions["doc"], key))
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.r_[True, sorted_key[1:] != sorted_key[:-1]] if len(order) else np.zeros(0, bool)
-    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+    heads = np.flatnonzero(new)
+    run = np.diff(np.r_[heads, len(order)])
+    several = np.flatnonzero(np.repeat(run > 1, run))  # only these have an order among themselves
+    order[several] = order[several][np.lexsort((regions["start"][order[several]], regions["doc"][order[several]],
+                                                sorted_key[several]))]
+    head = order[np.repeat(heads, run)]
     # equal for certain: compare with the head byte by byte
-    equal = length[order] == length[head]
+    copies = ~new & (length[order] == length[head])
+    check = np.flatnonzero(copies)
     for step in range(int(length.max(initial=0))):
-        check = np.flatnonzero(equal & (length[order] > step))
-        equal[check] = data[begin[order[check]] + step] == data[begin[head[check]] + step]
-    copies = equal & ~new
+        check = check[length[order[check]] > step]
+        if not len(check):
+            break
+        same = data[begin[order[check]] + step] == data[begin[head[check]] + step]
+        copies[check[~same]] = False
+        check = check[same]
     covered = copies & (regions["doc"][order] > regions["doc"][head])
     return order[~covered], order[covered]
 
@@ -350,9 +359,7 @@ def spans_of_shard(regions: np.ndarray, data: np.ndarray) -> np.ndarray:
             heads = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
             least = np.repeat(np.minimum.reduceat(docs, heads), np.diff(np.r_[heads, len(run)]))
             gone = places[docs > least]
-            edge = np.zeros(len(symbols) + 1, np.int32)
-            np.add.at(edge, gone, 1)
-            np.add.at(edge, gone + LENGTH, -1)
+            edge = np.bincount(gone, minlength=len(symbols) + 1) - np.bincount(gone + LENGTH, minlength=len(symbols) + 1)
             cover = np.r_[0, (np.cumsum(edge) > 0).astype(np.int8), 0]
             starts, ends = np.flatnonzero(np.diff(cover) > 0), np.flatnonzero(np.diff(cover) < 0)
             which = region[starts]
@@ -448,13 +455,12 @@ def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
         out = [[] for _ in range(7)]
         if left.num_rows:
             keys, ids, data, offsets = _texts(left)
-            gone = np.zeros(len(data) + 1, np.int32)
+            gone = np.zeros(len(data), bool)
             if right.num_rows:
                 found = np.concatenate([_unpack_regions(x) for x in right["spans"].to_pylist()])
                 begin = offsets[found["ord"]] + found["start"]
-                np.add.at(gone, begin, 1)
-                np.add.at(gone, begin + found["length"], -1)
-            gone = np.cumsum(gone)[:-1] > 0
+                edge = np.bincount(begin, minlength=len(data) + 1) - np.bincount(begin + found["length"], minlength=len(data) + 1)
+                gone = np.cumsum(edge)[:-1] > 0
             raw = data.tobytes()
             for i, key in enumerate(keys):
                 a, b = offsets[i], offsets[i + 1]
