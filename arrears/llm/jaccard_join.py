@@ -12,7 +12,7 @@ How documents come together (exact, no cap): equal sets are folded first. Under
 of all shingles, rarest counter first, two sets that link share a shingle among the first
 n - ceil(t n) + 1 of either. These prefix shingles are dealt to buckets; documents with a common one
 and sizes within reach are chained, and the components of the chains are the candidate groups. A
-group beyond a block's size is dealt into blocks, and every pair of blocks is a cell of its own. In
+group beyond a block's size (documents or shingles) is dealt into blocks, and every pair of blocks is a cell of its own. In
 the cell the same is done once more with the exact frequencies there, which takes groups apart that
 only common passages hold together, and the trees are built over what remains together.
 
@@ -38,8 +38,11 @@ from arrears.llm.shingles import set_keys, shingles
 COUNTER_BITS = 22
 CHUNK = 1 << 16
 BUCKET_POSTINGS = 600_000
-BLOCK = 2048
-GROUP_DOCS = 500
+BLOCK = 2048  # documents, and
+BLOCK_SHINGLES = 4_000_000  # shingles of one block of a group that is dealt into blocks
+GROUP_DOCS = 500  # documents, and
+GROUP_SHINGLES = 400_000  # shingles that a bucket of smaller groups holds on average
+STEP_TOKENS = 1 << 20  # tokens of the documents that one document is compared with at once
 FANOUT = 8
 SIGNATURE_BITS = 1024
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -253,6 +256,17 @@ def node_pairs(one: SignatureTree, two: SignatureTree, percent: int, same: bool)
     return a, b
 
 
+def _dense(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of every hash's distinct value, in ascending order, and how often each value stands there."""
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    dense = np.empty(len(hashes), np.int32)
+    dense[order] = np.cumsum(new, dtype=np.int32) - 1
+    return dense, np.diff(np.r_[np.flatnonzero(new), len(hashes)]).astype(np.int32)
+
+
 def linked_groups(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> np.ndarray:
     """Component (smallest member's place) of each set over the links of a cell.
 
@@ -261,8 +275,8 @@ def linked_groups(sets: list[np.ndarray], side: np.ndarray | None, percent: int)
     """
     sizes = np.array([len(s) for s in sets])
     at = np.r_[0, np.cumsum(sizes)]
-    _, dense, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    dense, count = _dense(np.concatenate(sets))
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     near = _prefix(count[dense], owner, at, percent)
     near = near[count[dense[near]] > 1]
     group = local_roots(len(sets), *_chain(dense[near], owner[near], sizes, percent))
@@ -310,8 +324,12 @@ def _join_trees(one, two, sets, dense, at, flags, label, percent) -> None:
                 continue
             own = dense[at[doc]:at[doc + 1]]
             flags[own] = True
-            for k in range(0, len(y), 1024):
-                part = ids_b[y[k:k + 1024]]
+            ids, k = ids_b[y], 0
+            reach = np.cumsum(at[ids + 1] - at[ids])
+            while k < len(ids):
+                before = reach[k - 1] if k else 0
+                end_k = max(k + 1, int(np.searchsorted(reach, before + STEP_TOKENS, "right")))
+                part, k = ids[k:end_k], end_k
                 part = part[label[part] != label[doc]]
                 if not len(part):
                     continue
@@ -326,12 +344,16 @@ def _join_trees(one, two, sets, dense, at, flags, label, percent) -> None:
             flags[own] = False
 
 
-def _sets_of(column: pa.ChunkedArray, k: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
+def _sets_of(column: pa.ChunkedArray, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The set of every text and its two keys, a step of the texts at a time."""
+    sets: list[np.ndarray] = []
+    keys: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
     for _, data, offsets in text_views(column):
         hashes, at = shingles(data, offsets, k)
-        out += np.split(hashes, at[1:-1])
-    return out
+        sets += np.split(hashes, at[1:-1])
+        keys.append(set_keys(hashes, at))
+    key1, key2 = (np.concatenate(x) for x in zip(*keys))
+    return sets, key1, key2
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, block: int = BLOCK) -> DataFrame:
@@ -348,8 +370,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, block: in
     sets = scanned.where("chunk is null").select("doc_id", "n", "key1", "key2")
     full = scanned.where("chunk is null and n > 0 and doc_id is not null")
     # a class and the text of its smallest id
-    classes = (full.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
-               .select("key1", "key2", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("text_hash")))
+    classes = (full.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("least"))
+               .select("key1", "key2", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("text_hash"),
+                       F.col("least.n").alias("n")))
     total = full.agg(F.sum("n").alias("n"), F.count("*").alias("docs")).first()
     if not total["docs"]:
         return sets.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -359,10 +382,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, block: in
     posted = prefix_postings(docs.where("text is not null and doc_id is not null"), counts, buckets, k, percent)
     groups = components(stash(chained(posted, percent)))
     members = stash(groups.join(classes, groups["node"] == classes["key1"])
-                    .select("rep", "key1", "key2", "text_hash", F.col("component").alias("group")))
-    sized = members.groupBy("group").agg(F.count("*").alias("m"))
-    buckets = max(1, -(-members.count() // GROUP_DOCS))
-    blocks = F.ceil(F.col("m") / block).cast("int")
+                    .select("rep", "key1", "key2", "text_hash", "n", F.col("component").alias("group")))
+    sized = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+    whole = members.agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    buckets = max(1, -(-whole["m"] // GROUP_DOCS), -(-whole["shingles"] // GROUP_SHINGLES))
+    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     dealt = (members.join(sized, "group").withColumn("blocks", blocks)
              .withColumn("mine", F.pmod(F.xxhash64("key1", "key2"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -377,16 +401,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, block: in
 
     def join_cell(rows: pa.Table) -> pa.Table:
         found = [[], []]
-        sets_ = _sets_of(rows["text"], k)
-        keys = set_keys(np.concatenate(sets_) if sets_ else np.zeros(0, np.uint64),
-                        np.r_[0, np.cumsum([len(s) for s in sets_])].astype(np.int64))
-        right = np.flatnonzero((keys[0] == rows["key1"].to_numpy()) & (keys[1] == rows["key2"].to_numpy()))
-        rep, group, mine = (rows[c].to_numpy() for c in ("rep", "group", "mine"))
-        ident = np.stack([group, keys[0], keys[1]])[:, right]
+        sets_, key1, key2 = _sets_of(rows["text"], k)
+        rows = rows.drop_columns("text")
+        right = np.flatnonzero((key1 == rows["key1"].to_numpy()) & (key2 == rows["key2"].to_numpy()))
+        rep, group, mine, low, high = (rows[c].to_numpy() for c in ("rep", "group", "mine", "low", "high"))
+        ident = np.stack([group, key1, key2])[:, right]
         _, once = np.unique(ident, axis=1, return_index=True)
         right = right[once]
         right = right[np.lexsort((rep[right], group[right]))]
-        low, high = rows["low"].to_numpy(), rows["high"].to_numpy()
         cuts = np.r_[0, np.flatnonzero(np.diff(group[right])) + 1, len(right)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             part = right[a:b]
