@@ -14,12 +14,13 @@ import numpy as np
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than its successor; ``s`` ends with its smallest symbol."""
-    n = len(s)
-    change = np.flatnonzero(s[1:] != s[:-1])
-    run = np.searchsorted(change, np.arange(n - 1))  # the next place where the symbol changes
-    small = np.empty(n, bool)
-    small[:-1] = s[change[run]] < s[change[run] + 1]
+    small = np.empty(len(s), bool)
+    np.less(s[:-1], s[1:], out=small[:-1])
     small[-1] = True
+    equal = np.flatnonzero(s[:-1] == s[1:])
+    if len(equal):  # as at the next place where the symbol changes
+        change = np.flatnonzero(s[:-1] != s[1:])
+        small[equal] = small[change[np.searchsorted(change, equal)]]
     return small
 
 
