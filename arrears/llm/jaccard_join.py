@@ -18,8 +18,8 @@ only common passages hold together, and the trees are built over what remains to
 
 Scale: shuffles carry packed prefix postings (a quarter of the shingles, about 8 bytes each) and
 once the texts of the documents that have a candidate. Shingle frequencies come from counters over
-all documents, of fixed size (16 MB); they only order the shingles, so a full counter costs time,
-not links. No task holds more than a bucket, a block pair, or one batch.
+all documents, of fixed size (16 MB, logarithms in one byte); they only order the shingles, so a full counter costs
+time, not links. No task holds more than a bucket, a block pair, or one batch.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from arrears.llm.common import components, local_roots, release_memory, stash, text_views
 from arrears.llm.shingles import set_keys, shingles
 
-COUNTER_BITS = 22
+COUNTER_BITS = 24
 CHUNK = 1 << 16
 BUCKET_POSTINGS = 600_000
 BLOCK = 2048  # documents, and
@@ -49,31 +49,37 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int32)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """One row (doc_id, n, key1, key2, text_hash) per row of ``docs(doc_id, text)``, and rows (chunk,
     counts) of the counters: in how many documents each bucket's shingles occur."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTER_BITS, np.int32)
+        counts = np.zeros(1 << COUNTER_BITS, np.uint16)
         waiting, size = [], 0
         names = ["doc_id", "n", "key1", "key2", "text_hash", "chunk", "counts"]
+
+        def count() -> None:
+            spot, n = np.unique(np.concatenate(waiting), return_counts=True)
+            counts[spot] = np.minimum(counts[spot] + n, 65535)
+            waiting.clear()
+
         for batch in batches:
             for first, data, offsets in text_views(batch.column(1)):
                 hashes, at = shingles(data, offsets, k)
                 waiting.append(_counter(hashes))
                 size += len(hashes)
                 if size > 1_000_000:
-                    np.add(counts, np.bincount(np.concatenate(waiting), minlength=len(counts)), out=counts, casting="unsafe")
-                    waiting, size = [], 0
+                    count()
+                    size = 0
                 key1, key2 = set_keys(hashes, at)
                 none = pa.nulls(len(key1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(key1)), pa.array(np.diff(at)), pa.array(key1), pa.array(key2),
                      batch.column(2).slice(first, len(key1)), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if waiting:
-            np.add(counts, np.bincount(np.concatenate(waiting), minlength=len(counts)), out=counts, casting="unsafe")
+            count()
         release_memory()
         parts = counts.reshape(-1, CHUNK)
         some = np.flatnonzero(parts.any(axis=1))
@@ -87,19 +93,19 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def bucket_counts(scanned: DataFrame) -> np.ndarray:
-    """The counters of all tasks added up (a fixed number of them, 16 MB)."""
+    """Eight times the binary logarithm of the counters of all tasks added up, a byte each (16 MB)."""
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         for blob in rows["counts"].to_pylist():
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32)
-        total = np.minimum(total, 2**31 - 1).astype(np.int32)
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint16)
+        total = np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)
         return pa.table({"chunk": rows["chunk"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     added = (scanned.where("chunk is not null").select("chunk", "counts").groupBy("chunk")
              .applyInArrow(add, "chunk int, counts binary").toArrow())
-    out = np.zeros(((1 << COUNTER_BITS) // CHUNK, CHUNK), np.int32)
+    out = np.zeros(((1 << COUNTER_BITS) // CHUNK, CHUNK), np.uint8)
     for chunk, blob in zip(added["chunk"].to_pylist(), added["counts"].to_pylist()):
-        out[chunk] = np.frombuffer(blob, np.int32)
+        out[chunk] = np.frombuffer(blob, np.uint8)
     return out.ravel()
 
 
