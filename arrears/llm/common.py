@@ -123,11 +123,12 @@ def text_views(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int,
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (wraps modulo 2**64)."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))  # a new array; the other steps change it in place
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -151,10 +151,11 @@ def suffix_array(symbols: np.ndarray, depth: int = 0) -> np.ndarray:
     return _induce(s, small, ordered, size)
 
 
-def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, depth: int) -> np.ndarray:
+def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """For every place, the bytes (at most ``depth``) its suffix shares with the one before it in order.
 
-    Computed in the text's order, eight bytes at a time; bytes past the end count as zero.
+    Computed in the text's order, eight bytes at a time; bytes past the end count as zero. With ``wanted``
+    only where both places are wanted, elsewhere zero.
     """
     n = len(data)
     before = np.empty(n, np.int64)
@@ -165,6 +166,8 @@ def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, depth: int) -> np
         eight |= padded[k:n + depth + k].astype(np.uint64) << np.uint64(8 * k)
     out = np.zeros(n, np.int64)
     left = np.flatnonzero(before >= 0)
+    if wanted is not None:
+        left = left[wanted[left] & wanted[before[left]]]
     for step in range(0, depth, 8):
         differ = eight[left + step] ^ eight[before[left] + step]
         low = differ & (~differ + np.uint64(1))  # the lowest bit that differs

@@ -39,6 +39,7 @@ FLUSH_BYTES = 8 << 20
 GROUP_BYTES = 6 << 20
 SHARD_BYTES = 6 << 20  # of text that stands behind a shard's regions
 TOKEN_BUCKET = 2_500_000
+STEP_BYTES = 1 << 16  # of texts whose anchors are found at once: arrays that fit into a core's cache
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -83,9 +84,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return none.astype(np.uint64), none, none, none
     prefix = prefix_hashes(data)
     n = len(data) - GRAM + 1
-    hashes = mix64((prefix[GRAM:] - prefix[:-GRAM]) * powers(_INVERSE, len(prefix))[:n])
+    grams = prefix[GRAM:] - prefix[:-GRAM]
+    grams *= powers(_INVERSE, len(prefix))[:n]
+    hashes = mix64(grams)
     low_bits = np.uint64((1 << PLACE_BITS) - 1)
-    least = (hashes & ~low_bits) | np.arange(n, dtype=np.uint64)
+    least = hashes & ~low_bits
+    least |= np.arange(n, dtype=np.uint64)
     width, size = LENGTH - GRAM + 1, 1
     strings = len(data) - LENGTH + 1
     while size * 2 <= width:
@@ -187,7 +191,7 @@ def scan(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
         held = 0
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            for first, data, offsets in text_views(batch.column(1)):
+            for first, data, offsets in text_views(batch.column(1), STEP_BYTES):
                 hashes, row, _, _ = anchors(data, offsets)
                 cut = np.searchsorted(row, np.arange(len(offsets)))
                 raw = data.tobytes()
@@ -270,14 +274,18 @@ def _fold(regions: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.
     order[several] = order[several][np.lexsort((regions["start"][order[several]], regions["doc"][order[several]],
                                                 sorted_key[several]))]
     head = order[np.repeat(heads, run)]
-    # equal for certain: compare with the head byte by byte
+    # equal for certain: compare with the head, eight bytes at a time
     copies = ~new & (length[order] == length[head])
     check = np.flatnonzero(copies)
-    for step in range(int(length.max(initial=0))):
-        check = check[length[order[check]] > step]
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+    for step in range(0, int(length.max(initial=0)), 8):
+        rest = length[order[check]] - step
+        check, rest = check[rest > 0], rest[rest > 0]
         if not len(check):
             break
-        same = data[begin[order[check]] + step] == data[begin[head[check]] + step]
+        a, b = (np.ascontiguousarray(eight[begin[x[check]] + step]).view("<u8").ravel() for x in (order, head))
+        unused = (8 * (8 - np.minimum(rest, 8))).astype(np.uint64)  # bits past the region's end
+        same = (a ^ b) << unused == 0
         copies[check[~same]] = False
         check = check[same]
     covered = copies & (regions["doc"][order] > regions["doc"][head])
@@ -308,8 +316,8 @@ def _contested(doc: np.ndarray, data: np.ndarray, length: np.ndarray) -> np.ndar
     """Places of the regions whose anchor also stands in a region of another document."""
     found = []
     at = np.r_[0, np.cumsum(length)]
-    for a in range(0, len(doc), 8192):
-        b = min(a + 8192, len(doc))
+    for a in range(0, len(doc), 1024):
+        b = min(a + 1024, len(doc))
         hashes, row, _, _ = anchors(data[at[a]:at[b]], at[a:b + 1] - at[a])
         found.append(hashes[np.searchsorted(row, np.arange(b - a))])  # all strings of a region have one anchor
     if not found:
@@ -344,12 +352,11 @@ def spans_of_shard(regions: np.ndarray, data: np.ndarray) -> np.ndarray:
         sa = suffix_array(symbols, LENGTH)
         plain = np.zeros(len(symbols), np.uint8)
         plain[target] = data[source]
-        common = permuted_common_prefixes(plain, sa, LENGTH)
         region = np.repeat(np.arange(len(kept)), sizes + 1)
-        room = np.repeat(at + sizes, sizes + 1) - np.arange(len(symbols) - 1)
-        inside = sa < len(symbols) - 1
-        sa = sa[inside]
-        whole = room[sa] >= LENGTH
+        roomy = np.append(np.repeat(at + sizes, sizes + 1) - np.arange(len(symbols) - 1) >= LENGTH, False)
+        common = permuted_common_prefixes(plain, sa, LENGTH, roomy)
+        sa = sa[sa < len(symbols) - 1]
+        whole = roomy[sa]
         # a run: neighbours in order that share LENGTH bytes inside their regions
         joins = np.r_[False, (common[sa[1:]] >= LENGTH) & whole[1:] & whole[:-1]]
         run = np.cumsum(~joins)
@@ -407,8 +414,10 @@ def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
         wanted = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in right["a"].to_pylist()]))
         short = _short_key(keys)
         found, parts, spots = [], [], []
-        for first in range(0, len(keys), 256):
-            last = min(first + 256, len(keys))
+        last = 0
+        while last < len(keys):
+            first = last
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STEP_BYTES, "right")) - 1)
             base = offsets[first]
             hashes, row, low, high = anchors(data[base:offsets[last]], offsets[first:last + 1] - base)
             mark = _shared_key(short[row + first], (hashes >> np.uint64(32)).astype(np.uint32), hashes % np.uint64(buckets))

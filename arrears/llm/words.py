@@ -26,7 +26,10 @@ def powers(base: int, n: int) -> np.ndarray:
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """h[i] = sum of (data[j] + 1) * base**j for j < i, modulo 2**64."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=out[1:])
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= powers(_BASE, len(data))
+    np.cumsum(terms, out=out[1:])
     return out
 
 
