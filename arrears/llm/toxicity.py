@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,22 +56,24 @@ def word_mark(word: bytes) -> bytes:
     return xxhash.xxh3_64_digest(word)[:MARK]
 
 
-_with_mark: dict[bytes, bytes] = {}
+class _Marked(dict):
+    """Words with one space before them and their mark after them (long words are not kept)."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        known = b" " + word + b" " + word_mark(word)
+        if len(word) <= PIECE:
+            self[word] = known
+        return known
+
+
+_with_mark = _Marked()
 
 
 def marked_text(text: bytes) -> bytes:
     """Every word of a plain text with one space around it and its mark after it."""
-    out = []
-    for word in text.split():
-        known = _with_mark.get(word)
-        if known is None:
-            known = b" " + word + b" " + word_mark(word)
-            if len(_with_mark) >= 100_000:
-                _with_mark.clear()
-            if len(word) <= PIECE:
-                _with_mark[word] = known
-        out.append(known)
-    return b"".join(out)
+    if len(_with_mark) >= 100_000:
+        _with_mark.clear()
+    return b"".join(map(_with_mark.__getitem__, text.split()))
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -157,7 +159,7 @@ class ToxicityModel:
             return np.zeros(0)
         if not self._compressors:
             params = zstandard.ZstdCompressionParameters(
-                compression_level=6, window_log=17, min_match=3, search_log=4, strategy=zstandard.STRATEGY_BTULTRA,
+                compression_level=6, window_log=17, min_match=3, search_log=4, strategy=zstandard.STRATEGY_BTOPT,
                 format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False,
                 write_checksum=False)
             for content in (self.ordinary + b"\xff" * len(self.toxic), self.ordinary + self.toxic):
@@ -214,16 +216,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     """Learn from ``labels(doc_id, toxic)`` of 0 and 1 and the texts of ``docs(doc_id, text)``.
 
     Uses at most ``rows_per_class`` labelled ids of each class, by hash of the id; an id labelled
-    more than once counts as toxic if any label is. None unless both classes have text.
+    more than once counts as toxic if any label is, and of several texts with one id the first in string
+    order is learned from. None unless both classes have text.
     """
     known = (labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id")
              .agg(F.max("toxic").cast("int").alias("toxic")))
     wanted = hash_sample(known, "doc_id", "toxic", rows_per_class).select("doc_id", "toxic", "total")
     # at most 2 * rows_per_class rows of three numbers: a bounded broadcast
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(wanted), "doc_id")
-    # an id that many documents share must not fill the sample
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("text"), "doc_id"))
-    rows = stash(rows.withColumn("place", place).where(F.col("place") <= rows_per_class))
+    # one text of an id that many documents share
+    rows = stash(rows.groupBy("doc_id", "toxic", "total").agg(F.min("text").alias("text")))
     sizes = {r["toxic"]: (r["n"], r["total"]) for r in
              rows.groupBy("toxic").agg(F.count("*").alias("n"), F.max("total").alias("total")).toLocalIterator()}
     if set(sizes) != {0, 1}:
