@@ -38,18 +38,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group of near duplicates the smallest doc_id stays, once.
+    """N-gram Jaccard join: of each group of near duplicates the row with the smallest doc_id stays.
 
-    Documents without an id belong to no group and stay.
+    Every row is judged by its own text, under a row number made for the stage: rows that share an id with
+    another text stay. Documents without an id belong to no group and stay.
     """
     ship_package(spark)
-    found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    # rows that share an id: the first by text, so that the choice does not depend on the run
-    one = docs.where("doc_id is not null").select(*COLUMNS).join(kept, "doc_id", "left_semi") \
-        .groupBy("doc_id").agg(F.min(F.struct(*(c for c in COLUMNS if c != "doc_id"))).alias("row")) \
-        .select("doc_id", "row.*").select(*COLUMNS)
-    return one.unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    # written once, so that a row keeps its number
+    rows = stash(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()))
+    own = rows.where("doc_id is not null")
+    found = jaccard_join.jaccard_components(own.select(F.col("row_key").alias("doc_id"), "text"))
+    # equal ids: the first by a hash of the row, so that the choice does not depend on the run
+    place = F.struct("doc_id", F.xxhash64(*COLUMNS).alias("hash"), "row_key")
+    first = (own.select("row_key", place.alias("place"))
+             .join(found.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("group")), "row_key")
+             .groupBy("group").agg(F.min("place").alias("place")).select("place.row_key"))
+    return rows.join(first.unionAll(rows.where("doc_id is null").select("row_key")), "row_key", "left_semi").select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
