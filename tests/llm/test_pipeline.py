@@ -41,6 +41,15 @@ def test_stages_on_odd_and_empty_tables(spark):
         assert docs.columns[:2] == ["doc_id", "piece"]
 
 
+def test_near_duplicates_are_judged_row_by_row(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs away from the big bear today"
+    other = "a wholly different text that shares its number with the first one and must not be lost"
+    rows = [(1, text), (1, other), (1, other), (2, text + " again"), (3, other), (None, text), (None, text), (4, None), (4, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], no_documents(spark).schema[:5])
+    got = sorted((str(r.doc_id), str(r.text)) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == sorted([("1", text), ("1", other), ("None", text), ("None", text), ("4", "None"), ("4", "")])
+
+
 def test_toxicity_stage_drops_what_op9_marks(spark, monkeypatch):
     class Given:
         def scores(self, texts):
@@ -66,6 +75,6 @@ def test_labelled_toxic_documents_go_and_clean_ones_stay(spark):
 def test_entry_lists_every_operator():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert any(name.startswith(f"op{n}_") for name in names)
-    assert {"op1_topk_search", "op3_embedding_dedup", "op7_jaccard_join"} <= set(entry.oracle_sql())
+    assert {"op1_topk_search", "op3_embedding_dedup", "op7_jaccard_join", "op11_spelling_variants", "op12_vector_codes"} <= set(entry.oracle_sql())
