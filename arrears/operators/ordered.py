@@ -132,11 +132,16 @@ def top_fraction(
     is taken in double precision, like ``int(len(df) * 0.3)``).
 
     Only counts per distinct score are ordered; among the rows of the score at the cut, only their
-    tie-break values. The rows themselves are filtered where they are.
+    tie-break values. The rows themselves are filtered where they are. Without groups the cut is one row,
+    which the driver reads: tie-break values are ordered only if the cut goes through a score, and
+    the filter is a plain comparison that reaches the scan.
     """
     by = list(by)
     counts = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_c"))
     cut = fraction_cut(prefix_sums(counts, [(score, "desc")], ["_c"], by=by, n_slices=n_slices), score, fraction, by)
+    if not by:
+        row = cut.first()
+        return df.where(_above_cut(df, score, tie_break, row, n_slices) if row else F.lit(False))
     at_cut = F.col("_any") & F.col(score).eqNullSafe(F.col("_cut"))
     marked = _per_group(df, cut, by, ["_cut", "_need", "_of", "_any"])
     ties = marked.where(at_cut & (F.col("_need") < F.col("_of"))).select(*by, tie_break, "_need")
@@ -149,6 +154,20 @@ def top_fraction(
     return marked.where(keep).select(*df.columns)
 
 
+def _above_cut(df: DataFrame, score: str, tie_break: str, cut, n_slices: int | None) -> Column:
+    """The rows selected by one cut row of :func:`fraction_cut`, as a condition on score and tie-break."""
+    def value(name: str, v) -> Column:
+        return F.lit(v).cast(df.schema[name].dataType)
+
+    at = F.col(score).eqNullSafe(value(score, cut["_cut"]))
+    if cut["_need"] < cut["_of"]:
+        ranked = global_rank(df.where(at).select(tie_break), [tie_break], out="_rank", n_slices=n_slices)
+        last = ranked.where(F.col("_rank") == cut["_need"]).select(tie_break).first()[0]
+        at = at & (F.col(tie_break) <= value(tie_break, last))
+    above = F.col(score).isNotNull() if cut["_cut"] is None else F.col(score) > value(score, cut["_cut"])
+    return F.coalesce(above, F.lit(False)) | at
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation between order statistics (pandas/numpy default):
     position ``p * (n - 1)`` over the non-NULL values. One row per ``by`` group and probability:
