@@ -12,9 +12,9 @@ and the two lengths differ only by what the toxic dictionary saves. A logistic c
 text's largest and total savings into a score.
 
 Scale: grams, stretches, windows and features are counted by Spark over a bounded sample of
-labelled rows (documented parameters); only grams and words that pass the test (each stands
-in at least one of a hundred toxic rows, so their number does not grow with the table), bounded
-window samples and feature rows reach the driver. Scoring is a map over all whole texts.
+labelled rows (documented parameters), whose texts are read whole; only grams and words that pass the test (each
+stands in at least one of a hundred toxic rows, so their number does not grow with the table), the dictionaries
+of groups of ordinary texts, and feature rows reach the driver. Scoring is a map over all whole texts.
 """
 
 from __future__ import annotations
@@ -37,9 +37,8 @@ WINDOW, STRIDE = 96, 64
 GRAM = 5
 MARK = 6  # not the length of a gram: both are counted together
 ROWS_PER_CLASS = 8000  # labelled rows used for learning
-ORDINARY_WINDOWS = 40_000
 ORDINARY_BYTES = 32_768
-TOXIC_BYTES = 65_536  # what distances within the compressor's 128 KB leave room for
+GROUP_BYTES = 1 << 21  # ordinary text that one group dictionary is trained on
 PIECE, OVERLAP = 200, 48  # bytes; longer words (scripts without spaces) are learned in pieces
 THRESHOLDS = (2, 4)  # savings in bytes from which a window counts
 # ASCII white space and punctuation become spaces, A-Z lower case
@@ -131,14 +130,7 @@ def _dictionary(samples: list[bytes]) -> bytes:
     Samples that stand inside another one are not repeated.
     """
     whole = b"\0".join(sorted(samples, key=lambda x: (-len(x), x)))
-    taken, size = [], 0
-    for sample in samples:
-        if size + len(sample) > TOXIC_BYTES:
-            break
-        if whole.count(sample) == 1:
-            taken.append(sample)
-            size += len(sample)
-    return b"".join(taken[::-1])
+    return b"".join([sample for sample in samples if whole.count(sample) == 1][::-1])
 
 
 @dataclass
@@ -158,8 +150,10 @@ class ToxicityModel:
         if not parts:
             return np.zeros(0)
         if not self._compressors:
+            # distances reach back over both dictionaries and a window
+            reach = len(self.ordinary) + len(self.toxic) + WINDOW
             params = zstandard.ZstdCompressionParameters(
-                compression_level=6, window_log=17, min_match=3, search_log=4, strategy=zstandard.STRATEGY_BTOPT,
+                compression_level=6, window_log=max(17, reach.bit_length()), min_match=3, search_log=4, strategy=zstandard.STRATEGY_BTOPT,
                 format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False,
                 write_checksum=False)
             for content in (self.ordinary + b"\xff" * len(self.toxic), self.ordinary + self.toxic):
@@ -277,19 +271,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     top = (rows.where("toxic = 1").select("text").mapInArrow(stretch_counts, "stretch binary, n long")
            .groupBy("stretch").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
            .orderBy(F.desc("n"), "stretch").toArrow())
-    per_doc = max(1, ORDINARY_WINDOWS // max(1, n_plain))
-
-    def ordinary_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                parts = windows(marked_text(plain(text)))
-                out += parts[::max(1, len(parts) // per_doc)][:per_doc]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["part"])
 
-    ordinary_samples = sorted(rows.where("toxic = 0").select("text").mapInArrow(ordinary_windows, "part binary")
-                              .toArrow()["part"].to_pylist())
-    model = ToxicityModel(_trained(ORDINARY_BYTES, ordinary_samples), _dictionary(top["stretch"].to_pylist()),
+    def ordinary_dictionary(group: pa.Table) -> pa.Table:
+        texts = group.sort_by("doc_id")["text"].to_pylist()
+        content = _trained(ORDINARY_BYTES, [w for t in texts for w in windows(marked_text(plain(t)))])
+        return pa.table({"group": group["group"][:1], "content": pa.array([content], pa.binary())})
+
+    # whole texts in groups dealt by id, so that the dictionary does not depend on the partitions
+    ordinary = rows.where("toxic = 0")
+    size = ordinary.agg(F.sum(F.octet_length("text"))).first()[0]
+    group = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(max(1, -(-size // GROUP_BYTES))))
+    contents = sorted(ordinary.select("doc_id", "text", group.alias("group")).groupBy("group")
+                      .applyInArrow(ordinary_dictionary, "group long, content binary").toArrow()["content"].to_pylist())
+    trained = contents[0] if len(contents) == 1 else _trained(
+        ORDINARY_BYTES, [c[k:k + WINDOW] for c in contents for k in range(0, len(c), WINDOW)])
+    model = ToxicityModel(trained, _dictionary(top["stretch"].to_pylist()),
                           np.zeros(0), np.zeros(0), np.zeros(0))
 
     def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
