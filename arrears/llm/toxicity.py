@@ -153,7 +153,7 @@ class ToxicityModel:
             # distances reach back over both dictionaries and a window
             reach = len(self.ordinary) + len(self.toxic) + WINDOW
             params = zstandard.ZstdCompressionParameters(
-                compression_level=6, window_log=max(17, reach.bit_length()), min_match=3, search_log=4, strategy=zstandard.STRATEGY_BTOPT,
+                compression_level=6, window_log=max(17, reach.bit_length()), min_match=4, search_log=4, strategy=zstandard.STRATEGY_BTLAZY2,
                 format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False,
                 write_checksum=False)
             for content in (self.ordinary + b"\xff" * len(self.toxic), self.ordinary + self.toxic):
