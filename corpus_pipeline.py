@@ -40,20 +40,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of near duplicates the row with the smallest doc_id stays.
 
-    Every row is judged by its own text, under a row number made for the stage: rows that share an id with
-    another text stay. Documents without an id belong to no group and stay.
+    Every row is judged by its own text, under a number made of all its columns (a 64-bit hash): rows that
+    share an id with another text stay, of equal rows one. Documents without an id belong to no group and stay.
     """
     ship_package(spark)
-    # written once, so that a row keeps its number
-    rows = stash(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()))
-    own = rows.where("doc_id is not null")
+    docs = docs.select(*COLUMNS)
+    own = docs.where("doc_id is not null").withColumn("row_key", F.xxhash64(*COLUMNS))
     found = jaccard_join.jaccard_components(own.select(F.col("row_key").alias("doc_id"), "text"))
-    # equal ids: the first by a hash of the row, so that the choice does not depend on the run
-    place = F.struct("doc_id", F.xxhash64(*COLUMNS).alias("hash"), "row_key")
-    first = (own.select("row_key", place.alias("place"))
-             .join(found.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("group")), "row_key")
-             .groupBy("group").agg(F.min("place").alias("place")).select("place.row_key"))
-    return rows.join(first.unionAll(rows.where("doc_id is null").select("row_key")), "row_key", "left_semi").select(*COLUMNS)
+    groups = found.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("group")).distinct()
+    first = (own.select("row_key", "doc_id").distinct().join(groups, "row_key")
+             .groupBy("group").agg(F.min(F.struct("doc_id", "row_key")).alias("least")).select("least.row_key"))
+    kept = own.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*COLUMNS)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
