@@ -125,14 +125,23 @@ def history_before_snapshot(snapshot: DataFrame, actions: DataFrame) -> DataFram
 
 def actions_lookback(snapshot: DataFrame, actions: DataFrame, days: int) -> DataFrame:
     """Row level: snapshot × its customer's actions of the ``days`` days strictly before the
-    snapshot. An equi-join on (customer, day): each snapshot is exploded into its ``days``
-    look-back days, so no snapshot is ever paired with a customer's whole history."""
-    a = actions.select("customer_id", "action_dttm", "action_type", "action_amount")
-    ex = snapshot.withColumn("_back", F.explode(F.sequence(F.lit(1), F.lit(days)))).withColumn(
-        "_dn", _day_number("snapshot_date") - F.col("_back")
+    snapshot. An equi-join on (customer, block of ``days`` days) with the day as a residual: a look-back
+    touches at most two blocks, so no snapshot is ever paired with a customer's whole history.
+
+    The planner takes the snapshots for as small as the table they are made from and would
+    broadcast them, so the sort-merge join is asked for."""
+    a = actions.select("customer_id", "action_dttm", "action_type", "action_amount").withColumn(
+        "_dn", _day_number("action_dttm")
+    ).withColumn("_block", F.floor(F.col("_dn") / days))
+    day = _day_number("snapshot_date")
+    first, last = F.floor((day - days) / days), F.floor((day - 1) / days)
+    ex = snapshot.withColumn("_snap_dn", day).withColumn("_block", F.explode(F.sequence(first, last)))
+    near = (F.col("_dn") >= F.col("_snap_dn") - days) & (F.col("_dn") < F.col("_snap_dn"))
+    return (
+        ex.hint("merge").join(a, ["customer_id", "_block"])
+        .where(near & (F.col("action_dttm") < F.col("snapshot_date")))
+        .drop("_block", "_dn", "_snap_dn")
     )
-    a = a.withColumn("_dn", _day_number("action_dttm"))
-    return ex.join(a, ["customer_id", "_dn"]).where(F.col("action_dttm") < F.col("snapshot_date")).drop("_dn", "_back")
 
 
 def leak_violations(history: DataFrame) -> DataFrame:
