@@ -7,16 +7,21 @@ it), and only positive payments count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arrears.functions import ratio
 from arrears.operators.intervals import DAY, day_bounds, daily_totals, explode_days, window_join, window_join_rows
 
 
+def in_period(day: str, start: str, end: str) -> Column:
+    """Predicate ``day BETWEEN start AND end`` (inclusive)."""
+    return F.col(day).between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))
+
+
 def cases_in_period(cases: DataFrame, start: str, end: str) -> DataFrame:
     """Cases with ``start_date BETWEEN start AND end`` (inclusive)."""
-    return cases.where(F.col("start_date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
+    return cases.where(in_period("start_date", start, end))
 
 
 def cases_by_strategy(cases: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

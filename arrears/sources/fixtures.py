@@ -56,8 +56,8 @@ def strategy_of(priority: Column) -> Column:
     return _case_map(priority, STRATEGY_BY_PRIORITY, "other")
 
 
-def plus_days_hours(ts: Column, days: Column, hours: Column) -> Column:
-    return ts + F.make_dt_interval(days.cast("int"), hours.cast("int"))
+def days_hours(days: Column, hours: Column) -> Column:
+    return F.make_dt_interval(days.cast("int"), hours.cast("int"))
 
 
 def money(c: Column) -> Column:
@@ -88,10 +88,11 @@ class Inputs:
             .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         )
 
-    @cached_property
-    def lo(self) -> DataFrame:
+    def of_orders(self, lines: DataFrame) -> DataFrame:
+        """``lines`` of lineitem with their order. What a line alone decides is computed before the
+        join, so that the shuffle carries a few narrow columns."""
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-        return self.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
     # -- SQL-side inputs ---------------------------------------------------------------------
     @cached_property
@@ -120,27 +121,29 @@ class Inputs:
     @cached_property
     def contact_events(self) -> DataFrame:
         is_promise = (F.col("l_partkey") % 4) == 1
-        return self.lo.select(
+        lines = self.table("lineitem").select(
+            "l_orderkey",
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event_id"),
-            F.col("l_orderkey").alias("case_id"),
-            plus_days_hours(
-                F.col("o_orderdate"),
-                F.col("l_partkey") % 14 - 2,
-                (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 12,
-            ).alias("event_dttm"),
+            days_hours(F.col("l_partkey") % 14 - 2, (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 12).alias("after"),
             _case_map(F.col("l_returnflag"), CHANNEL_BY_RETURNFLAG, None).alias("channel"),
             _case_map(F.col("l_partkey") % 4, RESULT_BY_PARTKEY_MOD4, None).alias("contact_result"),
             F.when(
                 is_promise & (F.col("l_linenumber") != 7),
-                F.date_add(
-                    F.to_date("o_orderdate"),
-                    (F.col("l_partkey") % 14 + F.col("l_quantity").cast("int") % 15).cast("int"),
-                ),
-            ).alias("promise_to_pay_date"),
+                (F.col("l_partkey") % 14 + F.col("l_quantity").cast("int") % 15).cast("int"),
+            ).alias("promise_days"),
             F.when(is_promise & (F.col("l_linenumber") != 6), money(F.col("l_extendedprice"))).alias(
                 "promised_amount"
             ),
         )
+        return self.of_orders(lines).select(
+            "event_id",
+            F.col("l_orderkey").alias("case_id"),
+            (F.col("o_orderdate") + F.col("after")).alias("event_dttm"),
+            "channel",
+            "contact_result",
+            F.date_add(F.to_date("o_orderdate"), F.col("promise_days")).alias("promise_to_pay_date"),
+            "promised_amount",
+        )
 
     @cached_property
     def payments(self) -> DataFrame:
@@ -149,16 +152,18 @@ class Inputs:
             .when(F.col("l_quantity") == 1, F.lit(0.0))
             .otherwise(F.col("l_extendedprice"))
         )
-        return self.lo.select(
+        lines = self.table("lineitem").select(
+            "l_orderkey",
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("payment_id"),
-            F.col("o_custkey").alias("account_id"),
-            plus_days_hours(
-                F.col("o_orderdate"),
-                F.col("l_suppkey") % 25,
-                (F.col("l_partkey") * 5 + F.col("l_linenumber")) % 24,
-            ).alias("payment_dttm"),
+            days_hours(F.col("l_suppkey") % 25, (F.col("l_partkey") * 5 + F.col("l_linenumber")) % 24).alias("after"),
             money(amount).alias("payment_amount"),
         )
+        return self.of_orders(lines).select(
+            "payment_id",
+            F.col("o_custkey").alias("account_id"),
+            (F.col("o_orderdate") + F.col("after")).alias("payment_dttm"),
+            "payment_amount",
+        )
 
     # -- pandas-side inputs --------------------------------------------------------------------
     @cached_property

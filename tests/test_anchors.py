@@ -113,3 +113,23 @@ def test_first_row_per_key_order_and_ties(spark):
     df = spark.createDataFrame(rows, "k long, n long, day date, tag string")
     got = {r.k: r.tag for r in first_row_per_key(df, "k", [("n", "desc"), ("day", "asc")]).collect()}
     assert got == {1: "b", 2: "d"}
+
+
+def test_last_contact_rows_keep_copies_null_accounts_and_repeated_cases(spark):
+    cs = cases(spark, [(1, 10, "2026-03-02", "s", "b"), (1, 11, "2025-01-01", "t", "b"), (2, None, "2026-03-03", "s", "b"),
+                       (3, 10, "2026-04-09", "s", "b"), (4, 12, "2026-03-31", "s", "b")])
+    ev = contacts(spark, [(1, 1, "2026-03-05 10:00", "call", "RPC", None, None)] * 2
+                  + [(2, 1, "2026-03-04 10:00", "sms", "RPC", None, None), (3, 2, "2026-03-05 10:00", "sms", "RPC", None, None),
+                     (4, 3, "2026-03-05 10:00", "call", "RPC", None, None), (5, 4, "2026-04-07 23:00", None, None, None, None)])
+    pay = payments(spark, [(1, 10, "2026-03-05 00:00", 5), (2, 10, "2026-03-09 23:00", 7), (3, 10, "2026-03-10 00:00", 9),
+                           (4, None, "2026-03-05 11:00", 3), (5, 11, "2026-03-06 11:00", 0), (6, 10, "2026-03-04 23:00", 2)])
+    rows = lc.payments_after_last_contact_rows(cs, ev, pay, "2026-03-01", "2026-03-31")
+    assert rows.columns == ["account_id", "case_id", "strategy_name", "last_contact_dttm", "last_channel", "last_contact_result",
+                            "payment_id", "payment_dttm", "payment_amount"]
+    got = sorted((r.case_id, r.account_id or 0, r.payment_id or 0) for r in rows.collect())
+    assert got == [(1, 10, 1), (1, 10, 1), (1, 10, 2), (1, 10, 2), (1, 11, 0), (1, 11, 0), (2, 0, 0), (4, 12, 0)]
+    c2 = lc.last_contact_payments(cs, ev, pay, "2026-03-01", "2026-03-31").collect()
+    assert sorted((r.case_id, r.account_id or 0, r.payment_amount_5d or 0) for r in c2) == [
+        (1, 10, 24.0), (1, 11, 0), (2, 0, 0), (4, 12, 0)]
+    times = lc.last_contact_time(cs, ev, "2026-03-01", "2026-03-31").collect()
+    assert sorted((r.case_id, r.last_contact_dttm.day) for r in times) == [(1, 5), (2, 5), (4, 7)]

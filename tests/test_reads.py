@@ -30,3 +30,43 @@ def test_events_are_read_once(spark, name, broadcast):
     used = operators(df)
     assert "SortAggregateExec" not in used and not any("NestedLoop" in x or "Cartesian" in x for x in used)
     assert not any("ExistingRDD" in x or x == "RDDScanExec" for x in used)  # no checkpoint below
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+@pytest.mark.parametrize("name", ["payments_after_anchor_left"])
+def test_last_contacts_are_ranked_once_and_not_dealt_again(spark, name, broadcast):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        df = QUERIES[name](spark, SF001)
+        found = scans(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found.count("lineitem") <= 2 and found.count("orders") <= 3
+    used = operators(df)
+    # ranked where the contacts meet their cases: at most a partial and a final limit, no semi join on the contacts before
+    assert used.count("WindowGroupLimitExec") <= 2 and used.count("WindowExec") <= 2
+
+
+def test_lines_are_narrow_before_they_meet_their_orders(spark):
+    from arrears.sources.fixtures import inputs
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        inp = inputs(spark, SF001)
+        for df, most in ((inp.payments.select("account_id", "payment_dttm", "payment_amount"), 3),
+                         (inp.contact_events.select("case_id", "event_dttm", "channel"), 3)):
+            df.collect()
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            widths = _join_sides(df._jdf.queryExecution().optimizedPlan())
+            assert widths and max(widths) <= most, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _join_sides(plan):
+    """Numbers of columns that the inputs of the plan's joins have."""
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = [b.output().size() for b in below] if plan.getClass().getSimpleName() == "Join" else []
+    return own + [n for b in below for n in _join_sides(b)]
