@@ -33,7 +33,7 @@ def test_events_are_read_once(spark, name, broadcast):
 
 
 @pytest.mark.parametrize("broadcast", ["10MB", "-1"])
-@pytest.mark.parametrize("name", ["payments_after_anchor_left"])
+@pytest.mark.parametrize("name", ["payments_after_anchor_left", "last_contact_payment_5d"])
 def test_last_contacts_are_ranked_once_and_not_dealt_again(spark, name, broadcast):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
