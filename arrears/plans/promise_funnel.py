@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arrears.functions import ratio, week_start
+from arrears.operators.anchors import of_keys
 from arrears.operators.intervals import DAY, daily_totals, day_bounds, join_on, window_join
 from arrears.plans.last_contact import positive_payment_days
 from arrears.plans.strategy import cases_in_period
@@ -147,16 +148,13 @@ def first_promise_details(cases: DataFrame, contacts: DataFrame, start: str, end
 def _running_payments(payments: DataFrame, accounts: DataFrame, asks: DataFrame) -> DataFrame:
     """``asks(account_id, _d, ...)`` of ``accounts`` with the account's positive payments on days ``<= _d``: amount and number.
 
-    One sorted pass over the days of each account that is asked for. Payments are first reduced to
-    one row per account and day and asks are few per day, so a group is bounded by the calendar, not by
-    the number of payments or cases.
+    One sorted pass over the days of each account that is asked for. The payments of other accounts are
+    left out first; those of the asked ones are reduced to one row per account and day and asks are few
+    per day, so a group is bounded by the calendar, not by the number of payments or cases.
     """
-    known = positive_payment_days(payments.where(F.col("account_id").isNotNull()))
-    asked = accounts.select(F.col("account_id").alias("_asked"))
-    pay = (
-        known.join(asked, F.col("account_id").eqNullSafe(F.col("_asked")), "left_semi")
-        .select("account_id", F.col(DAY).alias("_d"), F.lit(0).alias("_ask"), "amount", "payments")
-    )
+    asked = of_keys(payments.where(F.col("account_id").isNotNull()), accounts, "account_id")
+    pay = positive_payment_days(asked).select(
+        "account_id", F.col(DAY).alias("_d"), F.lit(0).alias("_ask"), "amount", "payments")
     order = Window.partitionBy("account_id").orderBy("_d", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = pay.unionByName(asks.withColumn("_ask", F.lit(1)), allowMissingColumns=True)
     return (

@@ -65,6 +65,17 @@ def test_lines_are_narrow_before_they_meet_their_orders(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("name", ["promise_funnel", "payments_until_date_left", "kept_promise_by_week"])
+def test_payments_of_other_accounts_are_left_out_before_they_are_added_up(spark, name):
+    plan = QUERIES[name](spark, SF001)._jdf.queryExecution().optimizedPlan()
+    semi = [n for n in _nodes(plan) if n.getClass().getSimpleName() == "Join" and n.joinType().toString() == "LeftSemi"]
+    assert semi and not any(x.getClass().getSimpleName() == "Aggregate" for n in semi for x in _nodes(n.left()))
+
+
+def _nodes(plan):
+    return [plan] + [n for i in range(plan.children().size()) for n in _nodes(plan.children().apply(i))]
+
+
 def _join_sides(plan):
     """Numbers of columns that the inputs of the plan's joins have."""
     below = [plan.children().apply(i) for i in range(plan.children().size())]
