@@ -2,11 +2,12 @@
 
 Tokens are elements told apart by their path and role (tag, class and id), and text nodes outside
 of articles. A token's occurrence vector is how often it stands on each page of a host. Tokens that
-half of the host's pages share, inside elements that are shared too, are the host's template; those
-with the same vector are numbered as an equivalence class, but the classes choose nothing. What
-stands inside the template's article or main element is kept (on pages without such an element, all
-text that is not template), and page furniture is left out by role. A layout on fewer than half of a
-host's pages has no template.
+half of the host's pages share, inside elements that are shared too, may be the host's template; those
+with the same vector are one equivalence class. A class is part of the layout if it holds an element:
+text that recurs on pages of its own, without an element that comes and goes with it, is a quotation or a
+text told twice, and no template. What stands inside the template's article or main element is kept (on
+pages without such an element, all text that is not template), and page furniture is left out by role. A
+layout on fewer than half of a host's pages has no template.
 
 Scale: vectors are never gathered: a vector is the XOR of a hash of (page, count) over the pages,
 with the number of pages and occurrences, so Spark folds it before the shuffle however many pages
@@ -234,7 +235,8 @@ def _host(url: str) -> F.Column:
 
 
 def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """Template of each host of ``pages(host, page_key, html)``: (host, tokens), each inside a frequent element.
+    """Template of each host of ``pages(host, page_key, html)``: (host, tokens), each inside a frequent element
+    and of a class that holds an element.
 
     ``page_key`` is a hash of the html; pages of a host with the same key count once.
     ``tokens`` lists (place, token, class): places rise with the order on the host's pages.
@@ -266,7 +268,10 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     nested = frequent.where("above <> 0").join(elements, ["host", "above"], "left_semi").unionByName(
         frequent.where("above = 0"))
     by_vector = Window.partitionBy("host").orderBy("vector", "pages", "times")
-    return (nested.withColumn("class", F.dense_rank().over(by_vector)).groupBy("host")
+    classes = nested.withColumn("class", F.dense_rank().over(by_vector))
+    # a class without an element is no layout: its texts recur for themselves
+    layout = F.max(~F.col("is_text")).over(Window.partitionBy("host", "class"))
+    return (classes.withColumn("layout", layout).where("layout").groupBy("host")
             .agg(F.array_sort(F.collect_list(F.struct("place", "token", "class"))).alias("tokens")))
 
 

@@ -97,3 +97,16 @@ def test_furniture_words_do_not_hide_the_article():
     # comments stay out beside an article, longer ones in all as well
     comments = "<article class=comment>nice</article><div class=comments>" + "<article>good</article>" * 9 + "</div>"
     assert main_text(Page(f"<article>The text</article>{comments}"), set()) == "The text"
+
+
+def test_classes_decide_which_shared_texts_are_template(spark):
+    def plain_page(n):
+        quoted = "<p>A sentence many quote.</p><p>And its second half.</p>" if n < 4 else ""
+        banner = "<div class=teaser-box>Buy now!</div>" if n % 3 else ""
+        return f"<body><div class=top>Welcome</div>{banner}<div class=body><h1>T{n}</h1>{quoted}<p>Body {n}</p></div></body>"
+
+    rows = [(n, f"http://j.example/{n}", plain_page(n)) for n in range(7)]
+    got = {r.page_id: r.text for r in html_extraction.extract(pages(spark, rows)).collect()}
+    # "Welcome" stands with the body on every page and the teaser with its own box; the quotation with no element
+    quoted = "A sentence many quote.\nAnd its second half.\n"
+    assert got == {n: f"T{n}\n{quoted if n < 4 else ''}Body {n}" for n in range(7)}
