@@ -34,6 +34,8 @@ STRATEGY_BY_PRIORITY = {
     "4-NOT SPECIFIED": "soft_call",
 }  # anything else → "other"
 CHANNEL_BY_RETURNFLAG = {"A": "call", "N": "sms", "R": "email"}
+CHANNEL_NO = {flag: no for no, flag in enumerate(CHANNEL_BY_RETURNFLAG)}
+CHANNEL_BY_NO = dict(enumerate(CHANNEL_BY_RETURNFLAG.values()))
 RESULT_BY_PARTKEY_MOD4 = {0: "RPC", 1: "Promise", 2: "No answer", 3: "Wrong number"}
 ACTION_BY_EVENT_TYPE = {"click": "call", "view": "sms", "signup": "promise", "purchase": "payment"}
 SNAPSHOT_START = "2024-01-02"
@@ -56,8 +58,13 @@ def strategy_of(priority: Column) -> Column:
     return _case_map(priority, STRATEGY_BY_PRIORITY, "other")
 
 
-def days_hours(days: Column, hours: Column) -> Column:
-    return F.make_dt_interval(days.cast("int"), hours.cast("int"))
+def hours_of(days: Column, hours: Column) -> Column:
+    """``days`` and ``hours`` as one small number of hours; :func:`later` adds it to a timestamp."""
+    return days.cast("int") * 24 + hours.cast("int")
+
+
+def later(ts: Column, hours: Column) -> Column:
+    return ts + F.make_dt_interval(F.lit(0), hours)
 
 
 def money(c: Column) -> Column:
@@ -90,7 +97,8 @@ class Inputs:
 
     def of_orders(self, lines: DataFrame) -> DataFrame:
         """``lines`` of lineitem with their order. What a line alone decides is computed before the
-        join, so that the shuffle carries a few narrow columns."""
+        join, so that the shuffle carries a few narrow columns: hours and codes, from which intervals and
+        names are made after it."""
         orders = self.table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
@@ -124,9 +132,9 @@ class Inputs:
         lines = self.table("lineitem").select(
             "l_orderkey",
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("event_id"),
-            days_hours(F.col("l_partkey") % 14 - 2, (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 12).alias("after"),
-            _case_map(F.col("l_returnflag"), CHANNEL_BY_RETURNFLAG, None).alias("channel"),
-            _case_map(F.col("l_partkey") % 4, RESULT_BY_PARTKEY_MOD4, None).alias("contact_result"),
+            hours_of(F.col("l_partkey") % 14 - 2, (F.col("l_suppkey") * 7 + F.col("l_linenumber")) % 12).alias("after"),
+            _case_map(F.col("l_returnflag"), CHANNEL_NO, None).cast("tinyint").alias("channel_no"),
+            (F.col("l_partkey") % 4).cast("tinyint").alias("result_no"),
             F.when(
                 is_promise & (F.col("l_linenumber") != 7),
                 (F.col("l_partkey") % 14 + F.col("l_quantity").cast("int") % 15).cast("int"),
@@ -138,9 +146,9 @@ class Inputs:
         return self.of_orders(lines).select(
             "event_id",
             F.col("l_orderkey").alias("case_id"),
-            (F.col("o_orderdate") + F.col("after")).alias("event_dttm"),
-            "channel",
-            "contact_result",
+            later(F.col("o_orderdate"), F.col("after")).alias("event_dttm"),
+            _case_map(F.col("channel_no"), CHANNEL_BY_NO, None).alias("channel"),
+            _case_map(F.col("result_no"), RESULT_BY_PARTKEY_MOD4, None).alias("contact_result"),
             F.date_add(F.to_date("o_orderdate"), F.col("promise_days")).alias("promise_to_pay_date"),
             "promised_amount",
         )
@@ -155,13 +163,13 @@ class Inputs:
         lines = self.table("lineitem").select(
             "l_orderkey",
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("payment_id"),
-            days_hours(F.col("l_suppkey") % 25, (F.col("l_partkey") * 5 + F.col("l_linenumber")) % 24).alias("after"),
+            hours_of(F.col("l_suppkey") % 25, (F.col("l_partkey") * 5 + F.col("l_linenumber")) % 24).alias("after"),
             money(amount).alias("payment_amount"),
         )
         return self.of_orders(lines).select(
             "payment_id",
             F.col("o_custkey").alias("account_id"),
-            (F.col("o_orderdate") + F.col("after")).alias("payment_dttm"),
+            later(F.col("o_orderdate"), F.col("after")).alias("payment_dttm"),
             "payment_amount",
         )
 

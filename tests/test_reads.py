@@ -65,6 +65,49 @@ def test_lines_are_narrow_before_they_meet_their_orders(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("name", ["last_contact_payment_5d", "payments_after_anchor_left"])
+def test_lines_meet_their_orders_as_numbers(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, SF001)._jdf.queryExecution().optimizedPlan()
+        types = _line_types(plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # no names and no intervals: those are made after the join
+    assert types and all(t in ("bigint", "int", "tinyint") or t.startswith("decimal") for t in types), types
+
+
+def test_hours_and_names_made_after_the_join(spark):
+    """Negative and NULL keys, unknown flags: times, channels and results as the mapping gives them."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from arrears.sources.fixtures import Inputs
+
+    noon = dt.datetime(1997, 3, 5, 12, 30)
+    lines = [  # order, part, supplier, line, flag
+        (1, 27, 3, 1, "A"), (1, 28, 4, 2, "N"), (1, -15, -26, 3, "R"), (1, None, 5, 4, "A"), (1, 29, None, 5, None),
+        (1, 30, 6, 6, "X"), (None, 27, 3, 7, "A"),
+    ]
+    lineitem = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string")
+    lineitem = lineitem.select("*", F.lit(2.0).alias("l_quantity"), F.lit(10.25).alias("l_extendedprice"), F.lit("F").alias("l_linestatus"))
+    orders = spark.createDataFrame([(1, 9, noon)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz")
+    inp = Inputs(spark, "unused", {"lineitem": lineitem, "orders": orders})
+
+    def at(days, hours):
+        return noon + dt.timedelta(days=days, hours=hours)
+
+    contacts = {r.event_id - 8: (r.event_dttm, r.channel, r.contact_result) for r in inp.contact_events.collect()}
+    assert contacts == {
+        1: (at(11, 10), "call", "Wrong number"), 2: (at(-2, 6), "sms", "RPC"), 3: (at(-3, -11), "email", None),
+        4: (None, "call", None), 5: (None, None, "Promise"), 6: (at(0, 0), None, "No answer"),
+    }
+    payments = {r.payment_id - 8: r.payment_dttm for r in inp.payments.collect()}
+    assert payments == {1: at(3, 16), 2: at(4, 22), 3: at(-1, 0), 4: None, 5: None, 6: at(6, 12)}
+
+
 @pytest.mark.parametrize("name", ["promise_funnel", "payments_until_date_left", "kept_promise_by_week"])
 def test_payments_of_other_accounts_are_left_out_before_they_are_added_up(spark, name):
     plan = QUERIES[name](spark, SF001)._jdf.queryExecution().optimizedPlan()
@@ -81,3 +124,15 @@ def _join_sides(plan):
     below = [plan.children().apply(i) for i in range(plan.children().size())]
     own = [b.output().size() for b in below] if plan.getClass().getSimpleName() == "Join" else []
     return own + [n for b in below for n in _join_sides(b)]
+
+
+def _line_types(plan):
+    """Types of the columns in which lineitem's side enters a join with orders."""
+    found = []
+    for n in _nodes(plan):
+        if n.getClass().getSimpleName() == "Join":
+            out = n.left().output()
+            columns = [out.apply(i) for i in range(out.size())]
+            if "l_orderkey" in [c.name() for c in columns]:
+                found += [c.dataType().catalogString() for c in columns]
+    return found
