@@ -8,18 +8,22 @@ nodes is dropped when the sizes cannot reach the threshold, or when the largest
 Surviving documents are decided by their exact intersection; pairs already connected are passed by,
 as they cannot change a component.
 
-How documents come together (exact, no cap): equal sets are folded first. Under one global order
-of all shingles, rarest counter first, two sets that link share a shingle among the first
-n - ceil(t n) + 1 of either. These prefix shingles are dealt to buckets; documents with a common one
+How documents come together (exact, no cap): equal sets are folded first. Two sets that link share
+c = ceil(t n) shingles, so with shingles in order of their hashes they share the spare s = c // 3 of
+them (1 at least) among the first n - c + s of either. Those are dealt to buckets, where it shows
+which of them stand in a second set of a size within reach, and in how many sets. A set with fewer
+than s of these links with nothing. Of the others the rarest are kept, all but s - 1: under any
+common order, two sets with s shared shingles share one that is left. Documents with a common one
 and sizes within reach are chained, and the components of the chains are the candidate groups. A
 group beyond a block's size (documents or shingles) is dealt into blocks, and every pair of blocks is a cell of its own. In
 the cell the same is done once more with the exact frequencies there, which takes groups apart that
 only common passages hold together, and the trees are built over what remains together.
 
-Scale: shuffles carry packed prefix postings (a quarter of the shingles, about 8 bytes each) and
-once the texts of the documents that have a candidate. Shingle frequencies come from counters over
-all documents, of fixed size (16 MB, logarithms in one byte); they only order the shingles, so a full counter costs
-time, not links. No task holds more than a bucket, a block pair, or one batch.
+Scale: shuffles carry half of the shingles (5 to 7 bytes each), of these the ones that stand in
+several sets, and once all texts and those of the documents that have a candidate. A shingle is
+counted by itself, in its bucket, whatever the size of the corpus: nothing is broadcast, and a
+document whose own shingles are its own meets no other. No task holds more than a bucket, the shared
+shingles of a batch, a block pair, or one batch.
 """
 
 from __future__ import annotations
@@ -28,16 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrears.llm.common import components, local_roots, release_memory, stash, text_views
+from arrears.llm.common import components, local_roots, mix64, release_memory, stash, text_views
 from arrears.llm.shingles import set_keys, shingles
 
-COUNTER_BITS = 24
-CHUNK = 1 << 16
-BUCKET_POSTINGS = 600_000
+BUCKET_POSTINGS = 1_000_000
+BATCH_POSTINGS = 1_500_000  # that a task holds before it packs them for the buckets
 BLOCK = 2048  # documents, and
 BLOCK_SHINGLES = 4_000_000  # shingles of one block of a group that is dealt into blocks
 GROUP_DOCS = 500  # documents, and
@@ -48,65 +53,20 @@ SIGNATURE_BITS = 1024
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _counter(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int32)
-
-
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """One row (doc_id, n, key1, key2, text_hash) per row of ``docs(doc_id, text)``, and rows (chunk,
-    counts) of the counters: in how many documents each bucket's shingles occur."""
+    """One row (doc_id, n, key1, key2, text_hash) per row of ``docs(doc_id, text)``."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNTER_BITS, np.uint16)
-        waiting, size = [], 0
-        names = ["doc_id", "n", "key1", "key2", "text_hash", "chunk", "counts"]
-
-        def count() -> None:
-            spot, n = np.unique(np.concatenate(waiting), return_counts=True)
-            counts[spot] = np.minimum(counts[spot] + n, 65535)
-            waiting.clear()
-
         for batch in batches:
             for first, data, offsets in text_views(batch.column(1)):
                 hashes, at = shingles(data, offsets, k)
-                waiting.append(_counter(hashes))
-                size += len(hashes)
-                if size > 1_000_000:
-                    count()
-                    size = 0
                 key1, key2 = set_keys(hashes, at)
-                none = pa.nulls(len(key1))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(key1)), pa.array(np.diff(at)), pa.array(key1), pa.array(key2),
-                     batch.column(2).slice(first, len(key1)), none.cast(pa.int32()), none.cast(pa.binary())], names)
-        if waiting:
-            count()
+                     batch.column(2).slice(first, len(key1))], ["doc_id", "n", "key1", "key2", "text_hash"])
         release_memory()
-        parts = counts.reshape(-1, CHUNK)
-        some = np.flatnonzero(parts.any(axis=1))
-        none = pa.nulls(len(some)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, none, none, none, none, pa.array(some, pa.int32()),
-             pa.array([zstandard.ZstdCompressor(level=1).compress(parts[i].tobytes()) for i in some], pa.binary())], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text")).mapInArrow(
-        scan, "doc_id long, n long, key1 long, key2 long, text_hash long, chunk int, counts binary")
-
-
-def bucket_counts(scanned: DataFrame) -> np.ndarray:
-    """Eight times the binary logarithm of the counters of all tasks added up, a byte each (16 MB)."""
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
-        for blob in rows["counts"].to_pylist():
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint16)
-        total = np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)
-        return pa.table({"chunk": rows["chunk"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    added = (scanned.where("chunk is not null").select("chunk", "counts").groupBy("chunk")
-             .applyInArrow(add, "chunk int, counts binary").toArrow())
-    out = np.zeros(((1 << COUNTER_BITS) // CHUNK, CHUNK), np.uint8)
-    for chunk, blob in zip(added["chunk"].to_pylist(), added["counts"].to_pylist()):
-        out[chunk] = np.frombuffer(blob, np.uint8)
-    return out.ravel()
+        scan, "doc_id long, n long, key1 long, key2 long, text_hash long")
 
 
 def _prefix(rank: np.ndarray, owner: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
@@ -129,52 +89,162 @@ def _chain(token: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int) ->
     return owner[:-1][near], owner[1:][near]
 
 
-def prefix_postings(docs: DataFrame, counts, buckets: int, k: int, percent: int) -> DataFrame:
-    """Packed prefix shingles: (bucket, sets, postings) with sets = (key1, n) and postings = (token, set)."""
-    def emit(held) -> Iterator[pa.RecordBatch]:
+def spare(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles two linked sets share among the first :func:`posted` of either (of the smaller set's
+    number; neither this nor ``posted``'s rest, n - posted, falls as sets grow)."""
+    return np.maximum(1, -(-n * percent // 100) // 3)
+
+
+def posted(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of a set's shingles, in order of their hashes, are dealt to buckets."""
+    return np.where(n > 0, n - -(-n * percent // 100) + spare(n, percent), 0)
+
+
+def _size_class(n: np.ndarray) -> np.ndarray:
+    return np.minimum(8 * np.log2(np.maximum(n, 1)), 255).astype(np.uint8)
+
+
+def _pack_owners(owner: np.ndarray, mark: np.ndarray) -> bytes:
+    """Ascending numbers as steps, byte plane by byte plane, and a byte of each."""
+    steps = np.diff(owner, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return zstandard.ZstdCompressor(level=1).compress(steps.T.tobytes() + mark.tobytes())
+
+
+def _unpack_owners(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(5, n)
+    return np.cumsum(np.ascontiguousarray(planes[:4].T).view("<u4").ravel(), dtype=np.int64), planes[4]
+
+
+def _bucket_cuts(bucket: np.ndarray) -> zip:
+    cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist()) if len(bucket) else zip()
+
+
+_POSTED = "batch long, bucket int, sets binary, tokens binary, owners binary"
+_SET = [("key", "<i8"), ("n", "<i4")]
+
+
+def prefix_postings(docs: DataFrame, buckets: int, k: int, percent: int) -> DataFrame:
+    """The first :func:`posted` shingles of each set: packed rows (batch, bucket, sets, tokens, owners).
+
+    ``tokens`` are the upper halves of the hashes, in order of ``owners``: the place of the set in its
+    batch, and the class of its size. One row of a batch has ``sets`` = (key1, n) of all.
+    """
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+    def emit(held, number: int) -> Iterator[pa.RecordBatch]:
         keys, sizes, tokens, owner = (np.concatenate(x) for x in held)
         _, pick, name = np.unique(keys, return_index=True, return_inverse=True)  # equal sets post once
         keep = pick[name[owner]] == owner
-        tokens, owner = tokens[keep], owner[keep]
-        bucket = tokens % np.uint64(buckets)
+        pick.sort()
+        sets = np.empty(len(pick), _SET)
+        sets["key"], sets["n"] = keys[pick], np.minimum(sizes[pick], 2**31 - 1)
+        tokens, owner = tokens[keep], np.searchsorted(pick, owner[keep])
+        # the sets are part of the number: rows of two runs of a task that met others would not be taken together
+        place = np.uint64((TaskContext.get().partitionId() << 32) + number)
+        batch = (mix64(sets["key"].view(np.uint64) + np.arange(len(sets), dtype=np.uint64)).sum() ^ mix64(np.array([place]))[0])
+        batch = int(np.uint64(batch).view(np.int64))
+        bucket = (tokens % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-        cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
-        rows = [[], [], []]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            who, local = np.unique(owner[a:b], return_inverse=True)
-            sets = np.empty(len(who), [("key", "<i8"), ("n", "<i4")])
-            sets["key"], sets["n"] = keys[who], np.minimum(sizes[who], 2**31 - 1)
-            posts = np.empty(b - a, [("token", "<u4"), ("set", "<u4" if len(who) > 65535 else "<u2")])
-            posts["token"], posts["set"] = (tokens[a:b] >> np.uint64(32)).astype(np.uint32), local
-            for column, value in zip(rows, (int(bucket[a]), sets.tobytes(), posts.tobytes())):
+        tokens, owner, bucket = (tokens[order] >> np.uint64(32)).astype("<u4"), owner[order], bucket[order]
+        mark = _size_class(sets["n"])[owner]
+        rows = [[], [], [], [], []]
+        for a, b in _bucket_cuts(bucket):
+            for column, value in zip(rows, (batch, int(bucket[a]), None if a else sets.tobytes(), tokens[a:b].tobytes(),
+                                            _pack_owners(owner[a:b], mark[a:b]))):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()),
-                                          pa.array(rows[2], pa.binary())], ["bucket", "sets", "postings"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds)],
+                                         ["batch", "bucket", "sets", "tokens", "owners"])
         release_memory()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = counts.value
-        held, sets, posts = [[], [], [], []], 0, 0
+        held, sets, posts, number = [[], [], [], []], 0, 0, 0
         for batch in batches:
             for _, data, offsets in text_views(batch.column(0)):
                 hashes, at = shingles(data, offsets, k)
                 key1, _ = set_keys(hashes, at)
                 n = np.diff(at)
-                owner = np.repeat(np.arange(len(n)), n)
-                near = _prefix(rank[_counter(hashes)], owner, at, percent)
-                for column, value in zip(held, (key1, n, hashes[near], owner[near] + sets)):
+                first = np.arange(len(hashes)) - np.repeat(at[:-1], n) < np.repeat(posted(n, percent), n)
+                for column, value in zip(held, (key1, n, hashes[first], np.repeat(np.arange(sets, sets + len(n)), n)[first])):
                     column.append(value)
-                sets, posts = sets + len(n), posts + len(near)
-                if posts > 1_000_000:
-                    yield from emit(held)
-                    held, sets, posts = [[], [], [], []], 0, 0
+                sets, posts = sets + len(n), posts + len(held[2][-1])
+                if posts > BATCH_POSTINGS:
+                    yield from emit(held, number)
+                    held, sets, posts, number = [[], [], [], []], 0, 0, number + 1
         if posts:
-            yield from emit(held)
+            yield from emit(held, number)
+
+    return docs.select("text").mapInArrow(scan, _POSTED)
+
+
+def shared_postings(postings: DataFrame, percent: int) -> DataFrame:
+    """Of :func:`prefix_postings` those that a set of a size within reach has too, in the same rows.
+
+    The byte of each in ``owners`` tells in how many sets the shingle stands (eight times the binary logarithm).
+    """
+    reach = int(8 * np.log2(100 / percent)) + 1  # classes of sizes that may link are not further apart
+
+    def shared(rows: pa.Table) -> pa.Table:
+        tokens = [np.frombuffer(x, "<u4") for x in rows["tokens"].to_pylist()]
+        owner, size = zip(*(_unpack_owners(x, len(t)) for x, t in zip(rows["owners"].to_pylist(), tokens)))
+        at = np.r_[0, np.cumsum([len(t) for t in tokens])]
+        both = (np.concatenate(tokens).astype(np.uint64) << np.uint64(8)) | np.concatenate(size)
+        order = np.argsort(both)
+        both = both[order].astype(np.int64)
+        new = np.r_[True, both[1:] >> 8 != both[:-1] >> 8]
+        near = ~new[1:] & (both[1:] - both[:-1] <= reach)
+        found = np.zeros(len(both), bool)
+        found[order] = np.r_[near, False] | np.r_[False, near]
+        run = np.diff(np.r_[np.flatnonzero(new), len(both)])
+        level = np.empty(len(both), np.uint8)
+        level[order] = np.repeat(np.minimum(8 * np.log2(run), 255).astype(np.uint8), run)
+        out = [[], [], []]
+        for i, (t, who) in enumerate(zip(tokens, owner)):
+            some = found[at[i]:at[i + 1]]
+            for column, value in zip(out, (t[some].tobytes(), _pack_owners(who[some], level[at[i]:at[i + 1]][some]), some.any())):
+                column.append(value)
+        table = pa.table({"batch": rows["batch"], "bucket": rows["bucket"], "sets": rows["sets"],
+                          "tokens": pa.array(out[0], pa.binary()), "owners": pa.array(out[1], pa.binary())})
+        release_memory()
+        return table.filter(pa.compute.or_(pa.array(out[2], pa.bool_()), table["sets"].is_valid()))
+
+    return postings.groupBy("bucket").applyInArrow(shared, _POSTED)
+
+
+def rare_postings(found: DataFrame, percent: int) -> DataFrame:
+    """All but the :func:`spare` - 1 commonest of each set's shared shingles: packed rows (bucket, sets, postings)
+    with sets = (key1, n) and postings = (token, set)."""
+    def rare(rows: pa.Table) -> pa.Table:
+        known = [x for x in rows["sets"].to_pylist() if x is not None]
+        if len(known) != 1:
+            raise RuntimeError("a task that was run again met its rows in another order")
+        sets = np.frombuffer(known[0], _SET)
+        tokens = [np.frombuffer(x, "<u4") for x in rows["tokens"].to_pylist()]
+        owner, level = (np.concatenate(x) for x in zip(*(
+            _unpack_owners(x, len(t)) for x, t in zip(rows["owners"].to_pylist(), tokens))))
+        bucket = np.repeat(rows["bucket"].to_numpy(), [len(t) for t in tokens])
+        tokens = np.concatenate(tokens)
+        count = np.bincount(owner, minlength=len(sets))
+        wanted = count - spare(sets["n"].astype(np.int64), percent) + 1
+        some = wanted[owner] > 0
+        owner, level, bucket, tokens = owner[some], level[some], bucket[some], tokens[some]
+        count = np.where(wanted > 0, count, 0)
+        order = np.lexsort(((bucket.astype(np.int64) << 32) | tokens, level, owner))
+        order = order[np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count) < wanted[owner[order]]]
+        order = order[np.argsort(bucket[order], kind="stable")]
+        owner, bucket, tokens = owner[order], bucket[order], tokens[order]
+        out = [[], [], []]
+        for a, b in _bucket_cuts(bucket):
+            who, local = np.unique(owner[a:b], return_inverse=True)
+            posts = np.empty(b - a, [("token", "<u4"), ("set", "<u4" if len(who) > 65535 else "<u2")])
+            posts["token"], posts["set"] = tokens[a:b], local
+            for column, value in zip(out, (int(bucket[a]), sets[who].tobytes(), posts.tobytes())):
+                column.append(value)
+        release_memory()
+        return pa.table({"bucket": pa.array(out[0], pa.int32()), "sets": pa.array(out[1], pa.binary()),
+                         "postings": pa.array(out[2], pa.binary())})
 
-    return docs.select("text").mapInArrow(scan, "bucket int, sets binary, postings binary")
+    return found.groupBy("batch").applyInArrow(rare, "bucket int, sets binary, postings binary")
 
 
 def chained(postings: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +257,7 @@ def chained(postings: DataFrame, percent: int) -> DataFrame:
         keys, sizes, tokens, owner = [], [], [], []
         at = 0
         for sets, posts in zip(rows["sets"].to_pylist(), rows["postings"].to_pylist()):
-            s = np.frombuffer(sets, [("key", "<i8"), ("n", "<i4")])
+            s = np.frombuffer(sets, _SET)
             wide = "<u4" if len(s) > 65535 else "<u2"
             p = np.frombuffer(posts, [("token", "<u4"), ("set", wide)])
             keys.append(s["key"])
@@ -373,8 +443,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, block: in
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = stash(shingle_sets(docs, k))
-    sets = scanned.where("chunk is null").select("doc_id", "n", "key1", "key2")
-    full = scanned.where("chunk is null and n > 0 and doc_id is not null")
+    sets = scanned.select("doc_id", "n", "key1", "key2")
+    full = scanned.where("n > 0 and doc_id is not null")
     # a class and the text of its smallest id
     classes = (full.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("least"))
                .select("key1", "key2", F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("text_hash"),
@@ -382,11 +452,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, block: in
     total = full.agg(F.sum("n").alias("n"), F.count("*").alias("docs")).first()
     if not total["docs"]:
         return sets.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    postings = total["n"] * (100 - percent) // 100 + total["docs"]
+    postings = int(posted(np.array(total["n"]), percent)) + total["docs"]
     buckets = max(1, -(-postings // BUCKET_POSTINGS), spark.sparkContext.defaultParallelism)
-    counts = spark.sparkContext.broadcast(bucket_counts(scanned))
-    posted = prefix_postings(docs.where("text is not null and doc_id is not null"), counts, buckets, k, percent)
-    groups = components(stash(chained(posted, percent)))
+    first = prefix_postings(docs.where("text is not null and doc_id is not null"), buckets, k, percent)
+    groups = components(stash(chained(rare_postings(shared_postings(first, percent), percent), percent)))
     members = stash(groups.join(classes, groups["node"] == classes["key1"])
                     .select("rep", "key1", "key2", "text_hash", "n", F.col("component").alias("group")))
     sized = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))

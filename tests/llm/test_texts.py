@@ -54,6 +54,60 @@ def test_signature_trees_lose_no_link():
         == {tuple(sorted(i for i in range(130) if low[i] == x)) for x in set(low.values())}
 
 
+def passage_ring(copies=3):
+    """Texts that share an eighth of their shingles with the next one and the one before, and two with near copies."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(8))
+    shared = [[word() for _ in range(18)] for _ in range(40)]
+    rows = [(i, [*shared[i], *(word() for _ in range(84)), *shared[(i + 1) % 40]]) for i in range(40)]
+    for i in (7, 30):
+        for c in range(copies):
+            w = list(rows[i][1])
+            w[10 + 20 * c] = word()
+            rows.append((100 + 10 * i + c, w))
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_common_passages_alone_post_nothing(spark, monkeypatch):
+    rows, posts = passage_ring(), []
+    chained = jaccard_join.chained
+
+    def seen(postings, percent):
+        postings = jaccard_join.stash(postings)
+        posts.extend(x for r in postings.collect() for x in np.frombuffer(r.sets, [("key", "<i8"), ("n", "<i4")])["key"].tolist())
+        return chained(postings, percent)
+
+    monkeypatch.setattr(jaccard_join, "chained", seen)
+    docs = odd_documents(spark, extra(rows))
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert {got[(i, 116)] for i in (7, 170, 171, 172)} == {7} and {got[(i, 116)] for i in (30, 400, 401, 402)} == {30}
+    assert len({got[(i, 116)] for i in range(40)}) == 40
+    alone = [t for i, t in rows if i < 40 and i not in (7, 30)]
+    data = np.frombuffer("".join(alone).encode(), np.uint8)
+    key1, _ = jaccard_join.set_keys(*jaccard_join.shingles(data, np.r_[0, np.cumsum([len(t) for t in alone])]))
+    assert not set(key1.tolist()) & set(posts)  # only near copies are posted
+
+
+@pytest.mark.parametrize("percent", [1, 40, 75, 99, 100])
+def test_spare_and_rest_of_posted_shingles_do_not_fall(percent):
+    n = np.arange(1, 5000)
+    spare, posted = jaccard_join.spare(n, percent), jaccard_join.posted(n, percent)
+    assert (np.diff(spare) >= 0).all() and (np.diff(n - posted) >= 0).all()
+    assert (spare >= 1).all() and (posted >= 1).all() and (posted <= n).all()
+
+
+def test_linked_sets_share_a_posted_shingle(spark):
+    """Sets at the very threshold, of unlike sizes, whose shared shingles are the commonest of all."""
+    word = lambda i: f"w{i}"
+    rows = [(51, [word(i) for i in range(7)]), (52, [word(i) for i in range(8)]), (53, [word(i) for i in range(9)])]
+    rows += [(54, [word(i) for i in range(100, 178)]), (55, [word(i) for i in range(100, 203)])]  # 74 of 99 shingles
+    rows += [(56, [word(i) for i in range(300, 379)]), (57, [word(i) for i in range(300, 404)])]  # 75 of 100
+    rows += [(1000 + j, [word(i) for i in range(300 + j, 340 + j)] + [f"x{j}y{i}" for i in range(60)]) for j in range(60)]
+    docs = odd_documents(spark, extra([(i, " ".join(w)) for i, w in rows]))
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_components(docs).collect()), key=str)
+    assert got == jaccard_rows([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_jaccard_empty(spark):
     assert jaccard_join.jaccard_components(no_documents(spark)).count() == 0
 
