@@ -12,10 +12,13 @@ the same anchor form a region, and only regions whose anchor stands in two or mo
 are sent. Equal texts are folded first, equal regions wherever they meet; each is then represented
 by its smallest document, as all others are removed wholly.
 
-Scale: tasks exchange packed and compressed blobs: a 4-byte token for each anchor (one for each
-LENGTH / 2 bytes or so), the texts twice, the regions with shared anchors, and the spans to remove.
-An anchor or a text that a third of all rows share is folded to one entry per batch before any
-shuffle.
+Scale: texts meet in groups by their hash, so equal ones are folded there and texts of two groups
+differ: a group sends each of its anchors once, in order, about 3 bytes (one for each LENGTH / 3 bytes
+or so), and learns which of them another group has too. Tasks exchange packed and compressed blobs:
+these anchors, the texts once, the regions with shared anchors, and the spans to remove. A shard of a
+large corpus stands for more text, so that blobs, one for each group and shard, stay few; it is judged
+in pieces of bounded size. A text that a third of all rows share is folded to one entry per batch
+before any shuffle.
 """
 
 from __future__ import annotations
@@ -33,40 +36,60 @@ from arrears.llm.common import mix64, release_memory, stash, text_views
 from arrears.llm.suffix_array import permuted_common_prefixes, suffix_array
 from arrears.llm.words import _INVERSE, powers, prefix_hashes
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 PLACE_BITS = 26  # of an anchor's place in what is scanned at once
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 16 << 20
 GROUP_BYTES = 6 << 20
-SHARD_BYTES = 6 << 20  # of text that stands behind a shard's regions
+SHARD_BYTES, MOST_SHARD_BYTES = 6 << 20, 24 << 20  # of text that stands behind a shard's regions, in a GB and at most
+PIECE_BYTES = 4 << 20  # of regions that are sorted at once
 TOKEN_BUCKET = 2_500_000
 STEP_BYTES = 1 << 16  # of texts whose anchors are found at once: arrays that fit into a core's cache
 NO_ID = np.iinfo(np.int64).max
 
 
-# a stretch of a text: its smallest document, the text's group and place there, the first byte, the bytes
-_REGION = np.dtype([("doc", "<i8"), ("group", "<u4"), ("ord", "<u4"), ("start", "<i8"), ("length", "u1")])
+# a stretch of a text: its smallest document, the text's group and place there, the first byte, the bytes, the anchor
+_REGION = np.dtype([("doc", "<i8"), ("group", "<u4"), ("ord", "<u4"), ("start", "<i8"), ("length", "u1"), ("anchor", "<u4")])
+_SENT = ("anchor", "doc", "ord", "start", "length")  # with one group's regions for a shard
+_SPAN = ("ord", "start", "length")  # with a shard's spans for one group
 
 
-def _pack(array: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(array).tobytes())
+def _packed_by(key: np.ndarray, regions: np.ndarray, fields: tuple[str, ...], data: np.ndarray | None = None) -> Iterator[tuple]:
+    """For each value of ``key`` (ascending): the value, how many regions, and their fields and bytes in one blob.
 
-
-def _unpack(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
-
-
-def _pack_regions(regions: np.ndarray) -> bytes:
-    """Column by column, which packs better than row by row."""
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(regions[f].tobytes() for f in _REGION.names))
-
-
-def _unpack_regions(blob: bytes) -> np.ndarray:
-    raw, at = zstandard.ZstdDecompressor().decompress(blob), 0
-    out = np.empty(len(raw) // _REGION.itemsize, _REGION)
-    for f in _REGION.names:
-        out[f] = np.frombuffer(raw, _REGION[f], len(out), at)
-        at += len(out) * _REGION[f].itemsize
-    return out
+    Column by column, which packs better than row by row; ``data`` are the bytes of all regions in order.
+    """
+    if not len(key):
+        return
+    compressor = zstandard.ZstdCompressor(level=3)
+    columns = [(np.ascontiguousarray(regions[f]).tobytes(), _REGION[f].itemsize) for f in fields]
+    cuts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
+    if data is not None:
+        bytes_at, raw = np.r_[0, np.cumsum(regions["length"], dtype=np.int64)][cuts].tolist(), data.tobytes()
+    heads, cuts = key[cuts[:-1]].tolist(), cuts.tolist()
+    for i, value in enumerate(heads):
+        a, b = cuts[i], cuts[i + 1]
+        parts = [column[a * size:b * size] for column, size in columns]
+        if data is not None:
+            parts.append(raw[bytes_at[i]:bytes_at[i + 1]])
+        yield value, b - a, compressor.compress(b"".join(parts))
+
+
+def _unpack_all(counts: list[int], blobs: list[bytes], fields: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Regions of all blobs one after the other, and their bytes."""
+    unpacker = zstandard.ZstdDecompressor()
+    parts: list[list[bytes]] = [[] for _ in range(len(fields) + 1)]
+    sizes = [_REGION[f].itemsize for f in fields]
+    for n, blob in zip(counts, blobs):
+        raw, at = unpacker.decompress(blob), 0
+        for part, size in zip(parts, sizes):
+            part.append(raw[at:at + n * size])
+            at += n * size
+        parts[-1].append(raw[at:])
+    out = np.zeros(sum(counts), _REGION)
+    for f, part in zip(fields, parts):
+        out[f] = np.frombuffer(b"".join(part), _REGION[f])
+        part.clear()
+    return out, np.frombuffer(b"".join(parts[-1]), np.uint8)
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,138 +134,59 @@ def _text_key(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [hashlib.md5(raw[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def _short_key(keys: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(k[:8] for k in keys), "<u8").astype(np.uint64)
-
-
-def _shared_key(text: np.ndarray, token: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """One number for (text, anchor); a collision only sends a region too many."""
-    return (mix64(text ^ mix64((bucket.astype(np.uint64) << np.uint64(32)) | token.astype(np.uint64)))
-            >> np.uint64(32)).astype(np.uint32)
-
-
-def _by_group(group: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Distinct marks of each group, ascending."""
-    both = np.unique((group.astype(np.uint64) << np.uint64(32)) | marks.astype(np.uint64))
-    cuts = np.flatnonzero(np.r_[True, (both[1:] >> np.uint64(32)) != (both[:-1] >> np.uint64(32)), True]) if len(both) else [0]
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        yield int(both[a] >> np.uint64(32)), both[a:b].astype("<u4").tobytes()
-
-
-def scan(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
-    """Texts, anchor tokens and anchors found shared in a batch, as packed rows (kind, key, a, b, c).
-
-    text: key = group, texts' keys, smallest ids with lengths, and the bytes. token: key = bucket,
-    tokens in order of texts, the texts, how many each has and which are shared already. shared:
-    key = group, numbers of :func:`_shared_key`.
-    """
-    names = ["kind", "key", "a", "b", "c"]
+def pack_texts(docs: DataFrame, groups: int) -> DataFrame:
+    """Texts of ``docs(doc_id, text)`` by group: packed rows (key = group, a, b, c) with the texts' keys,
+    smallest ids with lengths, and the bytes. A group is chosen by the text's hash."""
+    names, kinds = ["key", "a", "b", "c"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def flush(texts: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
         keys = list(texts)
-        ids = np.array([texts[k][0] for k in keys], np.int64)
-        short = _short_key(keys)
+        short = np.frombuffer(b"".join(k[:8] for k in keys), "<u8").astype(np.uint64)
         group = (short % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        cuts = np.r_[0, np.flatnonzero(np.diff(group[order])) + 1, len(order)].tolist()
+        compressor = zstandard.ZstdCompressor(level=3)
         out = [[] for _ in names]
-
-        def add(*row):
-            for column, value in zip(out, row):
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            mine = order[a:b].tolist()
+            found = [texts[keys[i]] for i in mine]
+            for column, value in zip(out, (int(group[mine[0]]), b"".join(keys[i] for i in mine),
+                                           np.array([[x[0] for x in found], [len(x[1]) for x in found]], "<i8").tobytes(),
+                                           compressor.compress(b"".join(x[1] for x in found)))):
                 column.append(value)
-
-        for g in np.unique(group):
-            mine = np.flatnonzero(group == g)
-            parts = [texts[keys[i]][1] for i in mine]
-            add("text", int(g), b"".join(keys[i] for i in mine),
-                np.stack([ids[mine], [len(p) for p in parts]]).astype("<i8").tobytes(),
-                zstandard.ZstdCompressor(level=3).compress(b"".join(parts)))
-        hashes, owner = [], []
-        for i, key in enumerate(keys):
-            found = texts[key][2]
-            hashes.append(found)
-            owner.append(np.full(len(found), i))
-        hashes, owner = np.concatenate(hashes), np.concatenate(owner)
-        bucket, token = (hashes % np.uint64(buckets)).astype(np.int64), (hashes >> np.uint64(32)).astype("<u4")
-        # an anchor of two texts of the batch is shared: say so here, and let one text stand for all
-        order = np.lexsort((owner, token, bucket))
-        bucket, token, owner = bucket[order], token[order], owner[order]
-        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (token[1:] != token[:-1])] if len(token) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        run = np.diff(np.r_[first, len(token)])
-        several = owner[first + run - 1] != owner[first] if len(first) else np.zeros(0, bool)
-        known = np.repeat(several, run)
-        for g, marks in _by_group(group[owner[known]], _shared_key(short[owner[known]], token[known], bucket[known])):
-            add("shared", g, marks, None, None)
-        bucket, token, owner = bucket[first], token[first], owner[first]
-        order = np.lexsort((token, owner, bucket))
-        bucket, token, owner, several = bucket[order], token[order], owner[order], several[order]
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in range(buckets):
-            part = slice(cuts[b], cuts[b + 1])
-            if cuts[b] < cuts[b + 1]:
-                who, each = np.unique(owner[part], return_counts=True)
-                add("token", b, token[part].tobytes(), short[who].tobytes(),
-                    zstandard.ZstdCompressor(level=1).compress(each.astype("<u4").tobytes() + np.packbits(several[part]).tobytes()))
-        kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
         release_memory()
 
-    def scan_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[bytes, list] = {}
         held = 0
         for batch in batches:
             ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            for first, data, offsets in text_views(batch.column(1), STEP_BYTES):
-                hashes, row, _, _ = anchors(data, offsets)
-                cut = np.searchsorted(row, np.arange(len(offsets)))
-                raw = data.tobytes()
+            for first, data, offsets in text_views(batch.column(1)):
+                raw, at = data.tobytes(), offsets.tolist()
                 for r, key in enumerate(_text_key(data, offsets)):
                     known = texts.get(key)
                     if known is not None:
                         known[0] = min(known[0], int(ids[first + r]))
                     else:
-                        texts[key] = [int(ids[first + r]), raw[offsets[r]:offsets[r + 1]], np.unique(hashes[cut[r]:cut[r + 1]])]
-                        held += int(offsets[r + 1] - offsets[r])
+                        texts[key] = [int(ids[first + r]), raw[at[r]:at[r + 1]]]
+                        held += at[r + 1] - at[r]
                 if held > FLUSH_BYTES:
                     yield from flush(texts)
                     texts, held = {}, 0
         if texts:
             yield from flush(texts)
 
-    return docs.mapInArrow(scan_rows, "kind string, key int, a binary, b binary, c binary")
-
-
-def shared_anchors(scanned: DataFrame, groups: int) -> DataFrame:
-    """Anchors that stand in two or more texts: packed rows (key = group, a) of :func:`_shared_key`."""
-    def bucket_shared(rows: pa.Table) -> pa.Table:
-        token, text, done, at = [], [], [], 0
-        for a, b, c in zip(*(rows[x].to_pylist() for x in ("a", "b", "c"))):
-            t, who = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u8")
-            each = zstandard.ZstdDecompressor().decompress(c)
-            token.append(t)
-            text.append(np.repeat(who, np.frombuffer(each, "<u4", len(who))))
-            done.append(np.unpackbits(np.frombuffer(each, np.uint8, offset=4 * len(who)))[:len(t)].astype(bool))
-        token, text, done = (np.concatenate(x) for x in (token, text, done))
-        order = np.lexsort((text, token))
-        token, text, done = token[order], text[order], done[order]
-        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        run = np.diff(np.r_[first, len(token)])
-        several = (text[first + run - 1] != text[first]) | np.logical_or.reduceat(done, first)
-        keep = np.repeat(several, run)
-        bucket = np.full(int(keep.sum()), rows["key"][0].as_py())
-        found = list(_by_group(text[keep] % np.uint64(groups), _shared_key(text[keep], token[keep], bucket)))
-        return pa.table({"key": pa.array([g for g, _ in found], pa.int32()),
-                         "a": pa.array([marks for _, marks in found], pa.binary())})
-
-    found = scanned.where("kind = 'token'").groupBy("key").applyInArrow(bucket_shared, "key int, a binary")
-    return found.unionByName(scanned.where("kind = 'shared'").select("key", "a"))
+    return docs.mapInArrow(pack_rows, "key int, a binary, b binary, c binary")
 
 
 def _texts(rows: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct texts of a group: (keys, smallest ids, bytes of all, offsets), in order of keys."""
     found: dict[bytes, list] = {}
+    unpacker = zstandard.ZstdDecompressor()
     for a, b, c in zip(*(rows[x].to_pylist() for x in ("a", "b", "c"))):
         ids, lengths = np.frombuffer(b, "<i8").reshape(2, -1)
-        raw, at = zstandard.ZstdDecompressor().decompress(c), 0
+        raw, at = unpacker.decompress(c), 0
         for i, (doc, length) in enumerate(zip(ids.tolist(), lengths.tolist())):
             key = a[16 * i:16 * i + 16]
             known = found.get(key)
@@ -257,6 +201,77 @@ def _texts(rows: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndar
         np.r_[0, np.cumsum([len(found[k][1]) for k in keys])].astype(np.int64)
 
 
+def _anchors_of(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`anchors` of a group's texts, without those that no document with an id has."""
+    found, last = [], 0
+    while last < len(ids):
+        first = last
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STEP_BYTES, "right")) - 1)
+        base = offsets[first]
+        hashes, row, low, high = anchors(data[base:offsets[last]], offsets[first:last + 1] - base)
+        use = ids[row + first] != NO_ID
+        found.append((hashes[use], row[use] + first, low[use] + base, high[use] + base))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _token(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """An anchor's bucket (upper half) and 32 bits of its hash; a collision only sends a region too many."""
+    return ((hashes % np.uint64(buckets)) << np.uint64(32)) | (hashes >> np.uint64(32))
+
+
+def _bucket_rows(tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Bucket and tokens, of ascending :func:`_token` numbers."""
+    bucket = tokens >> np.uint64(32)
+    cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(tokens)].tolist() if len(tokens) else [0]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(bucket[a]), tokens[a:b].astype("<u4")
+
+
+def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
+    """Anchors that stand in two or more groups of texts: packed rows (key = group, bucket, a = tokens)."""
+    def group_tokens(rows: pa.Table) -> pa.Table:
+        _, ids, data, offsets = _texts(rows)
+        hashes, _, _, _ = _anchors_of(ids, data, offsets)
+        compressor = zstandard.ZstdCompressor(level=1)
+        out = [[], []]
+        for bucket, tokens in _bucket_rows(np.unique(_token(hashes, buckets))):
+            out[0].append(bucket)
+            # steps from one to the next, byte plane by byte plane
+            out[1].append(compressor.compress(np.diff(tokens, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()))
+        release_memory()
+        return pa.table({"key": pa.array(np.full(len(out[0]), rows["key"][0].as_py()), pa.int32()),
+                         "bucket": pa.array(out[0], pa.int32()), "a": pa.array(out[1], pa.binary())})
+
+    def bucket_shared(rows: pa.Table) -> pa.Table:
+        unpacker = zstandard.ZstdDecompressor()
+        tokens = []
+        for blob in rows["a"].to_pylist():
+            steps = np.ascontiguousarray(np.frombuffer(unpacker.decompress(blob), np.uint8).reshape(4, -1).T)
+            tokens.append(np.cumsum(steps.view("<u4").ravel(), dtype=np.uint32))
+        every = np.sort(np.concatenate(tokens))
+        several = np.unique(every[1:][every[1:] == every[:-1]])
+        found = []
+        for mine in tokens:
+            spot = np.minimum(np.searchsorted(several, mine), max(len(several) - 1, 0))
+            found.append(mine[several[spot] == mine].tobytes() if len(several) else b"")
+        release_memory()
+        table = pa.table({"key": rows["key"], "bucket": rows["bucket"], "a": pa.array(found, pa.binary())})
+        return table.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
+
+    tokens = texts.groupBy("key").applyInArrow(group_tokens, "key int, bucket int, a binary")
+    return tokens.groupBy("bucket").applyInArrow(bucket_shared, "key int, bucket int, a binary")
+
+
+def _in_several(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which anchors stand in two or more rows."""
+    order = np.argsort(hashes, kind="stable")  # rows ascend
+    heads = np.flatnonzero(np.r_[True, hashes[order[1:]] != hashes[order[:-1]]]) if len(order) else order
+    run = np.diff(np.r_[heads, len(order)])
+    out = np.zeros(len(order), bool)
+    out[order] = np.repeat(row[order[heads + run - 1]] != row[order[heads]], run)
+    return out
+
+
 def _fold(regions: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal regions (bytes ``data[begin:begin + length]``) under their smallest document.
 
@@ -292,39 +307,14 @@ def _fold(regions: np.ndarray, data: np.ndarray, begin: np.ndarray) -> tuple[np.
     return order[~covered], order[covered]
 
 
-def _regions_out(data: np.ndarray, regions: np.ndarray, begin: np.ndarray, shard: np.ndarray) -> list[list]:
-    """Regions and their bytes for each shard: columns shard, regions, data."""
-    out: list[list] = [[], [], []]
-    order = np.argsort(shard, kind="stable")
-    cuts = np.r_[0, np.flatnonzero(np.diff(shard[order])) + 1, len(order)]
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        mine = order[a:b]
-        if not len(mine):
-            continue
-        length = regions["length"][mine].astype(np.int64)
-        spots = np.arange(length.sum()) + np.repeat(begin[mine] - np.cumsum(length) + length, length)
-        for column, value in zip(out, (int(shard[mine[0]]), _pack_regions(regions[mine]), _pack(data[spots]))):
-            column.append(value)
-    return out
-
-
 def _bytes_of(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
     return data[np.arange(length.sum()) + np.repeat(begin - np.cumsum(length) + length, length)]
 
 
-def _contested(doc: np.ndarray, data: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _contested(doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
     """Places of the regions whose anchor also stands in a region of another document."""
-    found = []
-    at = np.r_[0, np.cumsum(length)]
-    for a in range(0, len(doc), 1024):
-        b = min(a + 1024, len(doc))
-        hashes, row, _, _ = anchors(data[at[a]:at[b]], at[a:b + 1] - at[a])
-        found.append(hashes[np.searchsorted(row, np.arange(b - a))])  # all strings of a region have one anchor
-    if not found:
-        return np.zeros(0, np.int64)
-    anchor = np.concatenate(found)
     order = np.lexsort((doc, anchor))
-    heads = np.flatnonzero(np.r_[True, anchor[order[1:]] != anchor[order[:-1]]])
+    heads = np.flatnonzero(np.r_[True, anchor[order[1:]] != anchor[order[:-1]]]) if len(order) else order
     run = np.diff(np.r_[heads, len(order)])
     several = doc[order[heads + run - 1]] != doc[order[heads]]
     return np.sort(order[np.repeat(several, run)])
@@ -339,7 +329,7 @@ def spans_of_shard(regions: np.ndarray, data: np.ndarray) -> np.ndarray:
     begin = np.cumsum(length) - length
     kept, covered = _fold(regions, data, begin)
     spans = [regions[covered]]
-    kept = kept[_contested(regions["doc"][kept], _bytes_of(data, begin[kept], length[kept]), length[kept])]
+    kept = kept[_contested(regions["doc"][kept], regions["anchor"][kept])]
     if len(kept):
         part, sizes = regions[kept], length[kept]
         # symbols: bytes + 2; 1 ends a region, 0 ends the shard
@@ -370,7 +360,7 @@ def spans_of_shard(regions: np.ndarray, data: np.ndarray) -> np.ndarray:
             cover = np.r_[0, (np.cumsum(edge) > 0).astype(np.int8), 0]
             starts, ends = np.flatnonzero(np.diff(cover) > 0), np.flatnonzero(np.diff(cover) < 0)
             which = region[starts]
-            found = np.empty(len(starts), _REGION)
+            found = np.zeros(len(starts), _REGION)
             for f in ("doc", "group", "ord"):
                 found[f] = part[f][which]
             found["start"], found["length"] = part["start"][which] + starts - at[which], ends - starts
@@ -378,13 +368,24 @@ def spans_of_shard(regions: np.ndarray, data: np.ndarray) -> np.ndarray:
     return np.concatenate(spans)
 
 
-def _spans_out(spans: np.ndarray) -> list[list]:
-    """Spans for each group of texts: columns key, spans."""
-    out: list[list] = [[], []]
-    for g in np.unique(spans["group"]):
-        out[0].append(int(g))
-        out[1].append(_pack_regions(spans[spans["group"] == g]))
-    return out
+def spans_by_pieces(regions: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """:func:`spans_of_shard` of pieces of about PIECE_BYTES: an anchor's regions are in one piece."""
+    length = regions["length"].astype(np.int64)
+    pieces = min(256, -(-len(data) // PIECE_BYTES))
+    if pieces < 2:
+        return spans_of_shard(regions, data)
+    begin = np.cumsum(length) - length
+    piece = (regions["anchor"] >> 24) * np.uint32(pieces) >> 8
+    found = []
+    for i in range(pieces):
+        mine = np.flatnonzero(piece == i)
+        found.append(spans_of_shard(regions[mine], _bytes_of(data, begin[mine], length[mine])))
+    return np.concatenate(found)
+
+
+def shard_count(total: int, parallel: int) -> int:
+    """Shards for ``total`` bytes: more text behind each as the corpus grows, as each gets a blob from every group."""
+    return max(parallel, -(-total // min(MOST_SHARD_BYTES, int(SHARD_BYTES * max(1, total / 1e9) ** 0.5))))
 
 
 def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
@@ -398,66 +399,65 @@ def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parallel = docs.sparkSession.sparkContext.defaultParallelism
     groups = max(parallel, -(-total // GROUP_BYTES))
-    shards = max(parallel, -(-total // SHARD_BYTES))
+    shards = shard_count(total, parallel)
     buckets = max(parallel, -(-total // 16 // TOKEN_BUCKET))
-    scanned = stash(scan(docs, groups, buckets))
-    texts = scanned.where("kind = 'text'").select("key", "a", "b", "c")
-    shared = shared_anchors(scanned, groups)
+    texts = pack_texts(docs, groups)
+    shared = shared_anchors(texts, buckets)
+    region_kinds = {"shard": pa.int32(), "group": pa.int32(), "n": pa.int32(), "whole": pa.bool_(), "regions": pa.binary()}
 
     def regions_of(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["shard", "regions", "data"]
-        kinds = [pa.int32(), pa.binary(), pa.binary()]
-        empty = pa.table([pa.array([], k) for k in kinds], names)
-        if not left.num_rows or not right.num_rows:
-            return empty
-        keys, ids, data, offsets = _texts(left)
-        wanted = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in right["a"].to_pylist()]))
-        short = _short_key(keys)
-        found, parts, spots = [], [], []
-        last = 0
-        while last < len(keys):
-            first = last
-            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + STEP_BYTES, "right")) - 1)
-            base = offsets[first]
-            hashes, row, low, high = anchors(data[base:offsets[last]], offsets[first:last + 1] - base)
-            mark = _shared_key(short[row + first], (hashes >> np.uint64(32)).astype(np.uint32), hashes % np.uint64(buckets))
-            spot = np.minimum(np.searchsorted(wanted, mark), len(wanted) - 1)
-            use = (wanted[spot] == mark) & (ids[row + first] != NO_ID)
-            row, low, high, hashes = row[use] + first, low[use] + base, high[use] + base, hashes[use]
-            regions = np.empty(len(row), _REGION)
-            regions["doc"], regions["group"], regions["ord"] = ids[row], left["key"][0].as_py(), row
-            regions["start"], regions["length"] = low - offsets[row], high - low + LENGTH
-            found.append(regions)
-            parts.append((mix64(hashes) % np.uint64(shards)).astype(np.int64))
-            spots.append(low)
-        regions, shard, begin = (np.concatenate(x) for x in (found, parts, spots))
-        # equal regions of the group: the smallest document's goes on, the others are spans already
-        kept, covered = _fold(regions, data, begin)
-        out = _regions_out(data, regions[kept], begin[kept], shard[kept])
-        if len(covered):
-            for column, value in zip(out, (left["key"][0].as_py() % shards, _pack_regions(regions[covered]), None)):
-                column.append(value)
+        out: list[list] = [[] for _ in region_kinds]
+        if left.num_rows:
+            group = left["key"][0].as_py()
+            _, ids, data, offsets = _texts(left)
+            hashes, row, low, high = _anchors_of(ids, data, offsets)
+            wanted = np.zeros(0, np.uint64)
+            if right.num_rows:
+                wanted = np.sort(np.concatenate([np.frombuffer(x, "<u4") | np.uint64(b << 32) for b, x in zip(
+                    right["bucket"].to_pylist(), right["a"].to_pylist())]))
+            token = _token(hashes, buckets)
+            spot = np.minimum(np.searchsorted(wanted, token), max(len(wanted) - 1, 0))
+            use = np.flatnonzero((wanted[spot] == token if len(wanted) else False) | _in_several(hashes, row))
+            mixed = mix64(hashes[use])
+            shard, anchor = (mixed % np.uint64(shards)).astype(np.int32), (mixed >> np.uint64(32)).astype(np.uint32)
+            order = np.lexsort((anchor, shard))
+            use, shard, anchor = use[order], shard[order], anchor[order]
+            regions = np.empty(len(use), _REGION)
+            regions["doc"], regions["group"], regions["ord"], regions["anchor"] = ids[row[use]], group, row[use], anchor
+            regions["start"], regions["length"] = low[use] - offsets[row[use]], high[use] - low[use] + LENGTH
+            # equal regions of the group: the smallest document's goes on, the others are spans already
+            kept, covered = _fold(regions, data, low[use])
+            kept.sort()
+            part, begin = regions[kept], low[use][kept]
+            sent = _bytes_of(data, begin, part["length"].astype(np.int64))
+            for which, n, blob in _packed_by(shard[kept], part, _SENT, sent):
+                for column, value in zip(out, (which, group, n, False, blob)):
+                    column.append(value)
+            for _, n, blob in _packed_by(np.zeros(len(covered), np.int32), regions[covered], _SPAN):
+                for column, value in zip(out, (group % shards, group, n, True, blob)):
+                    column.append(value)
         release_memory()
-        return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names)
+        return pa.table([pa.array(c, k) for c, k in zip(out, region_kinds.values())], list(region_kinds))
 
     regions = texts.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(
-        regions_of, "shard int, regions binary, data binary")
+        regions_of, "shard int, group int, n int, whole boolean, regions binary")
 
     def shard_spans(rows: pa.Table) -> pa.Table:
-        found, parts, bytes_of = [], [], []
-        for blob, data in zip(rows["regions"].to_pylist(), rows["data"].to_pylist()):
-            if data is None:
-                found.append(_unpack_regions(blob))
-            else:
-                parts.append(_unpack_regions(blob))
-                bytes_of.append(_unpack(data, np.uint8))
-        if parts:
-            found.append(spans_of_shard(np.concatenate(parts), np.concatenate(bytes_of)))
-        out = _spans_out(np.concatenate(found))
+        whole = rows["whole"].to_numpy()
+        done, open_ = rows.filter(pa.array(whole)), rows.filter(pa.array(~whole))
+        out = [done["group"].to_pylist(), done["n"].to_pylist(), done["regions"].to_pylist()]
+        counts = open_["n"].to_pylist()
+        regions, data = _unpack_all(counts, open_["regions"].to_pylist(), _SENT)
+        regions["group"] = np.repeat(open_["group"].to_numpy(), counts)
+        spans = spans_by_pieces(regions, data)
+        spans = spans[np.argsort(spans["group"], kind="stable")]
+        for group, n, blob in _packed_by(spans["group"], spans, _SPAN):
+            for column, value in zip(out, (group, n, blob)):
+                column.append(value)
         release_memory()
-        return pa.table([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["key", "spans"])
+        return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.binary()))], ["key", "n", "spans"])
 
-    spans = regions.groupBy("shard").applyInArrow(shard_spans, "key int, spans binary")
+    spans = regions.groupBy("shard").applyInArrow(shard_spans, "key int, n int, spans binary")
     schema = "text_key binary, first_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -466,7 +466,7 @@ def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
             keys, ids, data, offsets = _texts(left)
             gone = np.zeros(len(data), bool)
             if right.num_rows:
-                found = np.concatenate([_unpack_regions(x) for x in right["spans"].to_pylist()])
+                found, _ = _unpack_all(right["n"].to_pylist(), right["spans"].to_pylist(), _SPAN)
                 begin = offsets[found["ord"]] + found["start"]
                 edge = np.bincount(begin, minlength=len(data) + 1) - np.bincount(begin + found["length"], minlength=len(data) + 1)
                 gone = np.cumsum(edge)[:-1] > 0

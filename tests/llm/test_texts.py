@@ -161,3 +161,61 @@ def test_scanning_in_stretches_finds_the_same_anchors(monkeypatch):
     parts = suffix_dedup.anchors(data, offsets)
     strings = lambda x: {s for a, b in zip(x[2].tolist(), x[3].tolist()) for s in range(a, b + 1)}
     assert strings(whole) == strings(parts) == set(range(len(data) - 49))
+
+
+def made_regions(seed, texts=60):
+    """Regions of random texts with common passages, as a shard gets them, and their bytes."""
+    r = random.Random(seed)
+    passages = ["".join(r.choice("abcdef ") for _ in range(r.randint(40, 300))) for _ in range(8)]
+    rows = ["".join(r.choice(passages)[r.randrange(30):] + r.choice(["", "x", "yz " * 9]) for _ in range(6)) for _ in range(texts)]
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t) for t in rows])]
+    hashes, row, low, high = suffix_dedup.anchors(data, offsets)
+    regions = np.zeros(len(row), suffix_dedup._REGION)
+    regions["doc"], regions["group"], regions["ord"] = row * 7 % texts, row % 5, row
+    regions["anchor"] = suffix_dedup.mix64(hashes) >> np.uint64(32)
+    regions["start"], regions["length"] = low - offsets[row], high - low + suffix_dedup.LENGTH
+    return regions, suffix_dedup._bytes_of(data, low, high - low + suffix_dedup.LENGTH)
+
+
+def removed(spans):
+    return {(d, at) for d, start, n in zip(spans["doc"].tolist(), spans["start"].tolist(), spans["length"].tolist())
+            for at in range(start, start + n)}
+
+
+def test_a_shard_in_pieces_removes_the_same_bytes(monkeypatch):
+    regions, data = made_regions(5)
+    whole = removed(suffix_dedup.spans_of_shard(regions, data))
+    sizes, spans_of_shard = [], suffix_dedup.spans_of_shard
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", len(data) // 9)
+    monkeypatch.setattr(suffix_dedup, "spans_of_shard", lambda r, d: sizes.append(len(d)) or spans_of_shard(r, d))
+    assert removed(suffix_dedup.spans_by_pieces(regions, data)) == whole and len(whole) > 1000
+    assert len(sizes) >= 9 and max(sizes) < len(data) / 2 and sum(sizes) == len(data)
+
+
+def test_blobs_of_a_shard_and_back():
+    regions, data = made_regions(6)
+    key = np.sort(np.arange(len(regions)) % 11)
+    packed = list(suffix_dedup._packed_by(key, regions, suffix_dedup._SENT, data))
+    assert [k for k, _, _ in packed] == list(range(11))
+    back, raw = suffix_dedup._unpack_all([n for _, n, _ in packed], [b for _, _, b in packed], suffix_dedup._SENT)
+    assert all((back[f] == regions[f]).all() for f in suffix_dedup._SENT) and (raw == data).all()
+    assert list(suffix_dedup._packed_by(key[:0], regions[:0], suffix_dedup._SENT)) == []
+    assert len(suffix_dedup._unpack_all([], [], suffix_dedup._SPAN)[0]) == 0
+
+
+def test_blobs_follow_the_corpus_not_its_square():
+    blobs = lambda total: suffix_dedup.shard_count(total, 6) * (total // suffix_dedup.GROUP_BYTES) / total
+    assert blobs(10 * 10**9) < 5 * blobs(10**9)  # for ten times the bytes: not ten times the blobs of a byte
+
+
+def test_suffix_dedup_over_many_groups_shards_and_buckets(spark, monkeypatch):
+    for name in ("GROUP_BYTES", "SHARD_BYTES", "MOST_SHARD_BYTES"):
+        monkeypatch.setattr(suffix_dedup, name, 2000)
+    monkeypatch.setattr(suffix_dedup, "TOKEN_BUCKET", 100)
+    r = random.Random(12)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(90))
+    rows = made_documents(21)[:80] + [(3000 + i, f"{i * 7919} " * 12 + passage + f" {i}" * 9) for i in range(40)]
+    docs = odd_documents(spark, extra(rows))
+    got = sorted(((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in suffix_of(docs)), key=str)
+    assert got == suffix_rows([(r.doc_id, r.text) for r in docs.collect()])
