@@ -40,8 +40,8 @@ LENGTH, GRAM = 50, 24
 PLACE_BITS = 26  # of an anchor's place in what is scanned at once
 FLUSH_BYTES = 16 << 20
 GROUP_BYTES = 6 << 20
-SHARD_BYTES, MOST_SHARD_BYTES = 6 << 20, 24 << 20  # of text that stands behind a shard's regions, in a GB and at most
-PIECE_BYTES = 4 << 20  # of regions that are sorted at once
+SHARD_BYTES, MOST_SHARD_BYTES = 6 << 20, 16 << 20  # of text that stands behind a shard's regions, in a GB and at most
+PIECE_BYTES = 3 << 20  # of regions that are sorted at once
 TOKEN_BUCKET = 2_500_000
 STEP_BYTES = 1 << 16  # of texts whose anchors are found at once: arrays that fit into a core's cache
 NO_ID = np.iinfo(np.int64).max

@@ -2,8 +2,9 @@ import numpy as np
 
 import corpus_pipeline
 import __spark_entry__ as entry
-from arrears.llm import toxicity
+from arrears.llm import jaccard_join, toxicity
 from tests.llm.helpers import jaccard_rows, no_documents, odd_documents, suffix_rows
+from tests.llm.test_texts import passage_ring
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,6 +51,22 @@ def test_near_duplicates_are_judged_row_by_row(spark):
     assert got == sorted([("1", text), ("1", other), ("None", text), ("None", text), ("4", "None"), ("4", "")])
 
 
+def test_common_passages_bring_no_documents_into_the_near_duplicate_stage(spark, monkeypatch):
+    rows, posts = passage_ring(), []
+    chained = jaccard_join.chained
+
+    def seen(postings, percent):
+        postings = corpus_pipeline.stash(postings)
+        posts.extend(x for r in postings.collect() for x in np.frombuffer(r.sets, [("key", "<i8"), ("n", "<i4")])["key"].tolist())
+        return chained(postings, percent)
+
+    monkeypatch.setattr(jaccard_join, "chained", seen)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], no_documents(spark).schema[:5])
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
+    assert got == {d: t for d, t in rows if d < 100}
+    assert len(set(posts)) == 8  # the near copies alone; forty documents have passages in common
+
+
 def test_toxicity_stage_drops_what_op9_marks(spark, monkeypatch):
     class Given:
         def scores(self, texts):
