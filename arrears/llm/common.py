@@ -8,7 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +84,23 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def releasing(function: Callable[..., pa.Table], sides: int = 1) -> Callable[..., pa.Table]:
+    """``function`` of one group's rows (or of two sides'), whose memory goes back to the system after each group."""
+    def one(rows: pa.Table) -> pa.Table:
+        try:
+            return function(rows)
+        finally:  # what the function held is free by now
+            release_memory()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return function(left, right)
+        finally:
+            release_memory()
+
+    return one if sides == 1 else two
+
+
 def hash_sample(df: DataFrame, key: str, by: str, n: int) -> DataFrame:
     """At most ``n`` rows of each value of ``by``, the first by a hash of ``key``; adds place and total.
 

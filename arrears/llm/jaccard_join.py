@@ -38,11 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrears.llm.common import components, local_roots, mix64, release_memory, stash, text_views
+from arrears.llm.common import components, local_roots, mix64, release_memory, releasing, stash, text_views
 from arrears.llm.shingles import set_keys, shingles
 
 BUCKET_POSTINGS = 1_000_000
-BATCH_POSTINGS = 1_500_000  # that a task holds before it packs them for the buckets
+BATCH_POSTINGS = 1_000_000  # that a task holds before it packs them for the buckets
 BLOCK = 2048  # documents, and
 BLOCK_SHINGLES = 4_000_000  # shingles of one block of a group that is dealt into blocks
 GROUP_DOCS = 500  # documents, and
@@ -132,7 +132,7 @@ def prefix_postings(docs: DataFrame, buckets: int, k: int, percent: int) -> Data
     """
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
-    def emit(held, number: int) -> Iterator[pa.RecordBatch]:
+    def packed(held, number: int) -> pa.RecordBatch:
         keys, sizes, tokens, owner = (np.concatenate(x) for x in held)
         _, pick, name = np.unique(keys, return_index=True, return_inverse=True)  # equal sets post once
         keep = pick[name[owner]] == owner
@@ -153,9 +153,8 @@ def prefix_postings(docs: DataFrame, buckets: int, k: int, percent: int) -> Data
             for column, value in zip(rows, (batch, int(bucket[a]), None if a else sets.tobytes(), tokens[a:b].tobytes(),
                                             _pack_owners(owner[a:b], mark[a:b]))):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds)],
-                                         ["batch", "bucket", "sets", "tokens", "owners"])
-        release_memory()
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds)],
+                                          ["batch", "bucket", "sets", "tokens", "owners"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, sets, posts, number = [[], [], [], []], 0, 0, 0
@@ -169,10 +168,15 @@ def prefix_postings(docs: DataFrame, buckets: int, k: int, percent: int) -> Data
                     column.append(value)
                 sets, posts = sets + len(n), posts + len(held[2][-1])
                 if posts > BATCH_POSTINGS:
-                    yield from emit(held, number)
+                    out = packed(held, number)
                     held, sets, posts, number = [[], [], [], []], 0, 0, number + 1
+                    release_memory()
+                    yield out
         if posts:
-            yield from emit(held, number)
+            out = packed(held, number)
+            held.clear()
+            release_memory()
+            yield out
 
     return docs.select("text").mapInArrow(scan, _POSTED)
 
@@ -205,10 +209,9 @@ def shared_postings(postings: DataFrame, percent: int) -> DataFrame:
                 column.append(value)
         table = pa.table({"batch": rows["batch"], "bucket": rows["bucket"], "sets": rows["sets"],
                           "tokens": pa.array(out[0], pa.binary()), "owners": pa.array(out[1], pa.binary())})
-        release_memory()
         return table.filter(pa.compute.or_(pa.array(out[2], pa.bool_()), table["sets"].is_valid()))
 
-    return postings.groupBy("bucket").applyInArrow(shared, _POSTED)
+    return postings.groupBy("bucket").applyInArrow(releasing(shared), _POSTED)
 
 
 def rare_postings(found: DataFrame, percent: int) -> DataFrame:
@@ -240,11 +243,10 @@ def rare_postings(found: DataFrame, percent: int) -> DataFrame:
             posts["token"], posts["set"] = tokens[a:b], local
             for column, value in zip(out, (int(bucket[a]), sets[who].tobytes(), posts.tobytes())):
                 column.append(value)
-        release_memory()
         return pa.table({"bucket": pa.array(out[0], pa.int32()), "sets": pa.array(out[1], pa.binary()),
                          "postings": pa.array(out[2], pa.binary())})
 
-    return found.groupBy("batch").applyInArrow(rare, "bucket int, sets binary, postings binary")
+    return found.groupBy("batch").applyInArrow(releasing(rare), "bucket int, sets binary, postings binary")
 
 
 def chained(postings: DataFrame, percent: int) -> DataFrame:
@@ -269,11 +271,10 @@ def chained(postings: DataFrame, percent: int) -> DataFrame:
         n = np.concatenate(sizes)[first].astype(np.int64)
         token, owner = np.concatenate(tokens), name[np.concatenate(owner)]
         root = local_roots(len(distinct), *_chain(token, owner, n, percent))
-        release_memory()
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.table([distinct[moved], distinct[root[moved]]], schema=_LINKS)
 
-    return postings.groupBy("bucket").applyInArrow(chain, "a long, b long")
+    return postings.groupBy("bucket").applyInArrow(releasing(chain), "a long, b long")
 
 
 class SignatureTree:
@@ -494,12 +495,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, block: in
             moved = np.flatnonzero(label != np.arange(len(label)))
             found[0].append(rep[part[moved]])
             found[1].append(rep[part[label[moved]]])
-        release_memory()
         if not found[0]:
             return _LINKS.empty_table()
         return pa.table([np.concatenate(x) for x in found], schema=_LINKS)
 
-    links = stash(cells.groupBy("split", "bucket", "low", "high").applyInArrow(join_cell, "a long, b long"))
+    links = stash(cells.groupBy("split", "bucket", "low", "high").applyInArrow(releasing(join_cell), "a long, b long"))
     linked = components(links)
     named = (classes.join(linked, classes["rep"] == linked["node"], "left")
              .select("key1", "key2", F.coalesce("component", "rep").alias("component_id"), F.lit(True).alias("full")))

@@ -32,13 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrears.llm.common import mix64, release_memory, stash, text_views
+from arrears.llm.common import mix64, release_memory, releasing, stash, text_views
 from arrears.llm.suffix_array import permuted_common_prefixes, suffix_array
 from arrears.llm.words import _INVERSE, powers, prefix_hashes
 
 LENGTH, GRAM = 50, 24
 PLACE_BITS = 26  # of an anchor's place in what is scanned at once
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 GROUP_BYTES = 6 << 20
 SHARD_BYTES, MOST_SHARD_BYTES = 6 << 20, 16 << 20  # of text that stands behind a shard's regions, in a GB and at most
 PIECE_BYTES = 3 << 20  # of regions that are sorted at once
@@ -139,7 +139,7 @@ def pack_texts(docs: DataFrame, groups: int) -> DataFrame:
     smallest ids with lengths, and the bytes. A group is chosen by the text's hash."""
     names, kinds = ["key", "a", "b", "c"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
-    def flush(texts: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
+    def packed(texts: dict[bytes, list]) -> pa.RecordBatch:
         keys = list(texts)
         short = np.frombuffer(b"".join(k[:8] for k in keys), "<u8").astype(np.uint64)
         group = (short % np.uint64(groups)).astype(np.int64)
@@ -154,8 +154,7 @@ def pack_texts(docs: DataFrame, groups: int) -> DataFrame:
                                            np.array([[x[0] for x in found], [len(x[1]) for x in found]], "<i8").tobytes(),
                                            compressor.compress(b"".join(x[1] for x in found)))):
                 column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
-        release_memory()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[bytes, list] = {}
@@ -172,10 +171,15 @@ def pack_texts(docs: DataFrame, groups: int) -> DataFrame:
                         texts[key] = [int(ids[first + r]), raw[at[r]:at[r + 1]]]
                         held += at[r + 1] - at[r]
                 if held > FLUSH_BYTES:
-                    yield from flush(texts)
+                    out = packed(texts)
                     texts, held = {}, 0
+                    release_memory()
+                    yield out
         if texts:
-            yield from flush(texts)
+            out = packed(texts)
+            texts = {}
+            release_memory()
+            yield out
 
     return docs.mapInArrow(pack_rows, "key int, a binary, b binary, c binary")
 
@@ -238,7 +242,6 @@ def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
             out[0].append(bucket)
             # steps from one to the next, byte plane by byte plane
             out[1].append(compressor.compress(np.diff(tokens, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()))
-        release_memory()
         return pa.table({"key": pa.array(np.full(len(out[0]), rows["key"][0].as_py()), pa.int32()),
                          "bucket": pa.array(out[0], pa.int32()), "a": pa.array(out[1], pa.binary())})
 
@@ -254,12 +257,11 @@ def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
         for mine in tokens:
             spot = np.minimum(np.searchsorted(several, mine), max(len(several) - 1, 0))
             found.append(mine[several[spot] == mine].tobytes() if len(several) else b"")
-        release_memory()
         table = pa.table({"key": rows["key"], "bucket": rows["bucket"], "a": pa.array(found, pa.binary())})
         return table.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
 
-    tokens = texts.groupBy("key").applyInArrow(group_tokens, "key int, bucket int, a binary")
-    return tokens.groupBy("bucket").applyInArrow(bucket_shared, "key int, bucket int, a binary")
+    tokens = texts.groupBy("key").applyInArrow(releasing(group_tokens), "key int, bucket int, a binary")
+    return tokens.groupBy("bucket").applyInArrow(releasing(bucket_shared), "key int, bucket int, a binary")
 
 
 def _in_several(hashes: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -436,11 +438,10 @@ def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
             for _, n, blob in _packed_by(np.zeros(len(covered), np.int32), regions[covered], _SPAN):
                 for column, value in zip(out, (group % shards, group, n, True, blob)):
                     column.append(value)
-        release_memory()
         return pa.table([pa.array(c, k) for c, k in zip(out, region_kinds.values())], list(region_kinds))
 
     regions = texts.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(
-        regions_of, "shard int, group int, n int, whole boolean, regions binary")
+        releasing(regions_of, 2), "shard int, group int, n int, whole boolean, regions binary")
 
     def shard_spans(rows: pa.Table) -> pa.Table:
         whole = rows["whole"].to_numpy()
@@ -454,10 +455,9 @@ def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
         for group, n, blob in _packed_by(spans["group"], spans, _SPAN):
             for column, value in zip(out, (group, n, blob)):
                 column.append(value)
-        release_memory()
         return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.binary()))], ["key", "n", "spans"])
 
-    spans = regions.groupBy("shard").applyInArrow(shard_spans, "key int, n int, spans binary")
+    spans = regions.groupBy("shard").applyInArrow(releasing(shard_spans), "key int, n int, spans binary")
     schema = "text_key binary, first_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -485,7 +485,7 @@ def repeated_spans(docs: DataFrame, with_text: bool) -> DataFrame:
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)],
                         ["text_key", "first_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return texts.groupBy("key").cogroup(spans.groupBy("key")).applyInArrow(cut, schema)
+    return texts.groupBy("key").cogroup(spans.groupBy("key")).applyInArrow(releasing(cut, 2), schema)
 
 
 def deduplicate(docs: DataFrame, carry: list[str], with_text: bool = True) -> DataFrame:
